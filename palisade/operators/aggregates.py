@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +125,10 @@ def run_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*counts)
 
 
-def open_ports(obs: DataFrame) -> DataFrame:
-    """Sorted distinct ports per host (at most 65,535 numbers)."""
+def open_ports(obs: DataFrame, keys: Sequence[str] = ("host",)) -> DataFrame:
+    """Sorted distinct ports per host (at most 65,536 numbers)."""
     valid = F.col("port").between(0, 65535)
-    return obs.filter(valid).groupBy("host").agg(F.array_sort(F.collect_set("port")).alias("ports"))
+    return obs.filter(valid).groupBy(*keys).agg(F.array_sort(F.collect_set("port")).alias("ports"))
 
 
 def url_inventory(urls: DataFrame, keys: list[str]) -> DataFrame:
