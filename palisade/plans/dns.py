@@ -22,7 +22,7 @@ def dns_plan(answers: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame,
 
     NXDOMAIN is reported only when every asked type said so and nothing was answered."""
     rows = with_ip_bits(answers, F.when(F.col("record_type").isin("A", "AAAA"), F.col("value")), "ip_bits")
-    # mail exchangers carry their preference in front and every name a trailing dot
+    # names may come with a trailing dot
     rows = rows.withColumn("__name", bare_name(F.when(~F.col("record_type").isin("A", "AAAA", "TXT"), F.col("value"))))
     good_name = domain_error(F.col("__name"), F.col("__name")).isNull()
     rows = opaque(
