@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as K
-from palisade.functions.common import lookup, opaque, strip
+from palisade.functions.common import blank_to_null, let, lookup, opaque, strip
 
 _VERSION = r"(?i)^v?([0-9]+(?:\.[0-9]+){0,3}[a-z0-9.+-]*)$"
 _SERVER = r"^([A-Za-z][A-Za-z0-9 ._-]*?)(?:/([0-9][A-Za-z0-9.+-]*))?(?:\s.*)?$"
@@ -18,9 +18,12 @@ _PRODUCTS = {k: v[1] for k, v in K.VENDOR_PRODUCT.items()}
 
 def canonical_name(name: Column) -> Column:
     """Alias table first, else a slug of the name."""
-    key = F.regexp_replace(F.lower(strip(name)), r"\s+", " ")
-    slug = F.regexp_replace(F.regexp_replace(key, r"[^a-z0-9.+_-]+", "-"), r"^-+|-+$", "")
-    return F.coalesce(lookup(K.TECHNOLOGY_ALIASES, key), F.when(slug != "", slug).otherwise(key))
+
+    def of_key(key: Column) -> Column:
+        slug = F.trim(F.regexp_replace(key, r"[^a-z0-9.+_-]+", "-"), F.lit("-"))
+        return F.coalesce(lookup(K.TECHNOLOGY_ALIASES, key), blank_to_null(slug), key)
+
+    return let(F.regexp_replace(F.lower(strip(name)), r"\s+", " "), of_key)
 
 
 def clean_version(v: Column) -> Column:
@@ -33,21 +36,23 @@ def technology(name: Column, version: Column, source: Column | str, raw: Column,
                product: Column | None = None) -> Column:
     """struct(name, vendor, product, version, confidence, version_confidence, source, raw)."""
     src = F.lit(source) if isinstance(source, str) else source
-    canon = canonical_name(name)
-    ver = clean_version(version)
     conf = {k: v[0] for k, v in K.TECHNOLOGY_CONFIDENCE.items()}
     vconf = {k: v[1] for k, v in K.TECHNOLOGY_CONFIDENCE.items()}
-    ven, prod = lookup(_VENDORS, canon), lookup(_PRODUCTS, canon)
-    return F.struct(
-        canon.alias("name"),
-        (ven if vendor is None else F.coalesce(ven, vendor)).alias("vendor"),
-        (prod if product is None else F.coalesce(prod, product)).alias("product"),
-        ver.alias("version"),
-        lookup(conf, src).alias("confidence"),
-        F.when(ver.isNotNull(), lookup(vconf, src)).alias("version_confidence"),
-        src.alias("source"),
-        raw.alias("raw"),
-    )
+
+    def build(canon: Column, ver: Column) -> Column:
+        ven, prod = lookup(_VENDORS, canon), lookup(_PRODUCTS, canon)
+        return F.struct(
+            canon.alias("name"),
+            (ven if vendor is None else F.coalesce(ven, vendor)).alias("vendor"),
+            (prod if product is None else F.coalesce(prod, product)).alias("product"),
+            ver.alias("version"),
+            lookup(conf, src).alias("confidence"),
+            F.when(ver.isNotNull(), lookup(vconf, src)).alias("version_confidence"),
+            src.alias("source"),
+            raw.alias("raw"),
+        )
+
+    return let(F.struct(canonical_name(name).alias("c"), clean_version(version).alias("v")), lambda x: build(x["c"], x["v"]))
 
 
 def from_fingerprint(entry: Column) -> Column:
