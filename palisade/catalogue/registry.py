@@ -40,4 +40,7 @@ def complete(sql: str, extra: dict[str, str]) -> str:
 
     visit(sql)
     ctes = [f"{n} AS ({bodies[n]})" for n in bodies if n in needed]
+    sql = sql.strip()
+    if ctes and sql[:5].upper() == "WITH ":
+        return f"WITH {', '.join(ctes)}, {sql[5:]}"
     return (f"WITH {', '.join(ctes)} " if ctes else "") + sql

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as K
-from palisade.functions.common import let, opaque, strip
+from palisade.functions.common import let, opaque, recorded, strip
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4_PATTERN = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
@@ -132,6 +132,7 @@ def without_brackets(raw: Column) -> Column:
     return F.when(framed, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
+@recorded
 def normalize_ips(df: DataFrame, col: str, out: str = "ip") -> DataFrame:
     """Add ``out`` = struct(value, version, bits, error): canonical address text (brackets allowed, zones refused)."""
     raw = strip(F.col(col))
@@ -151,6 +152,7 @@ def normalize_ips(df: DataFrame, col: str, out: str = "ip") -> DataFrame:
     ).drop("__bits")
 
 
+@recorded
 def normalize_cidrs(df: DataFrame, col: str, out: str = "cidr", *, strict: bool = True) -> DataFrame:
     """Add ``out`` = struct(value, version, bits, error).
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,16 +27,60 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+class Stages:
+    """Records DataFrame methods (``withColumn``, ``select``, ``filter``, ...) to be replayed on any DataFrame."""
+
+    def __init__(self) -> None:
+        self._ops: list[tuple[str, tuple, dict]] = []
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name in ("columns", "schema"):
+            raise AttributeError(name)
+
+        def record(*args, **kwargs):
+            self._ops.append((name, args, kwargs))
+            return self
+
+        return record
+
+    def _replay(self, df: DataFrame) -> DataFrame:
+        for name, args, kwargs in self._ops:
+            df = getattr(df, name)(*args, **kwargs)
+        return df
+
+
+_RECORDED: dict[tuple, Stages] = {}
+
+
+def recorded(fn):
+    """Build the column expressions of a DataFrame -> DataFrame function once per set of arguments.
+
+    A normaliser consists of some thousand column calls; each crosses from Python to the JVM, which takes seconds per use.
+    The function must refer to columns by name only and take hashable arguments."""
+
+    @functools.wraps(fn)
+    def wrapper(df, *args, **kwargs):
+        if isinstance(df, Stages):
+            return fn(df, *args, **kwargs)
+        key = (fn, id(SparkContext._active_spark_context), args, tuple(sorted(kwargs.items())))
+        if key not in _RECORDED:
+            stages = Stages()
+            fn(stages, *args, **kwargs)
+            _RECORDED[key] = stages
+        return _RECORDED[key]._replay(df)
+
+    return wrapper
+
+
 def opaque(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns so that later filters cannot be rewritten in terms of what computes them.
 
     A staged normaliser refers to its own intermediate columns many times; without this, pushing one filter
     below the stages would multiply those expressions out.  The expressions run in a projection; the one-element
-    ``inline`` on top of it only passes references on, within whole-stage codegen.
-    """
+    ``inline`` on top of it only passes references on, within whole-stage codegen."""
     staged = df.withColumns({f"__o_{n}": c for n, c in cols.items()})
     struct = F.struct(*[F.col(f"__o_{n}").alias(n) for n in cols])
-    return staged.select(*df.columns, F.inline(F.array(struct)))
+    return staged.select("*", F.inline(F.array(struct))).drop(*[f"__o_{n}" for n in cols])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade import constants as K
-from palisade.functions.common import opaque, strip
+from palisade.functions.common import opaque, recorded, strip
 
 FORBIDDEN = r"(?U)[\s\\\x00-\x1f\x7f]"
 _LABEL = r"[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?"
@@ -82,6 +82,7 @@ def domain_error(raw: Column, name: Column) -> Column:
     ))
 
 
+@recorded
 def normalize_domains(df: DataFrame, col: str, out: str = "domain", *, idn: bool = False) -> DataFrame:
     """Add ``out`` = struct(value, error): lower-case ASCII name without trailing dot.
 
@@ -163,6 +164,7 @@ def wildcard_error(raw: Column, base: Column, base_error: Column, suffixes: Coll
     )
 
 
+@recorded
 def normalize_wildcards(
     df: DataFrame, col: str, out: str = "wildcard", *, suffixes: Collection[str] = K.PUBLIC_SUFFIXES, idn: bool = False
 ) -> DataFrame:

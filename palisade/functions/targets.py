@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.addresses import ip_text, normalize_cidrs, with_ip_bits, without_brackets
-from palisade.functions.common import opaque, strip
+from palisade.functions.common import opaque, recorded, strip
 from palisade.functions.names import bare_name, domain_error, registrable_domain, wildcard_error, with_ascii_name
 from palisade.functions.urls import with_url_struct, with_url_text_parts
 
@@ -22,6 +22,7 @@ def asn_number(c: Column) -> Column:
     return F.when((n > 0) & (n < 2**32), n)
 
 
+@recorded
 def normalize_asns(df: DataFrame, col: str, out: str = "asn") -> DataFrame:
     raw = strip(F.col(col))
     n = asn_number(F.col(col))
@@ -29,6 +30,7 @@ def normalize_asns(df: DataFrame, col: str, out: str = "asn") -> DataFrame:
     return opaque(df, **{out: F.struct(n.alias("value"), error.alias("error"))})
 
 
+@recorded
 def classify(
     df: DataFrame, col: str, out: str = "t", *, idn: bool = False, suffixes: Collection[str] = K.PUBLIC_SUFFIXES
 ) -> DataFrame:
@@ -135,6 +137,7 @@ def classify(
     )
 
 
+@recorded
 def normalize_scope_values(df: DataFrame, type_col: str, value_col: str, out: str = "scope", *, idn: bool = False) -> DataFrame:
     """Add ``out`` = classification of a scope value checked against its declared type (``error`` on mismatch)."""
     declared = F.lower(strip(F.col(type_col)))
@@ -161,6 +164,7 @@ def normalize_scope_values(df: DataFrame, type_col: str, value_col: str, out: st
     ).drop("__v", "__c")
 
 
+@recorded
 def infer_scope_type(df: DataFrame, col: str, out: str = "scope_type") -> DataFrame:
     return classify(df, col, "__c").withColumn(out, F.col("__c.kind")).drop("__c")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as K
-from palisade.functions.common import blank_to_null, let, lookup, opaque, strip
+from palisade.functions.common import blank_to_null, let, lookup, opaque, recorded, strip
 
 _VERSION = r"(?i)^v?([0-9]+(?:\.[0-9]+){0,3}[a-z0-9.+-]*)$"
 _SERVER = r"^([A-Za-z][A-Za-z0-9 ._-]*?)(?:/([0-9][A-Za-z0-9.+-]*))?(?:\s.*)?$"
@@ -132,6 +132,7 @@ def confidence_level(value: Column) -> Column:
     return F.when(value >= 0.75, "high").when(value >= 0.5, "medium").otherwise("low")
 
 
+@recorded
 def with_cpe_candidate(df: DataFrame, technology: str, version: str, source_cpe: str | None = None, out: str = "candidate") -> DataFrame:
     """Add ``out`` = struct(cpe, vendor, product, confidence, level), NULL without a version or a reliable mapping."""
     tech, ver = F.col(technology), F.col(version)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.addresses import ip_text, with_ip_bits
-from palisade.functions.common import opaque, sha256, strip
+from palisade.functions.common import opaque, recorded, sha256, strip
 from palisade.functions.names import FORBIDDEN, bare_name, domain_error, with_ascii_name
 
 _BARE_PATH = r"^[A-Za-z0-9/:@!$&'()*+,;=\-._~]*$"
@@ -189,9 +189,14 @@ def with_url_struct(
             )
         },
     )
-    return df.drop(*[c for c in df.columns if c.startswith(f"{p}_")])
+    parts = (
+        "raw nofrag noquery query scheme after netloc path v6 name tail err host type dec pairs num ok e h ht pt origin np nq params full "
+        "bits ascii dom text domerr"
+    )
+    return df.drop(*[f"{p}_{x}" for x in parts.split()])
 
 
+@recorded
 def normalize_urls(df: DataFrame, col: str, out: str = "u", *, idn: bool = False) -> DataFrame:
     """Add ``out`` = struct(value, error, scheme, host, host_type, port, path, query, url_hash, endpoint,
     endpoint_hash, parameters, origin).  Only http(s); no userinfo; default port, dot segments and fragment go;

@@ -106,12 +106,17 @@ def lookup_asn(ips: DataFrame, ranges: DataFrame, bits: str = "ip_bits") -> Data
     return longest_prefix(ips, asn_blocks(ranges), ["asn", "country", "organization"], bits).drop("prefix_len")
 
 
-def enrich_ips(rows: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame, bits: str) -> DataFrame:
-    """Left-join provider and AS to rows; each distinct address is looked up once."""
-    cloud = attribute_cloud(rows, cloud_ranges, bits).select(
+def enrich_ips(
+    rows: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame, bits: str, addresses: DataFrame | None = None
+) -> DataFrame:
+    """Left-join provider and AS to rows; each distinct address is looked up once.
+
+    ``addresses`` may name a cheaper table with (at least) the same addresses, when ``rows`` is costly to compute."""
+    source = rows if addresses is None else addresses
+    cloud = attribute_cloud(source, cloud_ranges, bits).select(
         bits, F.struct("provider", "organization", "category", "cidr").alias("cloud")
     )
-    asn = lookup_asn(rows, asn_ranges, bits).select(
+    asn = lookup_asn(source, asn_ranges, bits).select(
         bits, F.struct(F.col("asn").alias("number"), "organization", "country").alias("asn")
     )
     return rows.join(cloud, bits, "left").join(asn, bits, "left")
@@ -150,7 +155,7 @@ def expand_cidrs(cidrs: DataFrame, limit: int = K.MAX_CIDR_SIZE, skip_edges: boo
     free = width - F.length(bits)
     cap = limit.bit_length() - 1  # free bits of the largest power of two within the limit
     small = cidrs.filter(free <= cap)
-    last = F.shiftleft(F.lit(1), free) - 1
+    last = F.call_function("shiftleft", F.lit(1), free) - 1
     edges = F.lit(skip_edges) & (ver == 4) & (free >= 2)
     numbers = F.sequence(F.when(edges, 1).otherwise(0), F.when(edges, last - 1).otherwise(last))
     out = small.withColumn("__n", F.explode(numbers))

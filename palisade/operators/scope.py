@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.addresses import is_sensitive, with_ip_bits
-from palisade.functions.common import lookup, opaque
+from palisade.functions.common import lookup, opaque, recorded
 from palisade.functions.names import host_suffixes, label_count
 from palisade.functions.targets import classify, normalize_scope_values
 from palisade.operators.skew import lookup_join
@@ -43,7 +43,11 @@ def scope_rules(rules: DataFrame, *, idn: bool = False) -> DataFrame:
     Adds ``error``; a caller that must fail closed checks that no row has one (see ``streaming.route``).
     """
     df = rules if "program_name" in rules.columns else rules.withColumn("program_name", F.lit(None).cast("string"))
-    df = normalize_scope_values(df, "type", "value", "__n", idn=idn)
+    return _rule_columns(normalize_scope_values(df, "type", "value", "__n", idn=idn))
+
+
+@recorded
+def _rule_columns(df: DataFrame) -> DataFrame:
     n = F.col("__n")
     mode_error = F.when(~F.col("mode").isin("include", "exclude") | F.col("mode").isNull(), "unsupported_mode")
     base = F.when(n["type"] == "wildcard", F.substring(n["value"], 3, 1 << 20)).when(n["type"] == "domain", n["value"])
@@ -66,6 +70,7 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+@recorded
 def _rule_keys(rules: DataFrame) -> DataFrame:
     r = F.col
     excl = r("mode") == "exclude"
@@ -108,14 +113,14 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
     )
 
 
-def _rule_lengths(rules: DataFrame) -> list[tuple[int, int]]:
+def _rule_lengths(rules: DataFrame) -> tuple[tuple[int, int], ...]:
     """Distinct (version, prefix length) of the network rules: at most 162 rows, whatever the number of rules."""
     nets = rules.filter(F.col("net_bits").isNotNull() & F.col("error").isNull())
     rows = nets.select("ip_version", F.length("net_bits").alias("n")).distinct().limit(200).collect()
-    return sorted((r["ip_version"], r["n"]) for r in rows)
+    return tuple(sorted((r["ip_version"], r["n"]) for r in rows))
 
 
-def _target_keys(t: Column, lengths: list[tuple[int, int]]) -> Column:
+def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
     host, bits, ver, url = t["host"], t["net_bits"], t["ip_version"], t["url"]
     parents = F.slice(host_suffixes(host), 2, 127)
 
@@ -153,16 +158,24 @@ def _target_keys(t: Column, lengths: list[tuple[int, int]]) -> Column:
 
 def _matches(targets: DataFrame, rules: DataFrame, ids: list[str], idn: bool) -> DataFrame:
     """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row."""
-    distinct = targets.select(*ids).distinct()
-    classified = classify(distinct, "target", "__t", idn=idn)
-    t = F.col("__t")
-    probes = opaque(
-        classified, __kind=t["kind"], __value=t["value"], __error=t["error"], __path=t["url"]["path"],
-        __keys=_target_keys(t, _rule_lengths(rules)),
-    ).select(*ids, "__kind", "__value", "__error", "__path", F.explode("__keys").alias("key"))
+    classified = classify(targets.select(*ids).distinct(), "target", "__t", idn=idn)
+    probes = _probes(classified, tuple(ids), _rule_lengths(rules))
     keyed = _rule_keys(rules)
     on = ["key", "program_id"] if "program_id" in ids else ["key"]
     joined = lookup_join(probes, keyed, on, "left", fanout=RULE_FANOUT, spread=["target"])
+    return _checked_paths(joined, tuple(ids))
+
+
+@recorded
+def _probes(classified: DataFrame, ids: tuple[str, ...], lengths: tuple[tuple[int, int], ...]) -> DataFrame:
+    t = F.col("__t")
+    return opaque(
+        classified, __kind=t["kind"], __value=t["value"], __error=t["error"], __path=t["url"]["path"], __keys=_target_keys(t, lengths)
+    ).select(*ids, "__kind", "__value", "__error", "__path", F.explode("__keys").alias("key"))
+
+
+@recorded
+def _checked_paths(joined: DataFrame, ids: tuple[str, ...]) -> DataFrame:
     prefix = F.rtrim(F.col("rule_path"), F.lit("/"))
     path_ok = (
         ~F.startswith(F.col("key"), F.lit("u:"))
@@ -197,6 +210,11 @@ def _decided(best: Column) -> dict[str, Column]:
     }
 
 
+@recorded
+def _with_decision_columns(grouped: DataFrame) -> DataFrame:
+    return _refused(opaque(grouped, **_decided(F.col("__best"))).drop("__best"))
+
+
 def _refused(df: DataFrame) -> DataFrame:
     """Reasons of targets that are never evaluated."""
     reason = (
@@ -223,8 +241,7 @@ def evaluate_scope(targets: DataFrame, rules: DataFrame, *, idn: bool = False) -
         F.first("kind").alias("kind"), F.first("value").alias("value"), F.first("error").alias("error"),
         F.min("rule").alias("__best"),
     )
-    out = opaque(grouped, **_decided(F.col("__best"))).drop("__best")
-    return _refused(out)
+    return _with_decision_columns(grouped)
 
 
 def scope_overall(targets: DataFrame, rules: DataFrame, *, idn: bool = False) -> DataFrame:

@@ -58,11 +58,11 @@ def _EMPTY():
 def http_plan(lines: DataFrame, rules: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame, stage: Stage = as_is) -> Observed:
     """Normalise, validate (URL and, with a ``pinned`` column, the contacted address), enrich; then assets, edges, states
     (facet ``http:<origin>``, owned by the host when it has a name)."""
-    rows = normalize_records(lines)
+    rows = stage(normalize_records(lines))
     usable = rows.filter(F.col("url").isNotNull())
     pinned = ("ip", "pinned") if "pinned" in lines.columns else (None, None)
     checked = validate_output(usable, rules, "url", "program_id", *pinned)
-    rich = stage(enrich.enrich_ips(checked, cloud_ranges, asn_ranges, "ip_bits"))
+    rich = stage(enrich.enrich_ips(checked, cloud_ranges, asn_ranges, "ip_bits", addresses=usable))
     ok = rich.filter(F.col("decision.allowed"))
     named = ok.filter(F.col("u.host_type") == "domain")
     host = F.col("u.host")

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans here have thousands of column expressions; recording a Python call site for each takes seconds
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _scratch_when_unset: str | None = None
 
