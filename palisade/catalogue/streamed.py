@@ -1 +1,117 @@
+"""Streams over the given tables, run to the end of what is available; the results are the written tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from palisade.catalogue.changing import _LAG
+from palisade.catalogue.parsing import EVENT_LINE, _RAW
+from palisade.catalogue.registry import register
+from palisade.catalogue.scoping import _URLS, _ctes
+from palisade.catalogue.standins import _K, standin
+from palisade.operators import changes
+from palisade.session import scratch_dir
+from palisade.sources.events import read_snapshot
+from palisade.sources.streams import table_stream
+from palisade.streaming import dedupe, route, state
+from palisade.streaming.base import read_output
+
+
+def _folders(spark, name: str) -> dict[str, str]:
+    root = scratch_dir(spark, name)
+    return {k: f"{root}/{k}" for k in ("state", "output", "checkpoint", "events", "errors")}
+
+
+def _events(spark, d):
+    return table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("st1_ttl_dedupe", """
+    WITH RECURSIVE accepted AS (
+        SELECT user_id, min(ts) AS t FROM events GROUP BY user_id
+        UNION ALL SELECT * FROM (SELECT a.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = a.user_id AND e.ts >= a.t + INTERVAL 5 DAY) AS t FROM accepted a) WHERE t IS NOT NULL)
+    SELECT a.user_id, min(e.event_id) AS event_id FROM accepted a JOIN events e ON e.user_id = a.user_id AND e.ts = a.t GROUP BY a.user_id, a.t""")
+def st1(spark, d):
+    f = _folders(spark, "st1")
+    stream = _events(spark, d).select("user_id", "ts", "event_id")
+    dedupe.dedupe_stream(stream, "user_id", "ts", "event_id", 5 * 86400, state=f["state"], output=f["output"], checkpoint=f["checkpoint"])
+    return read_output(spark, f["output"], stream.schema).select("user_id", "event_id")
+
+
+@register("st2_once_per_fact", """
+    SELECT fact, event_id FROM (SELECT event_type || '|' || CAST(user_id AS VARCHAR) AS fact, event_id, ts FROM events) QUALIFY row_number() OVER (PARTITION BY fact ORDER BY ts, event_id) = 1""")
+def st2(spark, d):
+    f = _folders(spark, "st2")
+    stream = _events(spark, d).select(F.concat_ws("|", "event_type", "user_id").alias("fact"), "ts", "event_id")
+    dedupe.once_only_stream(stream, "fact", ["ts", "event_id"], state=f["state"], output=f["output"], checkpoint=f["checkpoint"])
+    return read_output(spark, f["output"], stream.schema).select("fact", "event_id")
+
+
+_CHANGE_SCHEMA = T.StructType([
+    T.StructField("asset_id", T.LongType()), T.StructField("facet", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("ord", T.IntegerType()),
+    *[T.StructField(n, T.StringType()) for n in ("change_type", "field", "previous", "current")],
+])
+
+
+@register("st3_state_diff", """
+    SELECT asset_id, seq, 'NEW_PORT' AS change_type, CAST(8000 + k % 5 AS VARCHAR) AS port FROM pairs WHERE pk IS NOT NULL AND k % 5 <> pk % 5
+    UNION ALL SELECT asset_id, seq, 'PORT_REMOVED', CAST(8000 + pk % 5 AS VARCHAR) FROM pairs WHERE pk IS NOT NULL AND k % 5 <> pk % 5""", {"pairs": _LAG})
+def st3(spark, d):
+    f = _folders(spark, "st3")
+    stream = _events(spark, d).select(
+        F.col("user_id").alias("asset_id"), F.lit("ports:bbot").alias("facet"), F.col("ts").alias("observed_at"), F.col("event_id").alias("seq"),
+        F.struct(F.array(F.lit(443), 8000 + F.expr(_K) % 5).alias("ports")).alias("current"),
+    )
+    state.diff_stream(stream, changes.diff_ports, state=f["state"], output=f["output"], checkpoint=f["checkpoint"])
+    out = read_output(spark, f["output"], _CHANGE_SCHEMA)
+    return out.select("asset_id", "seq", "change_type", F.coalesce("current", "previous").alias("port"))
+
+
+@register("st4_tumbling_buckets", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS bucket, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def st4(spark, d):
+    f = _folders(spark, "st4")
+    counts = state.bucket_counts(_events(spark, d), "ts", ["event_type"], "1 hour", "40 days")
+    state.upsert_stream(counts, ["bucket", "event_type"], state=f["state"], checkpoint=f["checkpoint"])
+    return read_snapshot(spark, f["state"]).select(F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), "event_type", "n")
+
+
+@register("st5_route", """
+    SELECT idx AS index, error_type, CAST(count(*) AS BIGINT) AS n, true AS has_ingest_time FROM raw_events GROUP BY ALL""", {"raw_events": _RAW})
+def st5(spark, d):
+    f = _folders(spark, "st5")
+    lines = table_stream(spark, d, "events").selectExpr("event_id", f"{EVENT_LINE} AS value")
+    route.route_stream(lines, None, events=f["events"], errors=f["errors"], checkpoint=f["checkpoint"])
+    both = spark.read.parquet(f"{f['events']}/batch=*").unionByName(spark.read.parquet(f"{f['errors']}/batch=*"))
+    return both.groupBy("index", "error_type").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("ingested").isNotNull()).alias("has_ingest_time"))
+
+
+@register("st6_dead_letters", """
+    SELECT event_id, 'bb-errors' AS index, 'ELASTICSEARCH_REJECTED' AS error_type, 'reason ' || event_type AS error_message, length(substring(repeat(props, 800), 1, 8000)) AS kept FROM events WHERE event_id % 5 = 0""")
+def st6(spark, d):
+    f = _folders(spark, "st6")
+    rejected = table_stream(spark, d, "events").filter("event_id % 5 = 0").selectExpr("event_id", "repeat(props, 800) AS payload", "'reason ' || event_type AS reason", "'changes' AS pipeline")
+    stream = route.dead_letter_stream(rejected)
+    query = stream.writeStream.format("parquet").option("path", f["output"]).option("checkpointLocation", f["checkpoint"]).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f["output"]).select("event_id", "index", "error_type", "error_message", F.length("original").alias("kept"))
+
+
+@register("st7_scoped_stream", """
+    SELECT h.page_id, COALESCE(d.allowed, false) AS allowed FROM http_obs h LEFT JOIN scope_decided d ON h.url = d.target AND d.program_id = 'P1'""", _ctes(_URLS))
+def st7(spark, d):
+    f = _folders(spark, "st7")
+    stream = table_stream(spark, d, "pages").select("page_id", F.col("url").alias("target"), F.lit("P1").alias("program_id"))
+    route.scoped_stream(stream, lambda: standin(spark, d, "rule_rows"), output=f["output"], checkpoint=f["checkpoint"])
+    return spark.read.parquet(f"{f['output']}/batch=*").select("page_id", "decision.allowed")
+
+
+@register("st8_metric_stream", """
+    SELECT strftime(max(ts), '%Y-%m-%d %H') AS tick, 8 AS queues FROM events""")
+def st8(spark, d):
+    f = _folders(spark, "st8")
+    route.queue_metric_stream(
+        _events(spark, d).select("ts"), lambda: standin(spark, d, "jobs"), lambda: standin(spark, d, "workers"), output=f["output"], checkpoint=f["checkpoint"]
+    )
+    out = spark.read.parquet(f"{f['output']}/batch=*")
+    return out.groupBy("ts").agg(F.count(F.lit(1)).cast("int").alias("queues")).select(F.date_format("ts", "yyyy-MM-dd HH").alias("tick"), "queues")
