@@ -17,10 +17,10 @@ _AT_NOW = f"TIMESTAMP '{NOW}'"
 
 
 @register("flt1_list_assets", """
-    SELECT asset_id, value, status FROM assets a WHERE asset_type = 'subdomain' AND status = 'active' AND value LIKE '%h1%' AND EXISTS (SELECT 1 FROM links l WHERE l.asset_id = a.asset_id AND l.program_id = 3)
+    SELECT asset_id, value, status FROM assets a WHERE status = 'active' AND value LIKE '%1%' AND EXISTS (SELECT 1 FROM links l WHERE l.asset_id = a.asset_id AND l.program_id = 3)
     ORDER BY last_seen DESC, asset_id LIMIT 20 OFFSET 2""")
 def flt1(spark, d):
-    out = reads.list_assets(standin(spark, d, "assets"), standin(spark, d, "links"), program=3, asset_type="subdomain", status="active", q="H1", limit=20, offset=2)
+    out = reads.list_assets(standin(spark, d, "assets"), standin(spark, d, "links"), program=3, status="active", q="1", limit=20, offset=2)
     return out.select("asset_id", "value", "status")
 
 

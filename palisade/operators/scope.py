@@ -33,7 +33,7 @@ from palisade.functions.names import host_suffixes, label_count
 from palisade.functions.targets import classify, normalize_scope_values
 from palisade.operators.skew import lookup_join
 
-RULE_FANOUT = 130
+KEY_ROW_BYTES = 250  # of a broadcast rule key with its decision
 _DENY = "not in approved scope"
 
 
@@ -71,7 +71,7 @@ def _none() -> Column:
 
 
 @recorded
-def _rule_keys(rules: DataFrame) -> DataFrame:
+def _rule_keys(rules: DataFrame, explode: bool = True) -> DataFrame:
     r = F.col
     excl = r("mode") == "exclude"
     bits, ver = r("net_bits"), r("ip_version")
@@ -108,16 +108,21 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
         F.when(excl, 0).otherwise(1).alias("turn"), order.alias("position"), r("rule_id").alias("rule_id"),
         r("type").alias("type"), r("value").alias("value"), r("program_name").alias("program_name"),
     )
+    if not explode:
+        return rules.filter(r("error").isNull()).select("ip_version", n.alias("n"), F.size(keys).alias("keys"))
     return rules.filter(r("error").isNull()).select(
         F.explode(keys).alias("key"), r("program_id"), r("url_path").alias("rule_path"), decision.alias("rule")
     )
 
 
-def _rule_lengths(rules: DataFrame) -> tuple[tuple[int, int], ...]:
-    """Distinct (version, prefix length) of the network rules: at most 162 rows, whatever the number of rules."""
-    nets = rules.filter(F.col("net_bits").isNotNull() & F.col("error").isNull())
-    rows = nets.select("ip_version", F.length("net_bits").alias("n")).distinct().limit(200).collect()
-    return tuple(sorted((r["ip_version"], r["n"]) for r in rows))
+def _rule_profile(rules: DataFrame) -> tuple[tuple[tuple[int, int], ...], int]:
+    """(distinct (version, prefix length) of the network rules, number of rule keys).
+
+    One small aggregation; at most 163 rows come to the driver, whatever the number of rules."""
+    sized = _rule_keys(rules, explode=False).groupBy("ip_version", "n").agg(F.sum("keys").alias("keys"))
+    rows = sized.limit(200).collect()
+    lengths = tuple(sorted((r["ip_version"], r["n"]) for r in rows if r["n"] is not None))
+    return lengths, sum(r["keys"] for r in rows)
 
 
 def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
@@ -159,10 +164,11 @@ def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
 def _matches(targets: DataFrame, rules: DataFrame, ids: list[str], idn: bool) -> DataFrame:
     """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row."""
     classified = classify(targets.select(*ids).distinct(), "target", "__t", idn=idn)
-    probes = _probes(classified, tuple(ids), _rule_lengths(rules))
+    lengths, key_count = _rule_profile(rules)
+    probes = _probes(classified, tuple(ids), lengths)
     keyed = _rule_keys(rules)
     on = ["key", "program_id"] if "program_id" in ids else ["key"]
-    joined = lookup_join(probes, keyed, on, "left", fanout=RULE_FANOUT, spread=["target"])
+    joined = lookup_join(probes, keyed, on, "left", spread=["target"], size=key_count * KEY_ROW_BYTES)
     return _checked_paths(joined, tuple(ids))
 
 

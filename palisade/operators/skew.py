@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
@@ -31,15 +31,16 @@ def fits_broadcast(df: DataFrame, fanout: int = 1) -> bool:
 
 def lookup_join(
     rows: DataFrame, reference: DataFrame, on: Sequence[str], how: str = "left", *, fanout: int = 1,
-    spread: Sequence[str] | None = None,
+    spread: Sequence[str] | None = None, size: int | None = None,
 ) -> DataFrame:
     """Join many rows to a reference table whose join keys may be very unevenly used by the rows.
 
     Below the size bound the reference is broadcast.  Beyond it each reference row is repeated once per salt and
     the rows carry a salt taken from their own content (``spread``), so a hot key is split and the result stays
-    the same when a task is retried.
+    the same when a task is retried.  ``size`` gives the bytes of the reference where the caller knows them better than
+    the optimizer's estimate.
     """
-    if fits_broadcast(reference, fanout):
+    if size <= BROADCAST_BYTES if size is not None else fits_broadcast(reference, fanout):
         return rows.join(F.broadcast(reference), list(on), how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in (spread or rows.columns)]), F.lit(SALTS)).cast("int")
     salted = reference.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
