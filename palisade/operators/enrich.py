@@ -60,50 +60,47 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(differs, F.lit(0)) - 1, n)
 
 
-def interval_blocks(start: Column, end: Column) -> Column:
-    """The fewest prefixes covering exactly the addresses start..end (bit strings of equal length)."""
-    width = F.length(start)
-    c = _common_prefix(start, end)
-    # trailing zeros of the start and trailing ones of the end belong to the edge blocks themselves
-    low = F.greatest(F.length(F.rtrim(start, F.lit("0"))), c + 1)
-    high = F.greatest(F.length(F.rtrim(end, F.lit("1"))), c + 1)
-    one_block = (F.length(F.rtrim(start, F.lit("0"))) <= c) & (F.length(F.rtrim(end, F.lit("1"))) <= c)
-
-    def siblings(text: Column, upto: Column, bit: str, other: str) -> Column:
-        positions = F.when(upto >= c + 2, F.sequence(c + 2, upto)).otherwise(F.array().cast("array<int>"))
-        hit = F.filter(positions, lambda i: F.substring(text, i, F.lit(1)) == bit)
-        return F.transform(hit, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.lit(other)))
-
-    split = F.concat(
-        F.array(F.substring(start, F.lit(1), low)), siblings(start, low, "0", "1"),
-        F.array(F.substring(end, F.lit(1), high)), siblings(end, high, "1", "0"),
-    )
-    return F.when((start == end), F.array(start)).when(one_block | (c >= width), F.array(F.substring(start, F.lit(1), c))).otherwise(split)
+STRIDE = 4
+
 
+def effective_ranges(ranges: DataFrame) -> DataFrame:
+    """AS ranges made disjoint: one per start (the longest, then the smallest number), each cut where the next one starts.
 
-def asn_blocks(ranges: DataFrame) -> DataFrame:
-    """AS ranges as disjoint prefix blocks with as-of semantics: an address belongs to the range with the nearest start
-    at or below it, and to none if that range has ended - a wider earlier range is not used.  Hence each range is cut
-    where the next one starts before it is turned into blocks."""
-    order = [-F.col("asn"), F.col("end_bits")]  # max_by below: the longest range, then the smallest number
+    This gives as-of semantics: an address belongs to the range with the nearest start at or below it, and to none if that
+    range has ended - a wider earlier range is not used."""
     unique = ranges.groupBy("ip_version", "start_bits").agg(
-        F.max_by(F.struct("end_bits", "asn", "country", "organization"), F.struct(order[1], order[0])).alias("r")
+        F.max_by(F.struct("end_bits", "asn", "country", "organization"), F.struct("end_bits", -F.col("asn"))).alias("r")
     ).select("ip_version", "start_bits", "r.*")
     follow = with_next(unique, ["ip_version"], ["start_bits"], "start_bits", F.substring("start_bits", 1, 16), "next_start")
     nxt = F.col("next_start")
-    # last address before the next start: bits up to the last '1' cleared, ones after it
+    # last address before the next start: its last '1' cleared, ones after it
     ones = F.length(F.rtrim(nxt, F.lit("0")))
     before = F.concat(F.substring(nxt, F.lit(1), ones - 1), F.lit("0"), F.repeat(F.lit("1"), F.length(nxt) - ones))
-    cut = follow.withColumn("__end", F.when(nxt.isNotNull() & (F.col("end_bits") >= nxt), before).otherwise(F.col("end_bits")))
-    return cut.select(
-        "ip_version", F.explode(interval_blocks(F.col("start_bits"), F.col("__end"))).alias("net_bits"),
-        "asn", "country", "organization",
-    )
+    cut = F.when(nxt.isNotNull() & (F.col("end_bits") >= nxt), before).otherwise(F.col("end_bits"))
+    return follow.withColumn("end_bits", cut).drop("next_start")
 
 
 def lookup_asn(ips: DataFrame, ranges: DataFrame, bits: str = "ip_bits") -> DataFrame:
-    """(bits, asn, country, organization) of every distinct address inside an AS range."""
-    return longest_prefix(ips, asn_blocks(ranges), ["asn", "country", "organization"], bits).drop("prefix_len")
+    """(bits, asn, country, organization) of every distinct address inside an AS range.
+
+    A range is filed under the common prefix of its first and last address, shortened to a multiple of four bits; an
+    address looks under each such prefix of its own.  As the ranges are disjoint, those filed under one prefix either
+    cross one of its 15 inner boundaries or are single sixteenths: at most 31 candidates per look, and at most one hit."""
+    disjoint = effective_ranges(ranges)
+    common = _common_prefix(F.col("start_bits"), F.col("end_bits"))
+    filed = disjoint.withColumn("__n", (F.floor(common / F.lit(STRIDE)) * STRIDE).cast("int"))
+    lengths = sorted(r[0] for r in filed.select("__n").distinct().limit(200).collect())  # at most 33 numbers
+    filed = filed.select(
+        "ip_version", F.substring(F.col("start_bits"), F.lit(1), F.col("__n")).alias("__key"), "start_bits", "end_bits", "asn", "country", "organization"
+    )
+    addr = F.col(bits)
+    distinct = ips.select(bits).filter(addr.isNotNull()).distinct()
+    in_use = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(addr))
+    probes = distinct.select(
+        bits, F.when(F.length(addr) == 32, 4).otherwise(6).alias("ip_version"), F.explode(F.transform(in_use, lambda n: F.substring(addr, F.lit(1), n))).alias("__key")
+    )
+    hits = lookup_join(probes, filed, ["ip_version", "__key"], "inner", spread=[bits])
+    return hits.filter((addr >= F.col("start_bits")) & (addr <= F.col("end_bits"))).select(bits, "asn", "country", "organization")
 
 
 def enrich_ips(

@@ -37,18 +37,19 @@ def guards(plan: DataFrame, programs: DataFrame, controls: DataFrame, assets: Da
         F.concat_ws("|", *[F.coalesce(c, F.lit(star)) for c in ("__wp", "__ws", "__wa")]).alias("__wkey")
     ).distinct().withColumn("__window", F.lit(True))
     parts = [F.col("program_id").cast("string"), F.col("scanner"), F.col("asset_id").cast("string")]
-    flags = None
-    for mask in range(8):
+    # mask 0 is a window for everything: one boolean, not a join
+    flags = keyed.filter(F.col("__wkey") == "*|*|*").agg(F.count(F.lit(1)) > 0).scalar()
+    for mask in range(1, 8):
         key = F.concat_ws("|", *[(F.coalesce(v, F.lit("-")) if mask >> i & 1 else F.lit(star)) for i, v in enumerate(parts)])
         side = keyed.select("__wkey", F.lit(True).alias(f"__w{mask}"))
         out = lookup_join(out.withColumn("__wkey", key), side, ["__wkey"], "left").drop("__wkey")
         hit = F.coalesce(F.col(f"__w{mask}"), F.lit(False))
-        flags = hit if flags is None else flags | hit
+        flags = flags | hit
     reason = (
         F.when(~F.coalesce("__live", F.lit(False)), "PROGRAM_INACTIVE").when(F.coalesce("__paused", F.lit(False)), "SCANNER_PAUSED")
         .when(F.coalesce("__held", F.lit(False)), "ASSET_PAUSED").when(flags, "MAINTENANCE_WINDOW")
     )
-    return out.withColumn("guard", reason).drop("__live", "__paused", "__held", *[f"__w{m}" for m in range(8)])
+    return out.withColumn("guard", reason).drop("__live", "__paused", "__held", *[f"__w{m}" for m in range(1, 8)])
 
 
 def plan(targets: DataFrame, scanners: DataFrame, decisions: DataFrame, enabled: Column | None = None, max_cidr: int = K.MAX_CIDR_SIZE) -> DataFrame:

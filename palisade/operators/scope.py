@@ -23,6 +23,9 @@ inclusion, deny.  Ties: the exclusion with the most specific name, then the smal
 
 from __future__ import annotations
 
+import weakref
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,8 @@ from palisade.functions.addresses import is_sensitive, with_ip_bits
 from palisade.functions.common import lookup, opaque, recorded
 from palisade.functions.names import host_suffixes, label_count
 from palisade.functions.targets import classify, normalize_scope_values
-from palisade.operators.skew import lookup_join
+from palisade.operators.skew import BROADCAST_BYTES, estimated_bytes, lookup_join
+from palisade.session import scratch_dir
 
 KEY_ROW_BYTES = 250  # of a broadcast rule key with its decision
 _DENY = "not in approved scope"
@@ -42,6 +46,9 @@ def scope_rules(rules: DataFrame, *, idn: bool = False) -> DataFrame:
 
     Adds ``error``; a caller that must fail closed checks that no row has one (see ``streaming.route``).
     """
+    if estimated_bytes(rules) < BROADCAST_BYTES:
+        # small in bytes but costly per row, and often a single file: spread the rows over some cores
+        rules = rules.repartition(min(64, rules.sparkSession.sparkContext.defaultParallelism))
     df = rules if "program_name" in rules.columns else rules.withColumn("program_name", F.lit(None).cast("string"))
     return _rule_columns(normalize_scope_values(df, "type", "value", "__n", idn=idn))
 
@@ -71,7 +78,7 @@ def _none() -> Column:
 
 
 @recorded
-def _rule_keys(rules: DataFrame, explode: bool = True) -> DataFrame:
+def _rule_keys(rules: DataFrame) -> DataFrame:
     r = F.col
     excl = r("mode") == "exclude"
     bits, ver = r("net_bits"), r("ip_version")
@@ -108,21 +115,40 @@ def _rule_keys(rules: DataFrame, explode: bool = True) -> DataFrame:
         F.when(excl, 0).otherwise(1).alias("turn"), order.alias("position"), r("rule_id").alias("rule_id"),
         r("type").alias("type"), r("value").alias("value"), r("program_name").alias("program_name"),
     )
-    if not explode:
-        return rules.filter(r("error").isNull()).select("ip_version", n.alias("n"), F.size(keys).alias("keys"))
     return rules.filter(r("error").isNull()).select(
         F.explode(keys).alias("key"), r("program_id"), r("url_path").alias("rule_path"), decision.alias("rule")
     )
 
 
-def _rule_profile(rules: DataFrame) -> tuple[tuple[tuple[int, int], ...], int]:
-    """(distinct (version, prefix length) of the network rules, number of rule keys).
+@dataclass(frozen=True)
+class RuleTable:
+    """Keys of a rule set as a written table, its prefix lengths in use and its number of rows."""
+
+    keys: DataFrame
+    lengths: tuple[tuple[int, int], ...]
+    rows: int
+
+
+_TABLES: weakref.WeakKeyDictionary[DataFrame, RuleTable] = weakref.WeakKeyDictionary()
+
+
+def rule_table(rules: DataFrame) -> RuleTable:
+    """Normalise and key a rule set once, however many decisions use it.
 
-    One small aggregation; at most 163 rows come to the driver, whatever the number of rules."""
-    sized = _rule_keys(rules, explode=False).groupBy("ip_version", "n").agg(F.sum("keys").alias("keys"))
-    rows = sized.limit(200).collect()
-    lengths = tuple(sorted((r["ip_version"], r["n"]) for r in rows if r["n"] is not None))
-    return lengths, sum(r["keys"] for r in rows)
+    The keys are written to the shared scratch folder, so the size of what may be broadcast is known exactly.  Of the
+    profile at most 163 rows come to the driver, whatever the number of rules."""
+    if rules not in _TABLES:
+        spark = rules.sparkSession
+        path = scratch_dir(spark, "scope-rules")
+        _rule_keys(rules).write.parquet(path)
+        keys = spark.read.parquet(path)
+        net = F.startswith(F.col("key"), F.lit("c"))
+        profile = keys.groupBy(
+            F.when(net, F.substring("key", 2, 1)).alias("version"), F.when(net, F.length("key") - 3).alias("n")
+        ).agg(F.count(F.lit(1)).alias("rows")).limit(200).collect()
+        lengths = tuple(sorted((int(r["version"]), r["n"]) for r in profile if r["n"] is not None))
+        _TABLES[rules] = RuleTable(keys, lengths, sum(r["rows"] for r in profile))
+    return _TABLES[rules]
 
 
 def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
@@ -164,11 +190,10 @@ def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
 def _matches(targets: DataFrame, rules: DataFrame, ids: list[str], idn: bool) -> DataFrame:
     """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row."""
     classified = classify(targets.select(*ids).distinct(), "target", "__t", idn=idn)
-    lengths, key_count = _rule_profile(rules)
-    probes = _probes(classified, tuple(ids), lengths)
-    keyed = _rule_keys(rules)
+    table = rule_table(rules)
+    probes = _probes(classified, tuple(ids), table.lengths)
     on = ["key", "program_id"] if "program_id" in ids else ["key"]
-    joined = lookup_join(probes, keyed, on, "left", spread=["target"], size=key_count * KEY_ROW_BYTES)
+    joined = lookup_join(probes, table.keys, on, "left", spread=["target"], size=table.rows * KEY_ROW_BYTES)
     return _checked_paths(joined, tuple(ids))
 
 
