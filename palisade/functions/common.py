@@ -43,9 +43,18 @@ class Stages:
 
         return record
 
+    def _add_opaque(self, cols: dict[str, Column]) -> Stages:
+        self._ops.append(("__opaque", (), cols))
+        return self
+
     def _replay(self, df: DataFrame) -> DataFrame:
-        for name, args, kwargs in self._ops:
-            df = getattr(df, name)(*args, **kwargs)
+        barriers = [i for i, op in enumerate(self._ops) if op[0] == "__opaque"]
+        for i, (name, args, kwargs) in enumerate(self._ops):
+            if name == "__opaque":
+                # only the last barrier can be reached by a later filter; the others would just copy rows
+                df = opaque(df, **kwargs) if i == barriers[-1] else df.withColumns(kwargs)
+            else:
+                df = getattr(df, name)(*args, **kwargs)
         return df
 
 
@@ -78,6 +87,8 @@ def opaque(df: DataFrame, **cols: Column) -> DataFrame:
     A staged normaliser refers to its own intermediate columns many times; without this, pushing one filter
     below the stages would multiply those expressions out.  The expressions run in a projection; the one-element
     ``inline`` on top of it only passes references on, within whole-stage codegen."""
+    if isinstance(df, Stages):
+        return df._add_opaque(cols)
     staged = df.withColumns({f"__o_{n}": c for n, c in cols.items()})
     struct = F.struct(*[F.col(f"__o_{n}").alias(n) for n in cols])
     return staged.select("*", F.inline(F.array(struct))).drop(*[f"__o_{n}" for n in cols])
