@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import mixing
+from pyspark.sql import functions as F
+
+from palisade.llm import mixing, simhash
 from palisade.llm.common import read
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.with_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(prints.select("doc_id", "fingerprint"))
+    return found.select("doc_id", simhash.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
