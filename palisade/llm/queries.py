@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import mixing, simhash
+from palisade.llm import mixing, simhash, topk
 from palisade.llm.common import read
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.with_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = simhash.near_duplicates(prints.select("doc_id", "fingerprint"))
@@ -25,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_mixing": mixing.MIX_SQL}
+    return {"op1_topk": topk.TOPK_SQL, "op8_mixing": mixing.MIX_SQL}
