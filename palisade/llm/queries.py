@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import mixing, simhash, topk
-from palisade.llm.common import read
+from palisade.llm import langid, mixing, simhash, topk
+from palisade.llm.common import fold, read
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs))
+    held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
