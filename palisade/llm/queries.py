@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import langid, mixing, simhash, topk
+from palisade.llm import langid, mixing, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -15,6 +15,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.with_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = simhash.near_duplicates(prints.select("doc_id", "fingerprint"))
@@ -37,4 +41,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_topk": topk.TOPK_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op8_mixing": mixing.MIX_SQL}
