@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import langid, mixing, simhash, topk, urlfilter
+from palisade.llm import decontaminate, langid, mixing, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -19,6 +19,12 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.with_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = simhash.near_duplicates(prints.select("doc_id", "fingerprint"))
@@ -41,4 +47,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op5_decontaminate": decontaminate.DECONTAMINATE_SQL, "op8_mixing": mixing.MIX_SQL}
