@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, mixing, simhash, topk, urlfilter
+from palisade.llm import decontaminate, langid, lm, mixing, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -42,6 +42,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(read(spark, sf_dir, "documents"), ~lm.held_out())
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
