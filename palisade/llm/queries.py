@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, langid, lm, mixing, simhash, topk, urlfilter
+from palisade.llm import decontaminate, htmltext, langid, lm, mixing, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -31,6 +31,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmltext.extract(read(spark, sf_dir, "pages").select("page_id", "html"))
+    return texts.select("page_id", "text", F.length("text").alias("n_chars"), F.size(F.split("text", "\n")).alias("n_lines"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
