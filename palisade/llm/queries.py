@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, htmltext, langid, lm, mixing, simhash, topk, urlfilter
+from palisade.llm import decontaminate, htmltext, langid, lm, mixing, quality, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -15,6 +15,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.training_labels(read(spark, sf_dir, "labels")))
+    held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held_out, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
