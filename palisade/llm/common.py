@@ -6,9 +6,9 @@ import functools
 import re
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palisade.session import scratch_dir
 
@@ -55,12 +55,18 @@ def small(df: DataFrame, rows_bytes: int, bound: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if is_small(df, rows_bytes, bound) else df
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def with_documents(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join of what was found out about documents, keyed by doc_id (null matches null) and text hash h."""
+    r = right.withColumnsRenamed({"doc_id": "__id", "h": "__h"})
+    return left.join(r, left["doc_id"].eqNullSafe(r["__id"]) & (left["h"] == r["__h"]), "left").drop("__id", "__h")
 
 
-def table_batches(table: pa.Table, rows: int = 20_000):
-    yield from table.to_batches(max_chunksize=rows)
+def union_length(spans: DataFrame, out: str) -> DataFrame:
+    """(doc_id, h, out): number of words covered by the spans (start, end) of each document, overlaps counted once."""
+    spans = spans.groupBy("doc_id", "h", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("doc_id", "h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0)))
+    return spans.groupBy("doc_id", "h").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).alias(out))
 
 
 class Forest:

@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from palisade.llm.common import lower_ascii, small, staged
+from palisade.llm.common import lower_ascii, small, staged, union_length, with_documents
 
 WINDOW = 10
 # Fixed: the characters that are no part of a word.
@@ -83,25 +82,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col
     """
     forward = forward_index(docs, id_col, text_col)
     found = staged(matches(forward, items, width).filter("exact").select("doc_id", "h", "start", "len", "items").distinct(), "matches")
-    spans = found.groupBy("doc_id", "h", "start").agg((F.col("start") + F.max("len")).alias("end"))
-    before = Window.partitionBy("doc_id", "h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0)))
-    hits = spans.groupBy("doc_id", "h").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).alias("n_hit"))
+    hits = union_length(found.select("doc_id", "h", "start", (F.col("start") + F.col("len")).alias("end")), "n_hit")
     listed = found.select("doc_id", "h", F.explode("items").alias("item")).groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    hits = _with(hits, listed)
-    rows = _with(forward.select("doc_id", "h", "n_words"), hits)
+    hits = with_documents(hits, listed)
+    rows = with_documents(forward.select("doc_id", "h", "n_words"), hits)
     none = F.array().cast("array<string>")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", none)
     return rows.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
-def _with(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on document id (null matches null) and text hash."""
-    r = right.withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    return left.join(r, left["doc_id"].eqNullSafe(r["__id"]) & (left["h"] == r["__h"]), "left").drop("__id", "__h")
-
-
 DECONTAMINATE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, htmltext, langid, lm, mixing, quality, simhash, topk, urlfilter
+from palisade.llm import decontaminate, htmltext, langid, lm, mixing, passages, quality, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -26,6 +26,11 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.summary(docs, passages.repeats(docs))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
