@@ -1,18 +1,72 @@
-"""Corpus pipeline over ``documents``: language ID, SimHash near-dedup, substring dedup, benchmark decontamination, mixing."""
+"""Corpus pipeline over ``documents``: language ID, SimHash near-dedup, substring dedup, benchmark decontamination, mixing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the last return the columns
+of ``documents``.  Null texts and texts without letters leave in the first stage; empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.llm import decontaminate, langid, mixing, passages, simhash
+from palisade.llm.common import read, small, staged
+
+#: A document is rejected if no language of the set makes up this share of its words.
+MIN_LANGUAGE_SHARE = 0.3
+ROW = "__pipeline_row"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters or without a main language; a null ``lang`` is filled with the predicted one."""
+    model = langid.fit(langid.training_rows(docs))
+    found = langid.identify(docs, model).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicate fingerprints stays: the first of the table."""
+    rows = simhash.with_fingerprints(docs).withColumn(ROW, F.monotonically_increasing_id())
+    rows = staged(rows, "pipeline-prints")  # the row numbers are fixed from here on
+    found = simhash.near_duplicates(rows, id_col=ROW)
+    gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(ROW)), "pipeline-copies")
+    return rows.join(small(gone, 64), ROW, "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and passages are cut out of all texts but the first; documents left without words go."""
+    kept = passages.without_repeats(docs, passages.repeats(docs))
+    kept = kept.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    bad = staged(found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct(), "pipeline-contaminated")
+    met = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    return docs.join(small(bad, 64), met, "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with size, source_size, target, taken, copies and virtual_finish."""
+    rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-mix")
+    taken = mixing.mix(rows, carry=[ROW]).filter("taken > 0").drop("doc_id", "source")
+    return rows.join(taken, ROW).drop(ROW)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id), ("SimHash near-dedup", simhash_dedup), ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination), ("mixing sources", mixing_stage),
+]
 
 #: Language models and MinHash clusters cannot be expressed in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents`` one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to ``documents`` one after the other, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rep
 
 def mix(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix", id_col: str = "doc_id",
-    text_col: str = "text", source_col: str = "source",
+    text_col: str = "text", source_col: str = "source", carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, virtual_finish; sorted by virtual_finish.
 
@@ -57,13 +57,13 @@ def mix(
 
     The order and the sums come from the data only: reruns agree.  Null text and empty text: size 0, nothing taken, finish time that of the
     words before.  Null ids and sources are values of their own.  Repeated rows are documents of their own.  An empty table gives no row.
-    All sizes 0: targets 0, virtual_finish null.  Other columns of the input are not read.
+    All sizes 0: targets 0, virtual_finish null.  Columns in ``carry`` are passed on; others are not read.
 
     The running sum is made in two levels: inside one of PIECES pieces of a source, then over one sum per piece.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("k"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("k"), *carry,
     )
     rows = staged(rows.withColumn("piece", F.conv(F.substring("k", 1, 3), 16, 10).cast("int") % PIECES), "mix")
     pieces = rows.groupBy("source", "piece").agg(F.sum("size").alias("piece_size"))
@@ -79,7 +79,7 @@ def mix(
     left = lambda copy: F.floor("target").cast("long") - (F.col("finish") - F.col("size") + copy * F.col("source_size"))
     served = [F.greatest(F.lit(0).cast("long"), F.least("size", left(i))) for i in range(max_repeats)]
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", sum(served[1:], served[0]).alias("taken"),
+        *carry, "doc_id", "source", "size", "source_size", "target", sum(served[1:], served[0]).alias("taken"),
         sum([(s > 0).cast("int") for s in served[1:]], (served[0] > 0).cast("int")).alias("copies"),
         F.when(F.col("target") > 0, F.col("finish") / F.col("target")).alias("virtual_finish"),
     ).orderBy(F.col("virtual_finish").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
