@@ -20,15 +20,17 @@ ROW = "__pipeline_row"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters or without a main language; a null ``lang`` is filled with the predicted one."""
     model = langid.fit(langid.training_rows(docs))
-    found = langid.identify(docs, model).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    pred, score = "__pipeline_lang", "__pipeline_score"
+    found = langid.identify(docs, model, out=(pred, score, "__pipeline_langs"))
+    found = found.filter((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SHARE))
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicate fingerprints stays: the first of the table."""
-    rows = simhash.with_fingerprints(docs).withColumn(ROW, F.monotonically_increasing_id())
+    rows = simhash.with_fingerprints(docs, out="__pipeline_print").withColumn(ROW, F.monotonically_increasing_id())
     rows = staged(rows, "pipeline-prints")  # the row numbers are fixed from here on
-    found = simhash.near_duplicates(rows, id_col=ROW)
+    found = simhash.near_duplicates(rows.select(ROW, F.col("__pipeline_print").alias("fingerprint")), id_col=ROW)
     gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(ROW)), "pipeline-copies")
     return rows.join(small(gone, 64), ROW, "left_anti").select(*docs.columns)
 
@@ -49,7 +51,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with size, source_size, target, taken, copies and virtual_finish."""
+    """The documents of the mix, with size, source_size, target, taken, copies and virtual_finish (columns of these names are replaced)."""
+    docs = docs.drop("size", "source_size", "target", "taken", "copies", "virtual_finish")
     rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-mix")
     taken = mixing.mix(rows, carry=[ROW]).filter("taken > 0").drop("doc_id", "source")
     return rows.join(taken, ROW).drop(ROW)

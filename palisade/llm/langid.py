@@ -124,14 +124,13 @@ def infer(words: list[bytes], logs: np.ndarray, penalty: float = 2.0) -> np.ndar
     return out
 
 
-def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
     """The rows with ``lang_pred``, ``score`` (its proportion, 0 to 1) and ``languages`` (map of the selected set's proportions).
 
     ``und`` with score 0 and an empty map: null text, text without a letter, or a model without languages.  Ties go to the smaller language.
     Columns of the input with these names are replaced."""
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)  # languages x CELLS numbers
-    out = ("lang_pred", "score", "languages")
     kept = [f for f in docs.schema.fields if f.name not in out]
     schema = T.StructType([*kept, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.MapType(T.StringType(), T.DoubleType()))])
     names = [f.name for f in kept]

@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > max_docs:
         votes = votes.filter(F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
     chosen = F.broadcast(votes.select("__id", "label"))  # about max_docs rows
-    rows = docs.join(chosen, docs[id_col] == F.col("__id")).groupBy("__id", "label").agg(F.min(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(chosen, F.col("__doc") == F.col("__id")).groupBy("__id", "label").agg(F.min("text").alias("text"))
 
     def describe(batches):
         for b in batches:
