@@ -133,29 +133,32 @@ def chg4(spark, d):
     return out.select("asset_id", "seq", "change_type", "previous", "current")
 
 
-# runs of set-valued facets: a user's day is a run, its event kinds and k are the members
+# runs of set-valued facets: a user's day is a run; k of its errors and purchases are the members, so many runs find nothing
 _MEMBERS = """
-    SELECT DISTINCT asset_id, CAST(floor(us / 86400000000) AS BIGINT) AS run, SHA(CAST(k % 25 AS VARCHAR)) AS h, k % 25 AS m FROM facet_obs"""
-_RUNS = "SELECT asset_id, run, lag(run) OVER (PARTITION BY asset_id ORDER BY run) AS prev_run FROM (SELECT DISTINCT asset_id, run FROM members)"
-_STORED = "SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY asset_id, run ORDER BY h) <= 3"
-_SETS = {"members": _MEMBERS, "runs": _RUNS, "stored": _STORED}
+    SELECT DISTINCT f.asset_id, CAST(floor(us / 86400000000) AS BIGINT) AS run, SHA(CAST(k % 25 AS VARCHAR)) AS h, k % 25 AS m FROM facet_obs f WHERE status_code IN (500, 302)"""
+_RUNS = "SELECT asset_id, run, lag(run) OVER (PARTITION BY asset_id ORDER BY run) AS prev_run FROM (SELECT DISTINCT asset_id, CAST(floor(us / 86400000000) AS BIGINT) AS run FROM facet_obs)"
+_SETS = {"members": _MEMBERS, "runs": _RUNS}
+
+
+def _runs(spark, d, owner):
+    return standin(spark, d, "facet_obs").select(owner, F.floor(F.col("us") / F.lit(86_400_000_000)).alias("run"))
 
 
 def _members(spark, d):
     from palisade.functions.common import sha256
 
-    obs = standin(spark, d, "facet_obs")
+    obs = standin(spark, d, "facet_obs").filter("status_code IN (500, 302)")
     return obs.select("asset_id", F.floor(F.col("us") / F.lit(86_400_000_000)).alias("run"), (F.col("k") % 25).alias("m")).distinct().withColumn("h", sha256(F.col("m").cast("string")))
 
 
 @register("chg5_endpoints", """
     SELECT m.asset_id AS origin, m.run, '/e' || CAST(m.m AS VARCHAR) AS endpoint FROM members m JOIN runs r ON m.asset_id = r.asset_id AND m.run = r.run AND r.prev_run IS NOT NULL
-    WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.asset_id = m.asset_id AND s.run = r.prev_run AND s.h = m.h)""", _SETS)
+    WHERE NOT EXISTS (SELECT 1 FROM members s WHERE s.asset_id = m.asset_id AND s.run = r.prev_run AND s.h = m.h)""", _SETS)
 def chg5(spark, d):
     members = _members(spark, d).select(
         F.col("asset_id").cast("string").alias("origin"), "run", F.col("h").alias("endpoint_hash"), F.concat(F.lit("/e"), F.col("m").cast("string")).alias("endpoint")
     )
-    out = changes.diff_endpoints(members, cap=3)
+    out = changes.diff_endpoints(members, runs=_runs(spark, d, F.col("asset_id").cast("string").alias("origin")))
     return out.select(F.col("origin").cast("bigint").alias("origin"), "run", F.expr("substring(current, length(origin) + 1)").alias("endpoint"))
 
 
@@ -164,8 +167,8 @@ _SEV = "CASE WHEN m % 4 = 0 THEN 'critical' ELSE 'low' END"
 
 @register("chg6_findings", f"""
     WITH fresh AS (SELECT m.* FROM members m JOIN runs r ON m.asset_id = r.asset_id AND m.run = r.run AND r.prev_run IS NOT NULL
-            WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.asset_id = m.asset_id AND s.run = r.prev_run AND s.h = m.h)),
-         gone AS (SELECT s.asset_id, r.run, s.h, s.m FROM stored s JOIN runs r ON s.asset_id = r.asset_id AND s.run = r.prev_run
+            WHERE NOT EXISTS (SELECT 1 FROM members s WHERE s.asset_id = m.asset_id AND s.run = r.prev_run AND s.h = m.h)),
+         gone AS (SELECT s.asset_id, r.run, s.h, s.m FROM members s JOIN runs r ON s.asset_id = r.asset_id AND s.run = r.prev_run
             WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.asset_id = r.asset_id AND m.run = r.run AND m.h = s.h))
     SELECT asset_id AS host, run, 'NEW_FINDING' AS change_type, CAST(NULL AS VARCHAR) AS previous, 't' || CAST(m AS VARCHAR) || ' @ u (' || {_SEV} || ')' AS current FROM fresh
     UNION ALL SELECT asset_id, run, 'NEW_CRITICAL_FINDING', NULL, 't' || CAST(m AS VARCHAR) || ' @ u (critical)' FROM fresh WHERE m % 4 = 0
@@ -175,7 +178,7 @@ def chg6(spark, d):
         F.col("asset_id").alias("host"), "run", F.col("h").alias("finding_hash"), F.when(F.col("m") % 4 == 0, "critical").otherwise("low").alias("severity"),
         F.concat(F.lit("t"), F.col("m").cast("string")).alias("template_id"), F.lit("u").alias("url"),
     )
-    return changes.diff_findings(members, cap=3).select("host", "run", "change_type", "previous", "current")
+    return changes.diff_findings(members, runs=_runs(spark, d, F.col("asset_id").alias("host"))).select("host", "run", "change_type", "previous", "current")
 
 
 @register("chg7_new_assets", """

@@ -61,10 +61,10 @@ def set4(spark, d):
 
 
 @register("set5_array_difference", """
-    SELECT seq, array_to_string(list_sort(list_filter(cur, lambda x: NOT list_contains(prev, x))), ',') AS added, array_to_string(list_sort(list_filter(prev, lambda x: NOT list_contains(cur, x))), ',') AS removed
-    FROM (SELECT seq, ['t' || CAST(k % 5 AS VARCHAR), 't' || CAST(k % 7 AS VARCHAR)] AS cur, ['t' || CAST(k % 3 AS VARCHAR), 't' || CAST(k % 4 AS VARCHAR)] AS prev FROM (SELECT * FROM facet_obs WHERE k % 5 <> k % 7 AND k % 3 <> k % 4))""")
+    SELECT seq, array_to_string(list_sort(list_distinct(list_filter(cur, lambda x: NOT list_contains(prev, x)))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(prev, lambda x: NOT list_contains(cur, x)))), ',') AS removed
+    FROM (SELECT seq, ['t' || CAST(k % 5 AS VARCHAR), 't' || CAST(k % 7 AS VARCHAR)] AS cur, ['t' || CAST(k % 3 AS VARCHAR), 't' || CAST(k % 4 AS VARCHAR)] AS prev FROM facet_obs)""")
 def set5(spark, d):
-    df = standin(spark, d, "facet_obs").filter("k % 5 <> k % 7 AND k % 3 <> k % 4").selectExpr(
+    df = standin(spark, d, "facet_obs").selectExpr(
         "seq", "array('t' || (k % 5), 't' || (k % 7)) AS cur", "array('t' || (k % 3), 't' || (k % 4)) AS prev"
     )
     diff = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
@@ -123,10 +123,10 @@ def mrg2(spark, d):
 
 
 @register("mrg3_program_links", """
-    SELECT COALESCE(n.p, c.p) AS program_id, COALESCE(n.a, c.a) AS asset_id, COALESCE(n.status, c.status) AS status, COALESCE(n.why, 'before') AS scope_reason, c.p IS NULL AS inserted
-    FROM (SELECT asn AS p, asset_id AS a, CASE k % 3 WHEN 0 THEN 'in_scope' WHEN 1 THEN 'excluded' ELSE 'out_of_scope' END AS status, 'r' || CAST(seq AS VARCHAR) AS why FROM facet_obs
+    SELECT COALESCE(n.p, c.p) AS program_id, COALESCE(n.a, c.a) AS asset_id, COALESCE(n.status, c.status) AS status, COALESCE(n.why, 'before') AS scope_reason, greatest(n.us, c.us) AS last_us, c.p IS NULL AS inserted
+    FROM (SELECT asn AS p, asset_id AS a, CASE k % 3 WHEN 0 THEN 'in_scope' WHEN 1 THEN 'excluded' ELSE 'out_of_scope' END AS status, 'r' || CAST(seq AS VARCHAR) AS why, us FROM facet_obs
           QUALIFY row_number() OVER (PARTITION BY asn, asset_id ORDER BY us DESC, seq DESC) = 1) n
-    FULL JOIN (SELECT 64500 AS p, c_custkey AS a, 'in_scope' AS status FROM customer) c ON n.p = c.p AND n.a = c.a""")
+    FULL JOIN (SELECT 64500 AS p, c_custkey AS a, 'in_scope' AS status, c_custkey % 2 * 4102444800000000 AS us FROM customer) c ON n.p = c.p AND n.a = c.a""")
 def mrg3(spark, d):
     decisions = standin(spark, d, "facet_obs").selectExpr(
         "asn AS program_id", "asset_id", "k % 3 = 0 AS allowed", "CASE k % 3 WHEN 1 THEN 'explicit_exclusion' ELSE 'none' END AS match_kind", "CAST(NULL AS STRING) AS scope_id",
@@ -134,14 +134,14 @@ def mrg3(spark, d):
     )
     cur = table(spark, d, "customer").selectExpr(
         "CAST(64500 AS BIGINT) AS program_id", "c_custkey AS asset_id", "'in_scope' AS status", "CAST(NULL AS STRING) AS scope_id", "'before' AS scope_reason",
-        "timestamp_micros(0) AS first_seen", "timestamp_micros(0) AS last_seen",
+        "timestamp_micros(0) AS first_seen", "timestamp_micros(c_custkey % 2 * 4102444800000000) AS last_seen",  # half of them newer than any observation
     )
-    return merge.link_assets(cur, decisions).select("program_id", "asset_id", "status", "scope_reason", "inserted")
+    return merge.link_assets(cur, decisions).select("program_id", "asset_id", "status", "scope_reason", F.unix_micros("last_seen").alias("last_us"), "inserted")
 
 
 @register("mrg4_upsert_edges", """
     SELECT COALESCE(n.s, c.s) AS source_id, COALESCE(n.t, c.t) AS target_id, COALESCE(n.r, c.r) AS relationship_type, CASE WHEN c.s IS NOT NULL THEN 'before' ELSE n.meta END AS metadata,
-           CASE WHEN n.s IS NOT NULL THEN n.last_us ELSE c.us END AS last_us, c.s IS NULL AS inserted
+           greatest(n.last_us, c.us) AS last_us, c.s IS NULL AS inserted
     FROM (SELECT l_suppkey AS s, target_id % 20 AS t, relationship_type AS r, arg_min('m' || CAST(source_id AS VARCHAR), (us, source_id * 10 + l_linenumber, l_extendedprice)) AS meta, max(us) AS last_us
           FROM edges WHERE l_linenumber % 5 <> 0 GROUP BY 1, 2, 3) n
     FULL JOIN (SELECT l_suppkey AS s, target_id % 20 AS t, relationship_type AS r, max(us) AS us FROM edges WHERE l_linenumber % 5 = 0 GROUP BY 1, 2, 3) c ON n.s = c.s AND n.t = c.t AND n.r = c.r""")
@@ -171,10 +171,11 @@ def mrg5(spark, d):
     WITH o AS (SELECT asset_id, max(us) AS at, max(CASE WHEN k % 4 = 0 THEN us END) AS changed, max_by(CASE WHEN k % 3 = 0 THEN 'HTTP_PROBED' ELSE 'CRAWLED' END, (us, seq)) FILTER (WHERE k % 5 <> 0) AS stage,
                max_by(k % 2 = 0, (us, seq)) FILTER (WHERE k % 7 <> 0) AS act, bool_or(k % 2 = 0) FILTER (WHERE k % 7 <> 0) AS any_act FROM facet_obs GROUP BY 1)
     SELECT a.asset_id, CASE WHEN o.act THEN 'active' WHEN o.act = false AND (a.status IN ('discovered', 'active') OR any_act) THEN 'inactive' ELSE a.status END AS status,
-           COALESCE(o.stage, 'DISCOVERED') AS lifecycle_stage, o.at AS scanned_us, o.changed AS changed_us FROM assets a LEFT JOIN o ON a.asset_id = o.asset_id""")
+           COALESCE(o.stage, 'DISCOVERED') AS lifecycle_stage, greatest(o.at, CASE WHEN a.asset_id % 3 = 0 THEN 4102444800000000 END) AS scanned_us, greatest(o.changed, CASE WHEN a.asset_id % 3 = 1 THEN 4102444800000000 END) AS changed_us FROM assets a LEFT JOIN o ON a.asset_id = o.asset_id""")
 def mrg6(spark, d):
     cur = standin(spark, d, "assets").selectExpr(
-        "asset_id", "status", "'DISCOVERED' AS lifecycle_stage", "CAST(NULL AS TIMESTAMP) AS last_scanned", "CAST(NULL AS TIMESTAMP) AS last_changed", "last_seen"
+        "asset_id", "status", "'DISCOVERED' AS lifecycle_stage", "CASE WHEN asset_id % 3 = 0 THEN timestamp_micros(4102444800000000) END AS last_scanned",
+        "CASE WHEN asset_id % 3 = 1 THEN timestamp_micros(4102444800000000) END AS last_changed", "last_seen",
     )
     obs = standin(spark, d, "facet_obs").selectExpr(
         "asset_id", "timestamp_micros(us) AS scanned_at", "CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'HTTP_PROBED' ELSE 'CRAWLED' END AS stage", "k % 4 = 0 AS changed",

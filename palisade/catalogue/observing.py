@@ -168,8 +168,7 @@ def ob5(spark, d):
 
 
 @register("ob5_crawl_blocked", """
-    SELECT 'j' || CAST(page_id % 5 AS VARCHAR) AS job_id, page_id AS seq FROM http_obs h WHERE page_id % 10 <> 9 AND norm_url NOT IN (SELECT u FROM ok_urls)
-    QUALIFY row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) <= 20""", {**_ctes(_URLS), "ok_urls": _OK_URLS})
+    SELECT 'j' || CAST(page_id % 5 AS VARCHAR) AS job_id, page_id AS seq FROM http_obs h WHERE page_id % 10 <> 9 AND norm_url NOT IN (SELECT u FROM ok_urls)""", {**_ctes(_URLS), "ok_urls": _OK_URLS})
 def ob5b(spark, d):
     return _crawl(spark, d).extra["blocked"].select("job_id", "seq")
 
@@ -188,7 +187,7 @@ def _findings(spark, d):
 
 
 @register("ob7_findings", """
-    SELECT 'j' || CAST(page_id % 5 AS VARCHAR) AS job_id, host, substring(SHA('t' || CAST(page_id % 6 AS VARCHAR) || '|' || norm_url), 1, 16) AS finding_hash,
+    SELECT 'j' || CAST(page_id % 5 AS VARCHAR) AS job_id, host, SHA('t' || CAST(page_id % 6 AS VARCHAR) || '|' || norm_url) AS finding_hash,
            CASE page_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' ELSE 'unknown' END AS severity, norm_url AS url
     FROM http_obs h JOIN ok_urls d ON h.norm_url = d.u WHERE page_id % 10 <> 9 AND page_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY host, page_id % 5, page_id % 6, norm_url ORDER BY page_id DESC) = 1""", {**_ctes(_URLS), "ok_urls": _OK_URLS})
 def ob7(spark, d):
@@ -196,8 +195,7 @@ def ob7(spark, d):
 
 
 @register("ob7_detected_cves", """
-    SELECT host AS asset_id, 'CVE-2024-' || CAST(page_id AS VARCHAR) AS cve_id FROM http_obs h JOIN ok_urls d ON h.norm_url = d.u WHERE page_id % 10 <> 9 AND page_id % 11 <> 0
-    QUALIFY row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) <= 100""", {**_ctes(_URLS), "ok_urls": _OK_URLS})
+    SELECT host AS asset_id, 'CVE-2024-' || CAST(page_id AS VARCHAR) AS cve_id FROM http_obs h JOIN ok_urls d ON h.norm_url = d.u WHERE page_id % 10 <> 9 AND page_id % 11 <> 0""", {**_ctes(_URLS), "ok_urls": _OK_URLS})
 def ob7b(spark, d):
     return _findings(spark, d).extra["correlations"].select("asset_id", "cve_id")
 

@@ -95,8 +95,7 @@ def flt13(spark, d):
 
 @register("jn13_program_targets", """
     SELECT l.program_id, a.asset_id, a.value, NOT COALESCE(a.value LIKE '%.example.com' AND a.asset_type <> 'url', false) AS skipped
-    FROM links l JOIN assets a ON l.asset_id = a.asset_id WHERE l.status = 'in_scope' AND a.asset_type IN ('domain', 'subdomain', 'ipv4', 'ipv6') AND NOT a.paused AND a.status NOT IN ('retired', 'blocked')
-    QUALIFY row_number() OVER (PARTITION BY l.program_id ORDER BY a.last_seen DESC, a.asset_id) <= 100""")
+    FROM links l JOIN assets a ON l.asset_id = a.asset_id WHERE l.status = 'in_scope' AND a.asset_type IN ('domain', 'subdomain', 'ipv4', 'ipv6') AND NOT a.paused AND a.status NOT IN ('retired', 'blocked')""")
 def jn13(spark, d):
     from palisade.operators.scope import scope_rules
 
@@ -104,7 +103,7 @@ def jn13(spark, d):
     rules = scope_rules(standin(spark, d, "programs").selectExpr(
         "'r' || CAST(program_id AS STRING) AS rule_id", "program_id", "'wildcard' AS type", "'include' AS mode", "'*.example.com' AS value"
     ))
-    return reads.program_targets(standin(spark, d, "assets"), standin(spark, d, "links"), rules, limit=100)
+    return reads.program_targets(standin(spark, d, "assets"), standin(spark, d, "links"), rules)
 
 
 @register("jn14_neighbours", """
@@ -119,11 +118,10 @@ def jn14(spark, d):
     WITH usable AS (SELECT program_id FROM programs WHERE active AND deleted_at IS NULL),
          accepts AS (SELECT * FROM (VALUES ('httpx', 'domain'), ('httpx', 'subdomain'), ('httpx', 'ipv4'), ('httpx', 'ipv6'), ('httpx', 'url'), ('dns', 'domain'), ('dns', 'subdomain'), ('katana', 'domain'), ('katana', 'subdomain'), ('katana', 'url')) AS t(scanner, asset_type))
     SELECT s.schedule_id, u.program_id, s.scanner, a.asset_id FROM schedules s JOIN usable u ON s.program_id IS NULL OR s.program_id = u.program_id JOIN links l ON l.program_id = u.program_id AND l.status = 'in_scope'
-    JOIN assets a ON a.asset_id = l.asset_id AND NOT a.paused JOIN accepts c ON c.scanner = s.scanner AND c.asset_type = a.asset_type
-    QUALIFY row_number() OVER (PARTITION BY s.schedule_id, u.program_id, s.scanner ORDER BY a.asset_id) <= 5""")
+    JOIN assets a ON a.asset_id = l.asset_id AND NOT a.paused JOIN accepts c ON c.scanner = s.scanner AND c.asset_type = a.asset_type""")
 def jn20(spark, d):
     sched = standin(spark, d, "schedules").select("schedule_id", "program_id", F.array("scanner").alias("scanners"))
-    return reads.schedule_targets(sched, standin(spark, d, "programs"), standin(spark, d, "assets"), standin(spark, d, "links"), cap=5)
+    return reads.schedule_targets(sched, standin(spark, d, "programs"), standin(spark, d, "assets"), standin(spark, d, "links"))
 
 
 # --- aggregates ----------------------------------------------------------------------------------------------

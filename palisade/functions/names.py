@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade import constants as K
-from palisade.functions.common import opaque, recorded, strip
+from palisade.functions.common import REST, opaque, recorded, strip
 
 FORBIDDEN = r"(?U)[\s\\\x00-\x1f\x7f]"
 _LABEL = r"[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?"
@@ -158,7 +158,7 @@ def wildcard_error(raw: Column, base: Column, base_error: Column, suffixes: Coll
     """``raw`` is the trimmed text, ``base``/``base_error`` the normalised name after ``*.``."""
     return (
         F.when(~F.startswith(raw, F.lit("*.")), "not_a_wildcard")
-        .when(F.substring(raw, 3, 1 << 20).contains("*"), "nested_wildcard")
+        .when(F.substring(raw, 3, REST).contains("*"), "nested_wildcard")
         .when(base_error.isNotNull(), base_error)
         .when(is_public_suffix(base, suffixes), "public_suffix")
     )
@@ -170,7 +170,7 @@ def normalize_wildcards(
 ) -> DataFrame:
     """Add ``out`` = struct(value, error): ``*.`` plus a normalised name that is not a public suffix."""
     df = df.withColumn("__w_raw", strip(F.col(col)))
-    base = F.when(F.startswith(F.col("__w_raw"), F.lit("*.")), F.substring(F.col("__w_raw"), 3, 1 << 20))
+    base = F.when(F.startswith(F.col("__w_raw"), F.lit("*.")), F.substring(F.col("__w_raw"), 3, REST))
     df = normalize_domains(df.withColumn("__w_base", base), "__w_base", "__w", idn=idn)
     error = wildcard_error(F.col("__w_raw"), F.col("__w.value"), F.col("__w.error"), suffixes)
     df = opaque(df, __w_err=error)

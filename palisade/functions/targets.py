@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.addresses import ip_text, normalize_cidrs, with_ip_bits, without_brackets
-from palisade.functions.common import opaque, recorded, strip
+from palisade.functions.common import REST, opaque, recorded, strip
 from palisade.functions.names import bare_name, domain_error, registrable_domain, wildcard_error, with_ascii_name
 from palisade.functions.urls import with_url_struct, with_url_text_parts
 
@@ -62,7 +62,7 @@ def classify(
     df = normalize_cidrs(df.withColumn("__cidr_text", F.when(kind == "cidr", raw)), "__cidr_text", "__cidr")
     name = (
         F.when(kind == "url", F.col("__u_name"))
-        .when(kind == "wildcard", F.substring(raw, 3, 1 << 20))
+        .when(kind == "wildcard", F.substring(raw, 3, REST))
         .when((kind == "host") & F.col("__bits").isNull(), raw)
     )
     df = df.withColumn("__name0", name)

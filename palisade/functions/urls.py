@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.addresses import ip_text, with_ip_bits
-from palisade.functions.common import opaque, recorded, sha256, strip
+from palisade.functions.common import REST, opaque, recorded, sha256, strip
 from palisade.functions.names import FORBIDDEN, bare_name, domain_error, with_ascii_name
 
 _BARE_PATH = r"^[A-Za-z0-9/:@!$&'()*+,;=\-._~]*$"
@@ -73,7 +73,7 @@ def query_pairs(query: Column) -> Column:
 
 def with_url_text_parts(df: DataFrame, url: Column, prefix: str = "__u") -> DataFrame:
     """First stage: scheme, netloc, path and query text and the host before it is normalised."""
-    p, rest = prefix, 1 << 20
+    p, rest = prefix, REST
     df = df.withColumn(f"{p}_raw", url)
     df = df.withColumn(f"{p}_nofrag", F.substring_index(F.col(f"{p}_raw"), "#", 1))
     whole = F.col(f"{p}_nofrag")

@@ -11,11 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palisade import constants as K
 from palisade.functions.common import opaque
 from palisade.functions.values import array_text
-from palisade.operators.skew import with_row_number
 
 _TEXT = "string"
 _CHANGE = "struct<change_type:string,field:string,previous:string,current:string>"
@@ -135,29 +135,21 @@ def diff_ports(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- facets whose state is a set too large for one row: one row per member ------------------------------
 
 
-def _runs_with_previous(members: DataFrame, owner: str, run: str) -> DataFrame:
-    """(owner, run, prev_run) of every run; runs of an owner are numbered in order."""
-    from pyspark.sql.window import Window
+def _runs_with_previous(members: DataFrame, owner: str, run: str, runs: DataFrame | None) -> DataFrame:
+    """(owner, run, prev_run) of every run; runs of an owner are numbered in order.
 
-    runs = members.select(owner, run).distinct()
-    return runs.withColumn("prev_run", F.lag(run).over(Window.partitionBy(owner).orderBy(run)))
+    ``runs`` lists all runs; a run that found nothing has no members and is only known from there."""
+    listed = members.select(owner, run) if runs is None else runs.select(owner, run).union(members.select(owner, run))
+    return listed.distinct().withColumn("prev_run", F.lag(run).over(Window.partitionBy(owner).orderBy(run)))
 
 
-def capped(members: DataFrame, owner: str, run: str, key: str, cap: int) -> DataFrame:
-    """Members kept in the stored state: the first ``cap`` by key.  Keys are hexadecimal hashes, so their first two
-    digits cut a large run into even pieces."""
-    lead = [(F.substring(key, 1, 2), True)]
-    ranked = with_row_number(members, [owner, run], [F.col(key).asc()], lead, "__rank")
-    return ranked.filter(F.col("__rank") <= cap).drop("__rank")
+def diff_endpoints(members: DataFrame, owner: str = "origin", run: str = "run", runs: DataFrame | None = None) -> DataFrame:
+    """NEW_ENDPOINT rows: endpoints of a crawl missing from the crawl before.  The first crawl is the baseline.
 
-
-def diff_endpoints(members: DataFrame, owner: str = "origin", run: str = "run", cap: int = K.MAX_ENDPOINTS_IN_STATE) -> DataFrame:
-    """NEW_ENDPOINT rows: endpoints of a crawl missing from the (capped) state of the crawl before.  The first crawl is
-    the baseline.  members: (owner, run, endpoint_hash, endpoint), unique per (owner, run, endpoint_hash)."""
-    runs = _runs_with_previous(members, owner, run)
-    stored = capped(members.select(owner, run, "endpoint_hash"), owner, run, "endpoint_hash", cap)
-    now = members.join(runs.filter(F.col("prev_run").isNotNull()), [owner, run])
-    before = stored.select(owner, F.col(run).alias("prev_run"), "endpoint_hash")
+    members: (owner, run, endpoint_hash, endpoint), unique per (owner, run, endpoint_hash); runs: (owner, run) of all crawls."""
+    known = _runs_with_previous(members, owner, run, runs)
+    now = members.join(known.filter(F.col("prev_run").isNotNull()), [owner, run])
+    before = members.select(owner, F.col(run).alias("prev_run"), "endpoint_hash")
     fresh = now.join(before, [owner, "prev_run", "endpoint_hash"], "left_anti")
     return fresh.select(
         owner, run, "endpoint_hash", F.lit("NEW_ENDPOINT").alias("change_type"), F.lit("url.path").alias("field"),
@@ -165,14 +157,15 @@ def diff_endpoints(members: DataFrame, owner: str = "origin", run: str = "run",
     )
 
 
-def diff_findings(members: DataFrame, owner: str = "host", run: str = "run", cap: int = K.MAX_FINDINGS_IN_STATE) -> DataFrame:
-    """NEW_FINDING (plus NEW_CRITICAL_FINDING) and FINDING_RESOLVED rows against the capped state of the scan before; the
-    first scan is the baseline.  members: (owner, run, finding_hash, severity, template_id, url)."""
-    runs = _runs_with_previous(members, owner, run).filter(F.col("prev_run").isNotNull())
-    stored = capped(members, owner, run, "finding_hash", cap)
+def diff_findings(members: DataFrame, owner: str = "host", run: str = "run", runs: DataFrame | None = None) -> DataFrame:
+    """NEW_FINDING (plus NEW_CRITICAL_FINDING) and FINDING_RESOLVED rows against the scan before; the first scan is the
+    baseline, and a scan without findings resolves all.
+
+    members: (owner, run, finding_hash, severity, template_id, url); runs: (owner, run) of all scans."""
+    known = _runs_with_previous(members, owner, run, runs).filter(F.col("prev_run").isNotNull())
     label = F.concat("template_id", F.lit(" @ "), "url", F.lit(" ("), "severity", F.lit(")"))
-    now = members.join(runs, [owner, run])
-    before = stored.withColumnRenamed(run, "prev_run")
+    now = members.join(known, [owner, run])
+    before = members.withColumnRenamed(run, "prev_run")
     new = now.join(before.select(owner, "prev_run", "finding_hash"), [owner, "prev_run", "finding_hash"], "left_anti")
     kinds = F.when(
         F.col("severity") == "critical", F.array(F.lit("NEW_FINDING"), F.lit("NEW_CRITICAL_FINDING"))
@@ -181,8 +174,7 @@ def diff_findings(members: DataFrame, owner: str = "host", run: str = "run", cap
         owner, run, "finding_hash", F.explode(kinds).alias("change_type"), F.lit("vuln.finding").alias("field"),
         _null().alias("previous"), label.alias("current"),
     )
-    # a run that found nothing has no member rows, so the next run is compared with the last one that found something
-    gone = before.join(runs, [owner, "prev_run"]).join(members.select(owner, run, "finding_hash"), [owner, run, "finding_hash"], "left_anti")
+    gone = before.join(known, [owner, "prev_run"]).join(members.select(owner, run, "finding_hash"), [owner, run, "finding_hash"], "left_anti")
     resolved = gone.select(
         owner, run, "finding_hash", F.lit("FINDING_RESOLVED").alias("change_type"), F.lit("vuln.finding").alias("field"),
         label.alias("previous"), _null().alias("current"),

@@ -15,16 +15,22 @@ from palisade.functions.values import content_id
 from palisade.operators.skew import first_per_key, lookup_join, with_next
 
 
-def _prefix_lengths(blocks: DataFrame) -> list[int]:
-    """Distinct prefix lengths: at most 129 numbers whatever the table's size (32 and 128 bits share them)."""
-    return sorted(r[0] for r in blocks.select(F.length("net_bits").alias("n")).distinct().limit(200).collect())
+#: Of a broadcast block: its bits as text and its attributes.
+BLOCK_BYTES = 400
+
+
+def _profile(blocks: DataFrame, length: Column) -> tuple[list[int], int]:
+    """Distinct prefix lengths, at most 129 numbers whatever the table's size (32 and 128 bits share them), and the bytes of the blocks, counted:
+    the optimizer's estimate of joined inputs is far too high."""
+    found = blocks.groupBy(length.alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    return sorted(r["n"] for r in found), sum(r["rows"] for r in found) * BLOCK_BYTES
 
 
 def longest_prefix(ips: DataFrame, blocks: DataFrame, values: list[str], bits: str = "ip_bits") -> DataFrame:
     """(bits, values...) for every distinct address covered by a block; the longest block wins.
 
     ``blocks``: (ip_version, net_bits, values...) with unique (ip_version, net_bits)."""
-    lengths = _prefix_lengths(blocks)
+    lengths, size = _profile(blocks, F.length("net_bits"))
     addr = F.col(bits)
     distinct = ips.select(bits).filter(addr.isNotNull()).distinct()
     in_use = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(addr))
@@ -33,7 +39,7 @@ def longest_prefix(ips: DataFrame, blocks: DataFrame, values: list[str], bits: s
         F.explode(F.transform(in_use, lambda n: F.substring(addr, F.lit(1), n))).alias("net_bits"),
     )
     hits = lookup_join(
-        probes, blocks.select("ip_version", "net_bits", *values), ["ip_version", "net_bits"], "inner", spread=[bits]
+        probes, blocks.select("ip_version", "net_bits", *values), ["ip_version", "net_bits"], "inner", spread=[bits], size=size
     )
     best = F.max_by(F.struct("net_bits", *values), F.length("net_bits")).alias("__best")
     return hits.groupBy(bits).agg(best).select(bits, F.length("__best.net_bits").alias("prefix_len"), *[f"__best.{v}" for v in values])
@@ -89,7 +95,7 @@ def lookup_asn(ips: DataFrame, ranges: DataFrame, bits: str = "ip_bits") -> Data
     disjoint = effective_ranges(ranges)
     common = _common_prefix(F.col("start_bits"), F.col("end_bits"))
     filed = disjoint.withColumn("__n", (F.floor(common / F.lit(STRIDE)) * STRIDE).cast("int"))
-    lengths = sorted(r[0] for r in filed.select("__n").distinct().limit(200).collect())  # at most 33 numbers
+    lengths, size = _profile(filed, F.col("__n"))
     filed = filed.select(
         "ip_version", F.substring(F.col("start_bits"), F.lit(1), F.col("__n")).alias("__key"), "start_bits", "end_bits", "asn", "country", "organization"
     )
@@ -99,7 +105,7 @@ def lookup_asn(ips: DataFrame, ranges: DataFrame, bits: str = "ip_bits") -> Data
     probes = distinct.select(
         bits, F.when(F.length(addr) == 32, 4).otherwise(6).alias("ip_version"), F.explode(F.transform(in_use, lambda n: F.substring(addr, F.lit(1), n))).alias("__key")
     )
-    hits = lookup_join(probes, filed, ["ip_version", "__key"], "inner", spread=[bits])
+    hits = lookup_join(probes, filed, ["ip_version", "__key"], "inner", spread=[bits], size=size)
     return hits.filter((addr >= F.col("start_bits")) & (addr <= F.col("end_bits"))).select(bits, "asn", "country", "organization")
 
 
@@ -142,16 +148,26 @@ def dns_enrichment(records: DataFrame, cloud_ranges: DataFrame, asn_ranges: Data
     )
 
 
-def expand_cidrs(cidrs: DataFrame, limit: int = K.MAX_CIDR_SIZE, skip_edges: bool = True) -> DataFrame:
+def _free_bits(limit: int) -> int:
+    """Host bits of the largest network of at most ``limit`` addresses."""
+    return limit.bit_length() - 1
+
+
+def oversized_cidrs(cidrs: DataFrame, limit: int) -> DataFrame:
+    """The networks of more than ``limit`` addresses, which ``expand_cidrs`` leaves out."""
+    free = F.when(F.col("ip_version") == 4, 32).otherwise(128) - F.length("net_bits")
+    return cidrs.filter(free > _free_bits(limit))
+
+
+def expand_cidrs(cidrs: DataFrame, limit: int, skip_edges: bool = True) -> DataFrame:
     """(columns of ``cidrs``, ip_bits): addresses of each network of at most ``limit`` addresses.
 
-    Base and broadcast address of v4 networks with more than two addresses are skipped.  Larger networks give no
-    rows: they are refused when jobs are planned (see ``operators.jobs.plan``)."""
+    Base and broadcast address of v4 networks with more than two addresses are skipped.  Larger networks are
+    listed by ``oversized_cidrs``; every network is in one of the two."""
     bits, ver = F.col("net_bits"), F.col("ip_version")
     width = F.when(ver == 4, 32).otherwise(128)
     free = width - F.length(bits)
-    cap = limit.bit_length() - 1  # free bits of the largest power of two within the limit
-    small = cidrs.filter(free <= cap)
+    small = cidrs.filter(free <= _free_bits(limit))
     last = F.call_function("shiftleft", F.lit(1), free) - 1
     edges = F.lit(skip_edges) & (ver == 4) & (free >= 2)
     numbers = F.sequence(F.when(edges, 1).otherwise(0), F.when(edges, last - 1).otherwise(last))

@@ -91,11 +91,11 @@ def link_assets(cur: DataFrame, decisions: DataFrame) -> DataFrame:
     decisions: (program_id, asset_id, allowed, match_kind, scope_id, reason, seen_at, seq)."""
     new = decisions.select(
         "program_id", "asset_id", link_status(F.col("allowed"), F.col("match_kind")).alias("status"), "scope_id",
-        F.substring("reason", 1, 512).alias("scope_reason"), F.col("seen_at").alias("first_seen"),
+        F.col("reason").alias("scope_reason"), F.col("seen_at").alias("first_seen"),
         F.col("seen_at").alias("last_seen"), "seq",
     )
-    rules = {"status": LAST, "scope_id": LAST, "scope_reason": LAST, "first_seen": FIRST, "last_seen": LAST}
-    return merge(cur, new, ["program_id", "asset_id"], rules, ["last_seen", "seq"])
+    rules = {"status": LAST, "scope_id": LAST, "scope_reason": LAST, "first_seen": FIRST, "last_seen": GREATEST}
+    return merge(cur, new.withColumn("seen_at", F.col("last_seen")), ["program_id", "asset_id"], rules, ["seen_at", "seq"])
 
 
 EDGE_KEY = ["source_id", "target_id", "relationship_type"]
@@ -106,7 +106,7 @@ def upsert_edges(cur: DataFrame, obs: DataFrame) -> DataFrame:
 
     obs: (source_id, target_id, relationship_type, source, confidence, metadata, seen_at, seq)."""
     new = obs.withColumns({"first_seen": F.col("seen_at"), "last_seen": F.col("seen_at")})
-    rules = {"source": FIRST, "confidence": FIRST, "metadata": FIRST, "first_seen": FIRST, "last_seen": LAST}
+    rules = {"source": FIRST, "confidence": FIRST, "metadata": FIRST, "first_seen": FIRST, "last_seen": GREATEST}
     return merge(cur, new, EDGE_KEY, rules, ["seen_at", "seq"])
 
 
@@ -150,9 +150,9 @@ def mark_scanned(cur: DataFrame, obs: DataFrame) -> DataFrame:
         {
             "status": status,
             "lifecycle_stage": F.coalesce("__stage", "lifecycle_stage"),
-            "last_scanned": F.coalesce("__at", "last_scanned"),
-            "last_changed": F.coalesce("__changed", "last_changed"),
-            "last_seen": F.coalesce("__at", "last_seen"),
+            "last_scanned": F.greatest("__at", "last_scanned"),
+            "last_changed": F.greatest("__changed", "last_changed"),
+            "last_seen": F.greatest("__at", "last_seen"),
         }
     ).drop("__at", "__changed", "__stage", "__active", "__any_active")
 
@@ -170,7 +170,7 @@ def upsert_correlations(cur: DataFrame, new: DataFrame, kev: DataFrame) -> DataF
     )
     rules = {
         "status": LAST, "technology": FIRST, "version": LAST, "cpe": LAST, "cpe_confidence": FIRST, "in_kev": LAST,
-        "first_seen": FIRST, "last_seen": LAST,
+        "first_seen": FIRST, "last_seen": GREATEST,
     }
     merged = merge(cur, flagged, key, rules, ["seen_at", "seq"])
     before = cur.select(*key, F.col("in_kev").alias("__was"))

@@ -39,7 +39,7 @@ def to_notifications(events: DataFrame) -> DataFrame:
     )
     fact = F.when(
         failure, F.concat_ws("|", kind, text(F.col("job_id").cast("string")), text(F.col("retry_count").cast("string")))
-    ).otherwise(F.concat_ws("|", kind, F.coalesce(F.col("asset_id").cast("string"), text(value)), shorten(text(cur), 500)))
+    ).otherwise(F.concat_ws("|", kind, F.coalesce(F.col("asset_id").cast("string"), text(value)), text(cur)))
     return opaque(df, __t=title, __d=detail, __f=sha256(fact)).select(
         "event_id", "ts", F.col("notification_type").alias("type"), "severity", F.col("type").alias("event_type"), "program_id", "program_name",
         "asset_value", F.col("__t").alias("title"), F.col("__d").alias("detail"), F.col("__f").alias("fact_key"),

@@ -105,10 +105,11 @@ def neighbours(edges: DataFrame, assets: DataFrame, ids: DataFrame | None = None
 
 
 def program_targets(
-    assets: DataFrame, links: DataFrame, rules: DataFrame, *, kind: str = "host", limit: int = 10_000, program: object = None
+    assets: DataFrame, links: DataFrame, rules: DataFrame, *, kind: str = "host", program: object = None, limit: int | None = None
 ) -> DataFrame:
-    """Scannable targets whose membership says in scope and that pass a fresh scope check, newest first; ``skipped`` marks
-    those that no longer do."""
+    """Scannable targets whose membership says in scope, checked against the scope again; ``skipped`` marks those that no longer pass.
+
+    ``limit``: at most so many passing targets of each program, newest first; those that fail the check do not count."""
     types = {"url": ("url",), "host": ("domain", "subdomain", "ipv4", "ipv6")}[kind]
     member = links.filter(F.col("status") == "in_scope")
     if program is not None:
@@ -117,16 +118,18 @@ def program_targets(
         F.col("asset_type").isin(*types) & ~F.col("paused") & ~F.col("status").isin("retired", "blocked")
     ).select("asset_id", "value", "last_seen")
     rows = member.select("program_id", "asset_id").join(usable, "asset_id")
-    rows = cap_per_group(rows, ["program_id"], [F.desc("last_seen"), F.asc("asset_id")], limit)
     checked = with_decision(rows, rules, "value", "program_id")
+    if limit is not None:
+        passing = cap_per_group(checked.filter("decision.allowed"), ["program_id"], [F.desc("last_seen"), F.asc("asset_id")], limit)
+        checked = passing.unionByName(checked.filter("NOT decision.allowed"))
     return checked.select("program_id", "asset_id", "value", (~F.col("decision.allowed")).alias("skipped"))
 
 
 def schedule_targets(
-    schedules: DataFrame, programs: DataFrame, assets: DataFrame, links: DataFrame, cap: int = K.MAX_TARGETS_PER_SCAN
+    schedules: DataFrame, programs: DataFrame, assets: DataFrame, links: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """(schedule_id, program_id, scanner, asset_id): in-scope, unpaused assets of the kinds each scanner accepts, at most
-    ``cap`` per schedule, program and scanner.  A schedule without program covers every active one.
+    """(schedule_id, program_id, scanner, asset_id): in-scope, unpaused assets of the kinds each scanner accepts; with ``cap``, at
+    most so many per schedule, program and scanner.  A schedule without program covers every active one.
 
     schedules: (schedule_id, program_id, scanners array)."""
     accepted = [
@@ -143,7 +146,8 @@ def schedule_targets(
         .join(F.broadcast(accepts), "asset_type")
     )
     # members of a (program, scanner) beyond the cap can never be chosen; cut them before schedules multiply the rows
-    few = cap_per_group(members, ["program_id", "scanner"], [F.asc("asset_id")], cap).select("program_id", "scanner", "asset_id")
+    few = members if cap is None else cap_per_group(members, ["program_id", "scanner"], [F.asc("asset_id")], cap)
+    few = few.select("program_id", "scanner", "asset_id")
     of_given = given.join(few, ["program_id", "scanner"])
     of_every = every.join(few, ["scanner"])
     columns = ["schedule_id", "program_id", "scanner", "asset_id"]

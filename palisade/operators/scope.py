@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.addresses import is_sensitive, with_ip_bits
-from palisade.functions.common import lookup, opaque, recorded
+from palisade.functions.common import REST, lookup, opaque, recorded
 from palisade.functions.names import host_suffixes, label_count
 from palisade.functions.targets import classify, normalize_scope_values
 from palisade.operators.skew import BROADCAST_BYTES, estimated_bytes, lookup_join
@@ -57,7 +57,7 @@ def scope_rules(rules: DataFrame, *, idn: bool = False) -> DataFrame:
 def _rule_columns(df: DataFrame) -> DataFrame:
     n = F.col("__n")
     mode_error = F.when(~F.col("mode").isin("include", "exclude") | F.col("mode").isNull(), "unsupported_mode")
-    base = F.when(n["type"] == "wildcard", F.substring(n["value"], 3, 1 << 20)).when(n["type"] == "domain", n["value"])
+    base = F.when(n["type"] == "wildcard", F.substring(n["value"], 3, REST)).when(n["type"] == "domain", n["value"])
     return df.select(
         "rule_id", "program_id", "program_name", "mode", n["type"].alias("type"), n["value"].alias("value"),
         F.coalesce(n["error"], mode_error).alias("error"), base.alias("base"), n["ip_version"].alias("ip_version"),
@@ -120,6 +120,15 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
     )
 
 
+def _best_per_key(keys: DataFrame) -> DataFrame:
+    """One row per key and program: of several rules only the best can decide.  URL keys keep one row per path, as the path is checked later.
+
+    So a short prefix that every excluded network emits stays a single row."""
+    path = F.when(F.startswith("key", F.lit("u:")), F.col("rule_path"))
+    best = keys.groupBy("key", "program_id", path.alias("rule_path")).agg(F.min("rule").alias("rule"))
+    return best.select("key", "program_id", "rule_path", "rule")
+
+
 @dataclass(frozen=True)
 class RuleTable:
     """Keys of a rule set as a written table, its prefix lengths in use and its number of rows."""
@@ -140,12 +149,12 @@ def rule_table(rules: DataFrame) -> RuleTable:
     if rules not in _TABLES:
         spark = rules.sparkSession
         path = scratch_dir(spark, "scope-rules")
-        _rule_keys(rules).write.parquet(path)
+        _best_per_key(_rule_keys(rules)).write.parquet(path)
         keys = spark.read.parquet(path)
         net = F.startswith(F.col("key"), F.lit("c"))
         profile = keys.groupBy(
             F.when(net, F.substring("key", 2, 1)).alias("version"), F.when(net, F.length("key") - 3).alias("n")
-        ).agg(F.count(F.lit(1)).alias("rows")).limit(200).collect()
+        ).agg(F.count(F.lit(1)).alias("rows")).collect()
         lengths = tuple(sorted((int(r["version"]), r["n"]) for r in profile if r["n"] is not None))
         _TABLES[rules] = RuleTable(keys, lengths, sum(r["rows"] for r in profile))
     return _TABLES[rules]

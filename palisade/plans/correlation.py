@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade import constants as K
 from palisade.functions.values import content_id
 from palisade.operators import changes, merge, vuln
 from palisade.plans.base import Observed, Stage, as_is
@@ -14,7 +13,7 @@ from palisade.sources.events import build_event
 
 def correlation_plan(
     edges: DataFrame, assets: DataFrame, lookups: DataFrame, cves: DataFrame, epss: DataFrame, kev: DataFrame, links: DataFrame,
-    programs: DataFrame, current: DataFrame, now: Column, max_cpes: int | None = K.MAX_CPES, stage: Stage = as_is,
+    programs: DataFrame, current: DataFrame, now: Column, max_cpes: int | None = None, stage: Stage = as_is,
 ) -> Observed:
     """``rows``: merged correlations enriched with feeds; ``extra``: observations, correlations (new pairs), changes."""
     observations = vuln.tech_observations(edges, assets)

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade import constants as K
 from palisade import schemas as S
 from palisade.functions.urls import endpoint_text, is_script_link, normalize_urls
 from palisade.operators.aggregates import endpoint_inventory, url_inventory
-from palisade.operators.ranking import cap_per_group
 from palisade.operators.scope import with_decision
 from palisade.plans.base import Observed, Stage, as_is
 from palisade.sources.records import parse_jsonl
@@ -31,9 +29,9 @@ def normalize_records(lines: DataFrame) -> DataFrame:
 
 
 def crawl_plan(lines: DataFrame, rules: DataFrame, stage: Stage = as_is) -> Observed:
-    """Validated URLs once per crawl, endpoints once per crawl, the first refused URLs of each crawl.
+    """Validated URLs once per crawl, endpoints once per crawl, the refused URLs of each crawl.
 
-    ``extra``: urls, endpoints, blocked (at most 20 per job, as alerts), parsed."""
+    ``extra``: urls, endpoints, blocked (as alerts), parsed."""
     rows = normalize_records(lines)
     checked = stage(with_decision(rows.filter(F.col("url").isNotNull()), rules, "url", "program_id"))
     ok = checked.filter(F.col("decision.allowed"))
@@ -41,5 +39,5 @@ def crawl_plan(lines: DataFrame, rules: DataFrame, stage: Stage = as_is) -> Obse
         ok.select("job_id", "origin", "url_hash", "seq", "url", "endpoint_hash", "endpoint", "js_discovered", "status_code", "observed_at"), ["job_id"]
     )
     endpoints = endpoint_inventory(urls, ["job_id", "origin"])
-    blocked = cap_per_group(checked.filter(~F.col("decision.allowed")), ["job_id"], [F.asc("seq")], K.MAX_BLOCKED_EVENTS)
+    blocked = checked.filter(~F.col("decision.allowed"))
     return Observed(checked, extra={"urls": urls, "endpoints": endpoints, "blocked": blocked, "parsed": rows})

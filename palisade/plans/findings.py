@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade import constants as K
 from palisade import schemas as S
-from palisade.functions.common import blank_to_null, opaque, shorten
+from palisade.functions.common import blank_to_null, opaque
 from palisade.functions.urls import normalize_urls
 from palisade.functions.values import sha256
-from palisade.operators.ranking import cap_per_group
 from palisade.operators.scope import with_decision
 from palisade.operators.skew import last_per_key
 from palisade.plans.base import Observed, Stage, as_is
 from palisade.sources.records import parse_jsonl
 
 
-def _ids(c, prefix: str, n: int):
+def _ids(c, prefix: str):
     kept = F.filter(F.transform(c, F.upper), lambda x: F.startswith(x, F.lit(prefix)))
-    return F.slice(F.coalesce(kept, F.array().cast("array<string>")), 1, n)
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def normalize_records(lines: DataFrame) -> DataFrame:
@@ -29,26 +27,25 @@ def normalize_records(lines: DataFrame) -> DataFrame:
     cls = info["classification"]
     df = df.withColumn("__at", F.when(r["template-id"] != "", r["matched-at"]))
     df = normalize_urls(df, "__at", "u")
-    take = lambda c, n: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n)
-    cut = lambda c, n: shorten(blank_to_null(c), n)
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     out = opaque(
         df,
         url=F.col("u.value"), unusable=r.isNotNull() & F.col("u.value").isNull(), template_id=r["template-id"],
-        template_path=cut(r["template-path"], 300), name=cut(info["name"], 300),
-        severity=F.lower(F.coalesce(blank_to_null(info["severity"]), F.lit("unknown"))), target_host=cut(r["host"], 300), ip=r["ip"],
-        tags=take(info["tags"], 20), description=cut(info["description"], 2000), reference=take(info["reference"], 10),
-        cves=_ids(cls["cve-id"], "CVE-", 20), cwes=_ids(cls["cwe-id"], "CWE-", 20), cvss_metrics=cut(cls["cvss-metrics"], 100),
+        template_path=blank_to_null(r["template-path"]), name=blank_to_null(info["name"]),
+        severity=F.lower(F.coalesce(blank_to_null(info["severity"]), F.lit("unknown"))), target_host=blank_to_null(r["host"]), ip=r["ip"],
+        tags=listed(info["tags"]), description=blank_to_null(info["description"]), reference=listed(info["reference"]),
+        cves=_ids(cls["cve-id"], "CVE-"), cwes=_ids(cls["cwe-id"], "CWE-"), cvss_metrics=blank_to_null(cls["cvss-metrics"]),
         cvss_score=cls["cvss-score"], matcher_status=F.coalesce(r["matcher-status"], F.lit(False)),
-        extracted_results=take(r["extracted-results"], 20), curl_command=cut(r["curl-command"], 600),
+        extracted_results=listed(r["extracted-results"]), curl_command=blank_to_null(r["curl-command"]),
     )
     return out.withColumn(
-        "finding_hash", F.substring(sha256(F.concat_ws("|", "template_id", "url")), 1, 16)
+        "finding_hash", sha256(F.concat_ws("|", "template_id", "url"))
     ).drop("record", "value", "__at")
 
 
 def findings_plan(lines: DataFrame, rules: DataFrame, stage: Stage = as_is) -> Observed:
     """Validated findings; members of the host state (the last record of equal findings counts) and detected CVE
-    correlations, at most 100 per scan in record order.  ``extra``: members, correlations, blocked, parsed."""
+    correlations.  ``extra``: members, correlations, blocked, parsed."""
     rows = normalize_records(lines)
     checked = stage(with_decision(rows.filter(F.col("url").isNotNull()), rules, "url", "program_id"))
     ok = checked.filter(F.col("decision.allowed"))
@@ -56,10 +53,10 @@ def findings_plan(lines: DataFrame, rules: DataFrame, stage: Stage = as_is) -> O
         ok.select("host", "job_id", "finding_hash", "severity", "template_id", "url", "seq"), ["host", "job_id", "finding_hash"], [F.col("seq")]
     )
     exploded = ok.select("job_id", F.col("host").alias("asset_id"), "seq", "observed_at", "template_id", "url", "finding_hash", F.posexplode("cves").alias("pos", "cve_id"))
-    correlations = cap_per_group(exploded, ["job_id"], [F.asc("seq"), F.asc("pos")], K.MAX_CVE_CORRELATIONS).select(
+    correlations = exploded.select(
         "asset_id", "cve_id", F.lit("nuclei").alias("source"), F.lit("detected").alias("status"), F.lit(None).cast("string").alias("technology"),
         F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("cpe"), F.lit(None).cast("double").alias("cpe_confidence"),
         F.col("observed_at").alias("seen_at"), "seq", "finding_hash",
     )
-    blocked = cap_per_group(checked.filter(~F.col("decision.allowed")), ["job_id"], [F.asc("seq")], K.MAX_BLOCKED_EVENTS)
+    blocked = checked.filter(~F.col("decision.allowed"))
     return Observed(checked, extra={"members": members, "correlations": correlations, "blocked": blocked, "parsed": rows})

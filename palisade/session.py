@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +20,7 @@ DEFAULTS = {
     # plans here have thousands of column expressions; recording a Python call site for each takes seconds
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
-_scratch_when_unset: str | None = None
+_local_scratch: str | None = None
 
 
 def build_session(master: str | None = None, app: str = "palisade", **conf: str) -> SparkSession:
@@ -33,13 +36,16 @@ def build_session(master: str | None = None, app: str = "palisade", **conf: str)
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for written intermediate tables and stream checkpoints.
 
-    Lies in the shared folder named by ``spark.checkpoint.dir``; only where that is unset (local runs) a
-    temporary folder is made.
+    Lies in the shared folder named by ``spark.checkpoint.dir``.  Where that is unset, a local session gets a temporary folder that is removed at
+    exit; a cluster has no folder of its own that all executors see, so there it is an error.
     """
-    global _scratch_when_unset
+    global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if _scratch_when_unset is None:
-            _scratch_when_unset = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
-        base = _scratch_when_unset
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if _local_scratch is None:
+            _local_scratch = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
+        base = _local_scratch
     return f"{base.rstrip('/')}/palisade/{name}-{uuid.uuid4().hex}"

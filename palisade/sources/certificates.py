@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import schemas as S
-from palisade.functions.common import blank_to_null, opaque, strip
+from palisade.functions.common import REST, blank_to_null, opaque, strip
 from palisade.functions.names import bare_name, certificate_flags, domain_error, is_public_suffix
 from palisade import constants as K
 
@@ -28,7 +28,7 @@ def parse_ct(messages: DataFrame, col: str = "value") -> DataFrame:
     leaf = data["leaf_cert"]
     text_names = F.transform(
         F.filter(F.split(leaf["extensions"]["subjectAltName"], ",", -1), lambda p: F.startswith(F.trim(p), F.lit("DNS:"))),
-        lambda p: F.substring(F.trim(p), 5, 1 << 20),
+        lambda p: F.substring(F.trim(p), 5, REST),
     )
     empty = F.array().cast("array<string>")
     names = F.array_distinct(F.array_compact(F.concat(
@@ -39,7 +39,7 @@ def parse_ct(messages: DataFrame, col: str = "value") -> DataFrame:
 
     def judged(n: Column) -> Column:
         wild = F.startswith(n, F.lit("*."))
-        raw = F.when(wild, F.substring(strip(n), 3, 1 << 20)).otherwise(strip(n))
+        raw = F.when(wild, F.substring(strip(n), 3, REST)).otherwise(strip(n))
         name = bare_name(raw)
         bad = domain_error(raw, name).isNotNull() | (wild & is_public_suffix(name, K.PUBLIC_SUFFIXES))
         return F.struct(n.alias("raw"), wild.alias("wild"), F.when(~bad, name).alias("name"))
@@ -50,7 +50,7 @@ def parse_ct(messages: DataFrame, col: str = "value") -> DataFrame:
         df,
         __domains=pick(lambda x: x["name"].isNotNull() & ~x["wild"], lambda x: x["name"]),
         __wildcards=pick(lambda x: x["name"].isNotNull() & x["wild"], lambda x: F.concat(F.lit("*."), x["name"])),
-        __invalid=pick(lambda x: x["name"].isNull(), lambda x: F.substring(x["raw"], 1, 255)),
+        __invalid=pick(lambda x: x["name"].isNull(), lambda x: x["raw"]),
     )
     keep = [c for c in messages.columns if c != col]
     return df.select(

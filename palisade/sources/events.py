@@ -51,7 +51,7 @@ def dead_letter_rows(rejected: DataFrame, payload: str = "payload", reason: str
     return rejected.select(
         *keep, F.lit("bb-errors").alias("index"), F.lit("pipeline_error").alias("kind"), F.lit("DLQ_EVENT").alias("type"),
         F.lit("ELASTICSEARCH_REJECTED").alias("error_type"), F.col(reason).alias("error_message"),
-        F.col(pipeline).alias("pipeline"), F.substring(F.col(payload), 1, K.DEAD_LETTER_CHARS).alias("original"),
+        F.col(pipeline).alias("pipeline"), F.col(payload).alias("original"),
     )
 
 

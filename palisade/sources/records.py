@@ -27,7 +27,7 @@ def parse_jsonl(lines: DataFrame, schema: str, col: str = "value") -> DataFrame:
     return df.withColumns(
         {
             "record": F.when(ok, F.col("__rec").dropFields("__bad")),
-            "malformed": F.when(~ok, F.substring(F.col("__line"), 1, K.MALFORMED_CHARS)),
+            "malformed": F.when(~ok, F.col("__line")),
         }
     ).drop("__line", "__rec")
 
@@ -70,8 +70,8 @@ def parse_asn_tsv(lines: DataFrame, col: str = "value") -> DataFrame:
     at = lambda i: F.get(F.col("p"), F.lit(i))
     df = df.select(
         at(0).alias("s"), at(1).alias("e"), F.trim(at(2)).try_cast("long").alias("asn"),
-        F.when(~at(3).isin("", "None"), F.substring(at(3), 1, 8)).alias("country"),
-        F.when(at(4) != "", F.substring(at(4), 1, 256)).alias("organization"),
+        F.when(~at(3).isin("", "None"), at(3)).alias("country"),
+        F.when(at(4) != "", at(4)).alias("organization"),
     )
     df = with_ip_bits(df, F.col("s"), "start_bits", collapse_mapped=False)
     df = with_ip_bits(df, F.col("e"), "end_bits", collapse_mapped=False)
@@ -102,20 +102,21 @@ def parse_epss(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFra
     return scores, meta
 
 
-def parse_kev(docs: DataFrame, col: str = "value") -> DataFrame:
-    """One row per catalogued CVE; of duplicate ids the last counts."""
-    doc = docs.select(F.from_json(col, S.KEV_CATALOG).alias("d"))
-    rows = doc.select(F.col("d.catalogVersion").alias("catalog_version"), F.posexplode("d.vulnerabilities").alias("pos", "v"))
+def parse_kev(docs: DataFrame, col: str = "value", order: str | None = None) -> DataFrame:
+    """One row per catalogued CVE; of duplicate ids the last counts: by document in ``order``, then by position; beyond that by content."""
+    doc = docs.select(F.from_json(col, S.KEV_CATALOG).alias("d"), (F.col(order) if order else F.lit(0)).alias("__order"))
+    rows = doc.select("__order", F.col("d.catalogVersion").alias("catalog_version"), F.posexplode("d.vulnerabilities").alias("pos", "v"))
     v = F.col("v")
     flat = rows.select(
-        F.upper(strip(v["cveID"])).alias("cve_id"), "pos", "catalog_version", v["vendorProject"].alias("vendor"),
+        F.upper(strip(v["cveID"])).alias("cve_id"), "__order", "pos", "catalog_version", v["vendorProject"].alias("vendor"),
         v["product"].alias("product"), v["vulnerabilityName"].alias("vulnerability_name"),
         v["shortDescription"].alias("short_description"), v["dateAdded"].try_cast("date").alias("date_added"),
         v["dueDate"].try_cast("date").alias("due_date"), v["knownRansomwareCampaignUse"].alias("known_ransomware_use"),
         v["requiredAction"].alias("required_action"), v["notes"].alias("notes"),
         F.coalesce(v["cwes"], F.array().cast("array<string>")).alias("cwes"),
     ).filter(F.startswith(F.col("cve_id"), F.lit("CVE-")))
-    last = F.max_by(F.struct(*[c for c in flat.columns if c not in ("cve_id", "pos")]), F.col("pos"))
+    kept = [c for c in flat.columns if c not in ("cve_id", "__order", "pos")]
+    last = F.max_by(F.struct(*kept), F.struct("__order", "pos", F.xxhash64(*kept)))
     return flat.groupBy("cve_id").agg(last.alias("k")).select("cve_id", "k.*")
 
 

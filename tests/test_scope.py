@@ -10,35 +10,36 @@ import pytest
 from palisade.functions.common import literal_table
 from palisade.operators import scope
 
+# two shops that share a hosting zone; every rule has a target on either side of its edge in CASES
 RULES = [
-    ("r01", "P1", "wildcard", "include", "*.example.com"), ("r02", "P1", "domain", "exclude", "admin.example.com"),
-    ("r03", "P1", "domain", "include", "example.com"), ("r04", "P1", "cidr", "include", "192.0.2.0/24"),
-    ("r05", "P1", "ipv4", "exclude", "192.0.2.66"), ("r06", "P1", "ipv6", "include", "2001:db8::1"),
-    ("r07", "P1", "cidr", "include", "2001:db8:100::/48"), ("r08", "P1", "asn", "include", "AS64500"),
-    ("r09", "P1", "url", "include", "https://portal.other.org/app"),
-    ("r10", "P1", "wildcard", "exclude", "*.internal.example.com"),
-    ("r11", "P1", "url", "exclude", "https://www.example.com/private"),
-    ("r12", "P1", "url", "exclude", "https://app.example.com/"),
-    ("r20", "P2", "domain", "include", "shared.example.net"), ("r21", "P2", "wildcard", "include", "*.example.com"),
-]
-ALLOWED = [
-    "example.com", "api.example.com", "a.b.c.example.com", "API.Example.COM.", "internal.example.com", "192.0.2.10",
-    "192.0.2.128/25", "2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:db8:100:1::5", "::ffff:192.0.2.10", "AS64500",
-    "https://api.example.com/x", "https://portal.other.org/app", "https://portal.other.org/app/sub?x=1",
-    "https://www.example.com/public", "www.example.com",
-]
-DENIED = [
-    "admin.example.com", "x.admin.example.com", "db.internal.example.com", "evilexample.com", "example.com.evil.net",
-    "example.org", "192.0.2.66", "192.0.3.1", "192.0.2.0/25", "192.0.2.64/26", "192.0.0.0/16", "2001:db8::2",
-    "::ffff:192.0.2.66", "as64501", "https://admin.example.com/", "https://portal.other.org/apple",
-    "https://portal.other.org/", "http://portal.other.org/app", "https://portal.other.org:8443/app", "portal.other.org",
-    "https://www.example.com/private/x", "https://www.example.com/private/../private/x",
-    "https://www.example.com/public/..%2fprivate", "app.example.com", "nothing.test-domain.org",
-    # malformed or ambiguous targets fail closed
-    "", "   ", "127.1", "0x7f.0x0.0x0.0x1", "2130706433", "0177.0.0.1", "example.com\x00.evil.net", "exa mple.com",
-    "https://example.com@evil.net/", "https://evil.net\\@api.example.com/", "javascript://api.example.com/",
-    "ftp://api.example.com/", "*.example.com", "fe80::1%eth0", "api.example.com:443", "-api.example.com",
+    ("a1", "shop", "wildcard", "include", "*.harbour-tea.test"), ("a2", "shop", "domain", "exclude", "vault.harbour-tea.test"),
+    ("a3", "shop", "wildcard", "exclude", "*.staff.harbour-tea.test"), ("a4", "shop", "domain", "include", "harbour-tea.test"),
+    ("a5", "shop", "cidr", "include", "198.51.100.32/27"), ("a6", "shop", "ipv4", "exclude", "198.51.100.40"),
+    ("a7", "shop", "cidr", "include", "2001:db8:7700::/40"), ("a8", "shop", "ipv6", "exclude", "2001:db8:7701::9"),
+    ("a9", "shop", "asn", "include", "65010"), ("b1", "shop", "url", "include", "http://files.zone-nine.test:8080/shop"),
+    ("b2", "shop", "url", "exclude", "https://blog.harbour-tea.test/drafts"), ("b3", "shop", "url", "exclude", "https://pay.harbour-tea.test"),
+    ("c1", "cafe", "domain", "include", "menu.zone-nine.test"), ("c2", "cafe", "wildcard", "include", "*.harbour-tea.test"),
 ]
+CASES = {
+    # names: below a wildcard, the apex by its own rule, an excluded name with all below it, look-alikes
+    "green.harbour-tea.test": "a1", "x.y.z.harbour-tea.test": "a1", "harbour-tea.test": "a4", "staff.harbour-tea.test": "a1",
+    "vault.harbour-tea.test": None, "old.vault.harbour-tea.test": None, "rota.staff.harbour-tea.test": None,
+    "notharbour-tea.test": None, "harbour-tea.test.zone-nine.test": None, "zone-nine.test": None, "Green.HARBOUR-tea.test.": "a1",
+    # addresses and networks: inside, at and over the edge, overlapping an excluded address
+    "198.51.100.33": "a5", "198.51.100.63": "a5", "198.51.100.64": None, "198.51.100.40": None, "198.51.100.48/28": "a5", "198.51.100.40/29": None,
+    "198.51.100.0/24": None, "::ffff:198.51.100.33": "a5", "2001:db8:77ff::1": "a7", "2001:db8:7800::1": None, "2001:DB8:7701:0::9": None,
+    "2001:db8:7701::/48": None, "2001:db8:7702::/48": "a7", "AS65010": "a9", "as65011": None,
+    # URLs: by their host, by a rule's scheme, port and path, and excluded by path or origin
+    "https://green.harbour-tea.test/cups?size=2": "a1", "https://vault.harbour-tea.test/cups": None,
+    "http://files.zone-nine.test:8080/shop": "b1", "http://files.zone-nine.test:8080/shop/tins": "b1", "http://files.zone-nine.test:8080/shopping": None,
+    "http://files.zone-nine.test/shop": None, "https://files.zone-nine.test:8080/shop": None, "files.zone-nine.test": None,
+    "https://blog.harbour-tea.test/posts": "a1", "https://blog.harbour-tea.test/drafts/7": None, "https://blog.harbour-tea.test/x/../drafts": None,
+    "https://blog.harbour-tea.test/x/%2e%2e/drafts": None, "pay.harbour-tea.test": None, "blog.harbour-tea.test": "a1",
+    # what cannot be read is refused
+    "": None, "198.51.100": None, "0xC6.51.100.33": None, "3325256737": None, "green.harbour-tea.test\t.zone-nine.test": None,
+    "https://harbour-tea.test@zone-nine.test/": None, "https://zone-nine.test\\.harbour-tea.test/": None, "gopher://green.harbour-tea.test/": None,
+    "*.harbour-tea.test": None, "fe80::7%eth1": None, "green.harbour-tea.test:80": None, "green-.harbour-tea.test": None,
+}
 
 
 def rule_table(spark, rules):
@@ -51,32 +52,29 @@ def rules(spark):
 
 
 def test_program_decisions(spark, rules):
-    targets = literal_table(spark, [(t, "P1") for t in ALLOWED + DENIED], "target string, program_id string")
+    targets = literal_table(spark, [(t, "shop") for t in CASES], "target string, program_id string")
     got = {r["target"]: r for r in scope.evaluate_scope(targets, rules).collect()}
-    assert set(got) == set(ALLOWED + DENIED)
-    wrong = [t for t in ALLOWED if not got[t]["allowed"]] + [t for t in DENIED if got[t]["allowed"]]
-    assert not wrong
-    api, admin, apex = got["api.example.com"], got["admin.example.com"], got["example.com"]
-    assert (api["scope_id"], api["match_kind"], api["reason"]) == ("r01", "wildcard_inclusion", "matched *.example.com (wildcard)")
-    assert (admin["scope_id"], admin["match_kind"]) == ("r02", "explicit_exclusion")
-    assert (apex["scope_id"], apex["match_kind"]) == ("r03", "explicit_inclusion")
-    assert got["nothing.test-domain.org"]["reason"] == "not in approved scope"
-
-
-def test_programs_are_independent(spark, rules):
-    rows = [("admin.example.com", "P2"), ("api.example.com", "P3")]
+    assert {t: r["scope_id"] if r["allowed"] else None for t, r in got.items()} == CASES
+    assert {got[t]["match_kind"] for t, rule in CASES.items() if rule == "a1"} == {"wildcard_inclusion"}
+    assert {got[t]["match_kind"] for t, rule in CASES.items() if rule in ("a4", "a5", "a7", "a9", "b1")} == {"explicit_inclusion"}
+    vault, apart = got["vault.harbour-tea.test"], got["zone-nine.test"]
+    assert (vault["scope_id"], vault["match_kind"], vault["reason"]) == ("a2", "explicit_exclusion", "excluded by exclude domain vault.harbour-tea.test")
+    assert apart["match_kind"] == "none" and apart["reason"] == "not in approved scope"
+
+
+def test_programs_do_not_mix(spark, rules):
+    rows = [("vault.harbour-tea.test", "cafe"), ("green.harbour-tea.test", "unknown"), ("menu.zone-nine.test", "shop")]
     got = {r["program_id"]: r["allowed"] for r in scope.evaluate_scope(literal_table(spark, rows, "target string, program_id string"), rules).collect()}
-    assert got == {"P2": True, "P3": False}
+    assert got == {"cafe": True, "unknown": False, "shop": False}
 
 
 def test_overall(spark, rules):
-    targets = literal_table(spark, [("api.example.com",), ("shared.example.net",), ("admin.example.com",), ("x.org",), ("*.a.com",)], "target string")
-    got = {r["target"]: r for r in scope.scope_overall(targets, rules).collect()}
-    assert got["api.example.com"]["allowed_programs"] == ["P1", "P2"] and got["api.example.com"]["program_id"] == "P1"
-    assert got["shared.example.net"]["allowed_programs"] == ["P2"]
-    assert got["admin.example.com"]["allowed"] and got["admin.example.com"]["allowed_programs"] == ["P2"]
-    assert not got["x.org"]["allowed"] and got["x.org"]["reason"] == "not in approved scope"
-    assert got["*.a.com"]["reason"].startswith("wildcard patterns")
+    names = ["green.harbour-tea.test", "menu.zone-nine.test", "vault.harbour-tea.test", "elsewhere.test", "*.zone-nine.test"]
+    got = {r["target"]: r for r in scope.scope_overall(literal_table(spark, [(n,) for n in names], "target string"), rules).collect()}
+    assert [got[n]["allowed_programs"] for n in names[:3]] == [["cafe", "shop"], ["cafe"], ["cafe"]]
+    assert got[names[0]]["program_id"] == "cafe"
+    assert not got["elsewhere.test"]["allowed"] and got["elsewhere.test"]["reason"] == "not in approved scope"
+    assert not got["*.zone-nine.test"]["allowed"] and got["*.zone-nine.test"]["reason"].startswith("wildcard patterns")
 
 
 def test_empty_rules_deny(spark):
@@ -117,28 +115,29 @@ def test_networks_agree_with_brute_force(spark):
 def test_salted_join_gives_the_same_decisions(spark, rules, monkeypatch):
     from palisade.operators import skew
 
-    targets = literal_table(spark, [(t, "P1") for t in ALLOWED + DENIED], "target string, program_id string")
+    targets = literal_table(spark, [(t, "shop") for t in CASES], "target string, program_id string")
     broadcast = sorted(map(str, scope.evaluate_scope(targets, rules).collect()))
     monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     assert sorted(map(str, scope.evaluate_scope(targets, rules).collect())) == broadcast
 
 
 def test_plan_has_no_nested_loop(spark, rules):
-    targets = spark.range(10).selectExpr("concat('h', id, '.example.com') AS target", "'P1' AS program_id")
+    targets = spark.range(10).selectExpr("concat('h', id, '.harbour-tea.test') AS target", "'shop' AS program_id")
     plan = scope.evaluate_scope(targets, rules)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_exclusion_lists(spark, rules):
-    hosts = literal_table(spark, [("example.com", "P1"), ("x.admin.example.com", "P1"), ("other.org", "P1")], "host string, program_id string")
+    hosts = literal_table(spark, [("harbour-tea.test", "shop"), ("old.vault.harbour-tea.test", "shop"), ("elsewhere.test", "shop")], "host string, program_id string")
     got = {}
     for r in scope.host_exclusions(hosts, rules).collect():
         got.setdefault(r["host"], set()).add(r["excluded"])
-    assert got["example.com"] == {"admin.example.com", "internal.example.com", "192.0.2.66"}
-    assert got["x.admin.example.com"] == {"admin.example.com", "192.0.2.66"}
-    assert got["other.org"] == {"192.0.2.66"}
-    one = literal_table(spark, [("www.example.com", "P1")], "host string, program_id string")
-    assert [r["url"] for r in scope.url_exclusions(one, rules).collect()] == ["https://www.example.com/private"]
+    addresses = {"198.51.100.40", "2001:db8:7701::9"}
+    assert got["harbour-tea.test"] == {"vault.harbour-tea.test", "staff.harbour-tea.test"} | addresses
+    assert got["old.vault.harbour-tea.test"] == {"vault.harbour-tea.test"} | addresses
+    assert got["elsewhere.test"] == addresses
+    one = literal_table(spark, [("blog.harbour-tea.test", "shop")], "host string, program_id string")
+    assert [r["url"] for r in scope.url_exclusions(one, rules).collect()] == ["https://blog.harbour-tea.test/drafts"]
 
 
 def test_exclusion_patterns(spark, rules):
@@ -146,20 +145,29 @@ def test_exclusion_patterns(spark, rules):
 
     from palisade.functions.urls import normalize_urls
 
-    origins = normalize_urls(literal_table(spark, [("https://www.example.com/", "P1"), ("http://www.example.com/", "P1")], "v string, program_id string"), "v", "url")
-    got = scope.exclusion_patterns(origins, rules).collect()
-    assert len(got) == 1
-    rx = re.compile(got[0]["pattern"])
-    assert rx.search("https://www.example.com/private") and rx.search("https://www.example.com/private/x?y=1")
-    assert not rx.search("https://www.example.com/privateer")
+    origins = normalize_urls(literal_table(spark, [("https://blog.harbour-tea.test/", "shop"), ("http://blog.harbour-tea.test/", "shop")], "v string, program_id string"), "v", "url")
+    (found,) = scope.exclusion_patterns(origins, rules).collect()
+    hits = re.compile(found["pattern"]).search
+    assert [bool(hits("https://blog.harbour-tea.test" + p)) for p in ("/drafts", "/drafts/3?x=y", "/draftsman", "/")] == [True, True, False, False]
 
 
 def test_output_validation_and_private_resolution(spark, rules):
-    rows = [("https://api.example.com/", "P1", "192.0.2.10", ["192.0.2.10"]), ("https://api.example.com/", "P1", "203.0.113.9", ["192.0.2.10"]),
-            ("https://evil.example.org/", "P1", "203.0.113.9", ["192.0.2.10"])]
+    good, page, far = "198.51.100.33", "https://green.harbour-tea.test/", "https://elsewhere.test/"
+    rows = [(page, "shop", good, [good]), (page, "shop", "203.0.113.77", [good]), (far, "shop", "203.0.113.77", [good])]
     df = spark.createDataFrame(rows, "target string, program_id string, ip string, pinned array<string>")
     got = {(r["target"], r["ip"]): r["decision"]["allowed"] for r in scope.validate_output(df, rules, "target", "program_id", "ip", "pinned").collect()}
-    assert got == {rows[0][0:3:2]: True, rows[1][0:3:2]: False, rows[2][0:3:2]: False}
-    names = literal_table(spark, [("a.example.com", "P1", "10.0.0.5"), ("b.example.com", "P1", "192.0.2.10"), ("c.example.com", "P1", "8.8.8.8")], "name string, program_id string, ip string")
-    got = scope.private_resolution(names, rules).collect()
-    assert [(r["name"], r["first_bad_ip"]) for r in got] == [("a.example.com", "10.0.0.5")]
+    assert got == {(page, good): True, (page, "203.0.113.77"): False, (far, "203.0.113.77"): False}
+    names = literal_table(spark, [("a.harbour-tea.test", "shop", "172.16.4.4"), ("b.harbour-tea.test", "shop", good), ("c.harbour-tea.test", "shop", "9.9.9.9")], "name string, program_id string, ip string")
+    assert [(r["name"], r["first_bad_ip"]) for r in scope.private_resolution(names, rules).collect()] == [("a.harbour-tea.test", "172.16.4.4")]
+
+
+def test_many_excluded_networks_and_one_wide_target(spark):
+    """Every excluded network touches the wide target; the rule keys hold one row per key and program, whatever their number."""
+    rules = spark.range(20_000).selectExpr("lpad(cast(id AS string), 6, '0') AS rule_id", "'p' AS program_id", "'cidr' AS type", "'exclude' AS mode",
+                                           "concat('10.', id div 250, '.', id % 250, '.0/24') AS value")
+    checked = scope.scope_rules(rules)
+    target = literal_table(spark, [("10.0.0.0/8", "p"), ("11.0.0.0/8", "p")], "target string, program_id string")
+    got = {r["target"]: r["scope_id"] for r in scope.evaluate_scope(target, checked).collect()}
+    assert got == {"10.0.0.0/8": "000000", "11.0.0.0/8": None}
+    keys = scope.rule_table(checked).keys
+    assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] == 1
