@@ -50,7 +50,11 @@ def main() -> None:
     if "jn1_many_rules" in times:
         targets = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
         rules = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 4 <> 1").count()
-        extra = {"scope_decisions_per_sec": round(targets / times["jn1_many_rules"]), "scope_targets": targets, "scope_rules": rules}
+        warm = min(run("jn1_many_rules") for _ in range(2))
+        extra = {
+            "scope_decisions_per_sec": round(targets / times["jn1_many_rules"]), "scope_decisions_per_sec_warm": round(targets / warm),
+            "scope_targets": targets, "scope_rules": rules,
+        }
     print(json.dumps({
         "metric": "total_seconds_headline_queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), **extra,

@@ -44,13 +44,17 @@ def _rows(*branches: tuple[str, str, str, str, str]) -> str:
 _KEEP = ["asset_id", "seq", "change_type", "field", "previous", "current"]
 _A = lambda k: f"'[192.0.2.' || CAST({k} % 8 AS VARCHAR) || ']'"
 _NS = lambda k: f"CASE WHEN {k} % 5 = 0 THEN '[]' ELSE '[ns' || CAST({k} % 2 AS VARCHAR) || '.example.net]' END"
+_STATE = lambda k: (  # noqa: E731  (the summary carries whole states)
+    f"""'{{"a":["192.0.2.' || CAST({k} % 8 AS VARCHAR) || '"],"aaaa":[],"cname":[],"mx":[],"ns":[' || CASE WHEN {k} % 5 = 0 THEN '' ELSE '"ns' || CAST({k} % 2 AS VARCHAR) || '.example.net"' END
+    || '],"txt":[],"asn":[' || CASE WHEN {k} % 3 = 0 THEN '' ELSE '"' || CAST(64500 + {k} % 3 AS VARCHAR) || '"' END || '],"cloud":[],"has_asn":' || CASE WHEN {k} % 4 <> 0 THEN 'true' ELSE 'false' END || ',"has_cloud":true}}'"""
+)
 _DNS_HIT = "pk IS NOT NULL AND (k % 8 <> pk % 8 OR " + f"{_NS('k')} <> {_NS('pk')})"
 
 
 @register("chg1_dns", _rows(
     ("pk IS NOT NULL AND k % 8 <> pk % 8", "A_CHANGED", "dns.a", _A("pk"), _A("k")),
     (f"pk IS NOT NULL AND {_NS('k')} <> {_NS('pk')}", "NS_CHANGED", "dns.ns", _NS("pk"), _NS("k")),
-    (_DNS_HIT, "DNS_CHANGED", "dns", "'summary'", "'summary'"),
+    (_DNS_HIT, "DNS_CHANGED", "dns", _STATE("pk"), _STATE("k")),
     ("pk IS NOT NULL AND pk % 4 <> 0 AND pk % 3 <> 0 AND k % 3 <> 0 AND k % 3 <> pk % 3", "ASN_CHANGED", "asn.number", "'[' || CAST(64500 + pk % 3 AS VARCHAR) || ']'", "'[' || CAST(64500 + k % 3 AS VARCHAR) || ']'"),
     ("pk IS NOT NULL AND k % 8 <> pk % 8", "IP_CHANGED", "dns.ips", _A("pk"), _A("k")),
 ), {"pairs": _LAG})
@@ -63,10 +67,7 @@ def chg1(spark, d):
         F.when(k % 5 == 0, empty).otherwise(F.array(F.concat(text("ns", 2), F.lit(".example.net")))).alias("ns"), empty.alias("txt"),
         F.when(k % 3 == 0, empty).otherwise(F.array((64500 + k % 3).cast("string"))).alias("asn"), empty.alias("cloud"), (k % 4 != 0).alias("has_asn"), F.lit(True).alias("has_cloud"),
     )
-    out = changes.diff_dns(_paired(spark, d, "dns", state), ["asset_id", "seq"]).select(*_KEEP)
-    summary = (F.col("change_type") == "DNS_CHANGED") & (F.col("field") == "dns")
-    hide = lambda c: F.when(summary, "summary").otherwise(F.col(c))  # noqa: E731  (the summary carries whole states)
-    return out.withColumns({"previous": hide("previous"), "current": hide("current")})
+    return changes.diff_dns(_paired(spark, d, "dns", state), ["asset_id", "seq"]).select(*_KEEP)
 
 
 _T = lambda k: f"CASE {k} % 4 WHEN 0 THEN '' WHEN 1 THEN 'home' WHEN 2 THEN 'login' END"

@@ -85,6 +85,36 @@ def ob1c(spark, d):
     return _http(spark, d).edges.groupBy("relationship_type").agg(F.count(F.lit(1)).alias("edges"))
 
 
+_OK_ROWS = """SELECT h.*, d.rule_id, d.reason FROM http_rows h JOIN scope_decided d ON d.program_id = 'P1' AND d.allowed AND d.target = (SELECT min(url) FROM http_obs o WHERE o.norm_url = h.norm_url)"""
+
+
+@register("ob1_http_event_payloads", """
+    SELECT h.page_id AS seq, 'HTTP_OBSERVATION' AS type, norm_url AS url, h.host AS domain, regexp_extract(norm_url, '^(https?)', 1) AS scheme, CAST(status_code AS VARCHAR) AS status_code, title, ip,
+        'j' || CAST(h.page_id % 5 AS VARCHAR) AS job_id, c.provider, CAST(a.asn AS VARCHAR) AS asn
+    FROM ok_rows h LEFT JOIN page_cloud c ON h.page_id = c.page_id LEFT JOIN page_asn a ON h.page_id = a.page_id""", {**HTTP_SETS, "ok_rows": _OK_ROWS})
+def ob1d(spark, d):
+    at = lambda p: F.get_json_object("payload", f"$.{p}")
+    return http.http_events(_http(spark, d).rows).select(
+        "seq", "type", at("url.full").alias("url"), at("url.domain").alias("domain"), at("url.scheme").alias("scheme"), at("http.response.status_code").alias("status_code"),
+        at("http.title").alias("title"), at("host.ip").alias("ip"), at("scan.job_id").alias("job_id"), at("cloud.provider").alias("provider"), at("asn.number").alias("asn"))
+
+
+@register("ob1_http_summary_rows", """
+    SELECT 'j' || CAST(page_id % 5 AS VARCHAR) AS job_id, CAST(count(*) FILTER (page_id % 10 = 9) AS BIGINT) AS malformed,
+        CAST(count(*) FILTER (page_id IN (SELECT page_id FROM ok_rows)) AS BIGINT) AS allowed, CAST(count(*) FILTER (page_id IN (SELECT page_id FROM http_rows) AND page_id NOT IN (SELECT page_id FROM ok_rows)) AS BIGINT) AS refused
+    FROM http_obs GROUP BY 1""", {**HTTP_SETS, "ok_rows": _OK_ROWS})
+def ob1e(spark, d):
+    plan = _http(spark, d)
+    rows = http.summary_rows(plan.extra["parsed"], plan.rows)
+    return rows.groupBy("job_id").agg(F.count_if("malformed").alias("malformed"), F.count_if("allowed").alias("allowed"), F.count_if(~F.col("malformed") & ~F.col("allowed")).alias("refused"))
+
+
+@register("ob1_http_links", """
+    SELECT page_id AS seq, norm_url AS asset_id, true AS allowed, rule_id AS scope_id, reason FROM ok_rows""", {**HTTP_SETS, "ok_rows": _OK_ROWS})
+def ob1f(spark, d):
+    return http.link_decisions(_http(spark, d).states, rules_of(spark)).select("seq", "asset_id", "allowed", "scope_id", "reason")
+
+
 # --- TLS -----------------------------------------------------------------------------------------------------
 
 _SANS = "SELECT page_id, unnest(list_distinct([host, 'www.' || host, 'other.example.org'])) AS san FROM http_obs WHERE page_id % 10 <> 9 AND page_id % 6 <> 5"

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from palisade.catalogue.changing import _LAG
 from palisade.catalogue.parsing import EVENT_LINE, _RAW
+from palisade.catalogue.platform import POOL, _QUEUES
 from palisade.catalogue.registry import register
 from palisade.catalogue.scoping import _URLS, _ctes
 from palisade.catalogue.standins import _K, standin
@@ -107,11 +108,11 @@ def st7(spark, d):
 
 
 @register("st8_metric_stream", """
-    SELECT strftime(max(ts), '%Y-%m-%d %H') AS tick, 8 AS queues FROM events""")
+    SELECT (SELECT strftime(max(ts), '%Y-%m-%d %H') FROM events) AS tick, queue AS queue_name, pending, workers, busy_workers FROM pool""", {"queues": _QUEUES, "pool": POOL})
 def st8(spark, d):
     f = _folders(spark, "st8")
     route.queue_metric_stream(
         _events(spark, d).select("ts"), lambda: standin(spark, d, "jobs"), lambda: standin(spark, d, "workers"), output=f["output"], checkpoint=f["checkpoint"]
     )
     out = spark.read.parquet(f"{f['output']}/batch=*")
-    return out.groupBy("ts").agg(F.count(F.lit(1)).cast("int").alias("queues")).select(F.date_format("ts", "yyyy-MM-dd HH").alias("tick"), "queues")
+    return out.select(F.date_format("ts", "yyyy-MM-dd HH").alias("tick"), "queue_name", "pending", "workers", "busy_workers")

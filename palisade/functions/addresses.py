@@ -29,10 +29,6 @@ def v4_bits(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\."), lambda o: F.lpad(F.conv(o, 10, 2), 8, "0")), "")
 
 
-def v4_bits_of_long(value: Column) -> Column:
-    return F.lpad(F.bin(value), 32, "0")
-
-
 def v6_bits(groups: Column) -> Column:
     """Bits of eight colon-separated hexadecimal groups."""
     return F.array_join(F.transform(F.split(groups, ":"), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")

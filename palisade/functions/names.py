@@ -18,18 +18,15 @@ _TLD = r"(?:[a-z]{2,63}|xn--[a-z0-9-]{0,58}[a-z0-9])"
 
 
 def _label_encoder():
-    """Arrow UDF giving the ASCII form of names with non-ASCII labels; NULL when a label cannot be encoded (or
-    idna is missing).  Made on demand and self-contained, so executors need not have this package installed."""
+    """Arrow UDF giving the ASCII form of names with non-ASCII labels; NULL when a label cannot be encoded.  Without the idna
+    module the first such name is an error.  Made on demand and self-contained, so executors need not have this package installed."""
 
     def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import idna
-        except ImportError:
-            idna = None
-
         def encode(name):
-            if name is None or idna is None:
+            if name is None:
                 return None
+            import idna
+
             out = []
             for label in name.split("."):
                 if label and not label.isascii():
@@ -83,10 +80,10 @@ def domain_error(raw: Column, name: Column) -> Column:
 
 
 @recorded
-def normalize_domains(df: DataFrame, col: str, out: str = "domain", *, idn: bool = False) -> DataFrame:
+def normalize_domains(df: DataFrame, col: str, out: str = "domain", *, idn: bool = True) -> DataFrame:
     """Add ``out`` = struct(value, error): lower-case ASCII name without trailing dot.
 
-    ``idn`` also accepts international names (one Arrow UDF); without it they are rejected.
+    International names get their ASCII form by one Arrow UDF; with ``idn=False`` they are rejected and no Python runs.
     """
     if idn:
         df = with_ascii_name(df, strip(F.col(col)), "__d_raw")
@@ -166,7 +163,7 @@ def wildcard_error(raw: Column, base: Column, base_error: Column, suffixes: Coll
 
 @recorded
 def normalize_wildcards(
-    df: DataFrame, col: str, out: str = "wildcard", *, suffixes: Collection[str] = K.PUBLIC_SUFFIXES, idn: bool = False
+    df: DataFrame, col: str, out: str = "wildcard", *, suffixes: Collection[str] = K.PUBLIC_SUFFIXES, idn: bool = True
 ) -> DataFrame:
     """Add ``out`` = struct(value, error): ``*.`` plus a normalised name that is not a public suffix."""
     df = df.withColumn("__w_raw", strip(F.col(col)))

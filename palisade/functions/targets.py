@@ -32,7 +32,7 @@ def normalize_asns(df: DataFrame, col: str, out: str = "asn") -> DataFrame:
 
 @recorded
 def classify(
-    df: DataFrame, col: str, out: str = "t", *, idn: bool = False, suffixes: Collection[str] = K.PUBLIC_SUFFIXES
+    df: DataFrame, col: str, out: str = "t", *, idn: bool = True, suffixes: Collection[str] = K.PUBLIC_SUFFIXES
 ) -> DataFrame:
     """Add ``out`` = struct(kind, value, error, host, ip_version, net_bits, asn, url).
 
@@ -138,7 +138,8 @@ def classify(
 
 
 @recorded
-def normalize_scope_values(df: DataFrame, type_col: str, value_col: str, out: str = "scope", *, idn: bool = False) -> DataFrame:
+def normalize_scope_values(df: DataFrame, type_col: str, value_col: str, out: str = "scope", *, idn: bool = True, suffixes: Collection[str] = K.PUBLIC_SUFFIXES
+) -> DataFrame:
     """Add ``out`` = classification of a scope value checked against its declared type (``error`` on mismatch)."""
     declared = F.lower(strip(F.col(type_col)))
     # an ASN may be declared without its prefix
@@ -146,7 +147,7 @@ def normalize_scope_values(df: DataFrame, type_col: str, value_col: str, out: st
         (declared == "asn") & F.col(value_col).rlike(r"^\s*[0-9]{1,10}\s*$"), F.concat(F.lit("AS"), strip(F.col(value_col)))
     ).otherwise(strip(F.col(value_col)))
     # a wildcard may be declared in any case; the base is lowered by the name rules
-    df = classify(df.withColumn("__v", text), "__v", "__c", idn=idn)
+    df = classify(df.withColumn("__v", text), "__v", "__c", idn=idn, suffixes=suffixes)
     c = F.col("__c")
     error = (
         F.when(~declared.isin(*K.SCOPE_TYPES) | declared.isNull(), "unsupported_type")
@@ -164,11 +165,6 @@ def normalize_scope_values(df: DataFrame, type_col: str, value_col: str, out: st
     ).drop("__v", "__c")
 
 
-@recorded
-def infer_scope_type(df: DataFrame, col: str, out: str = "scope_type") -> DataFrame:
-    return classify(df, col, "__c").withColumn(out, F.col("__c.kind")).drop("__c")
-
-
 def asset_type(kind: Column, value: Column, suffixes: Collection[str] = K.PUBLIC_SUFFIXES) -> Column:
     """A domain that is its own registrable domain is ``domain``, any other name ``subdomain``; else the kind."""
     return F.when(

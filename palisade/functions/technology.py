@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from palisade import constants as K
 from palisade.functions.common import blank_to_null, let, lookup, opaque, recorded, strip
 
-_VERSION = r"(?i)^v?([0-9]+(?:\.[0-9]+){0,3}[a-z0-9.+-]*)$"
-_SERVER = r"^([A-Za-z][A-Za-z0-9 ._-]*?)(?:/([0-9][A-Za-z0-9.+-]*))?(?:\s.*)?$"
-_TOKEN = r"^[a-z0-9._\-\\!]{1,128}$"
-_CPE_VERSION = r"^[0-9][0-9a-z._\-]{0,63}$"
 _VENDORS = {k: v[0] for k, v in K.VENDOR_PRODUCT.items()}
 _PRODUCTS = {k: v[1] for k, v in K.VENDOR_PRODUCT.items()}
 
@@ -28,7 +24,7 @@ def canonical_name(name: Column) -> Column:
 
 def clean_version(v: Column) -> Column:
     """The version text without a leading v; NULL for anything that does not look like one."""
-    found = F.regexp_extract(strip(v), _VERSION, 1)
+    found = F.regexp_extract(strip(v), K.VERSION_PATTERN, 1)
     return F.when(found != "", found)
 
 
@@ -64,11 +60,11 @@ def from_fingerprint(entry: Column) -> Column:
 def from_server_header(header: Column) -> Column:
     """'nginx/1.24.0 (Ubuntu)'; NULL when the header does not start with a product name."""
     text = strip(header)
-    version = F.regexp_extract(text, _SERVER, 2)
+    version = F.regexp_extract(text, K.SERVER_PATTERN, 2)
     built = technology(
-        F.regexp_extract(text, _SERVER, 1), F.when(version != "", version), "httpx-server-header", header
+        F.regexp_extract(text, K.SERVER_PATTERN, 1), F.when(version != "", version), "httpx-server-header", header
     )
-    return F.when(text.rlike(_SERVER), built)
+    return F.when(text.rlike(K.SERVER_PATTERN), built)
 
 
 def from_cpe(cpe: Column, source: str = "bbot-cpe") -> Column:
@@ -124,7 +120,7 @@ def _compare(a: Column, b: Column) -> Column:
 
 def build_cpe(vendor: Column, product: Column, version: Column) -> Column:
     v, p, n = F.lower(vendor), F.lower(product), F.lower(version)
-    ok = v.rlike(_TOKEN) & p.rlike(_TOKEN) & n.rlike(_CPE_VERSION)
+    ok = v.rlike(K.TOKEN_PATTERN) & p.rlike(K.TOKEN_PATTERN) & n.rlike(K.CPE_VERSION_PATTERN)
     return F.when(ok, F.concat(F.lit("cpe:2.3:a:"), v, F.lit(":"), p, F.lit(":"), n, F.lit(":*:*:*:*:*:*:*")))
 
 

@@ -197,7 +197,7 @@ def with_url_struct(
 
 
 @recorded
-def normalize_urls(df: DataFrame, col: str, out: str = "u", *, idn: bool = False) -> DataFrame:
+def normalize_urls(df: DataFrame, col: str, out: str = "u", *, idn: bool = True) -> DataFrame:
     """Add ``out`` = struct(value, error, scheme, host, host_type, port, path, query, url_hash, endpoint,
     endpoint_hash, parameters, origin).  Only http(s); no userinfo; default port, dot segments and fragment go;
     the query is sorted."""

@@ -188,7 +188,3 @@ def asset_id(asset_type: Column, value: Column) -> Column:
 
 def confidence_of(source: str) -> float:
     return K.SOURCE_CONFIDENCE.get(source, K.DEFAULT_CONFIDENCE)
-
-
-def confidence_column(source: Column) -> Column:
-    return lookup(K.SOURCE_CONFIDENCE, source, K.DEFAULT_CONFIDENCE)

@@ -24,6 +24,7 @@ inclusion, deny.  Ties: the exclusion with the most specific name, then the smal
 from __future__ import annotations
 
 import weakref
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,16 +42,17 @@ KEY_ROW_BYTES = 250  # of a broadcast rule key with its decision
 _DENY = "not in approved scope"
 
 
-def scope_rules(rules: DataFrame, *, idn: bool = False) -> DataFrame:
+def scope_rules(rules: DataFrame, *, idn: bool = True, suffixes: Collection[str] = K.PUBLIC_SUFFIXES) -> DataFrame:
     """Validated rules from (rule_id, program_id, type, mode, value[, program_name]).
 
+    ``suffixes``: public suffixes, over which no wildcard is accepted; pass the full list in production, as a suffix that is missing is not refused.
     Adds ``error``; a caller that must fail closed checks that no row has one (see ``streaming.route``).
     """
     if estimated_bytes(rules) < BROADCAST_BYTES:
         # small in bytes but costly per row, and often a single file: spread the rows over some cores
         rules = rules.repartition(min(64, rules.sparkSession.sparkContext.defaultParallelism))
     df = rules if "program_name" in rules.columns else rules.withColumn("program_name", F.lit(None).cast("string"))
-    return _rule_columns(normalize_scope_values(df, "type", "value", "__n", idn=idn))
+    return _rule_columns(normalize_scope_values(df, "type", "value", "__n", idn=idn, suffixes=tuple(suffixes)))
 
 
 @recorded
@@ -265,7 +267,7 @@ def _refused(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def evaluate_scope(targets: DataFrame, rules: DataFrame, *, idn: bool = False) -> DataFrame:
+def evaluate_scope(targets: DataFrame, rules: DataFrame, *, idn: bool = True) -> DataFrame:
     """Decision of each distinct target in each program with a matching rule.
 
     With a ``program_id`` column in ``targets`` each (target, program) pair is decided and deny rows are present;
@@ -284,7 +286,7 @@ def evaluate_scope(targets: DataFrame, rules: DataFrame, *, idn: bool = False) -
     return _with_decision_columns(grouped)
 
 
-def scope_overall(targets: DataFrame, rules: DataFrame, *, idn: bool = False) -> DataFrame:
+def scope_overall(targets: DataFrame, rules: DataFrame, *, idn: bool = True) -> DataFrame:
     """One decision per distinct target over all programs: allowed if any allows (``allowed_programs``), else the
     first exclusion, else deny.  "First" is the smallest program id."""
     hits = _matches(targets.select("target"), rules, ["target"], idn)
@@ -307,7 +309,7 @@ def scope_overall(targets: DataFrame, rules: DataFrame, *, idn: bool = False) ->
     return _refused(out)
 
 
-def with_decision(rows: DataFrame, rules: DataFrame, target: str, program: str, *, idn: bool = False) -> DataFrame:
+def with_decision(rows: DataFrame, rules: DataFrame, target: str, program: str, *, idn: bool = True) -> DataFrame:
     """Attach ``decision`` (struct) to every row: distinct (target, program) pairs are decided once, then joined."""
     pairs = rows.select(F.col(target).alias("target"), F.col(program).alias("program_id"))
     decided = evaluate_scope(pairs, rules, idn=idn)

@@ -7,13 +7,14 @@ looks at the last 30 days before ``now``.  Results share one shape: (panel, k1,
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators import ranking
+from palisade.plans.base import Stage, staged
 
 DEFAULT_DAYS = 30
 
@@ -198,10 +199,37 @@ def run_panel(events: DataFrame, panel: Panel, now: Column, interval: str = "day
     return out.select(F.lit(panel.id).alias("panel"), "k1", "k2", "k3", F.col("value").cast("double").alias("value"))
 
 
-def run_dashboard(indices: Mapping[str, DataFrame], name: str, now: Column, interval: str = "day", exact: bool = True) -> DataFrame:
-    """All panels of a dashboard; ``indices`` maps index names (``bb-all`` included where used) to event tables."""
+def used_columns(panels: Sequence[Panel]) -> set[str]:
+    """Top-level columns that the panels read."""
+    paths = {"ts"}
+    for p in panels:
+        paths |= {*p.fields, *p.where.equals, *p.where.differs, *p.where.exists, *([p.metric[1]] if p.metric else [])}
+    return {path.split(".")[0] for path in paths}
+
+
+def window_of(events: DataFrame, panels: Sequence[Panel], now: Column) -> DataFrame:
+    """What the panels of one index look at: its recent documents with the columns they read; months outside the window are pruned
+    where the table has them as a partition column."""
+    rows = events.filter(recent(now))
+    if "ym" in events.columns:
+        first = F.date_format(now - F.make_interval(days=F.lit(DEFAULT_DAYS)), "yyyy.MM")
+        rows = rows.filter(F.col("ym").between(first, F.date_format(now, "yyyy.MM")))
+    used = used_columns(panels)
+    return rows.select(*[c for c in events.columns if c in used])
+
+
+def run_dashboard(
+    indices: Mapping[str, DataFrame], name: str, now: Column, interval: str = "day", exact: bool = True, stage: Stage = staged("panel-window"),
+) -> DataFrame:
+    """All panels of a dashboard; ``indices`` maps index names (``bb-all`` included where used) to event tables.
+
+    Every index is scanned once: its window is written (``stage``) and the panels read that."""
+    panels = DASHBOARDS[name]
+    windows = {
+        i: stage(window_of(indices[i], [p for p in panels if p.index == i], now)) for i in dict.fromkeys(p.index for p in panels)
+    }
     out = None
-    for panel in DASHBOARDS[name]:
-        one = run_panel(indices[panel.index], panel, now, interval, exact)
+    for panel in panels:
+        one = run_panel(windows[panel.index], panel, now, interval, exact)
         out = one if out is None else out.unionByName(one)
     return out

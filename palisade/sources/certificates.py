@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _instant(c: Column) -> Column:
     return F.when(c > 0, F.timestamp_seconds(c))
 
 
-def parse_ct(messages: DataFrame, col: str = "value") -> DataFrame:
+def parse_ct(messages: DataFrame, col: str = "value", suffixes: Collection[str] = K.PUBLIC_SUFFIXES) -> DataFrame:
     """One row per certificate update: fingerprint (SHA-256, else ``sha1:``), sorted names, wildcards, rejects, flags.
 
     Both server formats are read; other messages and certificates without a fingerprint are dropped."""
@@ -41,7 +43,7 @@ def parse_ct(messages: DataFrame, col: str = "value") -> DataFrame:
         wild = F.startswith(n, F.lit("*."))
         raw = F.when(wild, F.substring(strip(n), 3, REST)).otherwise(strip(n))
         name = bare_name(raw)
-        bad = domain_error(raw, name).isNotNull() | (wild & is_public_suffix(name, K.PUBLIC_SUFFIXES))
+        bad = domain_error(raw, name).isNotNull() | (wild & is_public_suffix(name, suffixes))
         return F.struct(n.alias("raw"), wild.alias("wild"), F.when(~bad, name).alias("name"))
 
     df = opaque(df, __judged=F.transform("__names", judged))

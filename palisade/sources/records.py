@@ -43,7 +43,7 @@ def _entries(lines: DataFrame, col: str) -> DataFrame:
     return df.filter((F.col("raw") != "") & ~F.startswith(F.col("raw"), F.lit("#"))).select("raw").distinct()
 
 
-def parse_domain_list(lines: DataFrame, col: str = "value", *, idn: bool = False) -> tuple[DataFrame, DataFrame]:
+def parse_domain_list(lines: DataFrame, col: str = "value", *, idn: bool = True) -> tuple[DataFrame, DataFrame]:
     """(entries(value, type), rejected(raw, error)) of a list of names, wildcards and addresses with '#' comments."""
     df = classify(_entries(lines, col), "raw", "t", idn=idn)
     accepted = F.col("t.kind").isin("domain", "wildcard", "ipv4", "ipv6")

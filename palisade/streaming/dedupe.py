@@ -71,12 +71,3 @@ def once_only_stream(stream: DataFrame, key: str, order: list[str], *, state: st
         save_state(before.unionByName(written.select(key)), state, batch_id)
 
     return run_batches(stream, process, checkpoint, trigger=trigger)
-
-
-def watermark_dedupe(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Cheaper native variant: duplicates within the watermark are dropped.  It may suppress longer than a TTL."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
-def time_bucket(ts: Column, seconds: int) -> Column:
-    return F.window(ts, f"{seconds} seconds")

@@ -34,10 +34,13 @@ def test_domains(spark):
 
 
 def test_international_names(spark):
-    pytest.importorskip("idna")
-    got = as_map(names.normalize_domains(column(spark, ["münchen.de", "BÜCHER.example", "ok.com"]), "v", idn=True), "v", "domain.value")
-    assert got == {"münchen.de": "xn--mnchen-3ya.de", "BÜCHER.example": "xn--bcher-kva.example", "ok.com": "ok.com"}
-    assert as_map(names.normalize_domains(column(spark, ["münchen.de"]), "v"), "v", "domain.error") == {"münchen.de": "invalid_idn"}
+    want = {"birnen.straße.test": "birnen.xn--strae-oqa.test", "GRÜN.test": "xn--grn-ioa.test", "plain.test": "plain.test", "pear\u2028.test": None}
+    df = column(spark, list(want))
+    assert as_map(names.normalize_domains(df, "v"), "v", "domain.value") == want
+    assert as_map(names.normalize_domains(df, "v", idn=False), "v", "domain.error")["GRÜN.test"] == "invalid_idn"
+    got = as_map(urls.normalize_urls(column(spark, ["https://grün.test/ä"]), "v"), "v", "u.value")
+    assert got == {"https://grün.test/ä": "https://xn--grn-ioa.test/%C3%A4"}
+    assert as_map(targets.classify(column(spark, ["*.grün.test"]), "v"), "v", "t.value") == {"*.grün.test": "*.xn--grn-ioa.test"}
 
 
 def test_wildcards(spark):

@@ -23,6 +23,7 @@ RULES = [
 CASES = {
     # names: below a wildcard, the apex by its own rule, an excluded name with all below it, look-alikes
     "green.harbour-tea.test": "a1", "x.y.z.harbour-tea.test": "a1", "harbour-tea.test": "a4", "staff.harbour-tea.test": "a1",
+    "grüntee.harbour-tea.test": "a1", "grüntee.zone-nine.test": None,
     "vault.harbour-tea.test": None, "old.vault.harbour-tea.test": None, "rota.staff.harbour-tea.test": None,
     "notharbour-tea.test": None, "harbour-tea.test.zone-nine.test": None, "zone-nine.test": None, "Green.HARBOUR-tea.test.": "a1",
     # addresses and networks: inside, at and over the edge, overlapping an excluded address
@@ -77,6 +78,12 @@ def test_overall(spark, rules):
     assert not got["*.zone-nine.test"]["allowed"] and got["*.zone-nine.test"]["reason"].startswith("wildcard patterns")
 
 
+def test_wildcards_over_given_suffixes_are_refused(spark):
+    rules = literal_table(spark, [("r1", "p", "wildcard", "include", "*.shops.test"), ("r2", "p", "wildcard", "include", "*.tea.shops.test")], "rule_id string, program_id string, type string, mode string, value string")
+    errors = {r["rule_id"]: r["error"] for r in scope.scope_rules(rules, suffixes=["test", "shops.test"]).collect()}
+    assert errors == {"r1": "public_suffix", "r2": None}
+
+
 def test_empty_rules_deny(spark):
     got = scope.evaluate_scope(literal_table(spark, [("example.com", "P1")], "target string, program_id string"), rule_table(spark, []))
     assert [r["allowed"] for r in got.collect()] == [False]
