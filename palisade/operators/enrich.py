@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as K
-from palisade.functions.common import lookup
 from palisade.functions.values import content_id
 from palisade.operators.skew import first_per_key, lookup_join, with_next
 

@@ -6,7 +6,6 @@ import hashlib
 import ipaddress
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import addresses, names, targets, technology, urls, values
