@@ -19,6 +19,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palisade.llm.common import fold, spaced_words, staged
 
@@ -117,8 +118,8 @@ def weights(grams: DataFrame, history_counts: DataFrame, discount: float, min_co
     """(gram, p, bow): share of the gram after its history, discounted (null: not kept), and its backoff weight as a history (null: no state).
 
     Absolute discounting: what is taken from kept n-grams, and the mass of those that are not kept, goes to the shorter history."""
-    totals = staged(grams.groupBy("gram").agg(F.sum("n").alias("c")).filter("c > 0"), "lm-grams")
-    kept = totals.filter(F.col("c") >= min_count).withColumn("history", F.shiftright("gram", BITS))
+    totals = staged(grams.groupBy("gram").agg(F.sum("n").alias("c")).filter(F.col("c") >= max(1, min_count)), "lm-grams")
+    kept = totals.withColumn("history", F.shiftright("gram", BITS))  # a history is as frequent as what follows it, so it is kept too
     counts = history_counts.union(totals.select("gram", "c")).withColumnsRenamed({"gram": "history", "c": "of"})
     state = kept.groupBy("history").agg(F.sum(F.col("c") - discount).alias("used")).join(counts, "history")
     state = state.select("history", "of", (1 - F.col("used") / F.col("of")).alias("bow"))
@@ -197,7 +198,11 @@ def score(
     blocks = blocks_and_counts(rows, block_chars)
     texts = blocks.filter("kind = 0").select("block", "doc_id", "train", "text")
     per_block = blocks.filter("kind = 1").select("block", F.col("text").alias("word"), "n")
-    words = staged(per_block.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    # one row per word and block, so a frequent word has as many rows as there are blocks
+    same = Window.partitionBy("word")
+    counted = per_block.select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("once"))
+    counted = staged(counted, "lm-words")
+    words = counted.filter("once").select("word", "c")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = total["n"], total["v"]
     # at most 1 / share words can have that share of all tokens
@@ -210,8 +215,8 @@ def score(
     model = weights(grams, one_word, discount, min_count)
     first_bow = spark.sparkContext.broadcast({r["gram"]: r["bow"] for r in model.filter(f"gram < {1 << BITS} AND bow IS NOT NULL").collect()})
     none = lambda kind: F.lit(None).cast(kind)
-    reach = per_block.join(words, "word").select("block", "word", F.col("c"), none("long").alias("gram"), none("double").alias("p"), none("double").alias("bow")).union(
-        grams.select("block", "gram").distinct().join(model, "gram").select("block", none("string"), none("long"), "gram", "p", "bow"))
+    reach = counted.select("block", "word", F.col("c"), none("long").alias("gram"), none("double").alias("p"), none("double").alias("bow")).union(
+        grams.select("block", "gram").join(model, "gram").select("block", none("string"), none("long"), "gram", "p", "bow"))
 
     def read(key, texts, parts):
         is_word = parts.column("word").is_valid()
