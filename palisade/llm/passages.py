@@ -120,7 +120,8 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, line): the lower-cased words of each wanted paragraph (key, doc_id, h, start, end), fetched from its text."""
     per_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "start", "end")).alias("spans"))
     per_doc = staged(per_doc, "wanted").withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    met = docs.join(small(per_doc, 512), docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["h"] == F.col("__h"))).select("text", "spans")
+    # a large share of all texts is wanted, so the table of spans grows with the corpus: a shuffle join at every size
+    met = docs.join(per_doc, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["h"] == F.col("__h"))).select("text", "spans")
 
     def take(batches):
         for b in batches:
