@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, langid, mixing, passages, simhash
-from palisade.llm.common import read, small, staged
+from palisade.llm.common import read, settled, small, staged
 
 #: A document is rejected if no language of the set makes up this share of its words.
 MIN_LANGUAGE_SHARE = 0.3
@@ -42,10 +42,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+@settled("pipeline-contaminated")
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(__id, __h) of the documents that hold a window of an item."""
+    found = decontaminate.decontaminate(docs, items)
+    return found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    bad = staged(found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct(), "pipeline-contaminated")
+    bad = contaminated(docs, read(spark, sf_dir, "benchmark"))
     met = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
     return docs.join(small(bad, 64), met, "left_anti")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,41 @@ def spaced_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().lower().split()
 
 
+_local = threading.local()
+
+
+def _written() -> list[str]:
+    """Folders that this thread has staged, oldest first."""
+    if not hasattr(_local, "paths"):
+        _local.paths = []
+    return _local.paths
+
+
+def settled(name: str):
+    """For a function that returns a DataFrame: the result is staged, and what the function staged on the way is deleted."""
+
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run(*args, **kwargs):
+            mark = len(_written())
+            out = staged(fn(*args, **kwargs), name)
+            spark, paths = out.sparkSession, _written()
+            for path in paths[mark:-1]:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            del paths[mark:-1]
+            return out
+
+        return run
+
+    return wrap
+
+
 def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """The rows, written once below ``spark.checkpoint.dir`` and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark, f"llm-{name}")
+    _written().append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -90,6 +122,7 @@ class Forest:
         return True
 
 
+@settled("components")
 def components(edges: DataFrame, staged_name: str = "cc") -> DataFrame:
     """(node, component) for every node of the edges (a, b: long); component is the smallest node reachable.
 

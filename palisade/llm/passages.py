@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import Forest, components, small, spaced_words, staged, union_length, with_documents
+from palisade.llm.common import Forest, components, settled, small, spaced_words, staged, union_length, with_documents
 from palisade.llm.simhash import SEED, shingle_hashes
 
 SHINGLE = 5
@@ -181,6 +181,7 @@ def near_paragraphs(docs: DataFrame, lines: DataFrame, threshold: float) -> Data
     return components(verified_links(rows, threshold))
 
 
+@settled("repeats")
 def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, band_rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, start, end, kind, keep_id, kept): every occurrence of a repeated paragraph or passage, as a span of words.
 
@@ -210,7 +211,7 @@ def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, band_
         return rows.select("doc_id", "h", "start", "end", F.lit(kind).alias("kind"), F.col("keep.doc_id").alias("keep_id"), kept.alias("kept"))
 
     spans = occurrences(lines, line_keys, "paragraph").union(occurrences(passages, keeps, "passage"))
-    return staged(spans.distinct(), "repeats")
+    return spans.distinct()
 
 
 def summary(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
