@@ -185,7 +185,7 @@ class Automaton:
 
 
 def score(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] = (1e-5, 1e-4),
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] = (5e-5, 5e-4),
     discount: float = 0.75, min_count: int = 2, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
