@@ -1,32 +1,34 @@
 """Scoring by a word n-gram model as a weighted backoff automaton.
 
-States are histories: none, one word, two words.  An arc of a state reads a word and carries the log-probability of the word after that history; a failure
-arc carries the backoff weight to the state of the shorter history.  One pass over a text, from left to right, carries the state and adds up.
+States are histories: none, one word, two words.  An arc of a state reads a word and carries the probability of the word after that history; a failure
+arc carries the backoff weight to the state of the shorter history.  All positions of a block of texts take their arcs at once.
 
-The word table grows with the corpus and fits no task, so texts are cut into blocks of bounded size; each block counts its words once, the counts are
-summed over all blocks, and each block gets back the part of the model that its own texts can reach.  Words that make up a share of at least
-``shares[0]`` of all training tokens may stand in two-word n-grams, those of ``shares[1]`` in three-word ones: at most 1 / share words.
+The word table grows with the corpus and fits no task, so texts are cut into blocks of bounded size; each block counts its words and n-grams once.  Every word
+may stand in n-grams.  N-grams go by 64-bit hashes to shards; a two-word n-gram lies in one shard with all that follow it, so a shard counts both, weighs
+both, and sends each block back what was kept of the block's own n-grams.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palisade.llm.common import fold, spaced_words, staged
+from palisade.llm.simhash import SEED
 
 #: The end of a text; cannot occur inside a word.
 END = b"\n"
 BLOCK_CHARS = 16 << 20
-BITS = 20
+#: Text that one shard of n-grams stands for, at most.
+SHARD_CHARS = 16 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,122 +79,249 @@ def blocks_and_counts(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFr
     return staged(rows, "lm-blocks", ["kind"])
 
 
-def count_grams(docs: DataFrame, ids, narrow: int) -> DataFrame:
-    """(block, gram, n): two-word n-grams of known words and three-word ones of the first ``narrow`` words; n in training documents.
-
-    A gram is a number: BITS bits for each word's number + 1, the first word highest."""
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of a sequence from the hash of its front and that of its last word."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def packed(a: np.ndarray) -> bytes:
+    """The numbers byte by byte, high bytes together, compressed."""
+    flat = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True)
+
+
+def unpacked(part: bytes, kind) -> np.ndarray:
+    flat = pa.decompress(part[8:], int.from_bytes(part[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def all_of(column, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(unpacked(x, kind) for x in column.to_pylist())])
+
+
+def spelled(h: np.ndarray, *places: np.ndarray) -> list[bytes]:
+    """The hashes of the words that occur in the lists of places of ``h``, the most frequent first, and the lists by these."""
+    used, which, n = np.unique(np.concatenate(places), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    ends = np.cumsum([len(x) for x in places])[:-1]
+    return [h[used[order]].tobytes(), *(packed(x) for x in np.split(rank[which], ends))]
+
+
+def read_words(table, names) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(hashes of all rows' words, for each name the places of its words there, number of two-word n-grams of each row)."""
+    words, out, sizes, at = [np.empty(0, np.uint64)], {x: [np.empty(0, np.int64)] for x in names}, [], 0
+    for i, w in enumerate(table.column("words").to_pylist()):
+        words.append(np.frombuffer(w, np.uint64))
+        for x in names:
+            out[x].append(unpacked(table.column(x)[i].as_py(), np.uint32).astype(np.int64) + at)
+        sizes.append(len(out[names[0]][-1]))
+        at += len(words[-1])
+    return np.concatenate(words), [np.concatenate(out[x]) for x in names], np.array(sizes, np.int64)
+
+
+def encoded(texts: list) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their hashes, word number of each token, place of each token in its text)."""
+    known = defaultdict()
+    known.default_factory = known.__len__
+    found = [np.array([known[w] for w in tokens(t)], np.int32) for t in texts]
+    sizes = np.array([len(x) for x in found], np.int64)
+    words = list(known)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return pa.array(words, pa.large_binary()), h, np.concatenate(found).astype(np.int64), place
+
+
+def block_grams(texts: DataFrame, bits: int, allowed) -> DataFrame:
+    """One row per shard and block: hashes of words; the block's two-word n-grams (a, b: places of their words), their count in training
+    documents (n), how many different words follow (k), and those words (w3) with the count of the three-word n-gram (n3).
+
+    ``allowed``: broadcast (words for two-word n-grams, words for three-word ones), or None for all words."""
+    names = ["shard", "block", "words", "a", "b", "n", "k", "w3", "n3"]
+
+    def rows(at, texts, train):
+        words, h, code, place = encoded(texts)
+        ends = np.flatnonzero(place == 0)
+        counted = np.repeat(np.array(train, np.float64), np.diff(np.append(ends, len(place))))
+        second, third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        if allowed is not None:
+            wide, narrow = (np.array([w in known for w in words.to_pylist()], bool)[code] for known in allowed.value)
+            second = second[wide[second - 1] & wide[second]]
+            third = third[(wide & narrow)[third - 2] & (wide & narrow)[third - 1] & (wide & narrow)[third]]
+        grams, which = np.unique(code[second - 1] << 32 | code[second], return_inverse=True)
+        a, b = grams >> 32, grams & 0xFFFFFFFF
+        shard = (mix(h[a], h[b]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        which, a, b, shard = rank[which], a[order], b[order], shard[order]
+        n = np.bincount(which, counted[second], len(a)).astype(np.uint32)
+        pair = np.empty(len(code), np.int64)
+        pair[second] = which
+        follow, which = np.unique(pair[third - 1] << 32 | code[third], return_inverse=True)
+        n3 = np.bincount(which, counted[third], len(follow)).astype(np.uint32)
+        w3 = follow & 0xFFFFFFFF
+        k = np.bincount(follow >> 32, minlength=len(a)).astype(np.uint32)
+        after = np.concatenate([[0], np.cumsum(k, dtype=np.int64)])
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
+        out = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+            x, y = after[s], after[e]
+            words, one, two, three = spelled(h, a[s:e], b[s:e], w3[x:y])
+            out.append((int(shard[s]), at, words, one, two, packed(n[s:e]), packed(k[s:e]), three, packed(n3[x:y])))
+            if len(out) == 64:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out):
+        shard, at, *parts = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(at, pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=names)
 
     def count(batches):
-        known, at = ids.value, None
-        grams: dict[bool, list[np.ndarray]] = {True: [], False: []}
-
-        def flush():
-            found, n = np.unique(np.concatenate(grams[True] or [np.empty(0, np.int64)]), return_counts=True)
-            rest = np.setdiff1d(np.concatenate(grams[False] or [np.empty(0, np.int64)]), found)
-            key, n = np.concatenate([found, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])
-            grams[True], grams[False] = [], []
-            for i in range(0, len(key), 100_000):
-                k = key[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), at)), pa.array(k), pa.array(n[i : i + 100_000])], names=["block", "gram", "n"])
-
-        get = known.get
+        at, texts, train = None, [], []
         for b in batches:
-            for block, text, train in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist()):
+            for block, text, counted in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist()):
                 if block != at:
-                    if at is not None:
-                        yield from flush()
-                    at = block
-                v = np.array([get(w, 0) for w in tokens(text)], np.int64)
-                two = (v[:-1] > 0) & (v[1:] > 0)
-                pair = (v[:-1] << BITS) | v[1:]
-                grams[train].append(pair[two])
-                three = (np.maximum(np.maximum(v[:-2], v[1:-1]), v[2:]) <= narrow) & two[:-1] & two[1:]
-                grams[train].append(((pair[:-1] << BITS) | v[2:])[three])
-        if at is not None:
-            yield from flush()
-
-    return docs.select("block", "text", "train").mapInArrow(count, "block long, gram long, n long")
-
-
-def weights(grams: DataFrame, history_counts: DataFrame, discount: float, min_count: int) -> DataFrame:
-    """(gram, p, bow): share of the gram after its history, discounted (null: not kept), and its backoff weight as a history (null: no state).
-
-    Absolute discounting: what is taken from kept n-grams, and the mass of those that are not kept, goes to the shorter history."""
-    totals = staged(grams.groupBy("gram").agg(F.sum("n").alias("c")).filter(F.col("c") >= max(1, min_count)), "lm-grams")
-    kept = totals.withColumn("history", F.shiftright("gram", BITS))  # a history is as frequent as what follows it, so it is kept too
-    counts = history_counts.union(totals.select("gram", "c")).withColumnsRenamed({"gram": "history", "c": "of"})
-    state = kept.groupBy("history").agg(F.sum(F.col("c") - discount).alias("used")).join(counts, "history")
-    state = state.select("history", "of", (1 - F.col("used") / F.col("of")).alias("bow"))
-    arcs = kept.join(state.select("history", "of"), "history").select("gram", ((F.col("c") - discount) / F.col("of")).alias("p"))
-    return staged(arcs.join(state.select(F.col("history").alias("gram"), "bow"), "gram", "full"), "lm-weights")
+                    if texts:
+                        yield from rows(at, texts, train)
+                    at, texts, train = block, [], []
+                texts.append(text)
+                train.append(counted)
+        if texts:
+            yield from rows(at, texts, train)
+
+    return texts.select("block", "text", "train").mapInArrow(count, "shard int, block long, words binary, a binary, b binary, n binary, k binary, w3 binary, n3 binary")
+
+
+KEPT = "kind int, block long, words binary, a binary, b binary, c binary, used binary, k binary, w3 binary, c3 binary"
+
+
+def kept_grams(grams: DataFrame, least: int) -> DataFrame:
+    """Rows of two kinds, written: 0, for each block its n-grams that occur ``least`` times in all (a, b; c, count; used, count of what is kept
+    after it; k words w3 with count c3); 1, for each shard the first words of its kept n-grams with their sum (c) and number (used)."""
+    names = [x.split()[0] for x in KEPT.split(", ")]
+
+    def weigh(table):
+        h, (a, b, w3), per_row = read_words(table, ("a", "b", "w3"))
+        key = mix(h[a], h[b])
+        n, k, n3 = (all_of(table.column(x), np.uint32) for x in ("n", "k", "n3"))
+        all_keys, first, which = np.unique(key, return_index=True, return_inverse=True)
+        c = np.bincount(which, n, len(all_keys)).astype(np.int64)
+        row = np.repeat(np.arange(len(per_row)), per_row)
+        stays = c[which] >= least
+        # what follows a history is as rare or rarer
+        after = np.flatnonzero(np.repeat(stays, k))
+        before = np.repeat(np.arange(len(key)), k)[after]
+        w3, n3 = w3[after], n3[after]
+        _, first3, which3 = np.unique(mix(key[before], h[w3]), return_index=True, return_inverse=True)
+        c3 = np.bincount(which3, n3, len(first3)).astype(np.int64)
+        good = c3 >= least
+        used = np.bincount(which[before[first3]][good], c3[good], len(all_keys)).astype(np.int64)
+        stays3 = good[which3]
+        k = np.bincount(before[stays3], minlength=len(key))
+        w3, c3 = w3[stays3], c3[which3][stays3]
+        number = np.bincount(which[before[first3]][good], minlength=len(all_keys))
+
+        words = h[a[first]][c >= least]
+        ends, own = np.cumsum(per_row), np.concatenate([[0], np.cumsum(k)])
+        out, blocks = [], table.column("block").to_pylist()
+        for r, e in enumerate(ends.tolist()):
+            at = np.arange(e - per_row[r], e)[stays[e - per_row[r] : e]]
+            if len(at):
+                j = which[at]
+                both = np.stack([used[j], number[j]], axis=1).astype(np.uint64)
+                x, y = own[e - per_row[r]], own[e]
+                found, one, two, three = spelled(h, a[at], b[at], w3[x:y])
+                out.append((0, blocks[r], found, one, two, packed(c[j]), packed(both.ravel()), packed(k[at].astype(np.uint32)), three, packed(c3[x:y])))
+        if len(words):
+            words, which1 = np.unique(words, return_inverse=True)
+            out.append((1, None, words.tobytes(), None, None, packed(np.bincount(which1, c[c >= least]).astype(np.int64)), packed(np.bincount(which1)), None, None, None))
+        kind, block, *parts = zip(*out) if out else [()] * len(names)
+        return pa.table([pa.array(kind, pa.int32()), pa.array(block, pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=names)
+
+    return staged(grams.groupBy("shard").applyInArrow(weigh, KEPT), "lm-kept", ["kind"])
+
+
+def first_words(kept: DataFrame) -> DataFrame:
+    """(h, c, number): hash of each word that is a history, the sum of the kept two-word n-grams it begins, and their number."""
+    def read(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                key = np.frombuffer(b.column("words")[i].as_py(), np.uint64)
+                c, number = (unpacked(b.column(x)[i].as_py(), np.int64) for x in ("c", "used"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c), pa.array(number)], names=["h", "c", "number"])
+
+    rows = kept.filter("kind = 1").select("words", "c", "used").mapInArrow(read, "h long, c long, number long")
+    return rows.groupBy("h").agg(F.sum("c").alias("used"), F.sum("number").alias("number"))
+
+
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 class Automaton:
-    """The arcs and failure arcs that one block's texts can reach."""
-
-    def __init__(self, words, counts, ids, all_tokens, distinct, first_bow, grams, p, bow):
-        base = all_tokens + 0.5 * (distinct + 1)
-        log = lambda c: math.log10((c + 0.5) / base)
-        self.words = {w: (ids.get(w, 0), log(c), c > 0) for w, c in zip(words, counts)}
-        unigram = {i: 10**x for i, x, _ in self.words.values() if i}
-        self.first = first_bow
-        mask, self.two, self.three, self.fail = (1 << BITS) - 1, {}, {}, {}
-        arcs, later = {}, []
-        for g, share, back in zip(grams, p, bow):
-            if g >> 2 * BITS:
-                if share is not None:
-                    later.append((g, share))
-                continue
-            if share is not None:
-                arcs[g] = share + first_bow.get(g >> BITS, 1.0) * unigram[g & mask]
-            if back is not None:
-                self.fail[g] = back
-        for g, share in later:
-            w = g & mask
-            lower = g & ((1 << 2 * BITS) - 1)
-            rest = arcs.get(lower)
-            if rest is None:
-                rest = first_bow.get(lower >> BITS, 1.0) * unigram[w]
-            self.three[g] = math.log10(share + self.fail[g >> BITS] * rest)
-        self.two = {g: math.log10(x) for g, x in arcs.items()}
-        self.first = {i: math.log10(x) for i, x in first_bow.items()}
-        self.fail = {g: math.log10(x) for g, x in self.fail.items()}
-
-    def read(self, text: str | None) -> tuple[int, int, float, float]:
-        """(tokens, known tokens, sum of unigram logs, sum of model logs)."""
-        words, first, fail, two, three = self.words, self.first, self.fail, self.two.get, self.three.get
-        known, base, score, one, pair, n = 0, 0.0, 0.0, 0, 0, 0
-        for w in tokens(text):
-            i, log, seen = words[w]
-            n += 1
-            known += seen
-            base += log
-            arc = three(pair << BITS | i) if pair and i else None
-            if arc is None:
-                if pair:  # failure arc to the state of one word
-                    score += fail[pair]
-                arc = two(one << BITS | i) if one and i else None
-                if arc is None:
-                    if one:  # failure arc to the state without history
-                        score += first.get(one, 0.0)
-                    arc = log
-            score += arc
-            pair = one << BITS | i
-            if not one or not i or pair not in fail:
-                pair = 0
-            one = i
-        return n, known, base, score
+    """The arcs and failure arcs that one block's texts can reach: arcs hold the share of the longer history, failure arcs the backoff weight."""
+
+    def __init__(self, words, counts, bows, all_tokens, distinct, kept, discount):
+        self.words, self.counts, self.bows = words, counts, bows
+        self.base, self.discount = all_tokens + 0.5 * (distinct + 1), discount
+        h, (a, b, w3), _ = read_words(kept, ("a", "b", "w3"))
+        key = mix(h[a], h[b])
+        c, c3 = (all_of(kept.column(x), np.int64) for x in ("c", "c3"))
+        both, k = all_of(kept.column("used"), np.uint64).reshape(-1, 2), all_of(kept.column("k"), np.uint32)
+        before = np.repeat(np.arange(len(key)), k)
+        self.three, at = np.unique(mix(key[before], h[w3]), return_index=True)
+        self.share3 = (c3[at] - discount) / c[before[at]]
+        # a block that was read in two parts has its common n-grams twice
+        self.two, at = np.unique(key, return_index=True)
+        self.c = c[at].astype(np.float64)
+        self.fail = 1 - (both[at, 0] - discount * both[at, 1]) / self.c  # 1 where nothing follows
+
+    def read(self, texts: list) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, sum of unigram logs, sum of model logs) of each text."""
+        if not texts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        words, h, code, place = encoded(texts)
+        at = pa.compute.index_in(words, value_set=self.words.cast(pa.large_binary())).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts, bows = self.counts[at], self.bows[at]
+        starts = np.flatnonzero(place == 0)
+        base = ((counts + 0.5) / self.base)[code]
+        p = base.copy()
+        second, third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        first = code[second - 1]
+        pair = np.zeros(len(code), np.uint64)
+        pair[second] = mix(h[first], h[code[second]])
+        j, hit = found_in(self.two, pair[second])
+        p[second] *= bows[first]
+        p[second[hit]] += (self.c[j[hit]] - self.discount) / counts[first[hit]]
+        fail = np.ones(len(code))
+        fail[second[hit]] = self.fail[j[hit]]
+        p[third] *= fail[third - 1]
+        j, hit = found_in(self.three, mix(pair[third - 1], h[code[third]]))
+        p[third[hit]] += self.share3[j[hit]]
+        add = lambda x: np.add.reduceat(x, starts)
+        return np.diff(np.append(starts, len(code))), add((counts > 0)[code].astype(np.int64)), add(np.log10(base)), add(np.log10(p))
 
 
 def score(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] = (5e-5, 5e-4),
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, float] | None = None,
     discount: float = 0.75, min_count: int = 2, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
     The model is learned from rows where ``train`` is true.  A null text counts as the empty text, whose only token is the end.  Unseen words get the
     unigram probability of count 0.  Repeated rows are scored, and counted, each on its own.  No training rows: every word is unseen.
-    An empty table gives no row.  Other columns are not read.
+    An empty table gives no row.  Other columns are not read.  All words stand in n-grams; ``shares``, if given, asks for a smaller model, of words that make
+    up these shares of the training tokens (two-word, three-word n-grams).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = blocks_and_counts(rows, block_chars)
@@ -205,29 +334,31 @@ def score(
     words = counted.filter("once").select("word", "c")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = total["n"], total["v"]
-    # at most 1 / share words can have that share of all tokens
-    frequent = sorted(((r["c"], r["word"]) for r in words.filter(F.col("c") >= max(1.0, n * shares[0])).collect()), key=lambda x: (-x[0], x[1]))
-    spark = docs.sparkSession
-    ids = spark.sparkContext.broadcast({w.encode(): i + 1 for i, (_, w) in enumerate(frequent)})
-    narrow = sum(c >= n * shares[1] for c, _ in frequent)
-    grams = staged(count_grams(texts, ids, narrow), "lm-block-grams")
-    one_word = spark.createDataFrame(pa.table({"gram": pa.array(range(1, len(frequent) + 1), pa.int64()), "c": pa.array([c for c, _ in frequent], pa.int64())}))
-    model = weights(grams, one_word, discount, min_count)
-    first_bow = spark.sparkContext.broadcast({r["gram"]: r["bow"] for r in model.filter(f"gram < {1 << BITS} AND bow IS NOT NULL").collect()})
-    none = lambda kind: F.lit(None).cast(kind)
-    reach = counted.select("block", "word", F.col("c"), none("long").alias("gram"), none("double").alias("p"), none("double").alias("bow")).union(
-        grams.select("block", "gram").join(model, "gram").select("block", none("string"), none("long"), "gram", "p", "bow"))
+    allowed = None
+    if shares is not None:
+        # at most 1 / share words can have that share of all tokens
+        frequent = [(r["word"].encode(), r["c"]) for r in words.filter(F.col("c") >= max(1.0, n * min(shares))).collect()]
+        allowed = docs.sparkSession.sparkContext.broadcast(tuple({w for w, c in frequent if c >= max(1.0, n * s)} for s in shares))
+    n_blocks = texts.select("block").distinct().count()
+    bits = max(0, n_blocks * block_chars // SHARD_CHARS - 1).bit_length()
+    kept = kept_grams(block_grams(texts, bits, allowed), max(1, min_count))
+    found = counted.join(first_words(kept), F.xxhash64("word") == F.col("h"), "left")
+    bow = 1 - (F.col("used") - discount * F.col("number")) / F.col("c")
+    none = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
+    parts = ("words", "a", "b", "c2", "used", "k", "w3", "c3")
+    reach = found.select("block", "word", "c", F.coalesce(bow, F.lit(1.0)).alias("bow"), *none(*parts)).union(
+        kept.filter("kind = 0").select("block", F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double"), "words", "a", "b", "c", "used", "k", "w3", "c3"))
 
     def read(key, texts, parts):
         is_word = parts.column("word").is_valid()
         own, arcs = parts.filter(is_word), parts.filter(pa.compute.invert(is_word))
         automaton = Automaton(
-            own.column("word").cast(pa.binary()).to_pylist(), own.column("c").to_pylist(), ids.value, n, v, first_bow.value,
-            arcs.column("gram").to_pylist(), arcs.column("p").to_pylist(), arcs.column("bow").to_pylist())
-        found = [automaton.read(t) for t in texts.column("text").to_pylist()]
+            own.column("word").combine_chunks().cast(pa.binary()), own.column("c").to_numpy(), own.column("bow").to_numpy(), n, v,
+            arcs.rename_columns([{"c": "n", "c2": "c"}.get(x, x) for x in arcs.column_names]), discount)
+        n_tokens, n_known, base, full = automaton.read(texts.column("text").to_pylist())
         return pa.table({
-            "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": pa.array([x[0] for x in found], pa.int64()),
-            "n_known": pa.array([x[1] for x in found], pa.int64()), "base_score": pa.array([x[2] for x in found], pa.float64()), "score": pa.array([x[3] for x in found], pa.float64())})
+            "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()),
+            "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())})
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     scored = texts.select(F.col("block").alias("at"), "doc_id", "train", "text").groupBy("at").cogroup(reach.groupBy("block")).applyInArrow(

@@ -325,3 +325,34 @@ def test_pipeline(spark, sf):
         else:
             assert docs.count() == before.filter("text rlike '[A-Za-z\\\\x{80}-\\\\x{10FFFF}]'").count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count()
+
+
+def test_lm_counts_every_word(spark, documents, monkeypatch):
+    """By default words of any frequency stand in n-grams, whatever the number of shards; a rare three-word run is learned."""
+    monkeypatch.setattr(lm, "SHARD_CHARS", 20_000)
+    rare = "qqrare zzseldom xxscarce"
+    rows = [*documents, (-1, rare), (-2, rare), (-3, rare), (-4, f"qqrare xxscarce {rare}")]
+    train = [*documents, (-1, rare), (-2, rare), (-4, rows[-1][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(frame, F.col("doc_id") != -3, block_chars=40_000).collect()}
+    seqs = [[*words(t), "\n"] for _, t in train]
+    one, two, three = (Counter(g for s in seqs for g in zip(*(s[k:] for k in range(m)))) for m in (1, 2, 3))
+    n, v = sum(one.values()), len(one)
+    two, three = ({g: c for g, c in t.items() if c >= 2} for t in (two, three))
+    used = defaultdict(float)
+    for g, c in [*two.items(), *three.items()]:
+        used[g[:-1]] += c - 0.75
+
+    def p(h, w):
+        if not h:
+            return (one[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        if h not in used:
+            return p(h[1:], w)
+        size = one[h] if len(h) == 1 else two[h]
+        return max((two if len(h) == 1 else three).get((*h, w), 0) - 0.75, 0) / size + (1 - used[h] / size) * p(h[1:], w)
+
+    assert ("qqrare", "zzseldom", "xxscarce") in three
+    for i, t in rows:
+        s = [*words(t), "\n"]
+        assert got[i].score == pytest.approx(sum(math.log10(p(tuple(s[max(0, k - 2) : k]), w)) for k, w in enumerate(s)), rel=1e-9)
+    assert got[-3].score > got[-3].base_score + 6
