@@ -21,6 +21,8 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fie
 BLOCK = SPACED | frozenset(
     "address article aside body center details dialog dd div dt figcaption footer form header hgroup html li legend main nav section summary caption optgroup option select".split())
 CLOSES_P = (BLOCK - frozenset("caption optgroup option select body html".split())) | {"p"}
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes template".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset(("td", "th"))
 #: Start tag: elements it ends, elements beyond which it does not look.
@@ -117,6 +119,8 @@ class Builder:
         self.count: dict[str, int] = {}
 
     def text(self, data: str) -> None:
+        if self.open[-1].name == "head" and data.strip(" \t\n\r\f"):
+            self.close()
         top = self.open[-1]
         if top.shown and top.seen and data:
             data = html.unescape(data).replace(_KEEP, "").replace(_BREAK, "")
@@ -125,6 +129,11 @@ class Builder:
             top.parts.append(data)
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
+        if self.open[-1].name == "head":
+            if name == "head":
+                return
+            if name not in IN_HEAD:
+                self.close()
         inside = self.count.get("table", 0) > 0
         if (name in CELLS or name == "tr" or name in SECTIONS or name == "caption") and not inside:
             return

@@ -356,3 +356,11 @@ def test_lm_counts_every_word(spark, documents, monkeypatch):
         s = [*words(t), "\n"]
         assert got[i].score == pytest.approx(sum(math.log10(p(tuple(s[max(0, k - 2) : k]), w)) for k, w in enumerate(s)), rel=1e-9)
     assert got[-3].score > got[-3].base_score + 6
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>T</title><p>Hello<div>more</div>", "Hello\n\nmore"), ("<head><meta charset=utf-8><style>p{}</style>\n Hello", "Hello"),
+    ("<head><head><title>T</title><script>no</script><img src=x>a<b>b</b>", "ab"), ("<head><title>T</title> <link href=x> </head><body>x", "x"),
+])
+def test_html_content_ends_the_head(page, text):
+    assert htmltext.visible_text(page) == text
