@@ -51,9 +51,10 @@ class Element:
 
 
 def lines_of(parts: list) -> list[str]:
-    """Lines of a block from its inline text and the blocks inside; a blank line around spaced ones."""
+    """Lines of a block from its inline text and the blocks inside; a blank line around spaced ones.  Rows without a table are laid out as one."""
     out: list[str] = []
     run: list[str] = []
+    rows: list[list] = []
     gap = False
 
     def put(lines, spaced):
@@ -66,6 +67,9 @@ def lines_of(parts: list) -> list[str]:
         gap = spaced
 
     def flush():
+        if rows:
+            put(table_lines(rows), True)
+            rows.clear()
         if run:
             text = _SPACE.sub(" ", "".join(run))
             run.clear()
@@ -78,10 +82,16 @@ def lines_of(parts: list) -> list[str]:
 
     for part in parts:
         if isinstance(part, str):
+            if rows:
+                flush()
             run.append(part)
         elif isinstance(part, tuple):
             flush()
             put(*part)
+        else:
+            if run:
+                flush()
+            rows.append(part)
     flush()
     return out
 
@@ -211,6 +221,12 @@ class Builder:
         if not e.shown:
             return
         name = e.name
+        if name not in CELLS and name not in SECTIONS and name not in ("tr", "table") and self.count.get("table", 0):
+            # an element between cells or rows and their table, such as a form: they go on to the table
+            held = [p for p in e.parts if isinstance(p, list)]
+            if held:
+                parent.parts.extend(held)
+                e.parts = [p for p in e.parts if not isinstance(p, list)]
         if name in CELLS:
             span = e.attrs.get("colspan", "")
             parent.parts.append([(lines_of(e.parts), max(1, int(span)) if re.fullmatch(r"\d{1,3}", span) else 1)])
@@ -235,7 +251,7 @@ class Builder:
             nested = name in ("ul", "ol", "menu", "dir") and self.count.get("li", 0) > 0
             parent.parts.append((lines_of(e.parts), name in SPACED and not nested))
         else:
-            parent.parts.extend(p for p in e.parts if not isinstance(p, list))
+            parent.parts.extend(e.parts)
 
 
 def visible_text(page: str | None) -> str:
@@ -277,7 +293,7 @@ def visible_text(page: str | None) -> str:
             at = len(page) if close < 0 else close + 1
             tree.end(name)
     tree.close_to(1)
-    return "\n".join(lines_of([p for p in tree.open[0].parts if not isinstance(p, list)]))
+    return "\n".join(lines_of(tree.open[0].parts))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

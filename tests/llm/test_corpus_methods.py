@@ -364,3 +364,28 @@ def test_lm_counts_every_word(spark, documents, monkeypatch):
 ])
 def test_html_content_ends_the_head(page, text):
     assert htmltext.visible_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<table><form><tr><td>A</td></tr></form></table>", "A"), ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"),
+    ("<table><tr><td>A</td><b><td>B</td></b></tr><center><tr><td>C</td><td>D</td></tr></center></table>", "A  B\nC  D"),
+])
+def test_html_elements_between_cells_and_table(page, text):
+    assert htmltext.visible_text(page) == text
+
+
+def test_html_random_tables_lose_no_word():
+    rng = random.Random(12)
+    names = ["table", "tbody", "tr", "td", "th", "form", "center", "div", "a", "b", "font", "p", "ul", "li", "blockquote", "dd", "caption", "span"]
+    for _ in range(3000):
+        page, opened = "<table>", []
+        for k in range(rng.randrange(1, 40)):
+            x = rng.random()
+            if x < 0.45:
+                opened.append(rng.choice(names))
+                page += f"<{opened[-1]}>"
+            elif x < 0.7 and opened:
+                page += f"</{opened.pop(rng.randrange(len(opened)))}>"
+            else:
+                page += f" w{k}w "
+        assert sorted(re.findall(r"w\d+w", page)) == sorted(re.findall(r"w\d+w", htmltext.visible_text(page))), page
