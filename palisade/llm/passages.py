@@ -1,6 +1,6 @@
 """Substring dedup: near-equal paragraphs by MinHash banding, and equal passages inside longer paragraphs.
 
-Paragraphs are lines.  Bands of MinHash values over their word shingles are tuned so that paragraphs at the threshold collide with the wanted recall; colliding
+Paragraphs are lines; those of fewer than SHINGLE words are compared whole.  Bands of MinHash values over their word shingles are tuned so that paragraphs at the threshold collide with the wanted recall; colliding
 paragraphs are verified by the exact Jaccard similarity of their shingles and clustered by connected components.
 A passage that is repeated in the middle of different lines makes no similar paragraphs.  So every text also gives anchored passages: PASSAGE words from each
 position whose shingle hash is the smallest of SPAN neighbouring ones.  What any two texts share over SPAN + PASSAGE - 1 words contains a common anchored passage.
@@ -24,8 +24,8 @@ from palisade.llm.simhash import SEED, shingle_hashes
 
 SHINGLE = 5
 SPAN, PASSAGE = 20, 31
-#: Paragraphs with fewer words are never judged: too short to tell copies from chance.
-MIN_WORDS = 8
+#: Paragraphs with fewer words have no shingle: they are judged, where ``least_words`` asks for it, by equality of the whole line.
+MIN_WORDS = SHINGLE
 #: Paragraphs of one band that one task compares with each other or with as many others.
 BLOCK = 4000
 
@@ -35,9 +35,9 @@ def tune_bands(threshold: float, recall: float = 0.99, rows: int = 2) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
 
-def paragraphs(words_of_lines: list[list[bytes]]) -> list[tuple[int, int]]:
+def paragraphs(words_of_lines: list[list[bytes]], least_words: int) -> list[tuple[int, int]]:
     ends = np.cumsum([len(w) for w in words_of_lines]).tolist()
-    return [(e - len(w), e) for w, e in zip(words_of_lines, ends) if len(w) >= MIN_WORDS]
+    return [(e - len(w), e) for w, e in zip(words_of_lines, ends) if len(w) >= max(1, least_words)]
 
 
 def anchors(prints: np.ndarray, n_words: int) -> np.ndarray:
@@ -52,16 +52,21 @@ def anchors(prints: np.ndarray, n_words: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def units(text: str, bands: int, rows: int) -> Iterator[tuple[int, int, int, int, list[int] | None]]:
+def units(text: str, bands: int, rows: int, least_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, list[int] | None]]:
     """(kind, key, start, end, bands) of a text: 0, paragraphs; 1, anchored passages.  Spans count words; keys are hashes of the lower-cased words."""
     lines = [line.split() for line in text.encode().lower().split(b"\n")]
     words = [w for line in lines for w in line]
-    if len(words) < MIN_WORDS:
+    if not words:
         return
     prints = shingle_hashes(words, SHINGLE)
     joined, offset = b" ".join(words), np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
     key = lambda s, e: xxhash.xxh64_intdigest(joined[offset[s] : offset[e] - 1], SEED)
-    spans = paragraphs(lines)
+    spans = []
+    for s, e in paragraphs(lines, least_words):
+        if e - s < MIN_WORDS:
+            yield 0, key(s, e), s, e, []
+        else:
+            spans.append((s, e))
     if spans:
         rng = np.random.default_rng(11)
         mixes = rng.integers(1, 1 << 63, (2, bands * rows, 1), dtype=np.uint64) | np.uint64(1)
@@ -90,7 +95,7 @@ def units(text: str, bands: int, rows: int) -> Iterator[tuple[int, int, int, int
         yield last
 
 
-def all_units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def all_units(docs: DataFrame, bands: int, rows: int, least_words: int) -> DataFrame:
     """The units of every (doc_id, h, text), written: kind, key, doc_id, h, start, end, bands."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["kind", "key", "doc_id", "h", "start", "end", "bands"]
@@ -99,7 +104,7 @@ def all_units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 256):
-                found = [(j, *u) for j, t in enumerate(texts[i : i + 256], i) if t for u in units(t, bands, rows)]
+                found = [(j, *u) for j, t in enumerate(texts[i : i + 256], i) if t for u in units(t, bands, rows, least_words)]
                 if not found:
                     continue
                 at, kind, key, start, end, band = zip(*found)
@@ -182,13 +187,16 @@ def near_paragraphs(docs: DataFrame, lines: DataFrame, threshold: float) -> Data
 
 
 @settled("repeats")
-def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, band_rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(
+    docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, band_rows: int = 2, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_WORDS,
+) -> DataFrame:
     """(doc_id, h, start, end, kind, keep_id, kept): every occurrence of a repeated paragraph or passage, as a span of words.
 
     ``keep_id``: the document whose occurrence stays, the smallest by id, text hash and position (null ids first); ``kept``: whether this is it.
+    ``least_words``: words of the shortest lines that are judged as paragraphs; 1 for all lines, those without a shingle by equality.
     h is the hash of the text; rows that repeat id and text are one document.  Null and empty texts have no units.  An empty table gives no row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
-    found = all_units(docs, tune_bands(threshold, recall, band_rows), band_rows)
+    found = all_units(docs, tune_bands(threshold, recall, band_rows), band_rows, least_words)
     lines = found.filter("kind = 0").select("key", "doc_id", "h", "start", "end", "bands")
     passages = found.filter("kind = 1").select("key", "doc_id", "h", "start", "end")
 

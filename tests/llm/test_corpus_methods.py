@@ -389,3 +389,14 @@ def test_html_random_tables_lose_no_word():
             else:
                 page += f" w{k}w "
         assert sorted(re.findall(r"w\d+w", page)) == sorted(re.findall(r"w\d+w", htmltext.visible_text(page))), page
+
+
+def test_short_lines_are_judged(spark):
+    """Lines of 5 to 7 words and texts of as many; shorter ones on demand.  The first occurrence stays."""
+    rows = [(1, "one two three four five six\nown words of the first text here"), (2, "this line is of the second\nOne two three four five six"), (3, "just four words here"),
+            (4, "another long line that stands alone here\njust  four words here"), (5, "just four words"), (6, "a b c d e"), (7, "a b c d e"), (8, "a b c d f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = passages.repeats(docs, least_words=1)
+    found = {r.doc_id: (r.repeated, list(r.keep_ids), r.n_removed) for r in passages.summary(docs, spans).collect()}
+    assert found == {1: (True, [1], 0), 2: (True, [1], 6), 3: (True, [3], 0), 4: (True, [3], 4), 5: (False, [], 0), 6: (True, [6], 0), 7: (True, [6], 5), 8: (False, [], 0)}
+    assert sorted({r.doc_id for r in passages.repeats(docs).collect()}) == [1, 2, 6, 7]
