@@ -206,8 +206,10 @@ def repeats(
     roots = classes.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last")
     line_keys = staged(classes.join(roots.select("root", F.col("first").alias("keep")), "root").select("key", "keep"), "line-keys")
 
-    # a passage has to occur in two texts; only hashes are needed to tell
-    again = passages.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
+    # a passage has to occur in two documents, which differ in text or id (a null id differs from others); equal texts have equal passages
+    again = passages.groupBy("key").agg(
+        F.min("h").alias("low"), F.max("h").alias("high"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("named"), F.count(F.lit(1)).alias("all"))
+    again = again.filter("low <> high OR least <> most OR (named > 0 AND named < all)").select("key")
     again = staged(again, "passage-keys")
     many = passages.join(small(again, 64), "key")
     keeps = many.groupBy("key").agg(F.min(place()).alias("keep"))

@@ -400,3 +400,16 @@ def test_short_lines_are_judged(spark):
     found = {r.doc_id: (r.repeated, list(r.keep_ids), r.n_removed) for r in passages.summary(docs, spans).collect()}
     assert found == {1: (True, [1], 0), 2: (True, [1], 6), 3: (True, [3], 0), 4: (True, [3], 4), 5: (False, [], 0), 6: (True, [6], 0), 7: (True, [6], 5), 8: (False, [], 0)}
     assert sorted({r.doc_id for r in passages.repeats(docs).collect()}) == [1, 2, 6, 7]
+
+
+def test_equal_texts_of_short_lines(spark):
+    """Copies whose lines are no paragraphs are found by their passages, also under a null id; rows that repeat are one document."""
+    rng = random.Random(15)
+    verse = lambda: "\n".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4)) for _ in range(30))
+    same, other, twice = verse(), verse(), verse()
+    rows = [(3, same), (1, same), (2, same), (None, other), (5, other), (6, verse()), (7, twice), (7, twice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.summary(docs, passages.repeats(docs)).collect()}
+    assert {i for i, r in got.items() if r.repeated} == {1, 2, 3, None, 5}
+    assert got[1].n_removed == 0 and got[2].n_removed > 80 and got[3].n_removed == got[2].n_removed and got[5].n_removed > 80
+    assert list(got[3].keep_ids) == [1]
