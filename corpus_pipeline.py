@@ -27,7 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicate fingerprints stays: the first of the table."""
+    """One document of each group of near-duplicate fingerprints stays: the first of the table.
+
+    The rule is that of op6: four-word shingles, at most 4 differing bits, no check of the similarity itself.  Most pairs with a Jaccard similarity near 0.8
+    differ in more bits and stay."""
     rows = simhash.with_fingerprints(docs, out="__pipeline_print").withColumn(ROW, F.monotonically_increasing_id())
     rows = staged(rows, "pipeline-prints")  # the row numbers are fixed from here on
     found = simhash.near_duplicates(rows.select(ROW, F.col("__pipeline_print").alias("fingerprint")), id_col=ROW)
