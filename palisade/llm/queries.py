@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, htmltext, langid, lm, mixing, passages, quality, simhash, topk, urlfilter
+from palisade.llm import decontaminate, htmltext, langid, lm, mixing, negatives, passages, quality, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -64,9 +64,16 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.labelled(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return negatives.mine(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql():
-    return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op5_decontaminate": decontaminate.DECONTAMINATE_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op5_decontaminate": decontaminate.DECONTAMINATE_SQL, "op8_mixing": mixing.MIX_SQL,
+            "op12_negatives": negatives.NEGATIVES_SQL}
