@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, htmltext, langid, lm, mixing, negatives, passages, quality, simhash, topk, urlfilter
+from palisade.llm import collocations, decontaminate, htmltext, langid, lm, mixing, negatives, passages, quality, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -70,10 +70,14 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql():
     return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op5_decontaminate": decontaminate.DECONTAMINATE_SQL, "op8_mixing": mixing.MIX_SQL,
-            "op12_negatives": negatives.NEGATIVES_SQL}
+            "op12_negatives": negatives.NEGATIVES_SQL, "op13_phrases": collocations.PHRASES_SQL}
