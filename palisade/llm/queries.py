@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from palisade.llm import collocations, decontaminate, htmltext, langid, lm, mixing, negatives, passages, quality, simhash, topk, urlfilter
+from palisade.llm import collocations, decontaminate, htmltext, langid, lm, mixing, negatives, passages, quality, sanitise, simhash, topk, urlfilter
 from palisade.llm.common import fold, read
 
 
@@ -64,6 +64,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.personal_data(read(spark, sf_dir, "documents"))
+    base = F.sha2(F.col("base").cast("binary"), 256)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base.alias("base_sha256"), "spans")
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = negatives.labelled(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
@@ -80,4 +86,4 @@ def queries():
 
 def oracle_sql():
     return {"op1_topk": topk.TOPK_SQL, "op3_urls": urlfilter.FILTER_SQL, "op5_decontaminate": decontaminate.DECONTAMINATE_SQL, "op8_mixing": mixing.MIX_SQL,
-            "op12_negatives": negatives.NEGATIVES_SQL, "op13_phrases": collocations.PHRASES_SQL}
+            "op11_pii": sanitise.PII_SQL, "op12_negatives": negatives.NEGATIVES_SQL, "op13_phrases": collocations.PHRASES_SQL}
