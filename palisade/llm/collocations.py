@@ -3,38 +3,39 @@
 The documents are dealt into ``SHARDS`` shards, which are scanned in turn, again and again.  Single words are counted from the first scan on.  Between two scans, a
 longer phrase becomes active once both its subphrases, without its last and without its first word, have reached the threshold in what has been counted so
 far; so phrases of several lengths are counted in one scan.  Every phrase is counted for one full cycle from its activation on, and the scans end when no
-active phrase is left open.  Counts are exact, as a phrase that reaches the threshold has subphrases that reach it.
+active phrase is left open.
 
-A scan is one Spark job over its shard.  Tasks see which phrases may be active by a Bloom filter of those that reached the threshold, of bounded size; what
-passes by chance is removed by an exact join before it is added to the counts.
+Scans count 64-bit hashes of phrases over texts that are encoded once.  What has reached the threshold is kept in a table of ``slots`` of bounded size that
+holds, for two places of each hash, the scan after which the place was first taken.  Places that are shared by chance make a phrase active early, which costs
+time but no count, as it still gets one full cycle.  So the scans find all frequent phrases, and possibly others; one last scan counts what they found by its words.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import BROADCAST_BYTES, settled, staged
+from palisade.llm.common import settled, small, staged
 
 #: Scans of a full cycle; words of the longest phrase.
 SHARDS, LONGEST = 4, 5
-#: Bits of the filter per phrase, and at most and at least (as powers of two).  A full filter lets more phrases through to the exact join.
-FILTER_BITS, MOST_BITS, LEAST_BITS = 16, 29, 16
-#: Text that a task looks at in one go.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text to one slot of the table of reached phrases, and its sizes as powers of two: a full one only lets more phrases through.
+SLOT_BYTES, LEAST_POWER, MOST_POWER = 32, 16, 26
+#: Text that is encoded together, and hashes of a task that are summed before they are handed on.
+CHUNK_BYTES, SUM_ROWS = 1 << 20, 4 << 20
 #: The characters between pieces, and the lower case of A-Z.
 BETWEEN = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BETWEEN, b"abcdefghijklmnopqrstuvwxyz" + b"." * len(BETWEEN))
 UNDETERMINED = "und"
-COUNTS = "lang string, size int, phrase string, n long"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,6 +43,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLDED).replace(b".", b" . ").split()
 
 
+def encoded(texts: list[bytes], lang: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, the first being b"."; their hashes, which differ by language; word number of every token)."""
+    known: dict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    known[b"."]
+    ids = np.array([known[w] for w in words_of(b".".join(texts))], np.int64)
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return list(known), np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known), np.uint64, len(known)), ids
+
+
 def grown(front: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of phrases from those of their front and of their last word."""
     x = front * np.uint64(0x9E3779B97F4A7C15) + last
@@ -49,124 +60,149 @@ def grown(front: np.ndarray, last: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hash(word: bytes, seed: int) -> int:
-    return xxhash.xxh64_intdigest(word, seed)
+def reach(h: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The scan from which each hash counts as frequent, 0 if it does not."""
+    power = len(slots).bit_length() - 1
+    a, b = slots[(h & np.uint64(len(slots) - 1)).astype(np.int64)], slots[(h >> np.uint64(64 - power)).astype(np.int64)]
+    return np.where((a > 0) & (b > 0), np.maximum(a, b), 0).astype(np.uint8)
 
 
-def lang_seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode())
+def phrase_levels(one: np.ndarray, slots: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, starts, hashes, since) of the phrases of two words on whose subphrases have both been reached, ``since`` being when.
 
+    ``one``: hashes of all tokens, 0 between pieces."""
+    h, r = one, np.where(one > 0, reach(one, slots), 0)
+    for size in range(2, longest + 1):
+        at = np.nonzero((r[:-1] > 0) & (r[1:] > 0))[0]
+        if not len(at):
+            return
+        found = grown(h[at], one[at + size - 1])
+        yield size, at, found, np.maximum(r[at], r[at + 1])
+        h, r = np.zeros(len(r) - 1, np.uint64), np.zeros(len(r) - 1, np.uint8)
+        h[at], r[at] = found, reach(found, slots)
+
+
+def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of a batch by language, in chunks of about CHUNK_BYTES."""
+    texts, rows = batch.column("text").cast(pa.binary()), defaultdict(list)
+    for i, lang in enumerate(batch.column("lang").to_pylist()):
+        rows[lang].append(i)
+    for lang, places in rows.items():
+        part, size = [], 0
+        for i in places:
+            part.append(texts[i].as_py())
+            size += len(part[-1])
+            if size >= CHUNK_BYTES:
+                yield lang, part
+                part, size = [], 0
+        if part:
+            yield lang, part
 
-def bits_of(h: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit positions of a filter of 2**power bits."""
-    return (h & np.uint64((1 << power) - 1)).astype(np.int64), (h >> np.uint64(64 - power)).astype(np.int64)
 
+def encoded_chunks(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, lang, hashes, ids, n): the texts as word numbers and hashes of words, dealt to shards; n words in all."""
 
-class Bloom:
-    def __init__(self, words: np.ndarray, power: int) -> None:
-        self.words, self.power = words, power
+    def encode(batches):
+        at = TaskContext.get().partitionId()
+        for b in batches:
+            for lang, texts in by_lang(b):
+                _, h, ids = encoded(texts, lang)
+                h[0] = 0
+                n = int((ids > 0).sum())
+                packed = ids.astype(np.uint16 if len(h) <= 1 << 16 else np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at % shards], pa.int32()), pa.array([lang]), pa.array([h.tobytes()]), pa.array([packed]), pa.array([n], pa.int64())], names=["shard", "lang", "hashes", "ids", "n"])
+                at += 1
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for at in bits_of(h, self.power):
-            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return out
+    return staged(docs.mapInArrow(encode, "shard int, lang string, hashes binary, ids binary, n long"), "encoded", ["shard"])
 
 
-def chunk_counts(texts: list[bytes], lang: str, words_too: bool, reached: Bloom | None, fresh: Bloom | None, longest: int):
-    """(size, phrases, counts) of one chunk: words if asked for, longer phrases whose subphrases may have reached the threshold, one of them lately."""
-    known: dict[bytes, int] = defaultdict()
-    known.default_factory = known.__len__
-    between = known[b"."]
-    ids = np.array([known[w] for w in words_of(b".".join(texts))], np.int64)
-    seed, spelled = lang_seed(lang), pa.array(list(known), pa.binary())
-    if words_too:
-        n = np.bincount(ids, minlength=len(known))
-        n[between] = 0
-        at = np.nonzero(n)[0]
-        yield 1, spelled.take(pa.array(at)), n[at]
-    if reached is None:
-        return
-    one = np.fromiter((word_hash(w, seed) for w in known), np.uint64, len(known))[ids]
-    inside, rank, h = ids != between, ids, one
-    for size in range(2, longest + 1):
-        m = len(ids) - size + 1
-        if m <= 0:
-            return
-        inside = inside[:m] & inside[1 : m + 1]
-        at = np.nonzero(inside)[0]
-        at = at[reached.has(h[at])]
-        at = at[reached.has(h[at + 1])]
-        if not len(at):
-            return
-        _, first, which, n = np.unique(rank[at] * len(known) + ids[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
-        start = at[first]
-        new = fresh.has(h[start]) | fresh.has(h[start + 1])
-        if new.any():
-            parts = [spelled.take(pa.array(ids[start[new] + k])) for k in range(size)]
-            yield size, pc.binary_join_element_wise(*parts, b" "), n[new]
-        inside = np.zeros(m, bool)
-        inside[at] = True
-        nxt, ranks = np.zeros(m, np.uint64), np.zeros(m, np.int64)
-        nxt[at], ranks[at] = grown(h[at], one[at + size - 1]), which
-        h, rank = nxt, ranks
-
-
-def scanned(shard: DataFrame, words_too: bool, filters: Broadcast | None, longest: int) -> DataFrame:
-    """Counts of one shard (lang, text), summed; ``filters``: the phrases that reached the threshold, and those that did so lately."""
+def summed(h: np.ndarray, since: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((since, h))
+    h, since, n = h[order], since[order], n[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (since[1:] != since[:-1])
+    at = np.nonzero(first)[0]
+    return h[at], since[at], np.add.reduceat(n, at) if len(at) else n
 
-    def count(batches):
-        reached, fresh = filters.value if filters else (None, None)
-        for b in batches:
-            texts = b.column("text").cast(pa.binary())
-            by_lang = defaultdict(list)
-            for i, lang in enumerate(b.column("lang").to_pylist()):
-                by_lang[lang].append(i)
-            for lang, rows in by_lang.items():
-                part, size = [], 0
-                for k, i in enumerate(rows):
-                    part.append(texts[i].as_py())
-                    size += len(part[-1])
-                    if size >= CHUNK_BYTES or k + 1 == len(rows):
-                        for length, phrases, n in chunk_counts(part, lang, words_too, reached, fresh, longest):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)), phrases.cast(pa.string()), pa.array(n, pa.int64())],
-                                names=["lang", "size", "phrase", "n"])
-                        part, size = [], 0
 
-    return shard.mapInArrow(count, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+def scan(chunks: DataFrame, step: int, shards: int, slots: Broadcast, longest: int) -> DataFrame:
+    """(h, since, n) of what is active in scan ``step`` of its shard."""
 
+    def count(batches):
+        table, kept, size = slots.value, [], 0
+        names = ["h", "since", "n"]
+
+        def sums():
+            h, since, n = summed(*(np.concatenate(x) for x in zip(*kept)))
+            for i in range(0, len(h), 1 << 18):
+                j = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(since[j].astype(np.int32)), pa.array(n[j])], names=names)
 
-def bloom(phrases: DataFrame, power: int) -> Bloom:
-    """The filter of a table (lang, phrase): 2**power bits, or-ed together in Spark before they come to the driver."""
+        for b in batches:
+            for hashes, ids in zip(b.column("hashes"), b.column("ids")):
+                h, raw = np.frombuffer(hashes.as_py(), np.uint64), ids.as_py()
+                tokens = np.frombuffer(raw, np.uint16 if len(h) <= 1 << 16 else np.uint32)
+                new = []
+                if step < shards and len(tokens):
+                    n = np.bincount(tokens, minlength=len(h)).astype(np.int64)
+                    new.append((h[1:], np.zeros(len(h) - 1, np.uint8), n[1:]))
+                for _, _, found, since in phrase_levels(h[tokens], table, longest):
+                    open_ = since.astype(np.int64) + shards > step
+                    found, first, n = np.unique(found[open_], return_index=True, return_counts=True)
+                    new.append((found, since[open_][first], n.astype(np.int64)))
+                kept += [x for x in new if len(x[0])]
+                size += sum(len(x[0]) for x in new)
+                if size >= SUM_ROWS:
+                    yield from sums()
+                    kept, size = [], 0
+        if kept:
+            yield from sums()
+
+    rows = chunks.filter(F.col("shard") == step % shards).select("hashes", "ids")
+    return rows.mapInArrow(count, "h long, since int, n long").groupBy("h", "since").agg(F.sum("n").alias("n"))
+
+
+def taken(slots: np.ndarray, reached: DataFrame, step: int) -> None:
+    """Enter hashes that reached the threshold; places are or-ed into words of 64 bits in Spark before they come to the driver."""
+    power = len(slots).bit_length() - 1
+    place = F.explode(F.array(F.col("h").bitwiseAND(len(slots) - 1), F.shiftrightunsigned("h", 64 - power)))
+    rows = reached.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bits = rows.column("bits").to_numpy().view(np.uint64)
+    for k in range(64):
+        at = (rows.column("at").to_numpy()[(bits >> np.uint64(k) & np.uint64(1)) > 0] << 6) + k
+        at = at[slots[at] == 0]
+        slots[at] = step
+
+
+def counted_phrases(docs: DataFrame, slots: Broadcast, least: int, longest: int) -> DataFrame:
+    """(lang, size, phrase, n) of the phrases in the table that occur ``least`` times, by their words."""
 
-    def positions(batches):
+    def count(batches):
+        table = slots.value
         for b in batches:
-            out, seeds = [], {}
-            for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").cast(pa.binary()).to_pylist()):
-                seed = seeds.setdefault(lang, lang_seed(lang))
-                first, *more = (np.array([word_hash(w, seed)], np.uint64) for w in phrase.split(b" "))
-                for w in more:
-                    first = grown(first, w)
-                out.append(first)
-            found = np.unique(np.concatenate(bits_of(np.concatenate([np.empty(0, np.uint64), *out]), power)))
-            yield pa.RecordBatch.from_arrays([pa.array(found >> 6), pa.array((np.uint64(1) << (found & 63).astype(np.uint64)).view(np.int64))], names=["at", "bits"])
-
-    rows = phrases.select("lang", "phrase").mapInArrow(positions, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(max(1, (1 << power) >> 6), np.uint64)
-    words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return Bloom(words, power)
-
-
-def active(counts: DataFrame, reached: DataFrame, size: int, step: int, shards: int) -> DataFrame:
-    """Words, and those longer phrases whose subphrases have both reached the threshold, until their cycle is full, with the scan ``since`` which they count."""
-    front = F.broadcast(reached) if size <= BROADCAST_BYTES else reached
-    lang, phrase, reach = (front[x] for x in ("lang", "phrase", "reach"))
-    first, rest = (front.select(lang.alias("lang"), phrase.alias(name), reach.alias(f"{name}_reach")) for name in ("first", "rest"))
-    longer = counts.filter("size > 1").withColumn("first", F.expr("substring_index(phrase, ' ', size - 1)")).withColumn("rest", F.expr("substring(phrase, instr(phrase, ' ') + 1)"))
-    longer = longer.join(first, ["lang", "first"]).join(rest, ["lang", "rest"]).withColumn("since", F.greatest("first_reach", "rest_reach"))
-    longer = longer.filter((F.col("since") <= step) & (F.col("since") + shards > step))
-    return counts.filter("size = 1").withColumn("since", F.lit(0)).unionByName(longer.select(*counts.columns, "since"))
+            for lang, texts in by_lang(b):
+                known, h, ids = encoded(texts, lang)
+                spelled = pa.array(known, pa.binary())
+                one = np.where(ids > 0, h[ids], 0)
+                sizes = [(1, np.nonzero(ids > 0)[0], one[ids > 0], None), *phrase_levels(one, table, longest)]
+                rank = ids
+                for size, at, found, _ in sizes:
+                    good = reach(found, table) > 0
+                    at = at[good]
+                    if not len(at):
+                        break
+                    key = rank[at] if size == 1 else rank[at] * len(known) + ids[at + size - 1]
+                    _, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    parts = [spelled.take(pa.array(ids[at[first] + k])) for k in range(size)]
+                    phrases = (pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), phrases, pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
+                    rank = np.zeros(len(ids), np.int64)
+                    rank[at] = which
+
+    rows = docs.mapInArrow(count, "lang string, size int, phrase string, n long")
+    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 @settled("phrases")
@@ -175,34 +211,26 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
 
     ``docs``: text, lang; a null lang counts as 'und', null texts have no words.  A-Z are lower-cased; pieces end at . , ; : ! ? and line ends, words at spaces and
     tabs.  Phrases lie within pieces and may overlap.  Rows that repeat count each time.  Other columns are ignored; an empty table gives no row."""
-    kept = docs.filter(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    kept = staged(kept, "shards", ["shard"])
-    spark, step, keys = docs.sparkSession, 0, ["lang", "size", "phrase"]
-    state = spark.createDataFrame([], COUNTS + ", since int, reach int")
-    reached, count, size, totals = None, 0, 0, None
+    texts = docs.filter(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), "text")
+    chunks = encoded_chunks(texts, shards)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spark, step = docs.sparkSession, 0
+    slots = np.zeros(1 << min(MOST_POWER, max(LEAST_POWER, (size // SLOT_BYTES).bit_length())), np.uint8)
+    state = spark.createDataFrame([], "h long, since int, n long")
     while True:
-        filters = None
-        if count:
-            power = min(MOST_BITS, max(LEAST_BITS, (count * FILTER_BITS).bit_length()))
-            filters = spark.sparkContext.broadcast((bloom(reached, power), bloom(reached.filter(F.col("reach") > step - shards), power)))
-        new = scanned(kept.filter(F.col("shard") == step % shards).drop("shard"), step < shards, filters, longest)
-        new = active(new, reached, size, step, shards) if count else new.withColumn("since", F.lit(0))
-        both = state.unionByName(new.withColumn("reach", F.lit(None).cast("int"))).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("since").alias("since"), F.min("reach").alias("reach"))
-        both = staged(both.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, step + 1))), "counts")
-        if step == shards - 1:
-            totals = staged(both.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("words")), "totals")
-        state = both.filter(F.col("reach").isNotNull() | (F.col("since") + shards - 1 > step))
-        reached = state.filter(F.col("reach").isNotNull() & (F.col("size") < longest))
-        weight = F.octet_length("phrase") + F.octet_length("lang") + 48
-        count, size, last = reached.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max("reach"), F.lit(0))).first()
-        if filters:
-            filters.destroy()
+        shared = spark.sparkContext.broadcast(slots)
+        found = state.unionByName(scan(chunks, step, shards, shared, longest)).groupBy("h", "since").agg(F.sum("n").alias("n"))
+        found = staged(found, "counts")
+        shared.destroy()
+        reached = found.filter(F.col("n") >= least)
+        taken(slots, reached, step + 1)
+        state = found.filter(F.col("since") + shards - 1 > step)
         step += 1
-        if step >= shards and last <= step - shards:
+        if step >= shards and slots.max(initial=0) <= step - shards:
             break
-    return state.filter(F.col("n") >= least).join(totals, "lang").select("lang", "size", "phrase", "n", "words")
-
-
+    shared = spark.sparkContext.broadcast(slots)
+    totals = chunks.groupBy("lang").agg(F.sum("n").alias("words"))
+    return counted_phrases(texts, shared, least, longest).join(small(totals, 256), "lang").select("lang", "size", "phrase", "n", "words")
 
 
 def collocations(docs: DataFrame, least: int = 100, best: int = 2000, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
