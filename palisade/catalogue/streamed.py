@@ -10,24 +10,38 @@ from palisade.catalogue.parsing import EVENT_LINE, _RAW
 from palisade.catalogue.platform import POOL, _QUEUES
 from palisade.catalogue.registry import register
 from palisade.catalogue.scoping import _URLS, _ctes
-from palisade.catalogue.standins import _K, standin
+from palisade.catalogue.standins import _K, spark_sql, standin, table
 from palisade.operators import changes
 from palisade.session import scratch_dir
-from palisade.sources.events import read_snapshot
+from palisade.sources.commits import Store
 from palisade.sources.streams import table_stream
-from palisade.streaming import dedupe, route, state
+from palisade.streaming import certificates, dedupe, route, state
 from palisade.streaming.base import read_output
 
 
 def _folders(spark, name: str) -> dict[str, str]:
     root = scratch_dir(spark, name)
-    return {k: f"{root}/{k}" for k in ("state", "output", "checkpoint", "events", "errors")}
+    return {k: f"{root}/{k}" for k in ("input", "state", "output", "checkpoint", "events", "errors")}
 
 
 def _events(spark, d):
     return table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _event_rows(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_BY_TIME = ["ts < '2024-01-09'", "ts >= '2024-01-09' AND ts < '2024-01-20'", "ts >= '2024-01-20' OR ts IS NULL"]
+
+
+def _in_parts(rows, parts, folder, run):
+    """Let a stream read the rows part by part: each part is added to its folder, and the stream is started again from its checkpoint."""
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(folder)
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(folder))
+
+
 @register("st1_ttl_dedupe", """
     WITH RECURSIVE accepted AS (
         SELECT user_id, min(ts) AS t FROM events GROUP BY user_id
@@ -35,18 +49,18 @@ def _events(spark, d):
     SELECT a.user_id, min(e.event_id) AS event_id FROM accepted a JOIN events e ON e.user_id = a.user_id AND e.ts = a.t GROUP BY a.user_id, a.t""")
 def st1(spark, d):
     f = _folders(spark, "st1")
-    stream = _events(spark, d).select("user_id", "ts", "event_id")
-    dedupe.dedupe_stream(stream, "user_id", "ts", "event_id", 5 * 86400, state=f["state"], output=f["output"], checkpoint=f["checkpoint"])
-    return read_output(spark, f["output"], stream.schema).select("user_id", "event_id")
+    rows = _event_rows(spark, d).select("user_id", "ts", "event_id")
+    _in_parts(rows, _BY_TIME, f["input"], lambda stream: dedupe.dedupe_stream(stream, "user_id", "ts", "event_id", 5 * 86400, output=f["output"], checkpoint=f["checkpoint"]))
+    return read_output(spark, f["output"], rows.schema).select("user_id", "event_id")
 
 
 @register("st2_once_per_fact", """
     SELECT fact, event_id FROM (SELECT event_type || '|' || CAST(user_id AS VARCHAR) AS fact, event_id, ts FROM events) QUALIFY row_number() OVER (PARTITION BY fact ORDER BY ts, event_id) = 1""")
 def st2(spark, d):
     f = _folders(spark, "st2")
-    stream = _events(spark, d).select(F.concat_ws("|", "event_type", "user_id").alias("fact"), "ts", "event_id")
-    dedupe.once_only_stream(stream, "fact", ["ts", "event_id"], state=f["state"], output=f["output"], checkpoint=f["checkpoint"])
-    return read_output(spark, f["output"], stream.schema).select("fact", "event_id")
+    rows = _event_rows(spark, d).select(F.concat_ws("|", "event_type", "user_id").alias("fact"), "ts", "event_id")
+    _in_parts(rows, _BY_TIME, f["input"], lambda stream: dedupe.once_only_stream(stream, "fact", "ts", "event_id", output=f["output"], checkpoint=f["checkpoint"]))
+    return read_output(spark, f["output"], rows.schema).select("fact", "event_id")
 
 
 _CHANGE_SCHEMA = T.StructType([
@@ -60,11 +74,15 @@ _CHANGE_SCHEMA = T.StructType([
     UNION ALL SELECT asset_id, seq, 'PORT_REMOVED', CAST(8000 + pk % 5 AS VARCHAR) FROM pairs WHERE pk IS NOT NULL AND k % 5 <> pk % 5""", {"pairs": _LAG})
 def st3(spark, d):
     f = _folders(spark, "st3")
-    stream = _events(spark, d).select(
+    rows = _event_rows(spark, d).select(
         F.col("user_id").alias("asset_id"), F.lit("ports:bbot").alias("facet"), F.col("ts").alias("observed_at"), F.col("event_id").alias("seq"),
         F.struct(F.array(F.lit(443), 8000 + F.expr(_K) % 5).alias("ports")).alias("current"),
     )
-    state.diff_stream(stream, changes.diff_ports, state=f["state"], output=f["output"], checkpoint=f["checkpoint"])
+    # parts out of order, then one row of no asset that lets the watermark pass all others
+    last = rows.agg((F.max("observed_at") + F.expr("INTERVAL 100 DAYS")).alias("observed_at"))
+    last = last.select(*[F.lit(None).cast(t).alias(c) if c != "observed_at" else F.col(c) for c, t in rows.dtypes])
+    _in_parts(rows.unionByName(last), [*(f"asset_id IS NOT NULL AND seq % 3 = {i}" for i in (1, 2, 0)), "asset_id IS NULL"], f["input"],
+              lambda stream: state.diff_stream(stream, changes.diff_ports, output=f["output"], checkpoint=f["checkpoint"], delay="60 days"))
     out = read_output(spark, f["output"], _CHANGE_SCHEMA)
     return out.select("asset_id", "seq", "change_type", F.coalesce("current", "previous").alias("port"))
 
@@ -72,9 +90,80 @@ def st3(spark, d):
 @register("st4_tumbling_buckets", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS bucket, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def st4(spark, d):
     f = _folders(spark, "st4")
-    counts = state.bucket_counts(_events(spark, d), "ts", ["event_type"], "1 hour", "40 days")
-    state.upsert_stream(counts, ["bucket", "event_type"], state=f["state"], checkpoint=f["checkpoint"])
-    return read_snapshot(spark, f["state"]).select(F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), "event_type", "n")
+    store = Store(spark, f["state"])
+    rows = _event_rows(spark, d).select("ts", "event_type")
+    _in_parts(rows, _BY_TIME, f["input"], lambda stream: state.upsert_stream(state.bucket_counts(stream, "ts", ["event_type"], "1 hour", "40 days"), "hours", ["bucket", "event_type"], store, checkpoint=f["checkpoint"]))
+    return store.table("hours", "bucket timestamp, event_type string, n long").select(F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), "event_type", "n")
+
+
+# certificates: one per user, logged again and again; hosts of several programs, excluded ones and ones out of scope, and a name shared by half of all
+_CT_HOST = "CONCAT('u', CAST(user_id AS STRING), CASE user_id % 5 WHEN 0 THEN '.example.com' WHEN 1 THEN '.example.net' WHEN 2 THEN '.example.org' WHEN 3 THEN '.ththan.example.net' ELSE '.other.test' END)"
+_CT_LINE = (
+    "CONCAT('{\"message_type\":\"certificate_update\",\"data\":{\"update_type\":\"X509LogEntry\",\"leaf_cert\":{\"subject\":{\"CN\":\"', " + _CT_HOST + ", '\"},\"sha256\":\"', SHA(CAST(user_id AS STRING)), "
+    "'\",\"all_domains\":[\"', " + _CT_HOST + ", CASE WHEN user_id % 2 = 0 THEN '\",\"shared.example.com' ELSE '' END, '\"]},\"cert_index\":', CAST(event_id AS STRING), '}}')"
+)
+_CT_SETS = {
+    "ct_names": f"""
+        SELECT user_id, event_id, ts, {_CT_HOST.replace('STRING', 'VARCHAR')} AS domain, user_id % 5 AS site FROM events UNION ALL SELECT user_id, event_id, ts, 'shared.example.com', 0 FROM events WHERE user_id % 2 = 0""",
+    "ct_pairs": """
+        SELECT n.*, p.program_id, p.scope_id FROM ct_names n JOIN (VALUES (0, 'P1', 'r01'), (1, 'P1', 'r03'), (1, 'P2', 'r04'), (2, 'P3', 'r08'), (3, 'P1', 'r03')) p(site, program_id, scope_id) ON n.site = p.site""",
+    "ct_taken": """
+        SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id FROM (
+            SELECT a.user_id, e.event_id, e.ts, a.t FROM (
+                WITH RECURSIVE accepted AS (
+                    SELECT user_id, min(ts) AS t FROM ct_pairs GROUP BY user_id
+                    UNION ALL SELECT * FROM (SELECT a.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = a.user_id AND e.ts >= a.t + INTERVAL 5 DAY) AS t FROM accepted a) WHERE t IS NOT NULL)
+                SELECT * FROM accepted) a JOIN events e ON e.user_id = a.user_id AND e.ts = a.t) GROUP BY user_id, t""",
+    "ct_kept": "SELECT p.* FROM ct_pairs p JOIN ct_taken t ON p.user_id = t.user_id AND p.event_id = t.event_id",
+}
+_CT_TTL, _CT_MESSAGES = 5 * 86400, ("seq", "observed_at", "value")
+
+
+def _ct_run(spark, d, name):
+    """Messages in three parts through both streams."""
+    f = _folders(spark, name)
+    store = Store(spark, f["state"], buckets=8)
+    rows = _event_rows(spark, d).selectExpr("event_id AS seq", "ts AS observed_at", spark_sql(f"{_CT_LINE} AS value"))
+
+    def run(messages):
+        certificates.match_stream(messages, lambda: standin(spark, d, "rule_rows"), matched=f["output"], outside=f["errors"], checkpoint=f["checkpoint"])
+        seen = spark.read.parquet(f"{f['output']}/batch=*").schema
+        matched = spark.readStream.schema(seen).parquet(f"{f['output']}/batch=*")
+        certificates.certificate_stream(matched, store, checkpoint=f["events"], ttl_seconds=_CT_TTL)
+
+    _in_parts(rows, [x.replace("ts ", "observed_at ") for x in _BY_TIME], f["input"], run)
+    return store, f
+
+
+@register("ob10_ct_events", """
+    SELECT event_id AS seq, 'CT_CERTIFICATE' AS type, 'bb-certstream' AS index, program_id, scope_id, domain AS value, 'subdomain' AS asset_type, CAST(NULL AS VARCHAR) AS field, SHA(CAST(user_id AS VARCHAR)) AS fingerprint FROM ct_kept
+    UNION ALL (SELECT event_id, 'NEW_SUBDOMAIN', 'bb-changes', program_id, scope_id, domain, 'subdomain', 'tls.san', NULL FROM ct_kept QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts, event_id, program_id) = 1)
+    UNION ALL SELECT DISTINCT event_id, 'NEW_CERTIFICATE', 'bb-changes', program_id, CAST(NULL AS VARCHAR), SHA(CAST(user_id AS VARCHAR)), 'certificate', 'tls.fingerprint', NULL
+        FROM (SELECT * FROM ct_kept QUALIFY rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)""", _CT_SETS)
+def ob10_events(spark, d):
+    store, _ = _ct_run(spark, d, "ob10-events")
+    p = lambda path: F.get_json_object("payload", f"$.{path}")
+    return store.events("events", certificates.EVENTS).select(
+        "seq", "type", "index", p("program.id").alias("program_id"), p("scope.id").alias("scope_id"), p("asset.value").alias("value"), p("asset.type").alias("asset_type"), p("change.field").alias("field"),
+        p("tls.fingerprint").alias("fingerprint"))
+
+
+@register("ob10_ct_tables", """
+    SELECT 'assets' AS kind, domain AS a, 'subdomain' AS b, NULL AS c, EPOCH(min(ts)) AS first_us, EPOCH(max(ts)) AS last_us FROM ct_kept GROUP BY domain
+    UNION ALL SELECT 'assets', SHA(CAST(user_id AS VARCHAR)), 'certificate', NULL, EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY user_id
+    UNION ALL SELECT 'edges', domain, SHA(CAST(user_id AS VARCHAR)), 'DISCOVERED_FROM', EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY domain, user_id
+    UNION ALL SELECT 'links', program_id, domain, 'in_scope', EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY program_id, domain
+    UNION ALL SELECT 'outside', SHA(CAST(user_id AS VARCHAR)), CAST(event_id AS VARCHAR), NULL, EPOCH(ts), EPOCH(ts) FROM events WHERE user_id % 5 = 4 AND user_id % 2 = 1""", _CT_SETS)
+def ob10_tables(spark, d):
+    store, f = _ct_run(spark, d, "ob10-tables")
+    times = [F.unix_micros(c).alias(n) for c, n in (("first_seen", "first_us"), ("last_seen", "last_us"))]
+    text = F.lit(None).cast("string")
+    assets = store.table("assets", certificates.ASSETS).select(F.lit("assets").alias("kind"), F.col("value").alias("a"), F.col("asset_type").alias("b"), text.alias("c"), *times)
+    edges = store.table("edges", certificates.EDGES).select(F.lit("edges").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("relationship_type").alias("c"), *times)
+    links = store.table("links", certificates.LINKS).select(F.lit("links").alias("kind"), F.col("program_id").alias("a"), F.col("asset_id").alias("b"), F.col("status").alias("c"), *times)
+    out = spark.read.parquet(f"{f['errors']}/batch=*").withColumns({"first_seen": F.col("observed_at"), "last_seen": F.col("observed_at")})
+    out = out.select(F.lit("outside").alias("kind"), F.col("fingerprint").alias("a"), F.col("seq").cast("string").alias("b"), text.alias("c"), *times)
+    return assets.unionByName(edges).unionByName(links).unionByName(out)
 
 
 @register("st5_route", """

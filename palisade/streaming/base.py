@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from palisade.sources.events import snapshot_versions, write_snapshot
+from palisade.sources.events import _fs
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -32,6 +33,17 @@ def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_path(root, batch_id))
 
 
+def publish_batch(df: DataFrame, root: str, batch_id: int) -> bool:
+    """Write a batch's output under another name and rename it into place, for folders that another stream reads; what a first attempt published stays."""
+    spark, path = df.sparkSession, batch_path(root, batch_id)
+    fs, final, hadoop = _fs(spark, path)
+    if fs.exists(final):
+        return False
+    draft = f"{root}/_draft-{uuid.uuid4().hex}"
+    df.write.parquet(draft)
+    return fs.rename(hadoop.Path(draft), final)
+
+
 def read_output(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """Everything the batches wrote (empty when none ran)."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -39,16 +51,3 @@ def read_output(spark: SparkSession, root: str, schema: T.StructType) -> DataFra
     if not fs.exists(jpath):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/batch=*")
-
-
-def state_before(spark: SparkSession, root: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """Keyed state as it was before a batch: a retried batch must not see what its first attempt left."""
-    versions = [v for v in snapshot_versions(spark, root) if v <= batch_id]
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v{versions[-1]:010d}")
-
-
-def save_state(df: DataFrame, root: str, batch_id: int) -> None:
-    """State after a batch becomes version ``batch_id + 1``."""
-    write_snapshot(df, root, batch_id + 1)

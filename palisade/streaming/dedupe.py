@@ -4,70 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from palisade.operators.skew import first_per_key
-from palisade.session import scratch_dir
-from palisade.streaming.base import append_batch, run_batches, save_state, state_before
+from palisade.streaming.base import append_batch, run_batches
+from palisade.streaming.keyed import accepted, first_ever
 
 
-def ttl_rounds(rows: DataFrame, state: DataFrame, key: str, ts: str, seq: str, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, new state (key, last)): a row is accepted when its key was never accepted or the last *accepted* row
-    is at least ``ttl_seconds`` older; duplicates do not extend the time.
+def dedupe_stream(stream: DataFrame, key: str, ts: str, seq: str, ttl_seconds: int, *, output: str, checkpoint: str, delay: str = "1 day", trigger=None):
+    """Time-to-live deduplication of a stream into a table; see ``keyed.accepted``."""
+    kept = accepted(stream, F.col(key), ts, seq, ttl_seconds, delay)
+    return run_batches(kept, lambda batch, n: append_batch(batch, output, n), checkpoint, trigger=trigger)
 
-    Accepted rows of a key are at least one TTL apart, so they are found round by round: per round the earliest row at or
-    after each key's frontier, by one aggregation that combines before the shuffle.  A batch needs about
-    (its time span / TTL) + 1 rounds, whatever the number of rows or the size of the largest key.  Each round's result is a
-    written table."""
-    spark = rows.sparkSession
-    root = scratch_dir(spark, "ttl-rounds")
-    frontier = state.select(key, F.col("last").alias("__last"))
-    parts: list[DataFrame] = []
-    round_ = 0
-    while True:
-        due = F.col("__last").isNull() | (F.col(ts) >= F.col("__last") + F.make_interval(secs=F.lit(ttl_seconds)))
-        open_rows = rows.join(frontier, key, "left").filter(due).drop("__last")
-        path = f"{root}/r{round_}"
-        first_per_key(open_rows, [key], [F.col(ts), F.col(seq)]).write.parquet(path)
-        found = spark.read.parquet(path)
-        if found.isEmpty():
-            break
-        parts.append(found)
-        moved = found.select(key, F.col(ts).alias("__now"))
-        path = f"{root}/f{round_}"
-        frontier.join(moved, key, "full_outer").select(key, F.coalesce("__now", "__last").alias("__last")).write.parquet(path)
-        frontier = spark.read.parquet(path)
-        round_ += 1
-    accepted = spark.read.parquet(*[f"{root}/r{i}" for i in range(round_)]) if parts else rows.limit(0)
-    return accepted.select(*rows.columns), frontier.select(key, F.col("__last").alias("last"))
 
-
-def dedupe_stream(stream: DataFrame, key: str, ts: str, seq: str, ttl_seconds: int, *, state: str, output: str, checkpoint: str, trigger=None):
-    """Time-to-live deduplication of a stream.  Time is event time; a row more than one TTL behind the newest state may be
-    accepted although the original compared arrival times.  Keys whose last acceptance has expired are dropped from the
-    state against the newest time seen."""
-    schema = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField("last", stream.schema[ts].dataType)])
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        before = state_before(batch.sparkSession, state, batch_id, schema)
-        accepted, after = ttl_rounds(batch, before, key, ts, seq, ttl_seconds)
-        append_batch(accepted, output, batch_id)
-        newest = after.agg(F.max("last").alias("m"))
-        live = after.join(F.broadcast(newest)).filter(F.col("last") + F.make_interval(secs=F.lit(ttl_seconds)) > F.col("m")).drop("m")
-        save_state(live, state, batch_id)
-
-    return run_batches(stream, process, checkpoint, trigger=trigger)
-
-
-def once_only_stream(stream: DataFrame, key: str, order: list[str], *, state: str, output: str, checkpoint: str, trigger=None):
-    """First row of each key ever: within the batch by aggregation, across batches by an anti join with the delivered keys."""
-    schema = T.StructType([T.StructField(key, stream.schema[key].dataType)])
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        before = state_before(batch.sparkSession, state, batch_id, schema)
-        fresh = first_per_key(batch, [key], [F.col(c) for c in order]).join(before, key, "left_anti").select(*batch.columns)
-        append_batch(fresh, output, batch_id)
-        written = batch.sparkSession.read.schema(batch.schema).parquet(f"{output}/batch={batch_id}")
-        save_state(before.unionByName(written.select(key)), state, batch_id)
-
-    return run_batches(stream, process, checkpoint, trigger=trigger)
+def once_only_stream(stream: DataFrame, key: str, ts: str, seq: str, *, output: str, checkpoint: str, trigger=None):
+    """The first row of each key ever, into a table; see ``keyed.first_ever``."""
+    return run_batches(first_ever(stream, F.col(key), ts, seq), lambda batch, n: append_batch(batch, output, n), checkpoint, trigger=trigger)

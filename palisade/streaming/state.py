@@ -6,33 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from palisade.operators.skew import last_per_key
-from palisade.plans.base import pair_states
-from palisade.streaming.base import append_batch, run_batches, save_state, state_before
+from palisade.plans.base import staged
+from palisade.sources.commits import Store
+from palisade.streaming.base import append_batch, run_batches
+from palisade.streaming.keyed import with_previous_in_order
 
 
 def diff_stream(
-    stream: DataFrame, diff: Callable[[DataFrame, list[str]], DataFrame], *, state: str, output: str, checkpoint: str, trigger=None,
-    bucket: str = "hour",
+    stream: DataFrame, diff: Callable[[DataFrame, list[str]], DataFrame], *, output: str, checkpoint: str, delay: str = "1 day", trigger=None,
 ):
-    """Change rows of a stream of states (asset_id, facet, observed_at, seq, current).
+    """Change rows of a stream of states (asset_id, facet, observed_at, seq, current), paired in event-time order whatever the order of arrival.
 
-    A batch is paired with the stored last state of its keys, then diffed like a batch table; the stored state becomes the
-    last row per key."""
-    keep = ["asset_id", "facet", "observed_at", "current"]
-    schema = T.StructType([stream.schema[c] for c in keep])
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        before = state_before(batch.sparkSession, state, batch_id, schema)
-        touched = before.join(batch.select("asset_id", "facet").distinct(), ["asset_id", "facet"], "left_semi").select(*keep)
-        paired = pair_states(batch, touched, bucket)
-        append_batch(diff(paired, ["asset_id", "facet", "seq"]), output, batch_id)
-        rows = before.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch.select(*keep, F.col("seq").cast("long").alias("seq")))
-        save_state(last_per_key(rows, ["asset_id", "facet"], [F.col("observed_at"), F.col("seq")]).select(*keep), state, batch_id)
-
-    return run_batches(stream, process, checkpoint, trigger=trigger)
+    A state waits until the watermark, ``delay`` behind the newest one, has passed it; it is then compared with the one before it."""
+    key = F.to_json(F.struct("asset_id", "facet"))
+    paired = with_previous_in_order(stream.select("asset_id", "facet", "observed_at", F.col("seq").cast("long").alias("seq"), "current"), key, "observed_at", "seq", delay)
+    paired = paired.withColumn("previous", F.col("previous.current"))
+    return run_batches(paired, lambda batch, n: append_batch(diff(batch, ["asset_id", "facet", "seq"]), output, n), checkpoint, trigger=trigger)
 
 
 def bucket_counts(stream: DataFrame, ts: str, keys: list[str], duration: str, delay: str) -> DataFrame:
@@ -43,12 +33,15 @@ def bucket_counts(stream: DataFrame, ts: str, keys: list[str], duration: str, de
     )
 
 
-def upsert_stream(stream: DataFrame, key: list[str], *, state: str, checkpoint: str, trigger=None):
-    """Keep the latest value of each key of an update-mode aggregation in a snapshot table."""
+def upsert_stream(stream: DataFrame, name: str, key: list[str], store: Store, *, checkpoint: str, trigger=None):
+    """Keep the latest value of each key of an update-mode aggregation in a table of the store; a batch rewrites the buckets of its keys only."""
+    schema = stream.schema
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        before = state_before(batch.sparkSession, state, batch_id, batch.schema)
-        kept = before.join(batch.select(*key).distinct(), key, "left_anti").select(*batch.columns)
-        save_state(kept.unionByName(batch), state, batch_id)
+        if store.has(batch_id):
+            return
+        commit = store.batch(batch_id)
+        commit.merge(name, schema, key, staged("upserts")(batch), lambda cur, new: cur.join(new.select(*key), key, "left_anti").select(*schema.names).unionByName(new))
+        commit.commit()
 
     return run_batches(stream, process, checkpoint, trigger=trigger, mode="update")
