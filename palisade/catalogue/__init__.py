@@ -2,7 +2,7 @@
 
 from palisade.catalogue import registry
 from palisade.catalogue import (  # noqa: F401  (imported for registration)
-    normalising, parsing, scoping, attributing, merging, changing, platform, correlating, jobbing, notifying, observing, panelling, streamed,
+    normalising, parsing, scoping, attributing, merging, changing, platform, correlating, jobbing, notifying, observing, flowing, panelling, streamed,
 )
 
 

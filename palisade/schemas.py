@@ -60,3 +60,16 @@ EVENT = (
     "change struct<type:string,field:string,previous:string,current:string>, "
     "error struct<type:string,message:string,retry_count:int>, confidence struct<score:double,source:string>"
 )
+
+# stored tables
+ASSETS = (
+    "asset_type string, value string, status string, lifecycle_stage string, first_seen timestamp, last_seen timestamp, confidence_score double, "
+    "confidence_source string, confidence_reason string, last_scanned timestamp, last_changed timestamp"
+)
+EDGES = (
+    "source_id string, target_id string, relationship_type string, source string, confidence double, metadata string, first_seen timestamp, "
+    "last_seen timestamp"
+)
+LINKS = "program_id string, asset_id string, status string, scope_id string, scope_reason string, first_seen timestamp, last_seen timestamp"
+EVENTS = "seq long, ts timestamp, index string, ym string, doc_id string, kind string, category string, type string, payload string"
+EVENT_COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]

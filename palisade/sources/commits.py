@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,14 +78,21 @@ class Batch:
         self.replaced: list[str] = []
         self.touched: dict[str, list[int]] = {}
 
+    def _touched(self, name: str, key: Sequence[str], rows: DataFrame) -> tuple[dict, Column, list[int]]:
+        table = self.keyed.setdefault(name, {"buckets": self.store.buckets, "paths": {}})
+        bucket = F.pmod(F.xxhash64(*key), F.lit(table["buckets"])).cast("int")
+        return table, bucket, sorted(r[0] for r in rows.select(bucket).distinct().collect())  # at most one row per bucket
+
+    def current(self, name: str, schema: str | T.StructType, key: Sequence[str], rows: DataFrame) -> DataFrame:
+        """The rows of a keyed table in the buckets of the keys of ``rows``, as the last batch left them."""
+        return self.store.table(name, schema, self._touched(name, key, rows)[2])
+
     def merge(self, name: str, schema: str | T.StructType, key: Sequence[str], new: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
         """``step(current rows, new rows)`` over the buckets that ``new`` touches; gives back what it returned, as written.
 
         ``step`` returns one row per key with at least the columns of ``schema``; flags such as ``inserted`` are for the caller and not read again.  ``new`` is
         read twice, so hand over a written table."""
-        table = self.keyed.setdefault(name, {"buckets": self.store.buckets, "paths": {}})
-        bucket = F.pmod(F.xxhash64(*key), F.lit(table["buckets"])).cast("int")
-        self.touched[name] = sorted(r[0] for r in new.select(bucket).distinct().collect())  # at most one row per bucket
+        table, bucket, self.touched[name] = self._touched(name, key, new)
         now = step(self.store.table(name, schema, self.touched[name]), new).withColumn(BUCKET, bucket)
         path = f"{self.store.root}/{name}/{self.tag}"
         now.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)

@@ -14,18 +14,13 @@ from pyspark.sql import functions as F
 from palisade.operators import merge
 from palisade.plans import certificates as plan
 from palisade.plans.base import staged, union
+from palisade.schemas import ASSETS, EDGES, EVENT_COLUMNS, EVENTS, LINKS  # noqa: F401
 from palisade.sources.certificates import parse_ct
 from palisade.sources.commits import Store
 from palisade.streaming.base import publish_batch, run_batches
 from palisade.streaming.keyed import accepted
 from palisade.streaming.route import load_rules
 
-ASSETS = "asset_type string, value string, status string, lifecycle_stage string, first_seen timestamp, last_seen timestamp, confidence_score double, confidence_source string, confidence_reason string"
-EDGES = "source_id string, target_id string, relationship_type string, source string, confidence double, metadata string, first_seen timestamp, last_seen timestamp"
-LINKS = "program_id string, asset_id string, status string, scope_id string, scope_reason string, first_seen timestamp, last_seen timestamp"
-EVENTS = "seq long, ts timestamp, index string, ym string, doc_id string, kind string, category string, type string, payload string"
-
-
 def match_stream(messages: DataFrame, read_rules: Callable[[], DataFrame], *, matched: str, checkpoint: str, outside: str | None = None, trigger=None):
     """Messages (value, observed_at, seq) to one published row per certificate with its ``matches``.
 
@@ -50,7 +45,7 @@ def commit_batch(rows: DataFrame, store: Store, batch_id: int) -> None:
     assets = batch.merge("assets", ASSETS, ["asset_type", "value"], staged("ct-assets")(found.assets), merge.upsert_assets)
     batch.merge("edges", EDGES, merge.EDGE_KEY, staged("ct-edges")(found.edges), merge.upsert_edges)
     batch.merge("links", LINKS, ["program_id", "asset_id"], staged("ct-links")(plan.link_rows(rows)), merge.link_assets)
-    batch.append("events", union(plan.certificate_events(rows), plan.change_events(rows, assets)).select(*[c.split()[0] for c in EVENTS.split(", ")]))
+    batch.append("events", union(plan.certificate_events(rows), plan.change_events(rows, assets)).select(*EVENT_COLUMNS))
     batch.commit()
 
 
