@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.catalogue.attributing import asns, cloud
-from palisade.catalogue.observing import _IP, _SAN_TARGETS, _SANS, HTTP_SETS, _lines, _now
+from palisade.catalogue.observing import _HOST_TARGETS, _IP, _SAN_TARGETS, _SANS, HTTP_SETS, _lines, _now
 from palisade.catalogue.registry import register
 from palisade.catalogue.scoping import _ctes, rules_of
 from palisade.catalogue.standins import NOW, NOW_US
-from palisade.plans import flow, http, tls
+from palisade.plans import crawl, discovery, findings, flow, http, tls
 from palisade.plans.base import staged
 from palisade.schemas import ASSETS, EVENTS, LINKS
 from palisade.session import scratch_dir
@@ -128,3 +128,74 @@ def ob2_flow(spark, d):
         lines = staged("flow-lines")(_lines(spark, d, record, host=F.col("host")).filter(part))
         flow.commit(tls.tls_plan(lines, rules, _now(), stage=staged("tls-rows")), lines, flow.tls_flow(), store, number)
     return _events(store)
+
+
+_CRAWLED = "CONCAT('https://', host, '/p', CAST(page_id % 6 AS STRING))"
+_CRAWL_TARGETS = f"SELECT DISTINCT {_CRAWLED.replace('STRING', 'VARCHAR')} AS target, {_CRAWLED.replace('STRING', 'VARCHAR')} AS value, 'url' AS kind, host, 'https' AS scheme, '/p' || CAST(page_id % 6 AS VARCHAR) AS path FROM http_obs"
+_RUN_SETS = {
+    **_ctes(_CRAWL_TARGETS),
+    "run_lines": f"""
+        SELECT h.*, {_CRAWLED.replace('STRING', 'VARCHAR')} AS u, CASE WHEN EPOCH(ts) < {_SPLIT_US} THEN '0' ELSE '1' END || '|j' || CAST(page_id % 5 AS VARCHAR) AS run,
+            CASE WHEN length(host) - length(replace(host, '.', '')) = 1 THEN 'domain' ELSE 'subdomain' END AS kind FROM http_obs h""",
+    "run_rows": "SELECT r.*, COALESCE(d.allowed, false) AS allowed, COALESCE(d.reason, 'not in approved scope') AS reason FROM run_lines r LEFT JOIN scope_decided d ON d.target = r.u AND d.program_id = 'P1' WHERE page_id % 10 <> 9",
+    "run_list": "SELECT host, kind, run, max(page_id) AS page_id, lag(run) OVER (PARTITION BY host ORDER BY run) AS prev_run FROM run_lines GROUP BY host, kind, run",
+}
+
+
+def _run_events(tool: str, members: str) -> str:
+    return f"""
+    SELECT 'RAW_OUTPUT' AS type, 'bb-{tool}-raw' AS index, page_id AS seq, CAST(NULL AS VARCHAR) AS asset_type, CAST(NULL AS VARCHAR) AS asset_value, 'P1' AS program_id, CAST(NULL AS VARCHAR) AS field, '' AS previous, '' AS current, CAST(NULL AS VARCHAR) AS message FROM run_lines
+    UNION ALL SELECT 'MALFORMED_SCANNER_OUTPUT', 'bb-errors', max(page_id), NULL, NULL, 'P1', NULL, '', '', CAST(count(*) AS VARCHAR) || ' malformed {tool} lines' FROM run_lines WHERE page_id % 10 = 9 GROUP BY run
+    UNION ALL SELECT 'SCOPE_BLOCKED', 'bb-changes', page_id, 'url', u, 'P1', NULL, '', '', reason FROM run_rows WHERE NOT allowed
+    UNION ALL SELECT 'ASSET_SNAPSHOT', 'bb-assets', page_id, kind, host, 'P1', NULL, '', '', NULL FROM run_list
+    {members}"""
+
+
+def _run_store(spark, d, name, record, make, flow_of, **extra):
+    store, rules = Store(spark, scratch_dir(spark, name), buckets=8), rules_of(spark)
+    for number, part in enumerate(_PARTS):
+        lines = staged("flow-lines")(_lines(spark, d, record, **extra).filter(part))
+        found = make(lines, rules, stage=staged(name))
+        flow.commit(found, lines, flow_of(found), store, number)
+    return store
+
+
+@register("ob5_crawl_flow", _run_events("katana", """
+    UNION ALL (SELECT unnest(['CRAWLED_URL', 'URL_INVENTORY']), unnest(['bb-katana', 'bb-urls']), page_id, 'url', u, 'P1', NULL, '', '', NULL FROM run_rows WHERE allowed QUALIFY row_number() OVER (PARTITION BY run, u ORDER BY page_id) = 1)
+    UNION ALL SELECT 'NEW_ENDPOINT', 'bb-changes', l.page_id, l.kind, l.host, 'P1', 'url.path', '', m.u, NULL FROM run_list l JOIN (SELECT DISTINCT host, run, u FROM run_rows WHERE allowed) m ON l.host = m.host AND l.run = m.run
+        WHERE prev_run IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run_rows b WHERE b.allowed AND b.host = l.host AND b.run = l.prev_run AND b.u = m.u)"""), _RUN_SETS)
+def ob5_flow(spark, d):
+    record = F.struct(F.struct(F.lit("GET").alias("method"), F.expr(_CRAWLED).alias("endpoint"), F.lit("https://x/").alias("source")).alias("request"), F.struct("status_code").alias("response"))
+    return _events(_run_store(spark, d, "crawl-flow", record, crawl.crawl_plan, flow.crawl_flow, origin=F.concat(F.lit("https://"), "host")))
+
+
+@register("ob7_findings_flow", _run_events("nuclei", """
+    UNION ALL SELECT 'VULNERABILITY_DETECTED', 'bb-nuclei', page_id, 'url', u, 'P1', NULL, '', '', NULL FROM run_rows WHERE allowed
+    UNION ALL SELECT c, 'bb-changes', l.page_id, l.kind, l.host, 'P1', 'vuln.finding', '', m.label, NULL FROM run_list l JOIN run_members m ON l.host = m.host AND l.run = m.run, unnest(['NEW_FINDING', 'NEW_CRITICAL_FINDING']) n(c)
+        WHERE prev_run IS NOT NULL AND (c = 'NEW_FINDING' OR m.severity = 'critical') AND NOT EXISTS (SELECT 1 FROM run_members b WHERE b.host = l.host AND b.run = l.prev_run AND b.u = m.u AND b.t = m.t)
+    UNION ALL SELECT 'FINDING_RESOLVED', 'bb-changes', l.page_id, l.kind, l.host, 'P1', 'vuln.finding', m.label, '', NULL FROM run_list l JOIN run_members m ON l.host = m.host AND l.prev_run = m.run
+        WHERE NOT EXISTS (SELECT 1 FROM run_members b WHERE b.host = l.host AND b.run = l.run AND b.u = m.u AND b.t = m.t)"""), {
+    **_RUN_SETS,
+    "run_members": """
+        SELECT host, run, u, t, severity, t || ' @ ' || u || ' (' || severity || ')' AS label FROM (
+            SELECT *, 't' || CAST(page_id % 2 AS VARCHAR) AS t, CASE page_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' ELSE 'unknown' END AS severity FROM run_rows WHERE allowed)
+        QUALIFY row_number() OVER (PARTITION BY host, run, u, t ORDER BY page_id DESC) = 1"""})
+def ob7_flow(spark, d):
+    p = F.col("page_id")
+    record = F.struct(
+        F.concat(F.lit("t"), (p % 2).cast("string")).alias("template-id"), F.expr(_CRAWLED).alias("matched-at"),
+        F.struct(F.lit("n").alias("name"), F.when(p % 5 == 0, "Critical").when(p % 5 == 1, "low").alias("severity")).alias("info"))
+    return _events(_run_store(spark, d, "findings-flow", record, findings.findings_plan, flow.findings_flow, host=F.col("host")))
+
+
+@register("ob8_search_flow", f"""
+    WITH t AS (SELECT *, page_id % 5 AS j, EPOCH(ts) < {_SPLIT_US} AS early FROM http_obs WHERE page_id % 10 <> 9), u AS (SELECT t.*, COALESCE(d.allowed, false) AS allowed, COALESCE(d.reason, 'not in approved scope') AS reason FROM t LEFT JOIN scope_decided d ON t.host = d.target AND d.program_id = 'P1'
+            QUALIFY row_number() OVER (PARTITION BY j, early, t.host ORDER BY page_id) = 1),
+        k AS (SELECT *, CASE WHEN length(host) - length(replace(host, '.', '')) = 1 THEN 'domain' ELSE 'subdomain' END AS kind FROM u)
+    SELECT 'RAW_OUTPUT' AS type, 'bb-uncover-raw' AS index, page_id AS seq, CAST(NULL AS VARCHAR) AS asset_type, CAST(NULL AS VARCHAR) AS asset_value, 'P1' AS program_id, CAST(NULL AS VARCHAR) AS field, '' AS previous, '' AS current, CAST(NULL AS VARCHAR) AS message FROM http_obs
+    UNION ALL SELECT 'MALFORMED_SCANNER_OUTPUT', 'bb-errors', max(page_id), NULL, NULL, 'P1', NULL, '', '', CAST(count(*) AS VARCHAR) || ' malformed uncover lines' FROM http_obs WHERE page_id % 10 = 9 GROUP BY page_id % 5, EPOCH(ts) < {_SPLIT_US}
+    UNION ALL SELECT 'UNCOVER_RESULT', 'bb-uncover', page_id, kind, host, 'P1', NULL, '', '', reason FROM k
+    UNION ALL (SELECT 'NEW_SUBDOMAIN', 'bb-changes', page_id, kind, host, 'P1', 'uncover', '', host, NULL FROM k WHERE allowed {_FIRST.format('host').replace('ORDER BY ts', 'ORDER BY NOT early, ts')})""", _ctes(_HOST_TARGETS))
+def ob8_flow(spark, d):
+    record = F.struct(F.lit("shodan").alias("source"), F.lit("not-ip").alias("ip"), F.upper("host").alias("host"), F.lit(443).alias("port"))
+    return _events(_run_store(spark, d, "search-flow", record, discovery.search_plan, lambda _: flow.search_flow(), parent=F.lit("example.com")))
