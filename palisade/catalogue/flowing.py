@@ -28,17 +28,16 @@ def _events(store):
 
 
 def http_store(spark, d):
-    """Pages in two batches through the HTTP flow, the second one twice, as after a failure."""
+    """Pages in two batches through the HTTP flow."""
     store, rules = Store(spark, scratch_dir(spark, "http-flow"), buckets=8), rules_of(spark)
     tech = F.when(F.col("page_id") % 3 == 0, F.array(F.concat(F.lit("Nginx:1."), (F.col("page_id") % 7).cast("string")), F.lit("HSTS"))).when(
         F.col("page_id") % 3 == 1, F.array(F.lit("PHP:8.1")))
     record = F.struct(
         "url", "status_code", "webserver", "title", F.col("ip").alias("host_ip"), tech.alias("tech"), (F.col("page_id") % 8 == 7).alias("failed"))
-    for number, part in enumerate((*_PARTS, _PARTS[1])):
-        if not store.has(min(number, 1)):
-            lines = staged("flow-lines")(_lines(spark, d, record).filter(part))
-            found = http.http_plan(lines, rules, cloud(spark, d), asns(spark, d), stage=staged("http-rows"))
-            flow.commit(found, lines, flow.http_flow(), store, number)
+    for number, part in enumerate(_PARTS):
+        lines = staged("flow-lines")(_lines(spark, d, record).filter(part))
+        found = http.http_plan(lines, rules, cloud(spark, d), asns(spark, d), stage=staged("http-rows"))
+        flow.commit(found, lines, flow.http_flow(), store, number)
     return store
 
 
@@ -73,26 +72,26 @@ _HTTP_FLOW = {
 }
 
 
-@register("ob1_http_flow", _HTTP_EVENTS, _HTTP_FLOW)
-def ob1_flow(spark, d):
-    return _events(http_store(spark, d))
-
+_STAGE = "CASE WHEN max_by(techs, (ts, page_id)) <> '' THEN 'TECH_IDENTIFIED' ELSE 'HTTP_PROBED' END"
+_HTTP_ASSETS = f"""
+    SELECT 'url' AS asset_type, norm_url AS asset_value, min(ts) AS first, max(ts) AS last, max(ts) AS scanned, 'active' AS status, {_STAGE} AS stage, 'in_scope' AS link FROM http_ok GROUP BY norm_url
+    UNION ALL SELECT CASE WHEN length(host) - length(replace(host, '.', '')) = 1 THEN 'domain' ELSE 'subdomain' END, host, min(ts), max(ts), max(ts), 'active', {_STAGE}, NULL FROM http_ok GROUP BY host
+    UNION ALL SELECT 'ipv4', ip, min(ts), max(ts), NULL, 'discovered', 'DISCOVERED', NULL FROM http_ok GROUP BY ip
+    UNION ALL SELECT 'technology', name, min(ts), max(ts), NULL, 'discovered', 'DISCOVERED', NULL FROM (SELECT ts, unnest(names) AS name FROM http_ok) WHERE name <> '' GROUP BY name
+    UNION ALL SELECT 'asn', 'AS' || CAST(asn AS VARCHAR), min(ts), max(ts), NULL, 'discovered', 'DISCOVERED', NULL FROM http_ok WHERE asn IS NOT NULL GROUP BY asn"""
 
-_STAGE = "CASE WHEN {0} THEN 'TECH_IDENTIFIED' ELSE 'HTTP_PROBED' END"
 
-
-@register("ob1_http_flow_assets", f"""
-    SELECT 'url' AS asset_type, norm_url AS value, EPOCH(min(ts)) AS first_us, EPOCH(max(ts)) AS last_us, EPOCH(max(ts)) AS scanned_us, 'active' AS status, {_STAGE.format("max_by(techs, (ts, page_id)) <> ''")} AS stage, 'in_scope' AS link FROM http_ok GROUP BY norm_url
-    UNION ALL SELECT CASE WHEN length(host) - length(replace(host, '.', '')) = 1 THEN 'domain' ELSE 'subdomain' END, host, EPOCH(min(ts)), EPOCH(max(ts)), EPOCH(max(ts)), 'active', {_STAGE.format("max_by(techs, (ts, page_id)) <> ''")}, NULL FROM http_ok GROUP BY host
-    UNION ALL SELECT 'ipv4', ip, EPOCH(min(ts)), EPOCH(max(ts)), NULL, 'discovered', 'DISCOVERED', NULL FROM http_ok GROUP BY ip
-    UNION ALL SELECT 'technology', name, EPOCH(min(ts)), EPOCH(max(ts)), NULL, 'discovered', 'DISCOVERED', NULL FROM (SELECT ts, unnest(names) AS name FROM http_ok) WHERE name <> '' GROUP BY name
-    UNION ALL SELECT 'asn', 'AS' || CAST(asn AS VARCHAR), EPOCH(min(ts)), EPOCH(max(ts)), NULL, 'discovered', 'DISCOVERED', NULL FROM http_ok WHERE asn IS NOT NULL GROUP BY asn""", _HTTP_FLOW)
-def ob1_flow_assets(spark, d):
+@register("ob1_http_flow", f"""{_HTTP_EVENTS}
+    UNION ALL SELECT 'asset', status, EPOCH(scanned), asset_type, asset_value, link, stage, CAST(EPOCH(first) AS VARCHAR), CAST(EPOCH(last) AS VARCHAR), NULL FROM http_assets""", {**_HTTP_FLOW, "http_assets": _HTTP_ASSETS})
+def ob1_flow(spark, d):
+    """All events, and the stored assets as rows of type ``asset`` (status, time of the scan, kind, value, link, stage, first and last seen)."""
     store = http_store(spark, d)
     links = store.table("links", LINKS).select(F.col("asset_id").alias("value"), F.lit("url").alias("asset_type"), F.col("status").alias("link"))
-    us = lambda c: F.unix_micros(c).alias
-    assets = store.table("assets", ASSETS).join(links, ["asset_type", "value"], "left")
-    return assets.select("asset_type", "value", us("first_seen")("first_us"), us("last_seen")("last_us"), us("last_scanned")("scanned_us"), "status", F.col("lifecycle_stage").alias("stage"), "link")
+    us = lambda c: F.unix_micros(c)
+    assets = store.table("assets", ASSETS).join(links, ["asset_type", "value"], "left").select(
+        F.lit("asset").alias("type"), F.col("status").alias("index"), us("last_scanned").alias("seq"), "asset_type", F.col("value").alias("asset_value"), F.col("link").alias("program_id"),
+        F.col("lifecycle_stage").alias("field"), us("first_seen").cast("string").alias("previous"), us("last_seen").cast("string").alias("current"), F.lit(None).cast("string").alias("message"))
+    return _events(store).unionByName(assets)
 
 
 @register("ob2_tls_flow", f"""

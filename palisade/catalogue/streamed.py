@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade import schemas
 from palisade.catalogue.changing import _LAG
 from palisade.catalogue.parsing import EVENT_LINE, _RAW
 from palisade.catalogue.platform import POOL, _QUEUES
@@ -116,7 +120,7 @@ _CT_SETS = {
                 SELECT * FROM accepted) a JOIN events e ON e.user_id = a.user_id AND e.ts = a.t) GROUP BY user_id, t""",
     "ct_kept": "SELECT p.* FROM ct_pairs p JOIN ct_taken t ON p.user_id = t.user_id AND p.event_id = t.event_id",
 }
-_CT_TTL, _CT_MESSAGES = 5 * 86400, ("seq", "observed_at", "value")
+_CT_TTL = 5 * 86400
 
 
 def _ct_run(spark, d, name):
@@ -135,35 +139,35 @@ def _ct_run(spark, d, name):
     return store, f
 
 
-@register("ob10_ct_events", """
-    SELECT event_id AS seq, 'CT_CERTIFICATE' AS type, 'bb-certstream' AS index, program_id, scope_id, domain AS value, 'subdomain' AS asset_type, CAST(NULL AS VARCHAR) AS field, SHA(CAST(user_id AS VARCHAR)) AS fingerprint FROM ct_kept
-    UNION ALL (SELECT event_id, 'NEW_SUBDOMAIN', 'bb-changes', program_id, scope_id, domain, 'subdomain', 'tls.san', NULL FROM ct_kept QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts, event_id, program_id) = 1)
-    UNION ALL SELECT DISTINCT event_id, 'NEW_CERTIFICATE', 'bb-changes', program_id, CAST(NULL AS VARCHAR), SHA(CAST(user_id AS VARCHAR)), 'certificate', 'tls.fingerprint', NULL
-        FROM (SELECT * FROM ct_kept QUALIFY rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)""", _CT_SETS)
-def ob10_events(spark, d):
-    store, _ = _ct_run(spark, d, "ob10-events")
+@register("ob10_ct_stream", """
+    SELECT 'CT_CERTIFICATE' AS kind, 'bb-certstream' AS place, domain AS a, program_id AS b, scope_id AS c, 'subdomain' AS d, SHA(CAST(user_id AS VARCHAR)) AS e, event_id AS n, EPOCH(ts) AS first_us, EPOCH(ts) AS last_us FROM ct_kept
+    UNION ALL (SELECT 'NEW_SUBDOMAIN', 'bb-changes', domain, program_id, scope_id, 'subdomain', 'tls.san', event_id, EPOCH(ts), EPOCH(ts) FROM ct_kept QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts, event_id, program_id) = 1)
+    UNION ALL SELECT DISTINCT 'NEW_CERTIFICATE', 'bb-changes', SHA(CAST(user_id AS VARCHAR)), program_id, NULL, 'certificate', 'tls.fingerprint', event_id, EPOCH(ts), EPOCH(ts)
+        FROM (SELECT * FROM ct_kept QUALIFY rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)
+    UNION ALL SELECT 'asset', 'assets', domain, 'subdomain', NULL, NULL, NULL, NULL, EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY domain
+    UNION ALL SELECT 'asset', 'assets', SHA(CAST(user_id AS VARCHAR)), 'certificate', NULL, NULL, NULL, NULL, EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY user_id
+    UNION ALL SELECT 'edge', 'edges', domain, SHA(CAST(user_id AS VARCHAR)), 'DISCOVERED_FROM', NULL, NULL, NULL, EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY domain, user_id
+    UNION ALL SELECT 'link', 'links', domain, program_id, 'in_scope', NULL, NULL, NULL, EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY program_id, domain
+    UNION ALL SELECT 'outside', 'outside', SHA(CAST(user_id AS VARCHAR)), NULL, NULL, NULL, NULL, event_id, EPOCH(ts), EPOCH(ts) FROM events WHERE user_id % 5 = 4 AND user_id % 2 = 1""", _CT_SETS)
+def ob10_stream(spark, d):
+    """What the stream leaves behind: events with fields of their payload, stored assets, edges and links, certificates out of scope."""
+    store, f = _ct_run(spark, d, "ob10-stream")
     p = lambda path: F.get_json_object("payload", f"$.{path}")
-    return store.events("events", certificates.EVENTS).select(
-        "seq", "type", "index", p("program.id").alias("program_id"), p("scope.id").alias("scope_id"), p("asset.value").alias("value"), p("asset.type").alias("asset_type"), p("change.field").alias("field"),
-        p("tls.fingerprint").alias("fingerprint"))
-
-
-@register("ob10_ct_tables", """
-    SELECT 'assets' AS kind, domain AS a, 'subdomain' AS b, NULL AS c, EPOCH(min(ts)) AS first_us, EPOCH(max(ts)) AS last_us FROM ct_kept GROUP BY domain
-    UNION ALL SELECT 'assets', SHA(CAST(user_id AS VARCHAR)), 'certificate', NULL, EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY user_id
-    UNION ALL SELECT 'edges', domain, SHA(CAST(user_id AS VARCHAR)), 'DISCOVERED_FROM', EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY domain, user_id
-    UNION ALL SELECT 'links', program_id, domain, 'in_scope', EPOCH(min(ts)), EPOCH(max(ts)) FROM ct_kept GROUP BY program_id, domain
-    UNION ALL SELECT 'outside', SHA(CAST(user_id AS VARCHAR)), CAST(event_id AS VARCHAR), NULL, EPOCH(ts), EPOCH(ts) FROM events WHERE user_id % 5 = 4 AND user_id % 2 = 1""", _CT_SETS)
-def ob10_tables(spark, d):
-    store, f = _ct_run(spark, d, "ob10-tables")
-    times = [F.unix_micros(c).alias(n) for c, n in (("first_seen", "first_us"), ("last_seen", "last_us"))]
-    text = F.lit(None).cast("string")
-    assets = store.table("assets", certificates.ASSETS).select(F.lit("assets").alias("kind"), F.col("value").alias("a"), F.col("asset_type").alias("b"), text.alias("c"), *times)
-    edges = store.table("edges", certificates.EDGES).select(F.lit("edges").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("relationship_type").alias("c"), *times)
-    links = store.table("links", certificates.LINKS).select(F.lit("links").alias("kind"), F.col("program_id").alias("a"), F.col("asset_id").alias("b"), F.col("status").alias("c"), *times)
-    out = spark.read.parquet(f"{f['errors']}/batch=*").withColumns({"first_seen": F.col("observed_at"), "last_seen": F.col("observed_at")})
-    out = out.select(F.lit("outside").alias("kind"), F.col("fingerprint").alias("a"), F.col("seq").cast("string").alias("b"), text.alias("c"), *times)
-    return assets.unionByName(edges).unionByName(links).unionByName(out)
+    none = F.lit(None).cast("string")
+
+    def shown(df, kind, place, a, b, c=none, d=none, e=none, n=F.lit(None).cast("long"), first="first_seen", last="last_seen"):
+        texts = [x.alias(y) for x, y in ((kind, "kind"), (place, "place"), (a, "a"), (b, "b"), (c, "c"), (d, "d"), (e, "e"), (n, "n"))]
+        return df.select(*texts, F.unix_micros(first).alias("first_us"), F.unix_micros(last).alias("last_us"))
+
+    c = F.col
+    parts = [
+        shown(store.events("events", schemas.EVENTS), c("type"), c("index"), p("asset.value"), p("program.id"), p("scope.id"), p("asset.type"), F.coalesce(p("change.field"), p("tls.fingerprint")), c("seq"), "ts", "ts"),
+        shown(store.table("assets", schemas.ASSETS), F.lit("asset"), F.lit("assets"), c("value"), c("asset_type")),
+        shown(store.table("edges", schemas.EDGES), F.lit("edge"), F.lit("edges"), c("source_id"), c("target_id"), c("relationship_type")),
+        shown(store.table("links", schemas.LINKS), F.lit("link"), F.lit("links"), c("asset_id"), c("program_id"), c("status")),
+        shown(spark.read.parquet(f"{f['errors']}/batch=*"), F.lit("outside"), F.lit("outside"), c("fingerprint"), none, n=c("seq"), first="observed_at", last="observed_at"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @register("st5_route", """

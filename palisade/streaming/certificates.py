@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palisade.operators import merge
 from palisade.plans import certificates as plan
 from palisade.plans.base import staged, union
-from palisade.schemas import ASSETS, EDGES, EVENT_COLUMNS, EVENTS, LINKS  # noqa: F401
+from palisade.schemas import ASSETS, EDGES, EVENT_COLUMNS, LINKS
 from palisade.sources.certificates import parse_ct
 from palisade.sources.commits import Store
 from palisade.streaming.base import publish_batch, run_batches
@@ -37,10 +37,10 @@ def match_stream(messages: DataFrame, read_rules: Callable[[], DataFrame], *, ma
 
 
 def commit_batch(rows: DataFrame, store: Store, batch_id: int) -> None:
-    """Accepted certificates of one batch: all tables and events of it, visible together."""
-    if store.has(batch_id):
-        return
+    """Accepted certificates of one batch: all tables and events of it, visible together.  A batch without any, which only moved the watermark, changes nothing."""
     rows = staged("ct-accepted")(plan.accepted_rows(rows))
+    if store.has(batch_id) or rows.isEmpty():
+        return
     found, batch = plan.observed(rows), store.batch(batch_id)
     assets = batch.merge("assets", ASSETS, ["asset_type", "value"], staged("ct-assets")(found.assets), merge.upsert_assets)
     batch.merge("edges", EDGES, merge.EDGE_KEY, staged("ct-edges")(found.edges), merge.upsert_edges)
