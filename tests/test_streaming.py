@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from palisade import schemas
 from palisade.operators import changes, merge
 from palisade.plans.base import pair_states
 from palisade.session import scratch_dir
@@ -149,7 +150,7 @@ def test_certificate_stream_is_once_and_whole(spark):
             assert store.batches() == done
         run()
         done = store.batches()
-    events = store.events("events", certificates.EVENTS)
+    events = store.events("events", schemas.EVENTS)
     got = sorted((r.seq, r.type, r.p, r.v) for r in events.select("seq", "type", F.get_json_object("payload", "$.program.id").alias("p"), F.get_json_object("payload", "$.asset.value").alias("v")).collect())
     a, b = "a.example.com", "b.example.com"
     assert got == sorted([
@@ -157,7 +158,7 @@ def test_certificate_stream_is_once_and_whole(spark):
         (5, "CT_CERTIFICATE", "P1", a), (5, "CT_CERTIFICATE", "P2", a), (5, "CT_CERTIFICATE", "P1", b), (5, "NEW_SUBDOMAIN", "P1", b), (5, "NEW_CERTIFICATE", "P1", "cc"), (5, "NEW_CERTIFICATE", "P2", "cc"),
         (6, "CT_CERTIFICATE", "P1", a), (6, "CT_CERTIFICATE", "P2", a), (7, "CT_CERTIFICATE", "P1", b), (7, "NEW_CERTIFICATE", "P1", "bb"),
     ])
-    assets = {r.value: (str(r.first_seen), str(r.last_seen)) for r in store.table("assets", certificates.ASSETS).collect()}
+    assets = {r.value: (str(r.first_seen), str(r.last_seen)) for r in store.table("assets", schemas.ASSETS).collect()}
     assert assets[a] == ("2024-01-01 00:00:00", "2024-01-02 00:00:00") and set(assets) == {a, b, "aa", "bb", "cc"}
 
 
