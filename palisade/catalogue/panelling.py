@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.catalogue.registry import register
 from palisade.catalogue.standins import NOW, NOW_US, _K, duck, spark_sql, table
 from palisade.plans import panels
+from palisade.plans.base import staged, union
 
 
 def _ts(key: str) -> str:
@@ -213,3 +214,27 @@ def _register(name: str, number: int) -> None:
 
 for _i, _name in enumerate(panels.DASHBOARDS, 1):
     _register(_name, _i)
+
+
+_UNIQUE = [p for d in panels.DASHBOARDS.values() for p in d if p.kind == "unique" and p.where.hours is None]
+
+
+def _days_sql(p: panels.Panel) -> str:
+    docs = f"(SELECT * FROM ({_index_sql(p.index)}) AS s WHERE {_where_sql(p).replace(_RECENT, _WHOLE_DAYS)})"
+    return f'SELECT \'{p.id}\' AS panel, CAST(count(DISTINCT "{p.fields[0]}") AS BIGINT) AS exact, true AS close FROM {docs} AS t'
+
+
+_RECENT = f"ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND ts <= TIMESTAMP '{NOW}'"
+_WHOLE_DAYS = f"CAST(ts AS DATE) BETWEEN CAST(TIMESTAMP '{NOW}' - INTERVAL 30 DAY AS DATE) AND CAST(TIMESTAMP '{NOW}' AS DATE)"
+
+
+@register("ag11_daily_sketches", f"SELECT * FROM ({' UNION ALL '.join(map(_days_sql, _UNIQUE))}) AS d WHERE exact > 0")
+def ag11_daily(spark, d):
+    """Distinct values over thirty days from stored daily sketches, beside the exact number: whether they agree within 5 %."""
+    now = F.lit(NOW).cast("timestamp")
+    first, last = F.to_date(now - F.expr("INTERVAL 30 DAYS")), F.to_date(now)
+    tables = {i: index_table(spark, d, i) for i in dict.fromkeys(p.index for p in _UNIQUE)}
+    daily = union(*(panels.daily_sketches(df, [p for p in _UNIQUE if p.index == i], now) for i, df in tables.items()))
+    estimated = panels.distinct_over_days(staged("daily-sketches")(daily), first, last)
+    exact = union(*(tables[p.index].filter(F.to_date("ts").between(first, last) & p.where.column(now)).agg(F.countDistinct(p.fields[0]).alias("exact")).select(F.lit(p.id).alias("panel"), "exact") for p in _UNIQUE))
+    return exact.join(estimated, "panel").select("panel", "exact", (F.abs(F.col("value") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))

@@ -12,9 +12,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from palisade.operators import ranking
-from palisade.plans.base import Stage, staged
+from palisade.functions.common import literal_table
+from palisade.plans.base import Stage, staged, union
 
 DEFAULT_DAYS = 30
 
@@ -173,30 +175,90 @@ DASHBOARDS = {
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------
+#
+# Every document gives one entry per panel that it matches, level of the panel's keys, and combination of its values; one aggregation of the entries by
+# (panel, level, keys) serves all panels of an index, and what is left to do is on its result.
 
+KEYS = ("k1", "k2", "k3")
+ENTRY = "array<struct<panel:string,level:int,k1:string,k2:string,k3:string,m:double>>"
 
-def run_panel(events: DataFrame, panel: Panel, now: Column, interval: str = "day", exact: bool = True) -> DataFrame:
-    """events: documents of the panel's index with time column ``ts`` and nested fields; arrays of objects are allowed."""
-    df = events.filter(recent(now) & panel.where.column(now))
-    none = F.lit(None).cast("string")
+
+def values(df: DataFrame, path: str) -> Column:
+    """A field as an array of its different values as text, nulls left out."""
+    c = F.col(path)
+    many = F.array_distinct(c) if isinstance(df.select(path).schema[0].dataType, T.ArrayType) else F.array(c)
+    return F.array_compact(many.cast("array<string>"))
+
+
+def entries(df: DataFrame, panel: Panel, now: Column, interval: str) -> Column:
+    """The entries of a document for one panel, as an array (empty where the panel does not look at the document)."""
+    metric = F.col(panel.metric[1]).cast("double") if panel.metric else F.lit(None).cast("double")
+
+    def level_rows(level: int, fields: Sequence[Column]) -> Column:
+        """One struct for each combination of the values of the fields."""
+        def combine(i: int, found: list[Column]) -> Column:
+            if i == len(fields):
+                ks = [*found, *[F.lit(None).cast("string")] * (3 - len(found))]
+                return F.array(F.struct(F.lit(panel.id).alias("panel"), F.lit(level).alias("level"), *(k.alias(n) for k, n in zip(ks, KEYS)), metric.alias("m")))
+            return F.flatten(F.transform(fields[i], lambda v: combine(i + 1, [*found, v])))
+
+        return combine(0, [])
+
+    fields = [values(df, f) for f in panel.fields]
     if panel.kind == "count":
-        out = df.agg(F.count(F.lit(1)).alias("value")).select(none.alias("k1"), none.alias("k2"), none.alias("k3"), "value")
-    elif panel.kind == "unique":
-        out = ranking.distinct_count(df, panel.fields[0], exact).select(none.alias("k1"), none.alias("k2"), none.alias("k3"), "value")
-    elif panel.kind == "terms":
-        out = ranking.terms(df, panel.fields[0], panel.size).select(F.col("key").alias("k1"), none.alias("k2"), none.alias("k3"), "value")
+        rows = level_rows(1, [])
+    elif panel.kind in ("unique", "terms"):
+        rows = level_rows(1, fields)
     elif panel.kind == "table":
-        metric = None
-        if panel.metric:
-            metric = {"max": F.max, "avg": F.avg}[panel.metric[0]](panel.metric[1])
-        t = ranking.terms_table(df, panel.fields, panel.size, metric)
-        out = t.select(*[F.col(k) if k in t.columns else none.alias(k) for k in ("k1", "k2", "k3")], "value")
+        rows = F.concat(*(level_rows(i, fields[:i]) for i in range(1, len(fields) + 1)))
     elif panel.kind == "series":
-        t = ranking.timeseries(df, "ts", interval, panel.fields[0], panel.size)
-        out = t.select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("k1"), F.col("key").alias("k2"), none.alias("k3"), "value")
+        rows = level_rows(1, [F.array_compact(F.array(F.date_format(F.date_trunc(interval, F.col("ts")), "yyyy-MM-dd HH:mm:ss"))), *fields])
     else:
         raise ValueError(panel.kind)
-    return out.select(F.lit(panel.id).alias("panel"), "k1", "k2", "k3", F.col("value").cast("double").alias("value"))
+    return F.when(recent(now) & panel.where.column(now), rows.cast(ENTRY)).otherwise(F.array().cast(ENTRY))
+
+
+def index_buckets(events: DataFrame, panels: Sequence[Panel], now: Column, interval: str = "day", exact: bool = True) -> DataFrame:
+    """(panel, level, k1, k2, k3, n, most, mean, sketch) of all panels of one index in one pass over its recent documents.
+
+    ``sketch`` has the values of a ``unique`` panel unless ``exact``; then every value is a bucket."""
+    rows = window_of(events, panels, now)
+    rows = rows.select(F.explode(F.concat(*(entries(rows, p, now, interval) for p in panels))).alias("e")).select("e.*")
+    sketched = F.lit(None).cast("string")
+    if not exact:
+        unique = F.col("panel").isin([p.id for p in panels if p.kind == "unique"] or [""])
+        rows = rows.withColumns({"v": F.when(unique, F.col("k1")), "k1": F.when(~unique, F.col("k1"))})
+        sketched = F.col("v")
+    return rows.groupBy("panel", "level", *KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.max("m").alias("most"), F.avg("m").alias("mean"), *([] if exact else [F.hll_sketch_agg(sketched).alias("sketch")]))
+
+
+def panel_results(buckets: DataFrame, panels: Sequence[Panel]) -> DataFrame:
+    """(panel, k1, k2, k3, value) from the buckets of all indices: totals, distinct values, nested best n, the most frequent series."""
+    spec = [(p.id, p.kind, p.size, len(p.fields) if p.kind == "table" else 1, p.metric[0] if p.metric else "count") for p in panels]
+    known = literal_table(buckets.sparkSession, spec, "panel string, kind string, size int, levels int, metric string")
+    value = F.when(F.col("metric") == "max", F.col("most")).when(F.col("metric") == "avg", F.col("mean")).otherwise(F.col("n").cast("double"))
+    rows = buckets.join(F.broadcast(known), "panel").withColumn("value", value)
+    shape = ["panel", *KEYS, "value"]
+    blank = [F.lit(None).cast("string").alias(k) for k in KEYS]
+    distinct = F.hll_sketch_estimate(F.hll_union_agg("sketch")) if "sketch" in buckets.columns else F.count(F.lit(1))
+    totals = rows.filter("kind = 'count'").groupBy("panel").agg(F.sum("value").alias("v")).unionByName(rows.filter("kind = 'unique'").groupBy("panel").agg(distinct.cast("double").alias("v")))
+    single = known.filter("kind IN ('count', 'unique')").join(totals, "panel", "left")
+    out = [single.select("panel", *blank, F.coalesce("v", F.lit(0.0)).alias("value"))]
+    most = max(p.size for p in panels)
+    ranked, keep = rows.filter("kind IN ('terms', 'table')"), None
+    for level in (1, 2, 3):
+        parent, here = ["panel", *KEYS[: level - 1]], ranked.filter(F.col("level") == level)
+        if keep is not None:
+            here = here.join(keep.select(*parent), parent, "left_semi")
+        order = Window.partitionBy(*parent).orderBy(F.desc("value"), KEYS[level - 1])
+        keep = here.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).filter(F.col("__r") <= F.col("size"))
+        out.append(keep.filter(F.col("levels") == level).select(*shape))
+    series = rows.filter("kind = 'series'")
+    order = Window.partitionBy("panel").orderBy(F.desc("all"), "k2")
+    top = series.groupBy("panel", "size", "k2").agg(F.sum("value").alias("all")).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).filter(F.col("__r") <= F.col("size"))
+    out.append(series.join(top.select("panel", "k2"), ["panel", "k2"], "left_semi").select(*shape))
+    return union(*out)
 
 
 def used_columns(panels: Sequence[Panel]) -> set[str]:
@@ -219,17 +281,31 @@ def window_of(events: DataFrame, panels: Sequence[Panel], now: Column) -> DataFr
 
 
 def run_dashboard(
-    indices: Mapping[str, DataFrame], name: str, now: Column, interval: str = "day", exact: bool = True, stage: Stage = staged("panel-window"),
+    indices: Mapping[str, DataFrame], name: str, now: Column, interval: str = "day", exact: bool = True, stage: Stage = staged("panel-buckets"),
 ) -> DataFrame:
     """All panels of a dashboard; ``indices`` maps index names (``bb-all`` included where used) to event tables.
 
-    Every index is scanned once: its window is written (``stage``) and the panels read that."""
+    Every index is scanned once and aggregated once; the buckets are written (``stage``), and the panels read those.  ``exact``: distinct values are counted,
+    else estimated by sketches."""
     panels = DASHBOARDS[name]
-    windows = {
-        i: stage(window_of(indices[i], [p for p in panels if p.index == i], now)) for i in dict.fromkeys(p.index for p in panels)
-    }
-    out = None
-    for panel in panels:
-        one = run_panel(windows[panel.index], panel, now, interval, exact)
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = [index_buckets(indices[i], [p for p in panels if p.index == i], now, interval, exact) for i in dict.fromkeys(p.index for p in panels)]
+    return panel_results(stage(union(*parts)), panels)
+
+
+def daily_sketches(events: DataFrame, panels: Sequence[Panel], now: Column) -> DataFrame:
+    """(panel, day, sketch) of the ``unique`` panels of one index without a limit in hours: what to append to a stored table once a day is over."""
+    kept = [p for p in panels if p.kind == "unique" and p.where.hours is None]
+
+    def found_in(p: Panel) -> Column:
+        return F.when(p.where.column(now), F.transform(values(events, p.fields[0]), lambda v: F.struct(F.lit(p.id).alias("panel"), v.alias("v"))))
+
+    found = [found_in(p) for p in kept]
+    empty = F.array().cast("array<struct<panel:string,v:string>>")
+    rows = events.select(F.to_date("ts").alias("day"), F.explode(F.concat(empty, *(F.coalesce(f, empty) for f in found))).alias("e"))
+    return rows.groupBy("e.panel", "day").agg(F.hll_sketch_agg("e.v").alias("sketch"))
+
+
+def distinct_over_days(sketches: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(panel, value): estimated distinct values over whole days, by merging one sketch per panel and day."""
+    days = sketches.filter(F.col("day").between(first, last))
+    return days.groupBy("panel").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("value"))
