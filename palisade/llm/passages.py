@@ -26,6 +26,8 @@ SHINGLE = 5
 SPAN, PASSAGE = 20, 31
 #: Paragraphs with fewer words have no shingle: they are judged, where ``least_words`` asks for it, by equality of the whole line.
 MIN_WORDS = SHINGLE
+#: Equal lines below this length are common by chance and counted apart.
+LONG_LINE = 8
 #: Paragraphs of one band that one task compares with each other or with as many others.
 BLOCK = 4000
 
@@ -171,9 +173,18 @@ def verified_links(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.groupBy("band", "i", "j").applyInArrow(verify, "a long, b long")
 
 
+def repeating(rows: DataFrame, name: str, also: DataFrame | None = None) -> DataFrame:
+    """The rows whose key occurs twice, or is one of ``also`` (key).  Only keys and counts are shuffled over all rows, as most keys occur once."""
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    keys = staged(keys if also is None else keys.union(also).distinct(), f"{name}-twice")
+    return staged(rows.join(small(keys, 64), "key", "left_semi"), f"{name}-rows")
+
+
 def near_paragraphs(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(node, component) over the keys of paragraphs that are similar to another one."""
     banded = lines.select("key", F.explode("bands").alias("band"))
+    twice = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    banded = staged(banded.join(small(staged(twice, "bands-twice"), 64), "band", "left_semi"), "bands-some")
     met = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("band")
     met = staged(met, "bands-met")
     pairs = staged(banded.join(small(met, 64), "band").distinct(), "band-members")
@@ -201,11 +212,13 @@ def repeats(
     passages = found.filter("kind = 1").select("key", "doc_id", "h", "start", "end")
 
     near = staged(near_paragraphs(docs, lines, threshold), "near")
+    lines = repeating(lines.drop("bands"), "line", near.select(F.col("node").alias("key")))
     classes = lines.groupBy("key").agg(F.min(place()).alias("first"), F.max(place()).alias("last"))
     classes = staged(classes.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("root", F.coalesce("component", "key")).select("key", "root", "first", "last"), "classes")
     roots = classes.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last")
     line_keys = staged(classes.join(roots.select("root", F.col("first").alias("keep")), "root").select("key", "keep"), "line-keys")
 
+    passages = repeating(passages, "passage")
     # a passage has to occur in two documents, which differ in text or id (a null id differs from others); equal texts have equal passages
     again = passages.groupBy("key").agg(
         F.min("h").alias("low"), F.max("h").alias("high"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("named"), F.count(F.lit(1)).alias("all"))
@@ -225,15 +238,16 @@ def repeats(
 
 
 def summary(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_repeated (spans that occur elsewhere too), n_removed (words to remove), keep_ids (sorted ids of the documents
-    where the occurrence that stays lies), repeated."""
+    """One row per row of ``docs``: doc_id, n_repeated (passages, and paragraphs of at least LONG_LINE words, that occur elsewhere too), n_short (shorter lines that
+    do), n_removed (words to remove), keep_ids (sorted ids of the documents where the occurrence that stays lies), repeated (any of these)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"))
-    found = spans.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_repeated"), F.array_sort(F.collect_set("keep_id")).alias("keep_ids"))
+    short = F.col("end") - F.col("start") < LONG_LINE
+    found = spans.groupBy("doc_id", "h").agg(F.count(F.when(~short, 1)).alias("n_repeated"), F.count(F.when(short, 1)).alias("n_short"), F.array_sort(F.collect_set("keep_id")).alias("keep_ids"))
     found = with_documents(found, union_length(spans.filter("NOT kept"), "n_removed"))
     rows = with_documents(rows, found)
     none = F.array().cast(spans.select(F.array("keep_id").alias("x")).schema["x"].dataType)
     return rows.select(
-        "doc_id", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_repeated", "n_short")), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("keep_ids", none).alias("keep_ids"), F.col("n_repeated").isNotNull().alias("repeated"))
 
 
