@@ -36,6 +36,8 @@ PUBLIC_SUFFIXES = (
     "mil", "ml", "mx", "name", "net", "net.au", "nl", "no", "nz", "online", "org", "org.au", "org.uk", "pl", "pt",
     "ro", "ru", "se", "site", "tk", "top", "tr", "tv", "uk", "us", "work", "xyz", "za", "zip", "*.ck", "!www.ck",
 )
+# labels below a country code that stand for a kind of registrant
+REGISTRANT_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "id", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 SUSPICIOUS_TLDS = ("cf", "click", "ga", "gq", "link", "ml", "mov", "tk", "top", "work", "xyz", "zip")
 DEFAULT_PORTS = {"http": 80, "https": 443}
 

@@ -141,6 +141,16 @@ def is_public_suffix(name: Column, suffixes: Collection[str] = K.PUBLIC_SUFFIXES
     return F.coalesce(_suffix_length(name, suffixes) == label_count(name), F.lit(False))
 
 
+def may_be_public_suffix(name: Column, suffixes: Collection[str] = K.PUBLIC_SUFFIXES) -> Column:
+    """Whether a wildcard over the name has to be refused: it is a public suffix, or it may be one that the list lacks.
+
+    That is a single label no entry covers, and a label below a country's two letters that no entry covers or that stands for a kind of registrant."""
+    size, n = _suffix_length(name, suffixes), label_count(name)
+    country = (n == 2) & (F.length(F.substring_index(name, ".", -1)) == 2)
+    kind = F.substring_index(name, ".", 1).isin(list(K.REGISTRANT_LABELS))
+    return F.coalesce(size == n, F.lit(False)) | (size.isNull() & ((n == 1) | country)) | (country & kind)
+
+
 def registrable_domain(name: Column, suffixes: Collection[str] = K.PUBLIC_SUFFIXES) -> Column:
     """Public suffix plus one label; NULL for a public suffix itself, the last label when no suffix is known."""
     size = _suffix_length(name, suffixes)
@@ -157,7 +167,7 @@ def wildcard_error(raw: Column, base: Column, base_error: Column, suffixes: Coll
         F.when(~F.startswith(raw, F.lit("*.")), "not_a_wildcard")
         .when(F.substring(raw, 3, REST).contains("*"), "nested_wildcard")
         .when(base_error.isNotNull(), base_error)
-        .when(is_public_suffix(base, suffixes), "public_suffix")
+        .when(may_be_public_suffix(base, suffixes), "public_suffix")
     )
 
 

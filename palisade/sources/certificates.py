@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade import schemas as S
 from palisade.functions.common import REST, blank_to_null, opaque, strip
-from palisade.functions.names import bare_name, certificate_flags, domain_error, is_public_suffix
+from palisade.functions.names import bare_name, certificate_flags, domain_error, may_be_public_suffix
 from palisade import constants as K
 
 
@@ -43,7 +43,7 @@ def parse_ct(messages: DataFrame, col: str = "value", suffixes: Collection[str]
         wild = F.startswith(n, F.lit("*."))
         raw = F.when(wild, F.substring(strip(n), 3, REST)).otherwise(strip(n))
         name = bare_name(raw)
-        bad = domain_error(raw, name).isNotNull() | (wild & is_public_suffix(name, suffixes))
+        bad = domain_error(raw, name).isNotNull() | (wild & may_be_public_suffix(name, suffixes))
         return F.struct(n.alias("raw"), wild.alias("wild"), F.when(~bad, name).alias("name"))
 
     df = opaque(df, __judged=F.transform("__names", judged))
