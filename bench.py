@@ -49,7 +49,7 @@ def main() -> None:
     extra = {}
     if "jn1_many_rules" in times:
         targets = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().count()
-        rules = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 4 <> 1").count()
+        rules = spark.read.parquet(f"{sf}/orders.parquet").count()
         warm = min(run("jn1_many_rules") for _ in range(2))
         extra = {
             "scope_decisions_per_sec": round(targets / times["jn1_many_rules"]), "scope_decisions_per_sec_warm": round(targets / warm),

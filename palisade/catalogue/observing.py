@@ -168,11 +168,13 @@ def ob3(spark, d):
 
 @register("ob3_dns_edges", """
     SELECT name AS source_id, rtrim(value, '.') AS target_id, CASE record_type WHEN 'A' THEN 'RESOLVES_TO' WHEN 'AAAA' THEN 'RESOLVES_TO' WHEN 'CNAME' THEN 'CNAME_TO' ELSE 'USES_NAMESERVER' END AS relationship_type
-    FROM answers WHERE value IS NOT NULL""", {"answers": _ANSWERS})
+    FROM answers WHERE value IS NOT NULL
+    UNION ALL SELECT t.value, 'AS' || CAST(x.asn AS VARCHAR), 'BELONGS_TO_ASN' FROM answers t JOIN (SELECT ip_int, asn FROM (SELECT i.ip_int, r.asn, r.hi FROM (SELECT DISTINCT ip_int FROM answers WHERE record_type = 'A') i JOIN asn_unique r ON r.lo <= i.ip_int
+        QUALIFY row_number() OVER (PARTITION BY i.ip_int ORDER BY r.lo DESC) = 1) WHERE hi >= ip_int) x ON t.record_type = 'A' AND t.ip_int = x.ip_int""", {"answers": _ANSWERS, "asn_unique": ASN_UNIQUE})
 def ob3b(spark, d):
     answers = table(spark, d, "lineitem").selectExpr(*map(spark_sql, _ANSWER))
     edges = dns.dns_plan(answers, cloud(spark, d), asns(spark, d)).edges
-    return edges.filter("relationship_type <> 'BELONGS_TO_ASN'").select("source_id", "target_id", "relationship_type")
+    return edges.select("source_id", "target_id", "relationship_type")
 
 
 # --- crawl ---------------------------------------------------------------------------------------------------

@@ -197,12 +197,12 @@ _MANY_HOSTS = "SELECT DISTINCT l_orderkey AS k, 'h' || CAST(l_partkey AS VARCHAR
 
 
 @register("jn1_many_rules", """
-    SELECT h.target, CASE WHEN k % 2 = 0 THEN 'P1' ELSE 'P2' END AS program_id, k % 7 <> 3 AS allowed, 'r' || CAST(k AS VARCHAR) AS scope_id FROM many_hosts h JOIN orders ON o_orderkey = k AND k % 4 <> 1""", {"many_hosts": _MANY_HOSTS})
+    SELECT h.target, CASE WHEN k % 2 = 0 THEN 'P1' ELSE 'P2' END AS program_id, k % 7 <> 3 AS allowed, 'r' || CAST(k AS VARCHAR) AS scope_id FROM many_hosts h JOIN orders ON o_orderkey = k""", {"many_hosts": _MANY_HOSTS})
 def jn1_many(spark, d):
     """As many rules as orders, as many hosts as line items."""
     from palisade.catalogue.standins import table
 
-    rules = table(spark, d, "orders").filter("o_orderkey % 4 <> 1").selectExpr(
+    rules = table(spark, d, "orders").selectExpr(
         "'r' || CAST(o_orderkey AS STRING) AS rule_id", "CASE WHEN o_orderkey % 2 = 0 THEN 'P1' ELSE 'P2' END AS program_id", "'wildcard' AS type",
         "CASE WHEN o_orderkey % 7 <> 3 THEN 'include' ELSE 'exclude' END AS mode", "'*.o' || CAST(o_orderkey AS STRING) || '.com' AS value",
     )
