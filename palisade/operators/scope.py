@@ -135,6 +135,7 @@ def _best_per_key(keys: DataFrame) -> DataFrame:
 class RuleTable:
     """Keys of a rule set as a written table, its prefix lengths in use and its number of rows."""
 
+    path: str
     keys: DataFrame
     lengths: tuple[tuple[int, int], ...]
     rows: int
@@ -158,10 +159,18 @@ def rule_table(rules: DataFrame) -> RuleTable:
             F.when(net, F.substring("key", 2, 1)).alias("version"), F.when(net, F.length("key") - 3).alias("n")
         ).agg(F.count(F.lit(1)).alias("rows")).collect()
         lengths = tuple(sorted((int(r["version"]), r["n"]) for r in profile if r["n"] is not None))
-        _TABLES[rules] = RuleTable(keys, lengths, sum(r["rows"] for r in profile))
+        _TABLES[rules] = RuleTable(path, keys, lengths, sum(r["rows"] for r in profile))
     return _TABLES[rules]
 
 
+def drop_rule_table(rules: DataFrame) -> None:
+    """Delete the keys of a rule set that has been superseded."""
+    table = _TABLES.pop(rules, None)
+    if table is not None:
+        path = rules.sparkSession._jvm.org.apache.hadoop.fs.Path(table.path)
+        path.getFileSystem(rules.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
     host, bits, ver, url = t["host"], t["net_bits"], t["ip_version"], t["url"]
     parents = F.slice(host_suffixes(host), 2, 127)

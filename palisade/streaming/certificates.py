@@ -19,15 +19,17 @@ from palisade.sources.certificates import parse_ct
 from palisade.sources.commits import Store
 from palisade.streaming.base import publish_batch, run_batches
 from palisade.streaming.keyed import accepted
-from palisade.streaming.route import load_rules
+from palisade.streaming.route import RuleVersions
 
 def match_stream(messages: DataFrame, read_rules: Callable[[], DataFrame], *, matched: str, checkpoint: str, outside: str | None = None, trigger=None):
     """Messages (value, observed_at, seq) to one published row per certificate with its ``matches``.
 
     Rules are read for every micro-batch, which fails if they are unusable.  Certificates out of scope go to ``outside``, if given, else nowhere."""
 
+    versions = RuleVersions(read_rules)
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        rules = load_rules(read_rules)
+        rules = versions.current()
         rows = staged("ct-matched")(plan.with_matches(staged("ct-parsed")(parse_ct(batch)), rules))
         if outside is not None:
             publish_batch(rows.filter(F.size("matches") == 0).drop("matches"), outside, batch_id)

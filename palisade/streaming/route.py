@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators.jobs import queue_metrics
-from palisade.operators.scope import scope_rules, with_decision
+from palisade.operators.scope import drop_rule_table, scope_rules, with_decision
 from palisade.sources.events import dead_letter_rows, validate_events
 from palisade.streaming.base import append_batch, run_batches
 
@@ -46,13 +46,38 @@ def load_rules(read: Callable[[], DataFrame]) -> DataFrame:
     return rules
 
 
+class RuleVersions:
+    """The rules of a running stream: read for every micro-batch, but checked, normalised and keyed only when their content has changed.
+
+    The version before is deleted then; batches follow one another, so nothing reads it any more."""
+
+    def __init__(self, read: Callable[[], DataFrame]) -> None:
+        self.read, self.mark, self.rules = read, None, None
+
+    def current(self) -> DataFrame:
+        """The rules as they are now; fails closed."""
+        try:
+            raw = self.read()
+            row = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in raw.columns]
+            total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)"))
+            mark = (tuple(raw.columns), *raw.agg(F.count(F.lit(1)), total(0), total(1)).first())
+        except Exception as exc:
+            raise RulesUnavailable(f"scope rules cannot be read: {exc}") from exc
+        if mark != self.mark:
+            old, self.rules = self.rules, load_rules(lambda: raw)
+            self.mark = mark
+            if old is not None:
+                drop_rule_table(old)
+        return self.rules
+
+
 def scoped_stream(stream: DataFrame, read_rules: Callable[[], DataFrame], *, output: str, checkpoint: str, trigger=None):
     """Decide a stream of (target, program_id, ...); the rules are read again for every micro-batch, so an edited rule
     counts from the next batch on, and a batch fails when they are unusable."""
+    versions = RuleVersions(read_rules)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rules = load_rules(read_rules)
-        append_batch(with_decision(batch, rules, "target", "program_id"), output, batch_id)
+        append_batch(with_decision(batch, versions.current(), "target", "program_id"), output, batch_id)
 
     return run_batches(stream, process, checkpoint, trigger=trigger)
 
