@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade import schemas
-from palisade.operators import changes, merge
+from palisade.operators import changes, merge, scope
 from palisade.plans.base import pair_states
 from palisade.session import scratch_dir
 from palisade.sources.commits import Batch, Store
@@ -162,6 +162,28 @@ def test_certificate_stream_is_once_and_whole(spark):
     assert assets[a] == ("2024-01-01 00:00:00", "2024-01-02 00:00:00") and set(assets) == {a, b, "aa", "bb", "cc"}
 
 
+def test_unchanged_rules_are_keyed_once(spark, monkeypatch):
+    """Ten batches with the same rules write one table of keys; an edited rule counts from the next batch on, and the old table goes."""
+    made, keep = [], scope.scratch_dir
+    monkeypatch.setattr(scope, "scratch_dir", lambda s, name: made.append(keep(s, name)) or made[-1])
+    rows = [("r1", "P", "wildcard", "include", "*.kettle.example")]
+    root, f = scratch_dir(spark, "rule-targets"), folders(spark, "rules")
+    for i in range(10):
+        spark.createDataFrame([(i, f"h{i}.kettle.example", "P")], "n long, target string, program_id string").coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema("n long, target string, program_id string").option("maxFilesPerTrigger", 1).parquet(root)
+    calls = []
+
+    def read():
+        calls.append(1)
+        now = rows if len(calls) < 9 else [*rows, ("r2", "P", "domain", "exclude", "kettle.example")]
+        return spark.createDataFrame(now, "rule_id string, program_id string, type string, mode string, value string")
+
+    route.scoped_stream(stream, read, output=f["output"], checkpoint=f["checkpoint"])
+    fs, _, hadoop = _fs(spark, root)
+    assert len(calls) == 10 and len(made) == 2 and [fs.exists(hadoop.Path(p)) for p in made] == [False, True]
+    assert sorted(r.allowed for r in spark.read.parquet(f"{f['output']}/batch=*").select("decision.allowed").collect()) == [False] * 2 + [True] * 8
+
+
 def test_unusable_rules_fail_closed(spark):
     bad = lambda: spark.createDataFrame([("r", "P", "domain", "include", "not a domain")], "rule_id string, program_id string, type string, mode string, value string")
     with pytest.raises(route.RulesUnavailable):
