@@ -243,3 +243,31 @@ def test_plans_have_no_nested_loops(spark, sf):
     for name in ("jn11_longest_prefix", "jn12_as_of_range", "jn19_policy_match", "job2_guards"):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_panels_by_sketches_come_close(spark):
+    """The same dashboard with sketches: everything but the distinct values is equal, those lie within 5 %."""
+    from palisade.catalogue import panelling
+    from palisade.catalogue.standins import NOW
+    from palisade.plans import panels
+
+    now = F.lit(NOW).cast("timestamp")
+    indices = {i: panelling.index_table(spark, "/root/testdata/sf0.01", i) for i in dict.fromkeys(p.index for p in panels.RECON)}
+    exact, near = ({(r.panel, r.k1, r.k2, r.k3): r.value for r in panels.run_dashboard(indices, "recon", now, exact=e).collect()} for e in (True, False))
+    assert set(exact) == set(near)
+    unique = {p.id for p in panels.RECON if p.kind == "unique"}
+    assert all(abs(near[k] - v) <= 0.05 * v if k[0] in unique else near[k] == v for k, v in exact.items())
+    assert sum(v > 0 for k, v in exact.items() if k[0] in unique) >= 3
+
+
+def test_a_panel_dashboard_scans_an_index_once(spark):
+    from palisade.catalogue import panelling
+    from palisade.catalogue.standins import NOW
+    from palisade.plans import panels
+
+    http = panelling.index_table(spark, "/root/testdata/sf0.001", "bb-http")
+    plans = []
+    out = panels.run_dashboard({"bb-http": http}, "web", F.lit(NOW).cast("timestamp"), stage=lambda df: plans.append(df) or df)
+    assert out.count() > 0
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
