@@ -95,7 +95,7 @@ def job5(spark, d):
 def job6(spark, d):
     j = standin(spark, d, "jobs")
     dead = j.filter("job_id % 3 = 0").select(F.col("scanner").alias("queue"), F.struct("created_at", "job_id").alias("position"), "job_id")
-    return jobs.replayable(dead, j, 30).select("job_id", "queue", "outcome")
+    return jobs.replayable(dead, j, limit=30).select("job_id", "queue", "outcome")
 
 
 @register("job7_feasible", """

@@ -72,7 +72,7 @@ def nt4(spark, d):
 @register("nt5_due_retries", "SELECT delivery_id FROM deliveries WHERE status = 'pending' AND created_at <= TIMESTAMP '2024-01-20' ORDER BY created_at, delivery_id LIMIT 100")
 def nt5(spark, d):
     pending = standin(spark, d, "deliveries").filter("status = 'pending'").withColumnRenamed("created_at", "due_at")
-    return notify.due_retries(pending, F.lit("2024-01-20").cast("timestamp")).select("delivery_id")
+    return notify.due_retries(pending, F.lit("2024-01-20").cast("timestamp"), limit=100).select("delivery_id")
 
 
 @register("nt6_render", "SELECT event_id, CASE WHEN program_name IS NOT NULL THEN '[' || program_name || '] ' ELSE '' END || upper(severity) || ' ' || title || chr(10) || detail AS text FROM note", SETS)

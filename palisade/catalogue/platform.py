@@ -51,22 +51,22 @@ def flt5(spark, d):
     SELECT scan_id, program_id FROM (SELECT scan_id, min(program_id) AS program_id, min(created_at) AS created_at FROM jobs GROUP BY scan_id) ORDER BY created_at DESC, scan_id LIMIT 100""")
 def flt5b(spark, d):
     scans = standin(spark, d, "jobs").groupBy("scan_id").agg(F.min("program_id").alias("program_id"), F.min("created_at").alias("created_at"))
-    return reads.list_scans(scans).select("scan_id", "program_id")
+    return reads.list_scans(scans, limit=100).select("scan_id", "program_id")
 
 
 @register("flt6_list_jobs", "SELECT job_id, scan_id, priority FROM jobs WHERE status = 'QUEUED' AND scanner = 'httpx' ORDER BY created_at DESC, job_id LIMIT 100")
 def flt6(spark, d):
-    return reads.list_jobs(standin(spark, d, "jobs"), status="QUEUED", scanner="httpx").select("job_id", "scan_id", "priority")
+    return reads.list_jobs(standin(spark, d, "jobs"), status="QUEUED", scanner="httpx", limit=100).select("job_id", "scan_id", "priority")
 
 
 @register("flt7_list_audit", "SELECT audit_id, action FROM audit WHERE action = 'SCOPE_BLOCKED' ORDER BY ts DESC, audit_id LIMIT 100")
 def flt7(spark, d):
-    return reads.list_audit(standin(spark, d, "audit"), "SCOPE_BLOCKED").select("audit_id", "action")
+    return reads.list_audit(standin(spark, d, "audit"), "SCOPE_BLOCKED", limit=100).select("audit_id", "action")
 
 
 @register("flt8_list_deliveries", "SELECT delivery_id, status FROM deliveries WHERE status = 'failed' ORDER BY created_at DESC, delivery_id LIMIT 100")
 def flt8(spark, d):
-    return reads.list_deliveries(standin(spark, d, "deliveries"), "failed").select("delivery_id", "status")
+    return reads.list_deliveries(standin(spark, d, "deliveries"), "failed", limit=100).select("delivery_id", "status")
 
 
 @register("flt9_open_windows", f"""SELECT window_id, program_id, scanner, asset_id FROM windows WHERE start <= {_AT_NOW} AND "end" > {_AT_NOW}""")
@@ -76,7 +76,7 @@ def flt9(spark, d):
 
 @register("flt9_list_windows", "SELECT window_id, scanner FROM windows ORDER BY start DESC, window_id LIMIT 200")
 def flt9b(spark, d):
-    return reads.list_windows(standin(spark, d, "windows")).select("window_id", "scanner")
+    return reads.list_windows(standin(spark, d, "windows"), limit=200).select("window_id", "scanner")
 
 
 @register("flt10_due_schedules", f"SELECT schedule_id, scanner FROM schedules WHERE enabled AND (next_run_at IS NULL OR next_run_at <= {_AT_NOW})")

@@ -150,7 +150,7 @@ def retry_plan(failures: DataFrame, base: int = K.RETRY_BASE_SECONDS) -> DataFra
     )
 
 
-def replayable(dead_letters: DataFrame, jobs: DataFrame, limit: int = 50) -> DataFrame:
+def replayable(dead_letters: DataFrame, jobs: DataFrame, *, limit: int) -> DataFrame:
     """The oldest ``limit`` dead letters of each queue, marked replayed when their job is still FAILED, else skipped.
 
     dead_letters: (queue, position, job_id); smaller positions are older."""

@@ -107,7 +107,7 @@ def delivery_outcome(attempts: DataFrame) -> DataFrame:
     return attempts.withColumns({"outcome": outcome, "retry_in_seconds": F.when(outcome == "retry", backoff)})
 
 
-def due_retries(retries: DataFrame, t: Column, limit: int = 100) -> DataFrame:
+def due_retries(retries: DataFrame, t: Column, *, limit: int) -> DataFrame:
     return retries.filter(F.col("due_at") <= t).orderBy("due_at", "delivery_id").limit(limit)
 
 

@@ -13,7 +13,7 @@ from palisade.operators.scope import with_decision
 
 def list_assets(
     assets: DataFrame, links: DataFrame | None = None, *, program: object = None, asset_type: str | None = None,
-    status: str | None = None, q: str | None = None, limit: int = 100, offset: int = 0,
+    status: str | None = None, q: str | None = None, limit: int, offset: int = 0,
 ) -> DataFrame:
     """Newest first, optionally of one program, one type, one status, containing a text."""
     out = assets
@@ -48,7 +48,7 @@ def list_programs(programs: DataFrame, active_only: bool = False) -> DataFrame:
     return (alive.filter(F.col("active")) if active_only else alive).orderBy("slug")
 
 
-def list_scans(scans: DataFrame, program: object = None, limit: int = 100) -> DataFrame:
+def list_scans(scans: DataFrame, program: object = None, *, limit: int) -> DataFrame:
     out = scans if program is None else scans.filter(F.col("program_id") == program)
     return out.orderBy(F.desc("created_at"), "scan_id").limit(limit)
 
@@ -59,7 +59,7 @@ def scan_detail(jobs: DataFrame) -> DataFrame:
 
 
 def list_jobs(
-    jobs: DataFrame, *, status: str | None = None, scanner: str | None = None, scan: object = None, program: object = None, limit: int = 100
+    jobs: DataFrame, *, status: str | None = None, scanner: str | None = None, scan: object = None, program: object = None, limit: int
 ) -> DataFrame:
     out = jobs
     for name, value in (("status", status), ("scanner", scanner), ("scan_id", scan), ("program_id", program)):
@@ -68,17 +68,17 @@ def list_jobs(
     return out.orderBy(F.desc("created_at"), "job_id").limit(limit)
 
 
-def list_audit(audit: DataFrame, action: str | None = None, limit: int = 100) -> DataFrame:
+def list_audit(audit: DataFrame, action: str | None = None, *, limit: int) -> DataFrame:
     out = audit if action is None else audit.filter(F.col("action") == action)
     return out.orderBy(F.desc("ts"), "audit_id").limit(limit)
 
 
-def list_deliveries(deliveries: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+def list_deliveries(deliveries: DataFrame, status: str | None = None, *, limit: int) -> DataFrame:
     out = deliveries if status is None else deliveries.filter(F.col("status") == status)
     return out.orderBy(F.desc("created_at"), "delivery_id").limit(limit)
 
 
-def list_windows(windows: DataFrame, limit: int = 200) -> DataFrame:
+def list_windows(windows: DataFrame, *, limit: int) -> DataFrame:
     return windows.orderBy(F.desc("start"), "window_id").limit(limit)
 
 
