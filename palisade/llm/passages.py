@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import Forest, components, settled, small, spaced_words, staged, union_length, with_documents
+from palisade.llm.common import Forest, components, settled, spaced_words, staged, union_length, with_documents
 from palisade.llm.simhash import SEED, shingle_hashes
 
 SHINGLE = 5
@@ -174,22 +174,22 @@ def verified_links(groups: DataFrame, threshold: float) -> DataFrame:
 
 
 def repeating(rows: DataFrame, name: str, also: DataFrame | None = None) -> DataFrame:
-    """The rows whose key occurs twice, or is one of ``also`` (key).  Only keys and counts are shuffled over all rows, as most keys occur once."""
+    """The rows whose key occurs twice, or is one of ``also`` (key), as most keys occur once.  Keys that do grow with the corpus, so the join is the same at every size."""
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     keys = staged(keys if also is None else keys.union(also).distinct(), f"{name}-twice")
-    return staged(rows.join(small(keys, 64), "key", "left_semi"), f"{name}-rows")
+    return staged(rows.join(keys, "key", "left_semi"), f"{name}-rows")
 
 
 def near_paragraphs(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(node, component) over the keys of paragraphs that are similar to another one."""
     banded = lines.select("key", F.explode("bands").alias("band"))
     twice = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    banded = staged(banded.join(small(staged(twice, "bands-twice"), 64), "band", "left_semi"), "bands-some")
+    banded = staged(banded.join(staged(twice, "bands-twice"), "band", "left_semi"), "bands-some")
     met = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("band")
     met = staged(met, "bands-met")
-    pairs = staged(banded.join(small(met, 64), "band").distinct(), "band-members")
+    pairs = staged(banded.join(met, "band").distinct(), "band-members")
     sizes = pairs.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    wanted = lines.join(small(pairs.select("key").distinct(), 64), "key").groupBy("key").agg(F.min_by(F.struct("doc_id", "h", "start", "end"), place()).alias("at"))
+    wanted = lines.join(pairs.select("key").distinct(), "key").groupBy("key").agg(F.min_by(F.struct("doc_id", "h", "start", "end"), place()).alias("at"))
     texts = paragraph_texts(docs, wanted.select("key", "at.*"))
     rows = pairs.join(sizes, "band").join(texts, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -224,12 +224,12 @@ def repeats(
         F.min("h").alias("low"), F.max("h").alias("high"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("named"), F.count(F.lit(1)).alias("all"))
     again = again.filter("low <> high OR least <> most OR (named > 0 AND named < all)").select("key")
     again = staged(again, "passage-keys")
-    many = passages.join(small(again, 64), "key")
+    many = passages.join(again, "key")
     keeps = many.groupBy("key").agg(F.min(place()).alias("keep"))
     keeps = staged(keeps, "passage-keeps")
 
     def occurrences(rows, keys, kind):
-        rows = rows.select("key", "doc_id", "h", "start", "end").join(small(keys, 128), "key")
+        rows = rows.select("key", "doc_id", "h", "start", "end").join(keys, "key")
         kept = (F.col("keep.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("keep.h") == F.col("h")) & (F.col("keep.start") == F.col("start"))
         return rows.select("doc_id", "h", "start", "end", F.lit(kind).alias("kind"), F.col("keep.doc_id").alias("keep_id"), kept.alias("kept"))
 
