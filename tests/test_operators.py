@@ -101,6 +101,39 @@ def test_expansion_skips_edges(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"10.0.0.0/30": ["10.0.0.1", "10.0.0.2"], "10.0.1.7/32": ["10.0.1.7"], "10.0.2.0/31": ["10.0.2.0", "10.0.2.1"]}
 
 
+def test_expansion_looks_up_networks_not_addresses(spark):
+    """Rules, blocks and range ends inside small networks, v6 and mapped ones included, against every address on its own."""
+    from palisade.operators import scope
+    from palisade.plans import discovery
+
+    def bits(texts, column):
+        return normalize_cidrs(literal_table(spark, texts, column), "c", "n").withColumn("ip_version", F.col("n.version")).withColumn("net_bits", F.col("n.bits")).drop("n")
+
+    nets = ["10.0.0.0/24", "10.0.1.0/24", "10.0.2.0/28", "10.0.3.0/24", "10.0.4.9/32", "10.0.5.0/31", "10.1.0.0/24", "10.2.0.0/24", "10.0.0.0/16", "2001:db8::/120", "2001:db8::100/120"]
+    cidrs = bits([(p, c) for c in nets for p in ("P1", "P2")], "program_id string, c string").select(
+        "program_id", F.col("c").alias("cidr"), "ip_version", "net_bits", F.lit("2024-01-31").cast("timestamp").alias("observed_at"), F.lit(1).cast("long").alias("seq"))
+    mapped = cidrs.filter("cidr = '10.2.0.0/24'").withColumn("cidr", F.lit("mapped")).withColumn("ip_version", F.lit(6)).withColumn("net_bits", F.concat(F.lit("0" * 80 + "1" * 16), "net_bits"))
+    cidrs = cidrs.unionByName(mapped)
+    rules = scope.scope_rules(literal_table(spark, [
+        ("a", "P1", "cidr", "include", "10.0.0.0/8"), ("b", "P1", "cidr", "exclude", "10.0.0.64/26"), ("c", "P1", "ipv4", "exclude", "10.0.1.7"), ("d", "P2", "cidr", "include", "10.0.1.0/25"),
+        ("e", "P2", "url", "exclude", "https://10.0.1.9/"), ("f", "P1", "cidr", "include", "2001:db8::/121"), ("g", "P1", "ipv4", "exclude", "10.2.0.8")],
+        "rule_id string, program_id string, type string, mode string, value string"))
+    clouds = bits([("x", "10.0.0.0/12"), ("y", "10.0.2.8/30")], "provider string, c string").select("provider", F.lit("o").alias("organization"), F.lit("k").alias("category"), F.col("c").alias("cidr"), "ip_version", "net_bits")
+    at = lambda a: f"{int(ipaddress.ip_address(a)):032b}"
+    ranges = literal_table(spark, [(4, at("10.0.0.0"), at("10.0.3.99"), 1, "US", "o"), (4, at("10.0.3.200"), at("10.0.255.255"), 2, "DE", "p")],
+                           "ip_version int, start_bits string, end_bits string, asn long, country string, organization string")
+    looked = []
+    plan = discovery.expansion_plan(cidrs, rules, clouds, ranges, 256, stage=lambda df: looked.append(df) or df)
+
+    ips = enrich.expand_cidrs(cidrs, 256).withColumn("ip", discovery.ip_text(F.col("ip_bits")))
+    want = enrich.enrich_ips(scope.with_decision(ips, rules, "ip", "program_id"), clouds, ranges, "ip_bits").select(*plan.rows.columns)
+    assert sorted(map(str, plan.rows.collect())) == sorted(map(str, want.collect()))
+    assert {r["cidr"] for r in plan.extra["oversized"].collect()} == {"10.0.0.0/16"}
+    # 10.0.4.9/32, 10.0.5.0/31, 10.1.0.0/24 and 2001:db8::100/120 hold nothing
+    per_network = {r["cidr"]: r["n"] for r in looked[0].groupBy("cidr").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {c for c, n in per_network.items() if n == 2} == {"10.0.4.9/32", "10.0.5.0/31", "10.1.0.0/24", "2001:db8::100/120"}
+
+
 def test_merging_twice_changes_nothing(spark):
     obs = literal_table(spark, [("a", "b", "R", "x", 0.5, "m1", 10, 1), ("a", "b", "R", "y", 0.9, "m2", 20, 2)], "source_id string, target_id string, relationship_type string, source string, confidence double, metadata string, seen_at bigint, seq bigint")
     empty = spark.createDataFrame([], "source_id string, target_id string, relationship_type string, source string, confidence double, metadata string, first_seen bigint, last_seen bigint")
