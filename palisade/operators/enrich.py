@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from palisade import constants as K
 from palisade.functions.addresses import MAPPED
 from palisade.functions.values import content_id
-from palisade.operators.skew import first_per_key, lookup_join, with_next
+from palisade.operators.skew import BROADCAST_BYTES, first_per_key, lookup_join, with_next
 
 
 #: Of a broadcast block: its bits as text and its attributes.
 BLOCK_BYTES = 400
+#: Prefix lengths up to which every length is a join of its own.
+LOOKS = 12
 
 
 def _profile(blocks: DataFrame, length: Column) -> tuple[list[int], int]:
@@ -29,15 +31,24 @@ def _profile(blocks: DataFrame, length: Column) -> tuple[list[int], int]:
 def longest_prefix(ips: DataFrame, blocks: DataFrame, values: list[str], bits: str = "ip_bits") -> DataFrame:
     """(bits, values...) for every distinct address covered by a block; the longest block wins.
 
-    ``blocks``: (ip_version, net_bits, values...) with unique (ip_version, net_bits)."""
+    ``blocks``: (ip_version, net_bits, values...) with unique (ip_version, net_bits).
+
+    Where the blocks are broadcast and have few lengths, addresses stream past them once per length, so that no task holds or sorts its hits."""
     lengths, size = _profile(blocks, F.length("net_bits"))
     addr = F.col(bits)
     distinct = ips.select(bits).filter(addr.isNotNull()).distinct()
+    version = F.when(F.length(addr) == 32, 4).otherwise(6).alias("ip_version")
+    if size <= BROADCAST_BYTES and len(lengths) <= LOOKS:
+        # the same table in every join, so that it is broadcast once
+        table = blocks.select("ip_version", "net_bits", F.struct(F.length("net_bits").alias("prefix_len"), *values).alias("__hit"))
+        found = distinct.select(bits, version, F.lit(None).cast(table.schema["__hit"].dataType).alias("__best"))
+        for n in lengths:
+            probed = found.withColumn("net_bits", F.when(F.length(addr) >= n, F.substring(addr, 1, n)))
+            hits = probed.join(F.broadcast(table), ["ip_version", "net_bits"], "left")
+            found = hits.select(bits, "ip_version", F.coalesce("__hit", "__best").alias("__best"))
+        return found.filter(F.col("__best").isNotNull()).select(bits, "__best.*")
     in_use = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(addr))
-    probes = distinct.select(
-        bits, F.when(F.length(addr) == 32, 4).otherwise(6).alias("ip_version"),
-        F.explode(F.transform(in_use, lambda n: F.substring(addr, F.lit(1), n))).alias("net_bits"),
-    )
+    probes = distinct.select(bits, version, F.explode(F.transform(in_use, lambda n: F.substring(addr, F.lit(1), n))).alias("net_bits"))
     hits = lookup_join(
         probes, blocks.select("ip_version", "net_bits", *values), ["ip_version", "net_bits"], "inner", spread=[bits], size=size
     )

@@ -92,6 +92,25 @@ def test_longest_prefix(spark):
     assert {r["ip"]: r["provider"] for r in ips.join(hits, "ip_bits", "left").collect()} == want
 
 
+@pytest.mark.parametrize("looks", [12, 0])
+def test_longest_prefix_needs_no_grouping_of_hits(spark, monkeypatch, looks):
+    """Blocks of several lengths and both versions, /0 and whole addresses among them; with few lengths no hit is exploded or grouped."""
+    monkeypatch.setattr(enrich, "LOOKS", looks)
+    rnd = random.Random(7)
+    cut = [(4, "")] + sorted({(v, "".join(rnd.choice("01") for _ in range(n))) for v, lengths in ((4, (1, 3, 32)), (6, (3, 33, 128))) for n in lengths for _ in range(3)})
+    blocks = literal_table(spark, [(v, b, f"p{i}") for i, (v, b) in enumerate(cut)], "ip_version int, net_bits string, provider string")
+    addresses = {b.ljust(32 if v == 4 else 128, c) for v, b in cut for c in "01"} | {"".join(rnd.choice("01") for _ in range(w)) for w in (32, 128) for _ in range(20)}
+    ips = literal_table(spark, [(a,) for a in sorted(addresses)] * 2 + [(None,)], "ip_bits string")
+    out = enrich.longest_prefix(ips, blocks, ["provider"])
+    want = {}
+    for a in addresses:
+        fit = [(len(b), f"p{i}") for i, (v, b) in enumerate(cut) if (v == 4) == (len(a) == 32) and a.startswith(b)]
+        if fit:
+            want[a] = max(fit)
+    assert {r["ip_bits"]: (r["prefix_len"], r["provider"]) for r in out.collect()} == want and out.count() == len(want)
+    assert ("explode" in out._jdf.queryExecution().optimizedPlan().toString()) == (looks == 0)
+
+
 def test_expansion_skips_edges(spark):
     nets = normalize_cidrs(literal_table(spark, [("10.0.0.0/30",), ("10.0.1.7/32",), ("10.0.2.0/31",), ("10.0.0.0/8",)], "c string"), "c", "n").select(
         "c", F.col("n.version").alias("ip_version"), F.col("n.bits").alias("net_bits"))
