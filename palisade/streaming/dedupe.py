@@ -17,4 +17,4 @@ def dedupe_stream(stream: DataFrame, key: str, ts: str, seq: str, ttl_seconds: i
 
 def once_only_stream(stream: DataFrame, key: str, ts: str, seq: str, *, output: str, checkpoint: str, trigger=None):
     """The first row of each key ever, into a table; see ``keyed.first_ever``."""
-    return run_batches(first_ever(stream, F.col(key), ts, seq), lambda batch, n: append_batch(batch, output, n), checkpoint, trigger=trigger)
+    return run_batches(first_ever(stream, F.col(key), ts, seq), lambda batch, n: append_batch(batch, output, n), checkpoint, trigger=trigger, mode="update")

@@ -129,28 +129,12 @@ def with_previous_in_order(stream: DataFrame, key: Column, ts: str, seq: str, de
     return out.select(F.from_json("payload", stream.schema, TIMES).alias("r"), F.from_json("previous", stream.schema, TIMES).alias("previous")).select("r.*", "previous")
 
 
-class First(StatefulProcessor):
-    """Hands on the first row of a key, ever; of a micro-batch the one with the least time and sequence number, which is all that is held of it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            return
-        best = None
-        for r in rows:
-            best = (r if best is None else pd.concat([best, r])).sort_values(["at", "seq"], kind="stable").head(1)
-        self.seen.update((True,))
-        yield best[["key", "seq", "payload"]]
-
-    def close(self) -> None:
-        pass
-
-
 def first_ever(stream: DataFrame, key: Column, ts: str, seq: str) -> DataFrame:
-    """The first row of each key of a stream.  Nothing expires and no row is too late; rows without a key or time are left out."""
+    """The first row of each key of a stream, for output mode update.  Nothing expires and no row is too late; rows without a key or time are left out.
+
+    A streaming aggregate, combined before the shuffle: of a key's first micro-batch it keeps the row of the least time and sequence number.  Update mode gives the
+    keys that a micro-batch meets; a key that met one micro-batch only is new."""
     rows = stored(stream).filter(key.isNotNull() & F.col(ts).isNotNull()).select(
-        key.cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).cast("long").alias("seq"), F.to_json(F.struct("*"), TIMES).alias("payload"))
-    out = rows.groupBy("key").transformWithStateInPandas(First(), "key string, seq long, payload string", "Append", "None")
-    return out.select(F.from_json("payload", stream.schema, TIMES).alias("r")).select("r.*")
+        key.cast("string").alias("key"), F.current_timestamp().alias("batch"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).cast("long").alias("seq"), F.struct("*").alias("r"))
+    first = rows.groupBy("key").agg(F.min_by("r", F.struct("batch", "at", F.col("seq").isNull(), "seq")).alias("r"), F.min("batch").alias("first"), F.max("batch").alias("last"))
+    return first.filter(F.col("first") == F.col("last")).select("r.*")
