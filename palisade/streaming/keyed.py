@@ -6,11 +6,11 @@ through the operator as JSON, beside its time in microseconds and its sequence n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +32,16 @@ def _packed(stream: DataFrame, key: Column, ts: str, seq: str, delay: str) -> Da
     return rows.withWatermark("time", delay)
 
 
+def _states(rows) -> Iterator[tuple]:
+    """(at, seq, payload) of rows as ``_packed`` makes them."""
+    return ((at, seq, payload) for _, at, seq, _, payload in rows)
+
+
+def _order(row: tuple) -> tuple:
+    """Time, then sequence number, rows without one last."""
+    return row[0], row[1] is None, row[1] or 0
+
+
 class Accept(StatefulProcessor):
     """Hands on a key's row if none was accepted before it, or the last accepted one is at least a time to live older.
 
@@ -43,24 +53,24 @@ class Accept(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if not key[0]:
             return
-        last = self.last.get()[0] if self.last.exists() else None
-        held = [r if last is None else r[r["at"] >= last + self.ttl] for r in rows]
-        rows = pd.concat(held).sort_values(["at", "seq"], kind="stable", ignore_index=True)
-        at, taken, i = rows["at"].to_numpy(), [], 0
-        while i < len(at):
-            taken.append(i)
-            last = int(at[i])
-            i = int(np.searchsorted(at, last + self.ttl))
+        known = self.last.get()
+        last = None if known is None else known[0]
+        taken = []
+        for at, seq, payload in sorted((r for r in _states(rows) if known is None or r[0] >= known[0] + self.ttl), key=_order):
+            if last is None or at >= last + self.ttl:
+                taken.append(Row(key=key[0], seq=seq, payload=payload))
+                last = at
         if taken:
             self.last.update((last,))
             self.handle.registerTimer((last + self.ttl) // 1000 + 1)
-            yield rows.iloc[taken][["key", "seq", "payload"]]
+            yield from taken
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and (self.last.get()[0] + self.ttl) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.last.get()
+        if known is not None and (known[0] + self.ttl) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
         return iter([])
 
@@ -74,47 +84,56 @@ def accepted(stream: DataFrame, key: Column, ts: str, seq: str, ttl_seconds: int
     Time is event time.  Rows behind the watermark (``delay`` behind the newest row) are not looked at, as Spark drops them; within a micro-batch rows go
     by time, then ``seq``.  Keys expire when the watermark passes their last accepted row by the time to live."""
     packed = _packed(stream, key, ts, seq, delay)
-    out = packed.groupBy("key").transformWithStateInPandas(Accept(ttl_seconds * 1_000_000), "key string, seq long, payload string", "Append", "EventTime")
+    out = packed.groupBy("key").transformWithState(Accept(ttl_seconds * 1_000_000), "key string, seq long, payload string", "Append", "EventTime")
     return out.select(F.from_json("payload", stream.schema, TIMES).alias("r")).select("r.*")
 
 
 class InOrder(StatefulProcessor):
-    """Buffers a key's rows until the watermark has passed them, then hands each on with the payload before it, by time and sequence number."""
+    """Buffers a key's rows until the watermark has passed them, then hands each on with the payload before it, by time and sequence number.
+
+    What a micro-batch brings for a key is one entry of the list that waits, written without reading the others."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, payload string")
-        self.waiting = handle.getListState("waiting", "at long, seq long, payload string")
-
-    def _release(self, rows: pd.DataFrame, until: int) -> Iterator[pd.DataFrame]:
-        """Rows up to ``until`` (microseconds) go out, the others wait for the timer."""
-        rows = rows.sort_values(["at", "seq"], kind="stable", ignore_index=True)
-        n = int(np.searchsorted(rows["at"].to_numpy(), until, side="right"))
-        later = rows.iloc[n:]
-        if len(later):
-            self.waiting.put(list(later[["at", "seq", "payload"]].itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(later["at"].iloc[0]) // 1000 + 1)
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if n:
-            before = self.last.get()[1] if self.last.exists() else None
-            out = rows.iloc[:n].copy()
-            out["previous"] = [before, *out["payload"].iloc[:-1]]
-            self.last.update((int(out["at"].iloc[-1]), out["payload"].iloc[-1]))
-            yield out[["key", "seq", "payload", "previous"]]
+        self.last = handle.getValueState("last", "payload string")
+        self.waiting = handle.getListState("waiting", "at array<long>, seq array<long>, payload array<string>")
 
-    def _held(self, key) -> pd.DataFrame:
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        return pd.DataFrame({"key": key[0], "at": np.array([r[0] for r in held], np.int64), "seq": np.array([r[1] for r in held], np.int64), "payload": [r[2] for r in held]})
+    def _wait(self, rows: list[tuple], write: Callable) -> None:
+        write([tuple(map(list, zip(*rows)))])
+        self.handle.registerTimer(min(at for at, _, _ in rows) // 1000 + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if not key[0]:
             return
-        columns = ["key", "at", "seq", "payload"]
-        yield from self._release(pd.concat([self._held(key), *(r[columns] for r in rows)], ignore_index=True), timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(self._held(key), timerValues.getCurrentWatermarkInMs() * 1000)
+        rows, until = list(_states(rows)), timerValues.getCurrentWatermarkInMs() * 1000
+        if min(at for at, _, _ in rows) > until:
+            self._wait(rows, self.waiting.appendList)
+        else:
+            yield from self._release(key, rows, until)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._release(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _release(self, key, rows: list[tuple], until: int) -> Iterator[Row]:
+        """Rows up to ``until`` (microseconds), of those given and those that wait, go out; the others wait for a timer."""
+        held = [r for entry in self.waiting.get() for r in zip(*entry)]
+        if not held and not rows:
+            return
+        rows = sorted([*held, *rows], key=_order)
+        n = bisect_right(rows, until, key=itemgetter(0))
+        if n == 0 and len(rows) == len(held):
+            return
+        if n < len(rows):
+            self._wait(rows[n:], self.waiting.put)
+        elif held:
+            self.waiting.clear()
+        if n:
+            known = self.last.get()
+            before = None if known is None else known[0]
+            self.last.update((rows[n - 1][2],))
+            for _, seq, payload in rows[:n]:
+                yield Row(key=key[0], seq=seq, payload=payload, previous=before)
+                before = payload
 
     def close(self) -> None:
         pass
@@ -125,7 +144,7 @@ def with_previous_in_order(stream: DataFrame, key: Column, ts: str, seq: str, de
 
     A row waits in state until the watermark has passed it, so rows up to ``delay`` late find their place."""
     packed = _packed(stream, key, ts, seq, delay)
-    out = packed.groupBy("key").transformWithStateInPandas(InOrder(), "key string, seq long, payload string, previous string", "Append", "EventTime")
+    out = packed.groupBy("key").transformWithState(InOrder(), "key string, seq long, payload string, previous string", "Append", "EventTime")
     return out.select(F.from_json("payload", stream.schema, TIMES).alias("r"), F.from_json("previous", stream.schema, TIMES).alias("previous")).select("r.*", "previous")
 
 
