@@ -32,6 +32,8 @@ SHARDS, LONGEST = 4, 5
 SLOT_BYTES, LEAST_POWER, MOST_POWER = 32, 16, 26
 #: Text that is encoded together, and hashes of a task that are summed before they are handed on.
 CHUNK_BYTES, SUM_ROWS = 1 << 20, 4 << 20
+#: Rows and bytes of counted phrases that a task sums before it hands them on.
+PHRASE_ROWS, PHRASE_BYTES = 1 << 20, 64 << 20
 #: The characters between pieces, and the lower case of A-Z.
 BETWEEN = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BETWEEN, b"abcdefghijklmnopqrstuvwxyz" + b"." * len(BETWEEN))
@@ -175,6 +177,28 @@ def taken(slots: np.ndarray, reached: DataFrame, step: int) -> None:
         slots[at] = step
 
 
+def summed_phrases(parts: Iterator[pa.RecordBatch], rows: int = PHRASE_ROWS, size: int = PHRASE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Counts of phrases (lang, size, phrase, n), those of equal phrases added up as long as the sums stay within half of ``rows`` and ``size`` bytes."""
+    kept, n, used = [], 0, 0
+
+    def sums() -> pa.Table:
+        table = pa.Table.from_batches(kept)
+        return table.group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "size", "phrase", "n_sum"]).rename_columns(table.column_names)
+
+    for part in parts:
+        kept.append(part)
+        n, used = n + part.num_rows, used + part.nbytes
+        if n >= rows or used >= size:
+            table = sums()
+            n, used = table.num_rows, table.nbytes
+            kept = table.to_batches(max_chunksize=1 << 16)
+            if 2 * n >= rows or 2 * used >= size:
+                yield from kept
+                kept, n, used = [], 0, 0
+    if kept:
+        yield from sums().to_batches(max_chunksize=1 << 16)
+
+
 def counted_phrases(docs: DataFrame, slots: Broadcast, least: int, longest: int) -> DataFrame:
     """(lang, size, phrase, n) of the phrases in the table that occur ``least`` times, by their words."""
 
@@ -201,7 +225,7 @@ def counted_phrases(docs: DataFrame, slots: Broadcast, least: int, longest: int)
                     rank = np.zeros(len(ids), np.int64)
                     rank[at] = which
 
-    rows = docs.mapInArrow(count, "lang string, size int, phrase string, n long")
+    rows = docs.mapInArrow(lambda batches: summed_phrases(count(batches)), "lang string, size int, phrase string, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
