@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.catalogue.registry import register
-from palisade.catalogue.standins import dotted, standin
+from palisade.catalogue.standins import _IP, STANDINS, dotted, standin, table
 from palisade.functions.urls import normalize_urls
 from palisade.operators import scope
 
@@ -77,12 +77,18 @@ _NET_TEXT = f"{dotted('lo')} || '/' || CAST(plen AS STRING)"
 _IPS_LOHI = {"ip_lohi": "SELECT ip_int AS lo, ip_int AS hi, ip FROM ips", "net_lohi": f"SELECT lo, hi, {_NET_TEXT.replace('STRING', 'VARCHAR')} AS net FROM nets"}
 
 
+def _network_targets(spark, d):
+    """The texts of ``ips`` and ``nets`` once per line item: the decision makes targets distinct, so nothing does it before."""
+    ips = standin(spark, d, "ip_rows").selectExpr(f"{dotted('ip_int')} AS target")
+    numbers = table(spark, d, "lineitem").selectExpr(f"{_IP} AS ip_int", "8 + l_partkey % 25 AS plen")
+    nets = numbers.selectExpr(*STANDINS["nets"][1]).selectExpr(f"{_NET_TEXT} AS target")
+    return ips.unionByName(nets)
+
+
 @register("jn3_network_inclusion", _net_sql("include", "ip_lohi", "s.ip", "t.lo >= r.lo AND t.hi <= r.hi") + " UNION ALL "
           + _net_sql("include", "(SELECT DISTINCT * FROM net_lohi)", "s.net", "t.lo >= r.lo AND t.hi <= r.hi"), _IPS_LOHI)
 def jn3(spark, d):
-    ips = standin(spark, d, "ips").select(F.col("ip").alias("target"))
-    nets = standin(spark, d, "nets").selectExpr(f"{_NET_TEXT} AS target")
-    return scope.evaluate_scope(ips.unionByName(nets), rules_of(spark, "net_rules", "mode = 'include'")).select("target", "program_id", "allowed", "scope_id")
+    return scope.evaluate_scope(_network_targets(spark, d), rules_of(spark, "net_rules", "mode = 'include'")).select("target", "program_id", "allowed", "scope_id")
 
 
 @register("jn4_network_exclusion", _net_sql("exclude", "ip_lohi", "s.ip", "t.lo <= r.hi AND t.hi >= r.lo") + " UNION ALL "
@@ -200,8 +206,6 @@ _MANY_HOSTS = "SELECT DISTINCT l_orderkey AS k, 'h' || CAST(l_partkey AS VARCHAR
     SELECT h.target, CASE WHEN k % 2 = 0 THEN 'P1' ELSE 'P2' END AS program_id, k % 7 <> 3 AS allowed, 'r' || CAST(k AS VARCHAR) AS scope_id FROM many_hosts h JOIN orders ON o_orderkey = k""", {"many_hosts": _MANY_HOSTS})
 def jn1_many(spark, d):
     """As many rules as orders, as many hosts as line items."""
-    from palisade.catalogue.standins import table
-
     rules = table(spark, d, "orders").selectExpr(
         "'r' || CAST(o_orderkey AS STRING) AS rule_id", "CASE WHEN o_orderkey % 2 = 0 THEN 'P1' ELSE 'P2' END AS program_id", "'wildcard' AS type",
         "CASE WHEN o_orderkey % 7 <> 3 THEN 'include' ELSE 'exclude' END AS mode", "'*.o' || CAST(o_orderkey AS STRING) || '.com' AS value",

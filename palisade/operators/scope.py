@@ -35,7 +35,7 @@ from palisade.functions.addresses import is_sensitive, with_ip_bits
 from palisade.functions.common import REST, lookup, opaque, recorded
 from palisade.functions.names import host_suffixes, label_count
 from palisade.functions.targets import classify, normalize_scope_values
-from palisade.operators.skew import BROADCAST_BYTES, estimated_bytes, lookup_join
+from palisade.operators.skew import BROADCAST_BYTES, dealt, estimated_bytes, lookup_join, tasks_by_input
 from palisade.session import scratch_dir
 
 KEY_ROW_BYTES = 250  # of a broadcast rule key with its decision
@@ -208,13 +208,16 @@ def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
 
 
 def _matches(targets: DataFrame, rules: DataFrame, ids: list[str], idn: bool) -> DataFrame:
-    """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row."""
-    classified = classify(targets.select(*ids).distinct(), "target", "__t", idn=idn)
+    """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row.
+
+    Many targets are dealt over as many tasks as their input needs, before and after the lookup: distinct texts and hits take memory by the row."""
+    tasks = tasks_by_input(targets.select(*ids))
+    classified = classify(dealt(targets.select(*ids), tasks, ids).distinct(), "target", "__t", idn=idn)
     table = rule_table(rules)
     probes = _probes(classified, tuple(ids), table.lengths)
     on = ["key", "program_id"] if "program_id" in ids else ["key"]
     joined = lookup_join(probes, table.keys, on, "left", spread=["target"], size=table.rows * KEY_ROW_BYTES)
-    return _checked_paths(joined, tuple(ids))
+    return dealt(_checked_paths(joined, tuple(ids)), tasks, ids)
 
 
 @recorded

@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
+#: Of a plan's input, as stored, for each task that holds its rows by key.
+TASK_BYTES = 1 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -29,6 +31,24 @@ def fits_broadcast(df: DataFrame, fanout: int = 1) -> bool:
     return estimated_bytes(df) * fanout <= BROADCAST_BYTES
 
 
+def tasks_by_input(df: DataFrame) -> int | None:
+    """Over how many tasks rows are dealt by key, so that what one of them holds does not grow with the input.
+
+    None for an input that is small or of unknown size: then the session's number of shuffle partitions does.  The estimate of a join multiplies its sides, so
+    the plan's inputs bound it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = min(inputs, estimated_bytes(df))
+    tasks = size // TASK_BYTES
+    known = inputs < 1 << 60  # Spark takes 2^63 - 1 where it knows nothing
+    return tasks if known and tasks > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, tasks: int | None, keys: Sequence[str]) -> DataFrame:
+    """Rows by key over that many tasks; grouping by the keys needs no further shuffle."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def lookup_join(
     rows: DataFrame, reference: DataFrame, on: Sequence[str], how: str = "left", *, fanout: int = 1,
     spread: Sequence[str] | None = None, size: int | None = None,

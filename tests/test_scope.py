@@ -219,6 +219,28 @@ def test_salted_join_gives_the_same_decisions(spark, monkeypatch):
     assert sorted(map(str, scope.evaluate_scope(targets, rules).collect())) == broadcast
 
 
+def test_targets_are_dealt_by_the_size_of_their_input(spark, monkeypatch, tmp_path):
+    """The more input, the more tasks, whatever the session's number of shuffle partitions; the decisions stay the same."""
+    from palisade.operators import skew
+
+    rows = "concat('h', id % 4000, '.o', id % 50, '.example') AS target"
+    for name, n in (("small", 40_000), ("large", 160_000)):
+        spark.range(n).selectExpr(rows, "concat('pad', id) AS pad").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    small, large = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("small", "large"))
+    rules = rule_table(spark, [("a", "P", "wildcard", "include", "*.o7.example"), ("b", "Q", "domain", "exclude", "h8.o8.example"), ("c", "Q", "wildcard", "include", "*.o8.example")])
+    want = sorted(map(str, scope.evaluate_scope(large, rules).collect()))
+    assert skew.tasks_by_input(large) is None and skew.tasks_by_input(spark.range(9).rdd.toDF()) is None
+    monkeypatch.setattr(skew, "TASK_BYTES", 10_000)
+    few, many = skew.tasks_by_input(small), skew.tasks_by_input(large)
+    assert 8 < few and 3 * few < many < 5 * few
+    got = scope.evaluate_scope(large, rules)
+    assert sorted(map(str, got.collect())) == want
+    assert got._jdf.queryExecution().executedPlan().toString().count(f", {skew.tasks_by_input(large.select('target'))}), REPARTITION_BY_NUM") >= 2
+    pairs = large.crossJoin(spark.range(1).selectExpr("'Q' AS program_id"))
+    assert {r["allowed"] for r in scope.evaluate_scope(pairs, rules).filter("target = 'h8.o8.example'").collect()} == {False}
+    assert scope.scope_overall(large, rules).count() == 4000
+
+
 def test_plan_has_no_nested_loop(spark, rules):
     targets = spark.range(10).selectExpr("concat('h', id, '.kettle.example') AS target", "'tea' AS program_id")
     plan = scope.evaluate_scope(targets, rules)._jdf.queryExecution().executedPlan().toString()
