@@ -94,9 +94,7 @@ def jn3(spark, d):
 @register("jn4_network_exclusion", _net_sql("exclude", "ip_lohi", "s.ip", "t.lo <= r.hi AND t.hi >= r.lo") + " UNION ALL "
           + _net_sql("exclude", "(SELECT DISTINCT * FROM net_lohi)", "s.net", "t.lo <= r.hi AND t.hi >= r.lo"), _IPS_LOHI)
 def jn4(spark, d):
-    ips = standin(spark, d, "ips").select(F.col("ip").alias("target"))
-    nets = standin(spark, d, "nets").selectExpr(f"{_NET_TEXT} AS target")
-    return scope.evaluate_scope(ips.unionByName(nets), rules_of(spark, "net_rules", "mode = 'exclude'")).select("target", "program_id", "allowed", "scope_id")
+    return scope.evaluate_scope(_network_targets(spark, d), rules_of(spark, "net_rules", "mode = 'exclude'")).select("target", "program_id", "allowed", "scope_id")
 
 
 @register("jn5_url_rules", _SHOW, _ctes(_URLS, "type = 'url'"))
