@@ -31,15 +31,15 @@ def fits_broadcast(df: DataFrame, fanout: int = 1) -> bool:
     return estimated_bytes(df) * fanout <= BROADCAST_BYTES
 
 
-def tasks_by_input(df: DataFrame) -> int | None:
+def tasks_by_input(df: DataFrame, share: int = 1) -> int | None:
     """Over how many tasks rows are dealt by key, so that what one of them holds does not grow with the input.
 
-    None for an input that is small or of unknown size: then the session's number of shuffle partitions does.  The estimate of a join multiplies its sides, so
-    the plan's inputs bound it."""
+    ``share``: how many times ``TASK_BYTES`` a task takes.  None for an input that is small or of unknown size: then the session's number of shuffle partitions
+    does.  The estimate of a join multiplies its sides, so the plan's inputs bound it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     size = min(inputs, estimated_bytes(df))
-    tasks = size // TASK_BYTES
+    tasks = size // (share * TASK_BYTES)
     known = inputs < 1 << 60  # Spark takes 2^63 - 1 where it knows nothing
     return tasks if known and tasks > df.sparkSession.sparkContext.defaultParallelism else None
 

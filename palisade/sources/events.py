@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palisade import constants as K
 from palisade import schemas as S
 from palisade.functions.common import literal_table, opaque, strip
-from palisade.operators.skew import first_per_key, last_per_key
+from palisade.operators.skew import first_per_key, last_per_key, tasks_by_input
 
 
 def validate_events(lines: DataFrame, allowed: Iterable[str] | None = None, col: str = "value") -> DataFrame:
@@ -100,9 +100,16 @@ def build_event(
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the table partitioned by index and month.  The rebalance lets the adaptive planner cut a partition
-    value that holds most of the rows into several files instead of sending it to one task."""
-    events.hint("rebalance", "index", "ym").write.mode(mode).partitionBy("index", "ym").parquet(path)
+    """Append to the table partitioned by index and month.
+
+    A writer sorts the rows it holds, whole payloads included.  Of a large input each gets a range by index, month and time, as many as the input needs; a
+    value that holds most of the rows is cut by time.  Of others the rebalance lets the adaptive planner cut such a value into several files."""
+    tasks = tasks_by_input(events, share=2)
+    if tasks is None:
+        laid = events.hint("rebalance", "index", "ym")
+    else:
+        laid = events.repartitionByRange(tasks, "index", "ym", "ts", F.xxhash64("payload"))
+    laid.write.mode(mode).partitionBy("index", "ym").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, pattern: str = "bb-*") -> DataFrame:

@@ -323,3 +323,20 @@ def test_a_panel_dashboard_scans_an_index_once(spark):
     assert out.count() > 0
     plan = plans[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_written_events_are_cut_by_the_size_of_their_input(spark, monkeypatch, tmp_path):
+    """One index and month with nearly all rows is written by many tasks, each with its own range of time; nothing is lost."""
+    spark.range(20_000).selectExpr(
+        "timestamp_seconds(1704067200 + id) AS ts", "IF(id % 100 = 0, 'bb-jobs', 'bb-http') AS index", "IF(id % 1000 = 0, NULL, '2024.01') AS ym", "concat('payload ', id) AS payload",
+    ).coalesce(1).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    monkeypatch.setattr(skew, "TASK_BYTES", 10_000)
+    events.write_events(raw, f"{tmp_path}/events")
+    back = events.read_events(spark, f"{tmp_path}/events")
+    rows = lambda df: sorted(map(str, df.select("ts", "index", F.col("ym").cast("string"), "payload").collect()))
+    assert rows(back) == rows(raw)
+    tasks = skew.tasks_by_input(raw, share=2)
+    files = back.filter("index = 'bb-http' AND ym IS NOT NULL").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+    assert tasks > 8 and len(files) > tasks // 2 and max(f["n"] for f in files) < 4 * 20_000 / tasks
+    assert all(x["b"] < y["a"] for x, y in zip(files, files[1:]))
