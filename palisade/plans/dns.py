@@ -21,7 +21,8 @@ def dns_plan(answers: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame,
     asked.  Edges per record type, enrichment of A/AAAA answers, one state per (name, run).
 
     NXDOMAIN is reported only when every asked type said so and nothing was answered."""
-    rows = with_ip_bits(answers, F.when(F.col("record_type").isin("A", "AAAA"), F.col("value")), "ip_bits")
+    is_address = F.col("record_type").isin("A", "AAAA")
+    rows = with_ip_bits(answers, F.when(is_address, F.col("value")), "ip_bits")
     # names may come with a trailing dot
     rows = rows.withColumn("__name", bare_name(F.when(~F.col("record_type").isin("A", "AAAA", "TXT"), F.col("value"))))
     good_name = domain_error(F.col("__name"), F.col("__name")).isNull()
@@ -33,7 +34,12 @@ def dns_plan(answers: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame,
     rel = lookup(K.DNS_EDGES, F.col("record_type"))
     kind = F.when(F.length("ip_bits") == 32, "ipv4").when(F.length("ip_bits") == 128, "ipv6").otherwise(asset_type(F.lit("domain"), F.col("target")))
     reason = F.concat("record_type", F.lit(" record of "), "name")
-    addressed = enrich_ips(linked.filter(F.col("ip_bits").isNotNull()), cloud_ranges, asn_ranges, "ip_bits")
+    if stage is as_is:
+        # nothing is written, so every output parses the answers again: what needs no names goes without them
+        asked, resolved = answers, with_ip_bits(answers.filter(is_address), F.col("value"), "ip_bits").filter(F.col("ip_bits").isNotNull())
+    else:
+        asked, resolved = rows, rows.filter(F.col("ip_bits").isNotNull())
+    addressed = enrich_ips(linked.filter(F.col("ip_bits").isNotNull()), cloud_ranges, asn_ranges, "ip_bits", resolved)
     with_asn = addressed.filter(F.col("asn.number").isNotNull())
     as_name = F.concat(F.lit("AS"), F.col("asn.number").cast("string"))
     assets = union(
@@ -49,11 +55,11 @@ def dns_plan(answers: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame,
     values = [
         F.array_sort(F.collect_set(F.when(F.col("record_type") == t, F.col("value")))).alias(t.lower()) for t in TYPES
     ]
-    answered = rows.groupBy("name", "run").agg(
+    answered = asked.groupBy("name", "run").agg(
         *values, F.max("observed_at").alias("observed_at"), F.max("seq").alias("seq"),
         (F.every(F.coalesce("nxdomain", F.lit(False))) & (F.count("value") == 0)).alias("__nx"),
     )
-    sets = dns_enrichment(linked, cloud_ranges, asn_ranges, ["name", "run"])
+    sets = dns_enrichment(resolved, cloud_ranges, asn_ranges, ["name", "run"])
     both = answered.join(sets, ["name", "run"], "left")
     empty = F.array().cast("array<string>")
     state = F.struct(
