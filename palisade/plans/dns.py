@@ -10,7 +10,7 @@ from palisade.functions.addresses import ip_text, with_ip_bits
 from palisade.functions.common import lookup, opaque
 from palisade.functions.names import bare_name, domain_error
 from palisade.functions.targets import asset_type
-from palisade.operators.enrich import dns_enrichment, enrich_ips
+from palisade.operators.enrich import dns_enrichment, enrich_ips, lookup_asn
 from palisade.plans.base import Observed, Stage, as_is, asset_rows, edge_rows, union
 
 TYPES = ("A", "AAAA", "CNAME", "MX", "NS", "TXT")
@@ -40,8 +40,10 @@ def dns_plan(answers: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame,
     else:
         asked, resolved = rows, rows.filter(F.col("ip_bits").isNotNull())
     addressed = enrich_ips(linked.filter(F.col("ip_bits").isNotNull()), cloud_ranges, asn_ranges, "ip_bits", resolved)
-    with_asn = addressed.filter(F.col("asn.number").isNotNull())
-    as_name = F.concat(F.lit("AS"), F.col("asn.number").cast("string"))
+    # edges and assets take the AS alone, one per address
+    numbers = lookup_asn(resolved, asn_ranges, "ip_bits").filter(F.col("asn").isNotNull()).select("ip_bits", "asn")
+    with_asn = resolved.join(numbers, "ip_bits")
+    as_name = F.concat(F.lit("AS"), F.col("asn").cast("string"))
     assets = union(
         asset_rows(rows, asset_type(F.lit("domain"), F.col("name")), F.col("name"), "dns", "resolved by DNS worker"),
         asset_rows(linked, kind, F.col("target"), "dns", reason),
@@ -49,7 +51,7 @@ def dns_plan(answers: DataFrame, cloud_ranges: DataFrame, asn_ranges: DataFrame,
     )
     edges = union(
         edge_rows(linked, F.col("name"), F.col("target"), rel, "dns", 0.95, F.to_json(F.struct("record_type"))),
-        edge_rows(with_asn, F.col("target"), as_name, "BELONGS_TO_ASN", "iptoasn", 0.9),
+        edge_rows(with_asn, ip_text(F.col("ip_bits")), as_name, "BELONGS_TO_ASN", "iptoasn", 0.9),
     )
     # one resolver answer per (name, run): a handful of records
     values = [

@@ -340,3 +340,26 @@ def test_written_events_are_cut_by_the_size_of_their_input(spark, monkeypatch, t
     files = back.filter("index = 'bb-http' AND ym IS NOT NULL").groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
     assert tasks > 8 and len(files) > tasks // 2 and max(f["n"] for f in files) < 4 * 20_000 / tasks
     assert all(x["b"] < y["a"] for x, y in zip(files, files[1:]))
+
+
+def test_dns_outputs_parse_only_what_they_need(spark):
+    """States and AS edges need no names, edges no providers; written and unwritten plans give the same."""
+    from palisade.plans import base, dns
+
+    made = [("h1.example.com", "A", "192.0.2.7"), ("h1.example.com", "A", "192.0.2.200"), ("h1.example.com", "AAAA", "2001:db8::1"), ("h1.example.com", "A", "not one"),
+            ("h2.example.com", "CNAME", "Target.Example.NET."), ("h2.example.com", "NS", "bad..name"), ("h2.example.com", "TXT", "192.0.2.7"), ("h3.example.com", "A", None)]
+    answers = literal_table(spark, [(n, t, v, i) for i, (n, t, v) in enumerate(made)], "name string, record_type string, value string, seq bigint").selectExpr(
+        "name", "1 AS run", "TIMESTAMP '2024-01-01' AS observed_at", "seq", "record_type", "value", "value IS NULL AS nxdomain")
+    bits = lambda x: f"{int(ipaddress.ip_address(x)):032b}"
+    clouds = literal_table(spark, [(4, bits("192.0.2.0")[:24], "amazon", "Amazon", "cloud", "192.0.2.0/24")], "ip_version int, net_bits string, provider string, organization string, category string, cidr string")
+    ranges = literal_table(spark, [(4, bits("192.0.2.0"), bits("192.0.2.99"), 64501, "US", "org")], "ip_version int, start_bits string, end_bits string, asn bigint, country string, organization string")
+    plan, written = (dns.dns_plan(answers, clouds, ranges, stage) for stage in (base.as_is, base.staged("dns-test")))
+    text = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for one, other in ((plan.states, written.states), (plan.edges, written.edges), (plan.assets, written.assets), (plan.extra["addresses"], written.extra["addresses"])):
+        assert text(one) == text(other)
+    edges = {(r["source_id"], r["target_id"]) for r in plan.edges.collect()}
+    assert ("192.0.2.7", "AS64501") in edges and ("192.0.2.200", "AS64501") not in edges and ("h2.example.com", "target.example.net") in edges
+    states = {r["asset_id"]: r for r in plan.states.collect()}
+    assert states["h1.example.com"]["current"]["asn"] == ["64501"] and states["h1.example.com"]["current"]["cloud"] == ["amazon"] and states["h3.example.com"]["status"] == "NXDOMAIN"
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "__o_target" not in shown(plan.states) and "provider" not in shown(plan.edges.select("source_id", "target_id"))
