@@ -7,11 +7,14 @@ active phrase is left open.
 
 Scans count 64-bit hashes of phrases over texts that are encoded once.  What has reached the threshold is kept in a table of ``slots`` of bounded size that
 holds, for two places of each hash, the scan after which the place was first taken.  Places that are shared by chance make a phrase active early, which costs
-time but no count, as it still gets one full cycle.  So the scans find all frequent phrases, and possibly others; one last scan counts what they found by its words.
+time but no count, as it still gets one full cycle.  The scans also add up a second hash of each occurrence and keep one chunk that holds the phrase.  At the end
+each frequent phrase is spelled once, from that chunk; where its second hash does not account for the whole sum, the hash stands for several phrases, and these
+are counted by their words in one more scan.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import settled, small, staged
+from palisade.llm.common import is_small, settled, small, staged
 
 #: Scans of a full cycle; words of the longest phrase.
 SHARDS, LONGEST = 4, 5
@@ -34,6 +37,8 @@ SLOT_BYTES, LEAST_POWER, MOST_POWER = 32, 16, 26
 CHUNK_BYTES, SUM_ROWS = 1 << 20, 4 << 20
 #: Rows and bytes of counted phrases that a task sums before it hands them on.
 PHRASE_ROWS, PHRASE_BYTES = 1 << 20, 64 << 20
+#: Second hashes are smaller than this; hashes of several phrases that are counted by words on their own, at most.
+CHECKS, DOUBTS = 1 << 31, 1 << 20
 #: The characters between pieces, and the lower case of A-Z.
 BETWEEN = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BETWEEN, b"abcdefghijklmnopqrstuvwxyz" + b"." * len(BETWEEN))
@@ -62,6 +67,21 @@ def grown(front: np.ndarray, last: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def checks_of(words: list[bytes], lang: str) -> np.ndarray:
+    """Second hashes of words."""
+    seed = xxhash.xxh32_intdigest(lang.encode(), 1)
+    return np.fromiter((xxhash.xxh32_intdigest(w, seed) for w in words), np.uint32, len(words))
+
+
+def check_of(second: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Second hashes of the phrases of ``size`` tokens that start at ``at``, from those of all tokens."""
+    x = second[at].astype(np.uint64)
+    for i in range(1, size):
+        x = x * np.uint64(0xD6E8FEB86659FD93) + second[at + i]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(33)).astype(np.int64)
+
+
 def reach(h: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The scan from which each hash counts as frequent, 0 if it does not."""
     power = len(slots).bit_length() - 1
@@ -78,10 +98,11 @@ def phrase_levels(one: np.ndarray, slots: np.ndarray, longest: int) -> Iterator[
         at = np.nonzero((r[:-1] > 0) & (r[1:] > 0))[0]
         if not len(at):
             return
-        found = grown(h[at], one[at + size - 1])
-        yield size, at, found, np.maximum(r[at], r[at + 1])
-        h, r = np.zeros(len(r) - 1, np.uint64), np.zeros(len(r) - 1, np.uint8)
-        h[at], r[at] = found, reach(found, slots)
+        found, since = grown(h[at], one[at + size - 1]), np.maximum(r[at], r[at + 1])
+        yield size, at, found, since
+        h, r, reached = np.zeros(len(r) - 1, np.uint64), np.zeros(len(r) - 1, np.uint8), reach(found, slots)
+        # places that are shared may be older than the phrase is active; it counts as reached when it is active, or what follows lacks part of its cycle
+        h[at], r[at] = found, np.where(reached > 0, np.maximum(reached, since), 0)
 
 
 def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -102,58 +123,71 @@ def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
 
 
 def encoded_chunks(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, hashes, ids, n): the texts as word numbers and hashes of words, dealt to shards; n words in all."""
+    """(shard, chunk, lang, hashes, checks, ids, words, n): the texts as word numbers, hashes and spelling of words, dealt to shards; n words in all."""
 
     def encode(batches):
-        at = TaskContext.get().partitionId()
+        at, chunk = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 32
         for b in batches:
             for lang, texts in by_lang(b):
-                _, h, ids = encoded(texts, lang)
+                words, h, ids = encoded(texts, lang)
                 h[0] = 0
                 n = int((ids > 0).sum())
                 packed = ids.astype(np.uint16 if len(h) <= 1 << 16 else np.uint32).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at % shards], pa.int32()), pa.array([lang]), pa.array([h.tobytes()]), pa.array([packed]), pa.array([n], pa.int64())], names=["shard", "lang", "hashes", "ids", "n"])
-                at += 1
+                    [pa.array([at % shards], pa.int32()), pa.array([chunk]), pa.array([lang]), pa.array([h.tobytes()]), pa.array([checks_of(words, lang).tobytes()]), pa.array([packed]),
+                     pa.array([b" ".join(words)]), pa.array([n], pa.int64())], names=["shard", "chunk", "lang", "hashes", "checks", "ids", "words", "n"])
+                at, chunk = at + 1, chunk + 1
 
-    return staged(docs.mapInArrow(encode, "shard int, lang string, hashes binary, ids binary, n long"), "encoded", ["shard"])
+    return staged(docs.mapInArrow(encode, "shard int, chunk long, lang string, hashes binary, checks binary, ids binary, words binary, n long"), "encoded", ["shard"])
 
 
-def summed(h: np.ndarray, since: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens_of(hashes: np.ndarray, ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.uint16 if len(hashes) <= 1 << 16 else np.uint32)
+
+
+def summed(h: np.ndarray, since: np.ndarray, n: np.ndarray, s: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((since, h))
-    h, since, n = h[order], since[order], n[order]
+    h, since, n, s, chunk = h[order], since[order], n[order], s[order], chunk[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (since[1:] != since[:-1])
     at = np.nonzero(first)[0]
-    return h[at], since[at], np.add.reduceat(n, at) if len(at) else n
+    return h[at], since[at], np.add.reduceat(n, at), np.add.reduceat(s, at) % CHECKS, np.minimum.reduceat(chunk, at)
+
+
+COUNTS = "h long, since int, n long, s long, chunk long"
+
+
+def added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h", "since").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("chunk").alias("chunk"))
 
 
 def scan(chunks: DataFrame, step: int, shards: int, slots: Broadcast, longest: int) -> DataFrame:
-    """(h, since, n) of what is active in scan ``step`` of its shard."""
+    """(h, since, n, s, chunk) of what is active in scan ``step`` of its shard: s is the sum of the second hashes of all n, chunk the first that has it."""
 
     def count(batches):
         table, kept, size = slots.value, [], 0
-        names = ["h", "since", "n"]
+        names = [x.split()[0] for x in COUNTS.split(", ")]
 
         def sums():
-            h, since, n = summed(*(np.concatenate(x) for x in zip(*kept)))
+            h, since, n, s, chunk = summed(*(np.concatenate(x) for x in zip(*kept)))
             for i in range(0, len(h), 1 << 18):
                 j = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(since[j].astype(np.int32)), pa.array(n[j])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(since[j].astype(np.int32)), pa.array(n[j]), pa.array(s[j]), pa.array(chunk[j])], names=names)
 
         for b in batches:
-            for hashes, ids in zip(b.column("hashes"), b.column("ids")):
-                h, raw = np.frombuffer(hashes.as_py(), np.uint64), ids.as_py()
-                tokens = np.frombuffer(raw, np.uint16 if len(h) <= 1 << 16 else np.uint32)
-                new = []
+            for chunk, hashes, checks, ids in zip(b.column("chunk").to_pylist(), b.column("hashes"), b.column("checks"), b.column("ids")):
+                h, second = np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(checks.as_py(), np.uint32)
+                tokens = tokens_of(h, ids.as_py())
+                new, second = [], (second, second[tokens])
                 if step < shards and len(tokens):
-                    n = np.bincount(tokens, minlength=len(h)).astype(np.int64)
-                    new.append((h[1:], np.zeros(len(h) - 1, np.uint8), n[1:]))
-                for _, _, found, since in phrase_levels(h[tokens], table, longest):
-                    open_ = since.astype(np.int64) + shards > step
-                    found, first, n = np.unique(found[open_], return_index=True, return_counts=True)
-                    new.append((found, since[open_][first], n.astype(np.int64)))
-                kept += [x for x in new if len(x[0])]
+                    n = np.bincount(tokens, minlength=len(h)).astype(np.int64)[1:]
+                    new.append((h[1:], np.zeros(len(n), np.uint8), n, n * check_of(second[0], np.arange(1, len(h)), 1)))
+                for k, at, found, since in phrase_levels(h[tokens], table, longest):
+                    open_ = np.nonzero(since.astype(np.int64) + shards > step)[0]
+                    found, first, which, n = np.unique(found[open_], return_index=True, return_inverse=True, return_counts=True)
+                    s = np.bincount(which, check_of(second[1], at[open_], k), len(n)).astype(np.int64)  # below 2^53 in a chunk
+                    new.append((found, since[open_][first], n.astype(np.int64), s))
+                kept += [(*x, np.full(len(x[0]), chunk)) for x in new if len(x[0])]
                 size += sum(len(x[0]) for x in new)
                 if size >= SUM_ROWS:
                     yield from sums()
@@ -161,8 +195,8 @@ def scan(chunks: DataFrame, step: int, shards: int, slots: Broadcast, longest: i
         if kept:
             yield from sums()
 
-    rows = chunks.filter(F.col("shard") == step % shards).select("hashes", "ids")
-    return rows.mapInArrow(count, "h long, since int, n long").groupBy("h", "since").agg(F.sum("n").alias("n"))
+    rows = chunks.filter(F.col("shard") == step % shards).select("chunk", "hashes", "checks", "ids")
+    return added(rows.mapInArrow(count, COUNTS))
 
 
 def taken(slots: np.ndarray, reached: DataFrame, step: int) -> None:
@@ -199,8 +233,52 @@ def summed_phrases(parts: Iterator[pa.RecordBatch], rows: int = PHRASE_ROWS, siz
         yield from sums().to_batches(max_chunksize=1 << 16)
 
 
-def counted_phrases(docs: DataFrame, slots: Broadcast, least: int, longest: int) -> DataFrame:
-    """(lang, size, phrase, n) of the phrases in the table that occur ``least`` times, by their words."""
+def spelled(chunks: DataFrame, frequent: DataFrame, slots: Broadcast, longest: int) -> DataFrame:
+    """(h, since, lang, size, phrase, c): what each hash stands for in the chunk that is named for it, and the second hash."""
+
+    def spell(batches):
+        table, names = slots.value, ["h", "since", "lang", "size", "phrase", "c"]
+        for b in batches:
+            for lang, hashes, checks, ids, words, wanted in zip(*(b.column(x) for x in ("lang", "hashes", "checks", "ids", "words", "wanted"))):
+                h, second = np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(checks.as_py(), np.uint32)
+                tokens = tokens_of(h, ids.as_py()).astype(np.int64)
+                one, second = h[tokens], second[tokens]
+                wanted = wanted.values.to_numpy().view(np.uint64)
+                spelling = pa.array(words.as_py().split(b" "), pa.binary())
+                at = np.nonzero(tokens)[0]
+                for size, at, found, since in [(1, at, one[at], np.zeros(len(at), np.uint8)), *phrase_levels(one, table, longest)]:
+                    found, first = np.unique(found, return_index=True)
+                    good = np.isin(found, wanted)
+                    at, since, found = at[first[good]], since[first[good]], found[good]
+                    if len(at):
+                        parts = [spelling.take(pa.array(tokens[at + k])) for k in range(size)]
+                        phrases = (pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(found.view(np.int64)), pa.array(since.astype(np.int32)), pa.array([lang.as_py()] * len(at), pa.string()), pa.array(np.full(len(at), size, np.int32)), phrases,
+                             pa.array(check_of(second, at, size))], names=names)
+
+    wanted = frequent.groupBy("chunk").agg(F.collect_list("h").alias("wanted"))
+    wanted = F.broadcast(wanted) if is_small(frequent, 16) else wanted
+    rows = chunks.select("chunk", "lang", "hashes", "checks", "ids", "words").join(wanted, "chunk").drop("chunk")
+    return rows.mapInArrow(spell, "h long, since int, lang string, size int, phrase string, c long")
+
+
+def exact_counts(docs: DataFrame, chunks: DataFrame, frequent: DataFrame, slots: Broadcast, least: int, longest: int) -> DataFrame:
+    """(lang, size, phrase, n) of the frequent hashes (h, since, n, s, chunk).  Hashes that do not stand for one phrase alone are counted anew, by words."""
+    both = staged(frequent.join(spelled(chunks, frequent, slots, longest), ["h", "since"], "left"), "spelled")
+    alone = F.coalesce(F.pmod(F.pmod("n", F.lit(CHECKS)) * F.col("c"), F.lit(CHECKS)) == F.pmod("s", F.lit(CHECKS)), F.lit(False))
+    doubtful = both.filter(~alone).select("h").distinct()
+    doubts = [r.h for r in doubtful.limit(DOUBTS + 1).collect()] if not both.filter(~alone).isEmpty() else []
+    if not doubts:
+        return both.select("lang", "size", "phrase", "n")
+    if len(doubts) > DOUBTS:
+        return counted_phrases(docs, slots, least, longest)
+    only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(doubts, np.int64).view(np.uint64)))
+    return both.join(doubtful, "h", "left_anti").select("lang", "size", "phrase", "n").union(counted_phrases(docs, slots, least, longest, only))
+
+
+def counted_phrases(docs: DataFrame, slots: Broadcast, least: int, longest: int, only: Broadcast | None = None) -> DataFrame:
+    """(lang, size, phrase, n) of the phrases in the table that occur ``least`` times, by their words; ``only``: of those with these hashes."""
 
     def count(batches):
         table = slots.value
@@ -218,12 +296,15 @@ def counted_phrases(docs: DataFrame, slots: Broadcast, least: int, longest: int)
                         break
                     key = rank[at] if size == 1 else rank[at] * len(known) + ids[at + size - 1]
                     _, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    rank = np.zeros(len(ids), np.int64)
+                    rank[at] = which
+                    if only is not None:
+                        keep = np.isin(found[good][first], only.value)
+                        first, n = first[keep], n[keep]
                     parts = [spelled.take(pa.array(ids[at[first] + k])) for k in range(size)]
                     phrases = (pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]).cast(pa.string())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), phrases, pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
-                    rank = np.zeros(len(ids), np.int64)
-                    rank[at] = which
 
     rows = docs.mapInArrow(lambda batches: summed_phrases(count(batches)), "lang string, size int, phrase string, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -240,21 +321,23 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     spark, step = docs.sparkSession, 0
     slots = np.zeros(1 << min(MOST_POWER, max(LEAST_POWER, (size // SLOT_BYTES).bit_length())), np.uint8)
-    state = spark.createDataFrame([], "h long, since int, n long")
+    state, closed = spark.createDataFrame([], COUNTS), []
     while True:
         shared = spark.sparkContext.broadcast(slots)
-        found = state.unionByName(scan(chunks, step, shards, shared, longest)).groupBy("h", "since").agg(F.sum("n").alias("n"))
-        found = staged(found, "counts")
+        found = added(state.unionByName(scan(chunks, step, shards, shared, longest)))
+        found = staged(found.filter((F.col("since") + shards - 1 > step) | (F.col("n") >= least)), "counts")
         shared.destroy()
         reached = found.filter(F.col("n") >= least)
         taken(slots, reached, step + 1)
         state = found.filter(F.col("since") + shards - 1 > step)
+        closed.append(reached.filter(F.col("since") + shards - 1 == step))
         step += 1
         if step >= shards and slots.max(initial=0) <= step - shards:
             break
     shared = spark.sparkContext.broadcast(slots)
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("words"))
-    return counted_phrases(texts, shared, least, longest).join(small(totals, 256), "lang").select("lang", "size", "phrase", "n", "words")
+    frequent = staged(functools.reduce(DataFrame.unionByName, closed), "frequent")
+    return exact_counts(texts, chunks, frequent, shared, least, longest).join(small(totals, 256), "lang").select("lang", "size", "phrase", "n", "words")
 
 
 def collocations(docs: DataFrame, least: int = 100, best: int = 2000, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
