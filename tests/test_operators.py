@@ -153,6 +153,40 @@ def test_expansion_looks_up_networks_not_addresses(spark):
     assert {c for c, n in per_network.items() if n == 2} == {"10.0.4.9/32", "10.0.5.0/31", "10.1.0.0/24", "2001:db8::100/120"}
 
 
+def test_networks_are_cut_where_answers_change(spark, monkeypatch):
+    """Random networks, rules, blocks and ranges, crowded buckets among them, against every address on its own; a divided network is cut, not listed."""
+    from palisade.operators import scope
+    from palisade.plans import discovery
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(enrich, "HOT_NETWORKS", 9)
+    base = {4: ipaddress.ip_address("10.0.0.0"), 6: ipaddress.ip_address("2001:db8::")}
+
+    def net(version, lengths):
+        width, n = 32 if version == 4 else 128, rnd.choice(lengths)
+        at = int(base[version]) + rnd.randrange(1 << 12)
+        return f"{ipaddress.ip_address(at >> (width - n) << (width - n))}/{n}", version, f"{at:0{width}b}"[:n]
+
+    tails = {4: [24, 26, 28, 30, 31, 32], 6: [120, 122, 125, 128]}
+    rows = [(p, *net(v, tails[v]), 1) for v in (4, 6) for p in ("P1", "P2") for _ in range(14)] + [("P1", *net(4, [12, 20]), 1), (None, *net(4, [24]), 1)]
+    cidrs = literal_table(spark, rows + rows[:3], "program_id string, cidr string, ip_version int, net_bits string, seq long").withColumn("observed_at", F.lit("2024-01-31").cast("timestamp"))
+    rules = scope.scope_rules(literal_table(spark, [(f"r{i}", rnd.choice(["P1", "P2", "P3"]), "cidr", rnd.choice(["include", "exclude"]), net(v, [w - 12, w - 9, w - 5, w])[0])
+                                                    for i, (v, w) in enumerate([(4, 32), (6, 128)] * 8)], "rule_id string, program_id string, type string, mode string, value string"))
+    clouds = literal_table(spark, [(f"c{i}", "o", "k", *net(v, [w - 11, w - 6, w - 2])) for i, (v, w) in enumerate([(4, 32), (6, 128)] * 5)],
+                           "provider string, organization string, category string, cidr string, ip_version int, net_bits string")
+    ends = [(v, w, sorted(int(base[v]) + rnd.randrange(1 << 12) for _ in "ab")) for v, w in [(4, 32), (6, 128)] * 5]
+    ranges = literal_table(spark, [(v, f"{a:0{w}b}", f"{b:0{w}b}", i, "US", "o") for i, (v, w, (a, b)) in enumerate(ends)],
+                           "ip_version int, start_bits string, end_bits string, asn long, country string, organization string")
+    looked = []
+    plan = discovery.expansion_plan(cidrs, rules, clouds, ranges, 256, stage=lambda df: looked.append(df) or df)
+    ips = enrich.expand_cidrs(cidrs, 256).withColumn("ip", discovery.ip_text(F.col("ip_bits")))
+    want = enrich.enrich_ips(scope.with_decision(ips, rules, "ip", "program_id"), clouds, ranges, "ip_bits").select(*plan.rows.columns)
+    got = plan.rows.collect()
+    assert sorted(map(str, got)) == sorted(map(str, want.collect()))
+    assert looked[0].count() * 4 < len(got)  # before, a network with one end inside was listed whole
+    assert looked[0]._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_merging_twice_changes_nothing(spark):
     obs = literal_table(spark, [("a", "b", "R", "x", 0.5, "m1", 10, 1), ("a", "b", "R", "y", 0.9, "m2", 20, 2)], "source_id string, target_id string, relationship_type string, source string, confidence double, metadata string, seen_at bigint, seq bigint")
     empty = spark.createDataFrame([], "source_id string, target_id string, relationship_type string, source string, confidence double, metadata string, first_seen bigint, last_seen bigint")
