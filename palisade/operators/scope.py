@@ -16,7 +16,8 @@ y     the same for an address host: every prefix of it            address and CI
 a     ASN rule                                                    ASN target
 ====  ==========================================================  =========================================
 
-Rules are broadcast while their size allows, otherwise joined by a salted shuffle.  Every distinct target is
+A target probes only kinds, numbers of labels and prefix lengths that the rules use, so most keys are never made.
+Rules are broadcast while their size allows, otherwise joined by a shuffle.  Every distinct target is
 evaluated once, however often it occurs.  Precedence inside a program: exclusion, explicit inclusion, wildcard
 inclusion, deny.  Ties: the exclusion with the most specific name, then the smallest rule id.
 """
@@ -40,6 +41,7 @@ from palisade.session import scratch_dir
 
 KEY_ROW_BYTES = 250  # of a broadcast rule key with its decision
 _DENY = "not in approved scope"
+_NO_KEY = "-"
 
 
 def scope_rules(rules: DataFrame, *, idn: bool = True, suffixes: Collection[str] = K.PUBLIC_SUFFIXES) -> DataFrame:
@@ -133,11 +135,12 @@ def _best_per_key(keys: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RuleTable:
-    """Keys of a rule set as a written table, its prefix lengths in use and its number of rows."""
+    """Keys of a rule set as a written table, its number of rows, and which keys are in use: kinds (for networks with the version), each with its prefix
+    lengths or its numbers of labels."""
 
     path: str
     keys: DataFrame
-    lengths: tuple[tuple[int, int], ...]
+    uses: tuple[tuple[str, int], ...]
     rows: int
 
 
@@ -148,18 +151,17 @@ def rule_table(rules: DataFrame) -> RuleTable:
     """Normalise and key a rule set once, however many decisions use it.
 
     The keys are written to the shared scratch folder, so the size of what may be broadcast is known exactly.  Of the
-    profile at most 163 rows come to the driver, whatever the number of rules."""
+    profile at most 869 rows come to the driver, whatever the number of rules."""
     if rules not in _TABLES:
         spark = rules.sparkSession
         path = scratch_dir(spark, "scope-rules")
         _best_per_key(_rule_keys(rules)).write.parquet(path)
         keys = spark.read.parquet(path)
-        net = F.startswith(F.col("key"), F.lit("c"))
-        profile = keys.groupBy(
-            F.when(net, F.substring("key", 2, 1)).alias("version"), F.when(net, F.length("key") - 3).alias("n")
-        ).agg(F.count(F.lit(1)).alias("rows")).collect()
-        lengths = tuple(sorted((int(r["version"]), r["n"]) for r in profile if r["n"] is not None))
-        _TABLES[rules] = RuleTable(path, keys, lengths, sum(r["rows"] for r in profile))
+        kind = F.substring_index("key", ":", 1)
+        n = F.when(F.length(kind) == 2, F.length("key") - 3).when(kind.isin("e", "p", "h"), label_count(F.substring("key", 3, REST))).otherwise(0)
+        profile = keys.groupBy(kind.alias("kind"), n.alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+        uses = tuple(sorted((r["kind"], r["n"]) for r in profile))
+        _TABLES[rules] = RuleTable(path, keys, uses, sum(r["rows"] for r in profile))
     return _TABLES[rules]
 
 
@@ -171,60 +173,59 @@ def drop_rule_table(rules: DataFrame) -> None:
         path.getFileSystem(rules.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _target_keys(t: Column, lengths: tuple[tuple[int, int], ...]) -> Column:
+def _target_keys(t: Column, uses: tuple[tuple[str, int], ...]) -> Column:
     host, bits, ver, url = t["host"], t["net_bits"], t["ip_version"], t["url"]
-    parents = F.slice(host_suffixes(host), 2, 127)
-
-    def in_use(version: int) -> Column:
-        listed = F.array(*[F.lit(n) for v, n in lengths if v == version]).cast("array<int>")
-        return F.filter(listed, lambda k: k <= F.length(bits))
-
-    of_host = F.when(
-        host.isNotNull(),
-        F.concat(
-            F.array(F.concat(F.lit("e:"), host)),
-            F.transform(parents, lambda p: F.concat(F.lit("p:"), p)),
-            F.when(t["kind"] == "domain", F.array(F.concat(F.lit("h:"), host))).otherwise(_none()),
-        ),
-    ).otherwise(_none())
-    of_net = F.when(
-        bits.isNotNull(),
-        F.concat(
-            F.when(ver == 4, _prefix_keys("c", bits, ver, in_use(4))).otherwise(_prefix_keys("c", bits, ver, in_use(6))),
-            F.when(t["kind"] == "cidr", _prefix_keys("r", bits, ver, F.array(F.length(bits)))).otherwise(_none()),
-            F.when(t["kind"] != "url", _prefix_keys("y", bits, ver, F.array(F.length(bits)))).otherwise(_none()),
-        ),
-    ).otherwise(_none())
-    of_url = F.when(
-        t["kind"] == "url",
-        F.array(F.concat_ws("|", F.concat(F.lit("u:"), url["scheme"]), url["host"], url["port"].cast("string"))),
-    ).otherwise(_none())
-    of_asn = F.when(t["kind"] == "asn", F.array(F.concat(F.lit("a:"), t["asn"].cast("string")))).otherwise(_none())
-    keys = F.concat(of_host, of_net, of_url, of_asn)
-    # a target without keys still needs a row, so that it gets its deny decision
-    return F.when(t["error"].isNull() & (t["kind"] != "wildcard") & (F.size(keys) > 0), keys).otherwise(
-        F.array(F.lit("-"))
+    numbers = lambda kind: [n for k, n in uses if k == kind]
+    keys: list[Column] = []
+
+    def add(when: Column, made: Column) -> None:
+        keys.append(F.when(when, made).otherwise(_none()))
+
+    for kind in ("e", "h"):
+        if numbers(kind):
+            fits = label_count(host).isin(numbers(kind))
+            add(fits & (t["kind"] == "domain") if kind == "h" else fits, F.array(F.concat(F.lit(f"{kind}:"), host)))
+    if numbers("p"):
+        above = F.filter(F.array(*map(F.lit, numbers("p"))).cast("array<int>"), lambda k: k < label_count(host))
+        add(host.isNotNull(), F.transform(above, lambda k: F.concat(F.lit("p:"), F.call_function("substring_index", host, F.lit("."), -k))))
+    for version in (4, 6):
+        here = bits.isNotNull() & ((ver == 4) if version == 4 else ~ver.eqNullSafe(4))
+        if lengths := numbers(f"c{version}"):
+            add(here, _prefix_keys("c", bits, ver, F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length(bits))))
+        for kind, of_kind in (("r", t["kind"] == "cidr"), ("y", t["kind"] != "url")):
+            if lengths := numbers(f"{kind}{version}"):
+                add(here & of_kind & F.length(bits).isin(lengths), _prefix_keys(kind, bits, ver, F.array(F.length(bits))))
+    if numbers("u"):
+        add(t["kind"] == "url", F.array(F.concat_ws("|", F.concat(F.lit("u:"), url["scheme"]), url["host"], url["port"].cast("string"))))
+    if numbers("a"):
+        add(t["kind"] == "asn", F.array(F.concat(F.lit("a:"), t["asn"].cast("string"))))
+    made = F.concat(*keys) if keys else _none()
+    # a target without keys still needs a row, so that it gets its deny decision; such rows are not to meet in one task
+    return F.when(t["error"].isNull() & (t["kind"] != "wildcard") & (F.size(made) > 0), made).otherwise(
+        F.array(F.concat(F.lit(_NO_KEY), F.coalesce(F.col("target"), F.lit(""))))
     )
 
 
-def _matches(targets: DataFrame, rules: DataFrame, ids: list[str], idn: bool) -> DataFrame:
-    """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row.
+def _matches(targets: DataFrame, rules: DataFrame, ids: list[str], idn: bool, hits_only: bool = False) -> DataFrame:
+    """(ids, kind, value, error, program_id, rule): left outer, so targets without a match keep one row, unless ``hits_only``.
 
     Many targets are dealt over as many tasks as their input needs, before and after the lookup: distinct texts and hits take memory by the row."""
     tasks = tasks_by_input(targets.select(*ids))
     classified = classify(dealt(targets.select(*ids), tasks, ids).distinct(), "target", "__t", idn=idn)
     table = rule_table(rules)
-    probes = _probes(classified, tuple(ids), table.lengths)
+    probes = _probes(classified, tuple(ids), table.uses)
+    if hits_only:
+        probes = probes.filter(~F.startswith("key", F.lit(_NO_KEY)))
     on = ["key", "program_id"] if "program_id" in ids else ["key"]
-    joined = lookup_join(probes, table.keys, on, "left", spread=["target"], size=table.rows * KEY_ROW_BYTES)
+    joined = lookup_join(probes, table.keys, on, "inner" if hits_only else "left", spread=["target"], size=table.rows * KEY_ROW_BYTES)
     return dealt(_checked_paths(joined, tuple(ids)), tasks, ids)
 
 
 @recorded
-def _probes(classified: DataFrame, ids: tuple[str, ...], lengths: tuple[tuple[int, int], ...]) -> DataFrame:
+def _probes(classified: DataFrame, ids: tuple[str, ...], uses: tuple[tuple[str, int], ...]) -> DataFrame:
     t = F.col("__t")
     return opaque(
-        classified, __kind=t["kind"], __value=t["value"], __error=t["error"], __path=t["url"]["path"], __keys=_target_keys(t, lengths)
+        classified, __kind=t["kind"], __value=t["value"], __error=t["error"], __path=t["url"]["path"], __keys=_target_keys(t, uses)
     ).select(*ids, "__kind", "__value", "__error", "__path", F.explode("__keys").alias("key"))
 
 
@@ -288,7 +289,7 @@ def evaluate_scope(targets: DataFrame, rules: DataFrame, *, idn: bool = True) ->
     """
     pairs = "program_id" in targets.columns
     ids = ["target", "program_id"] if pairs else ["target"]
-    hits = _matches(targets, rules, ids, idn)
+    hits = _matches(targets, rules, ids, idn, hits_only=not pairs)
     if not pairs:
         hits = hits.filter(F.col("rule").isNotNull())
     grouped = hits.groupBy("target", "program_id").agg(

@@ -219,6 +219,41 @@ def test_salted_join_gives_the_same_decisions(spark, monkeypatch):
     assert sorted(map(str, scope.evaluate_scope(targets, rules).collect())) == broadcast
 
 
+def test_targets_probe_only_keys_in_use(spark):
+    """Of a target's names, parents and prefixes only those of a kind and length that some rule has are looked up."""
+    from palisade.functions.targets import classify
+
+    rules = rule_table(spark, [("a", "P", "wildcard", "include", "*.o7.example"), ("b", "P", "cidr", "exclude", "10.0.0.0/8"), ("c", "Q", "asn", "include", "AS7")])
+    found = ["h1.o7.example", "h1.o8.example", "o7.example", "x.y.o7.example", "10.1.2.3", "11.0.0.0/9", "AS7", "https://h1.o7.example/a", "not a target"]
+    classified = classify(literal_table(spark, [(t,) for t in found], "target string"), "target", "__t", idn=True)
+    keys = {}
+    for r in scope._probes(classified, ("target",), scope.rule_table(rules).uses).collect():
+        keys.setdefault(r["target"], []).append(r["key"])
+    assert {t: k for t, k in keys.items() if not k[0].startswith("-")} == {
+        "h1.o7.example": ["p:o7.example"], "h1.o8.example": ["p:o8.example"], "x.y.o7.example": ["p:o7.example"], "10.1.2.3": ["c4:00001010"],
+        "11.0.0.0/9": ["c4:00001011"], "AS7": ["a:7"], "https://h1.o7.example/a": ["p:o7.example"]}
+    assert all(len(keys[t]) == 1 for t in found)
+    pairs = literal_table(spark, [(t, "P") for t in found], "target string, program_id string")
+    got = {r["target"]: (r["allowed"], r["scope_id"]) for r in scope.evaluate_scope(pairs, rules).collect()}
+    assert {t for t, (allowed, _) in got.items() if allowed} == {"h1.o7.example", "x.y.o7.example", "https://h1.o7.example/a"} and got["10.1.2.3"] == (False, "b") and len(got) == len(found)
+
+
+def test_copies_of_a_large_rule_table_are_bounded(spark, monkeypatch):
+    """Above the broadcast bound the rule keys are copied per salt only as far as the copies stay within a bound."""
+    from palisade.operators import skew
+
+    rules = rule_table(spark, [(f"r{i}", "P", "wildcard", "include", f"*.o{i}.example") for i in range(64)])
+    targets = spark.range(3000).selectExpr("concat('h', id, '.o', id % 80, '.example') AS target")
+    want = sorted(map(str, scope.evaluate_scope(targets, rules).collect()))
+    size = scope.rule_table(rules).rows * scope.KEY_ROW_BYTES
+    for bound, salted in ((size // 4, True), (size // 16, False)):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", bound)
+        out = scope.evaluate_scope(targets, rules)
+        assert sorted(map(str, out.collect())) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("__salt" in plan) == salted
+
+
 def test_targets_are_dealt_by_the_size_of_their_input(spark, monkeypatch, tmp_path):
     """The more input, the more tasks, whatever the session's number of shuffle partitions; the decisions stay the same."""
     from palisade.operators import skew
