@@ -131,8 +131,10 @@ class Block:
         self.sizes = unpacked(row.column("sizes")[0].as_py(), np.uint32).astype(np.int64)
         self.codes = code = unpacked(row.column("codes")[0].as_py(), np.uint32).astype(np.int32)
         at = words.column("id").to_numpy()
-        self.gid, self.c = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        self.gid[at], self.c[at] = words.column("gid").to_numpy(), words.column("c").to_numpy()
+        self.gid, self.c = np.empty(len(at), np.int64), np.zeros(len(at), np.int64)
+        self.gid[at] = words.column("gid").to_numpy()
+        if "c" in words.column_names:
+            self.c[at] = words.column("c").to_numpy()
         self.starts = np.cumsum(self.sizes) - self.sizes
         first = np.zeros(len(code), bool)
         first[self.starts] = True
@@ -261,6 +263,16 @@ def first_words(kept: DataFrame) -> DataFrame:
     return rows.groupBy("gid").agg(F.sum("c").alias("used"), F.sum("number").alias("number"))
 
 
+def histories(counted: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+    """(block, id, gid, c, used, number): the words of ``counted`` as histories, nulls for those that begin nothing that is kept.
+
+    A word that occurs less than ``least`` times begins no kept n-gram, so it is not looked up."""
+    columns = ["block", "id", "gid", "c", "used", "number"]
+    found = counted.filter(F.col("c") >= least).join(first_words(kept), "gid", "left").select(columns)
+    none = [F.lit(None).cast("long").alias(x) for x in ("used", "number")]
+    return found.union(counted.filter(F.col("c") < least).select("block", "id", "gid", "c", *none))
+
+
 class Automaton:
     """The arcs and failure arcs that one block's texts can reach: arcs hold the share of the longer history, failure arcs the backoff weight.
 
@@ -324,8 +336,10 @@ def score(
     n, v = total["n"], total["v"]
     floors = None if shares is None else tuple(max(1.0, n * s) for s in shares)
     bits = max(0, texts.count() * block_chars // SHARD_CHARS - 1).bit_length()
-    kept = kept_grams(block_grams(texts, counted.select("block", "id", "gid", "c"), bits, floors), max(1, min_count))
-    found = counted.join(first_words(kept), "gid", "left").select("block", "id", "gid", "c", "used", "number")
+    least = max(1, min_count)
+    # without floors the n-grams are counted without the counts of words
+    kept = kept_grams(block_grams(texts, counted.select("block", "id", "gid", *(["c"] if floors is not None else [])), bits, floors), least)
+    found = histories(counted, kept, least)
     none = lambda *kinds: [F.lit(None).cast(kind).alias(x) for x, kind in kinds]
     reach = found.select("*", *none(("shard", "int"), ("c2", "binary"), ("both", "binary"), ("c3", "binary"))).union(
         kept.filter("kind = 0").select("block", *none(("id", "int"), ("gid", "long"), ("c", "long"), ("used", "long"), ("number", "long")), "shard", "c", "used", "c3"))

@@ -36,3 +36,23 @@ def test_answers_hold_counts_alone(spark, monkeypatch):
     assert n == 60 * 401
     assert sum(sizes["lm-kept"].values()) < 2 * n
     assert sum(sizes["lm-blocks"].values()) < 2 * n  # a text has more than four bytes a token
+
+
+def test_rare_words_are_not_looked_up(spark, monkeypatch):
+    """A word below the least count begins no kept n-gram: only the others are joined to the histories, with the same result."""
+    seen, real = {}, lm.histories
+
+    def watched(counted, kept, least):
+        seen["all"] = sorted(map(tuple, counted.join(lm.first_words(kept), "gid", "left").select("block", "id", "gid", "c", "used", "number").collect()))
+        out = real(counted, kept, least)
+        seen["got"] = sorted(map(tuple, out.collect()))
+        seen["plan"] = out._jdf.queryExecution().optimizedPlan().toString()
+        return out
+
+    monkeypatch.setattr(lm, "histories", watched)
+    rows = [(i, f"same words here again once{i} same words") for i in range(8)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), F.col("doc_id") < 7, block_chars=100).collect()
+    assert len(got) == 8 and seen["got"] == seen["all"]
+    assert any(r[4] is not None for r in seen["got"]) and any(r[3] < 2 for r in seen["got"])
+    join = seen["plan"][seen["plan"].index("Join LeftOuter"):]
+    assert "c#" in join and ">= 2" in join
